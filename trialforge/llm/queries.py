@@ -6,11 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing
+from . import mixing, pii, secret_scan, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_systematic_mix": mixing.op5_systematic_mix}
+    return {
+        "op5_systematic_mix": mixing.op5_systematic_mix,
+        "op6_simhash": simhash.op6_simhash,
+        "op8_pii": pii.op8_pii,
+        "op9_secret_ownership": secret_scan.op9_secret_ownership,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
