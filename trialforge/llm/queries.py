@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, pii, secret_scan, simhash
+from . import chat, media, mixing, pii, quality, secret_scan, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality_nbsvm": quality.op1_quality_nbsvm,
+        "op2_media_audio": media.op2_media_audio,
+        "op3_chat_round_trip": chat.op3_chat_round_trip,
         "op5_systematic_mix": mixing.op5_systematic_mix,
         "op6_simhash": simhash.op6_simhash,
         "op8_pii": pii.op8_pii,

@@ -102,8 +102,11 @@ def remove_secrets(docs: DataFrame, **options) -> DataFrame:
     live = live.groupBy(F.col("doc_id").alias("__id")).agg(F.array_distinct(F.flatten(F.collect_list("live"))).alias("__live"))
     out = docs.join(live, docs["doc_id"].eqNullSafe(live["__id"]), "left")
     text = F.when(F.col("__live").isNotNull() & F.col("text").isNotNull(), redact(F.col("text"), F.col("__live"))).otherwise(F.col("text"))
-    fixed = {"text": text} | ({"n_chars": F.when(F.col("__live").isNotNull(), F.length(text)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return out.withColumns(fixed).select(*docs.columns)
+    out = out.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        out = out.withColumn("n_chars", F.when(F.col("__live").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(kind))
+    return out.select(*docs.columns)
 
 
 def joined(spans: Column) -> Column:
