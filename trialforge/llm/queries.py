@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, dedup, media, mixing, packing, pii, quality, secret_scan, simhash
+from . import chat, dedup, lm, media, mixing, packing, pii, quality, secret_scan, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_minhash_dedup": dedup.op4_minhash_dedup,
         "op5_systematic_mix": mixing.op5_systematic_mix,
         "op6_simhash": simhash.op6_simhash,
+        "op7_lm_backoff": lm.op7_lm_backoff,
         "op8_pii": pii.op8_pii,
         "op9_secret_ownership": secret_scan.op9_secret_ownership,
         "op10_pack_gga": packing.op10_pack_gga,
