@@ -62,7 +62,7 @@ def test_families_and_passages(spark):
     rows = [(d, t, None, None, 0) for d, t in docs.items()]
     rnd.shuffle(rows)
     df = spark.createDataFrame(rows, DOCS)
-    for s in (dedup.CONTRACT, dedup.Settings(), dedup.Settings(words=3, percent=85, k=16, stars=1)):
+    for s in (dedup.CONTRACT, dedup.Settings(), dedup.Settings(words=3, percent=85, k=16, stars=1, long=5, block=25)):
         got = {r.doc_id: (r.n_shingles, r.component_id) for r in dedup.near_groups(df, s).collect()}
         assert got == plain(docs, s.words, s.percent)
 

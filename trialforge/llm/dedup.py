@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,7 @@ class Settings:
 
     sigmas: how far a pair at the threshold may stray from its expected sketch overlap before the lists or the
     estimate miss it; at 5 that is about 3 pairs in 10 million. stars: rounds of one pivot per list before all pairs.
+    long: lists of more members than this are compared by matrix in blocks of at most `block` members.
     """
 
     words: int = 5
@@ -27,6 +30,8 @@ class Settings:
     k: int = 64
     sigmas: float = 5.0
     stars: int = 3
+    long: int = 48
+    block: int = 2000
 
 
 CONTRACT = Settings(words=3, percent=85)
@@ -92,8 +97,66 @@ def _verified(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").filter(both * 100 >= union * s.percent).select("a", "b").distinct()
 
 
+def _forest(part: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
+    """Links by full sets between rows (rep, label, block, s) of different labels: as many as join all that can be
+    joined, no more. Where the rows are of two blocks, only pairs across them are looked at.
+
+    Intersections are counted by a matrix product over elements that many rows have, and one by one over the others.
+    """
+    reps, sizes, m = part["rep"].to_numpy(), part["s"].map(len).to_numpy(np.int64), len(part)
+    if not m:
+        return []
+    own = np.repeat(np.arange(m), sizes)
+    _, at, count = np.unique(np.concatenate(part["s"].to_list()), return_inverse=True, return_counts=True)
+    many = max(8, m // 32)
+    both = np.zeros((m, m), np.float32)
+    wide = np.flatnonzero(count >= many)
+    for a in range(0, len(wide), 4096):
+        column = np.full(len(count), -1)
+        column[wide[a : a + 4096]] = np.arange(len(wide[a : a + 4096]))
+        hit = column[at] >= 0
+        has = np.zeros((m, len(wide[a : a + 4096])), np.float32)
+        has[own[hit], column[at[hit]]] = 1
+        both += has @ has.T
+    rest = np.flatnonzero((count[at] > 1) & (count[at] < many))
+    rest = rest[np.argsort(at[rest], kind="stable")]
+    for rows in np.split(own[rest], np.flatnonzero(np.diff(at[rest])) + 1) if len(rest) else ():
+        both[np.ix_(rows, rows)] += 1
+    blocks = part["block"].to_numpy()
+    across = len(np.unique(blocks)) > 1
+    root, links = np.unique(part["label"].to_numpy(), return_inverse=True)[1], []
+    for r in range(m):
+        shared = both[r].astype(np.int64)
+        good = (shared * 100 >= (sizes[r] + sizes - shared) * percent) & (root != root[r])
+        if across:
+            good &= blocks != blocks[r]
+        for c in np.flatnonzero(good):
+            if root[c] != root[r]:
+                links.append((int(reps[r]), int(reps[c])))
+                root[root == root[c]] = root[r]
+    return links
+
+
+def _long_lists(members: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
+    """Links (a, b) within lists of many members (value, rep, label, size), enough to connect what is connected.
+
+    A list is cut into blocks by hash and each two blocks are a group of their own, so no task holds a long list and
+    none of its pairs becomes a row.
+    """
+    n = F.ceil(F.col("size") / s.block).cast("int")
+    dealt = members.withColumn("n", n).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("n")).cast("int"))
+    dealt = dealt.select("value", "rep", "label", "block", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("j"))
+    dealt = dealt.withColumns({"lo": F.least("block", "j"), "hi": F.greatest("block", "j")}).drop("j").join(sets, "rep")
+
+    def work(part: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(_forest(part, s.percent), columns=["a", "b"], dtype="int64")
+
+    links = dealt.groupBy("value", "lo", "hi").applyInPandas(work, "a long, b long")
+    return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def _lists(reps: DataFrame, s: Settings) -> DataFrame:
-    """rep, n, values: the retained values by which rep is filed, for reps that may have a link at all.
+    """rep, n, values, weight: the retained values by which rep is filed, for reps that may have a link at all.
 
     Of two sketches of m values that share c, the m - c + 1 first in any common order meet. Ordered by how many
     documents retain a value, rarest first, a passage or line that many documents hold files none of them, unless it
@@ -104,17 +167,19 @@ def _lists(reps: DataFrame, s: Settings) -> DataFrame:
     found = post.join(held, "value").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("found"))
     need = _least_overlap(F.least("n", F.lit(s.k)), s)
     found = found.filter(F.size("found") >= need)
-    return found.select("rep", "n", F.transform(F.slice("found", F.lit(1), F.size("found") - need + 1), lambda x: x["value"]).alias("values"))
+    weight = F.aggregate("found", F.lit(0).cast("long"), lambda acc, x: acc + x["df"])  # most at the centre of a group
+    return found.select("rep", "n", weight.alias("weight"), F.transform(F.slice("found", F.lit(1), F.size("found") - need + 1), lambda x: x["value"]).alias("values"))
 
 
 def near_groups(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """doc_id, n_shingles and component_id, one row per row of docs: component_id is the least doc_id reachable.
 
     Texts of one shingle set are a class and only its least doc_id is compared. Documents that share a filed value
-    are candidates; in rounds, each list compares all members with one pivot, and members found linked, in whatever
-    list, need no more comparing: a list within one component is done. What is left after s.stars pivots is compared
-    in full, across components only. So a group of copies costs what its members cost, not their pairs, and no pair
-    that could join two components goes unseen. Only counts come to the driver.
+    are candidates; in rounds, each list compares all members with one pivot, first the most central, and members
+    found linked, in whatever list, need no more comparing: a list within one component is done. In what is left
+    after s.stars pivots, pairs across components are compared in full, those of long lists within their tasks. So
+    the pairs of a group of copies don't become rows, and no pair that could join two components goes unseen. Only
+    counts come to the driver.
 
     Null text, or without words: linked with nothing. Null doc_id: before all others, as component too. Rows that
     share a doc_id are one node where they lead their classes. Empty table: empty result. Other columns are left out.
@@ -125,33 +190,36 @@ def near_groups(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     classes = base.filter("n > 0").groupBy("n", "h", "i").agg(F.min(F.struct("id", "sketch")).alias("m"))
     classes = scratch(classes.select("n", "h", "i", F.col("m.id").alias("rep"), F.col("m.sketch").alias("sketch")))
     filed = scratch(_lists(classes, s))
-    lists = filed.select("rep", "n", F.explode("values").alias("value"))
+    lists = filed.select("rep", "n", "weight", F.explode("values").alias("value"))
     sketches = scratch(classes.join(small(filed.select("rep")), "rep", "left_semi").select("rep", "sketch"))
     texts = ids.withColumnRenamed("id", "rep").join(small(filed.select("rep").distinct()), "rep", "left_semi")
     sets = scratch(with_shingles(texts, s.words).select("rep", "s").distinct())
     labels, tried = None, None
     for turn in range(s.stars + 1):
         named = lists.withColumn("label", F.col("rep")) if labels is None else lists.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-        pivot = F.min_by(F.struct("rep", "n", "label"), F.xxhash64("rep", F.lit(turn)))
-        heads = named.groupBy("value").agg(pivot.alias("p"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi")
+        pivot = F.min_by(F.struct("rep", "n", "label"), F.struct(-F.col("weight"), "rep") if turn == 0 else F.struct(F.xxhash64("rep", F.lit(turn)), "rep"))
+        heads = named.groupBy("value").agg(pivot.alias("p"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).filter("lo < hi")
         if turn < s.stars:
             pairs = named.join(heads.select("value", "p"), "value").filter((F.col("label") != F.col("p.label")) & ratio(F.col("n"), F.col("p.n")))
             pairs = pairs.select(F.least("rep", F.col("p.rep")).alias("a"), F.greatest("rep", F.col("p.rep")).alias("b"))
         else:
-            left = scratch(named.join(heads.select("value"), "value", "left_semi"))
-            x, y = left.alias("x"), left.alias("y")
+            left = scratch(named.join(heads.select("value", "size"), "value"))
+            more = _long_lists(left.filter(F.col("size") > s.long), sets, s)
+            short = left.filter(F.col("size") <= s.long)
+            x, y = short.alias("x"), short.alias("y")
             pairs = x.join(y, (F.col("x.value") == F.col("y.value")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.label") != F.col("y.label")) & ratio(F.col("x.n"), F.col("y.n")))
             pairs = pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
         pairs = pairs.distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = scratch(_estimated(pairs, sketches, s))
-        if not pairs.head(1):
-            continue
         tried = pairs if tried is None else tried.union(pairs)
         links = _verified(pairs, sets, s)
+        links = scratch(links if turn < s.stars else links.union(more))
+        if not links.head(1):
+            continue
         if labels is None:
-            labels = components(scratch(links))
+            labels = components(links)
             continue
         to = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
         links = links.join(to("a"), "a", "left").join(to("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
