@@ -258,7 +258,11 @@ def _epoch(islands: DataFrame, s: Settings, epoch: int) -> DataFrame:
 
 
 def _solve(blocks: DataFrame, s: Settings) -> DataFrame:
-    """block, sizes to block, labels: the best packing over all islands and epochs."""
+    """block, sizes to block, labels: the best packing over all islands and epochs.
+
+    The rows are few and small but slow, so they are dealt to a set number of tasks, which the planner won't merge.
+    """
+    tasks = min(10_000, max(1, blocks.count() * s.islands))
     islands = F.explode(F.sequence(F.lit(0), F.lit(s.islands - 1))).alias("island")
     none = F.array().cast("array<array<int>>")
     found = None
@@ -270,7 +274,7 @@ def _solve(blocks: DataFrame, s: Settings) -> DataFrame:
             rows = blocks.join(elites, "block").select("block", "sizes", "elites", islands)
             own, left = F.col("island") + 1, (F.col("island") + s.islands - 1) % s.islands + 1
             rows = rows.select("block", "sizes", "island", F.array_distinct(F.array(F.element_at("elites", own)["labels"], F.element_at("elites", left)["labels"])).alias("guests"))
-        found = scratch(_epoch(rows.repartition(F.col("block"), F.col("island")), s, epoch))
+        found = scratch(_epoch(rows.repartition(tasks, F.col("block"), F.col("island")), s, epoch))
     best = found.groupBy("block").agg(F.max(F.struct((-F.col("bins")).alias("few"), "fill", (-F.col("island")).alias("i"), "labels")).alias("best"))
     return best.select("block", "best.labels")
 
