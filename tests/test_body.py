@@ -1,0 +1,63 @@
+"""The body's motion, its interfaces, and runs spread over tasks."""
+
+import numpy as np
+import pandas as pd
+import pytest
+
+from trialforge.body.swimmer import InterfaceError, LinearNeural, MotorMap, NoiseNeural, Pose, Stretch, Swimmer, Wave, endpoints, run, run_many
+
+
+def test_force_free_motion():
+    body, rng = Swimmer(n=10), np.random.default_rng(0)
+    p = Pose(0.1 + 0.2j, 0.3, rng.normal(size=9) * 1e3)
+    bend = rng.normal(size=9) * 1e3
+    u, f = body.balance(p, bend)
+    _, mid, _ = body.geometry(p)
+    assert abs(f.sum()) < 1e-12 and abs((np.conj(mid - p.head) * f).imag.sum()) < 1e-12
+    h = 1e-7  # midpoints move as the velocities say
+    q = Pose(p.head + h * complex(u[0], u[1]), p.heading + h * u[2], p.curvature + h * bend)
+    v = (body.geometry(q)[1] - mid) / h
+    assert np.allclose(body.drag(body.geometry(p)[0], v), f, atol=1e-4)
+    assert np.allclose(Swimmer(n=10, across=1.0).balance(Pose(0j, 0.0, np.zeros(9)), np.zeros(9))[0], 0)
+
+
+def test_wave_drives_forward():
+    body = Swimmer()
+    still = NoiseNeural(("n",), 0.05, 0.0)
+    ahead = endpoints(run(still, Wave(23), body, 8.0), 0.05)
+    back = endpoints(run(still, Wave(23, wavelength=-1.0), body, 8.0), 0.05)
+    assert ahead["speed_mm_s"] > 0 > back["speed_mm_s"] and ahead["frequency_hz"] == pytest.approx(0.5, abs=0.13) and ahead["wavelength_bodies"] == pytest.approx(1.0, rel=0.15)
+    even = endpoints(run(still, Wave(23), Swimmer(across=1.0), 8.0), 0.05)
+    assert abs(even["speed_mm_s"]) < 0.2 * ahead["speed_mm_s"]
+
+
+def test_motor_map_and_loop():
+    ids = ("DB1", "VD1", "X")
+    m = MotorMap(ids, [("DB1", "MDL01", 2.0), ("DB1", "MDR01", 2.0), ("VD1", "MVL24", 4.0), ("X", "MDL05", 1.0), ("DB1", "other", 9.0)], {"DB1": {"ACh"}, "VD1": {"GABA"}, "X": {"ACh", "GABA"}}, 23)
+    assert m.used == 3 and m.left_out == {"X"} and m.weights[0, 0] == 1.0 and m.weights[45, 1] == -1.0
+    act, clipped = m(np.array([1.0, 1.0, 0.0]), ids, 0.0)
+    assert act[0] == 1.0 and clipped[0] and act[45] == 0.0 and act[5] == 0.5
+    with pytest.raises(InterfaceError):
+        m(np.zeros(3), ids[::-1], 0.0)
+    neural, body = LinearNeural(ids, -np.eye(3), 0.1), Swimmer()
+    sense = Stretch(ids, {"DB1": (3, -1.0)}, body.length)
+    t = run(neural, m, body, 2.0, sensors=sense)
+    assert len(t.time) == 20 and t.time[-1] == pytest.approx(2.0)
+    u = np.random.default_rng(1).normal(size=(20, 3))
+    x, y = run(neural, m, body, 2.0, replay=u), run(neural, m, body, 2.0, replay=u)
+    assert np.allclose(x.neural, y.neural)
+    want = np.zeros(3)
+    for k in range(20):
+        want = np.exp(-0.1) * want + (1 - np.exp(-0.1)) * u[k]
+    assert np.allclose(x.neural[-1], want)
+    for bad in (dict(sensors=sense, replay=u), dict(replay=u[:3]), dict(sensors=Stretch(ids[::-1], {}, 1.0))):
+        with pytest.raises(InterfaceError):
+            run(neural, m, body, 2.0, **bad)
+    with pytest.raises(InterfaceError):
+        body.step(body.rest(), np.full(46, 1.5), 0.1)
+
+
+def test_many(spark):
+    cases = pd.DataFrame({"case": ["a", "b"], "frequency": [0.5, 1.0], "wavelength": [1.0, -1.0]})
+    got = {r.case: r for r in run_many(spark, cases, 4.0).collect()}
+    assert got["a"].speed_mm_s > 0 > got["b"].speed_mm_s

@@ -1,0 +1 @@
+"""A planar body in a viscous medium, its motor map and senses, and runs of the loop between them."""

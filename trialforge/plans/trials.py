@@ -205,7 +205,7 @@ def top_share(spark, d):
 
 def trial_means(spark, d):
     x = _aligned(spark, d).join(windows.baseline(_aligned(spark, d), TRACE), TRACE).filter("f0 is not null")
-    return x.groupBy("recording_id").agg(F.count_distinct("trial_id").alias("trials"), r6(F.avg(F.abs("value"))).alias("mean_abs"), r6(F.avg(F.log("f0"))).alias("mean_log_f0"))
+    return x.groupBy("recording_id").agg(F.count_distinct("trial_id").alias("trials"), F.round(F.avg(F.abs("value")), 9).alias("mean_abs"), r6(F.avg(F.log("f0"))).alias("mean_log_f0"))
 
 
 def qc_flags(spark, d):
@@ -300,7 +300,7 @@ SELECT l.trial_id, round(peak, 6) AS peak, latency, min(o) FILTER (WHERE o <= la
     "segment_autocorr": (segment_autocorr, with_series(", c AS (SELECT *, value - avg(value) OVER (PARTITION BY recording_id) AS c FROM series), p AS (SELECT c, lag(c) OVER (PARTITION BY recording_id ORDER BY frame) AS p FROM c) SELECT count(p) AS n, round(sum(c * p) / sum(c * c) FILTER (WHERE p IS NOT NULL), 6) AS lag1 FROM p")),
     "tail_diagnostics": (tail_diagnostics, with_series(", m AS (SELECT recording_id, avg(value) AS m, stddev_pop(value) AS s FROM series GROUP BY recording_id), z AS (SELECT frame, (value - m) / s AS z FROM series JOIN m USING (recording_id) WHERE s > 0) SELECT frame // 20 AS time_bin, count(*) AS n, count(*) FILTER (WHERE abs(z) > 2) AS big, round(avg(pow(z, 4.0)) / pow(avg(pow(z, 2.0)), 2.0) - 3, 6) AS kurtosis FROM z GROUP BY 1")),
     "top_share": (top_share, with_series(", r AS (SELECT event_type, value * value AS q, percent_rank() OVER (PARTITION BY event_type ORDER BY value DESC) AS r FROM series) SELECT event_type, count(*) FILTER (WHERE r <= 0.01) AS n_top, round(sum(CASE WHEN r <= 0.01 THEN q ELSE 0.0 END) / sum(q), 6) AS share FROM r GROUP BY event_type")),
-    "trial_means": (trial_means, with_series("SELECT recording_id, count(DISTINCT trial_id) AS trials, round(avg(abs(value)), 6) AS mean_abs, round(avg(ln(f0)), 6) AS mean_log_f0 FROM win JOIN base USING (trial_id) WHERE f0 IS NOT NULL GROUP BY recording_id")),
+    "trial_means": (trial_means, with_series("SELECT recording_id, count(DISTINCT trial_id) AS trials, round(avg(abs(value)), 9) AS mean_abs, round(avg(ln(f0)), 6) AS mean_log_f0 FROM win JOIN base USING (trial_id) WHERE f0 IS NOT NULL GROUP BY recording_id")),
     "qc_flags": (qc_flags, _QC := with_series(""", f AS (SELECT trial_id, concat_ws(',', CASE WHEN same_frame > 1 THEN 'same_frame' END, CASE WHEN stim_frame < 10 THEN 'short_pre' END, CASE WHEN stim_frame + 59 > last THEN 'short_post' END, CASE WHEN next_stim_frame - stim_frame < 3 THEN 'next_soon' END, CASE WHEN previous_trial_id IS NULL THEN 'first' END) AS flags
  FROM trials JOIN (SELECT recording_id, max(frame) AS last FROM series GROUP BY recording_id) USING (recording_id))
 SELECT trial_id, CASE WHEN flags = '' THEN 0 ELSE len(string_split(flags, ',')) END AS n_flags, flags FROM f""")),
