@@ -1,5 +1,6 @@
 """The rule language: errors, normal form, price."""
 
+import json
 import random
 
 import pytest
@@ -7,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from trialforge.rules import RuleError, compile_rule
-from trialforge.rules.program import constant, gamma
+from trialforge.rules.program import constant, from_json, gamma
 from trialforge.rules.units import number_text
 
 HEAD = "wrl 0.1\ntier G1\n"
@@ -95,6 +96,17 @@ def test_normal_form_is_a_fixed_point(a, b):
     assert again.text == p.text and again.hash == p.hash and again.bits == p.bits
 
 
+def test_json_round_trip():
+    p = rule("dt_max 0.5\nstate v : V = 0\nparam g : V^-1 in [0, 2] trainable bits 6\nparam tau : s = 1 fixed\nnext v = euler_leak(v, tanh(g * delay(v, 3)) * 1[V], tau)\ngap v\nobserve calcium_linear_v1(v, 0.5[s])")
+    data = json.loads(json.dumps(p.to_json()))
+    q = from_json(data)
+    assert q.text == p.text and q.bits == p.bits and q.observe == p.observe
+    for bad in (data | {"program_hash": "0"}, data | {"instructions": [{"id": 1}]}, {}, data | {"writes": [{"register": 0, "value": 99}]}):
+        with pytest.raises(RuleError) as e:
+            from_json(bad)
+        assert e.value.code == "E_JSON"
+
+
 def test_noise_never_crashes():
     rnd = random.Random(3)
     text = HEAD + "state v : 1 = 0\nparam t : s in [0.1, 2] trainable bits 4\nlet d = v * 2 + stimulus\nnext v = leaky_integrate(v, tanh(d), t)\nobserve identity_v1(v)\n"
