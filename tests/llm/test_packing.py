@@ -96,6 +96,8 @@ def test_blocks_and_odd_rows(spark):
     out = p.pack(df, p.Settings(block=200, merge=3)).collect()
     assert sorted(tuple(r)[:5] for r in out) == sorted(rows)
     assert well_packed(out) <= 1.04 * sum(r[3] for r in rows) / 1024
+    named = p.pack(df.withColumn("offset", df["piece"]).withColumn("block", df["piece"]), p.Settings(block=200))
+    assert named.columns.count("offset") == 1 and named.count() == len(rows)
     docs = odd_docs(spark, "length block")
     got = p.pack(p.token_pieces(docs, with_ids=True)).collect()
     assert well_packed(got) >= 1 and all(len(r.ids) == r.length for r in got)

@@ -285,8 +285,9 @@ def pack(pieces: DataFrame, s: Settings = Settings()) -> DataFrame:
     Full pieces are sequences of their own. The rest are dealt at random into blocks of about s.block, each packed by
     evolve() on s.islands islands; what a block leaves in bins that aren't well filled is packed again with the same
     of s.merge other blocks. No task gets more than some blocks, at any size of the input. Repeated rows are packed
-    one by one. Empty table: empty result. Lengths must be from 1 to CAPACITY.
+    one by one. Columns sequence_id and offset are replaced. Empty table: empty result. Lengths must be from 1 to CAPACITY.
     """
+    pieces = pieces.drop("sequence_id", "offset")
     names = pieces.columns
     fixed = scratch(pieces.withColumn("__row", F.monotonically_increasing_id()))
     rest = fixed.filter(F.col("length") < CAPACITY).select("__row", F.col("length").cast("int").alias("__size"))
@@ -315,7 +316,7 @@ def pack(pieces: DataFrame, s: Settings = Settings()) -> DataFrame:
     #: Full pieces' numbers follow from their rows, far above and below those of any block.
     whole = alone.select(((F.lit(1 << 62)) + F.col("__row")).alias("sequence_id"), F.col("__row").alias("__at"), F.lit(0).cast("long").alias("offset"))
     seats = seats.unionByName(whole)
-    return fixed.join(seats, F.col("__row") == F.col("__at")).select(*[c for c in names if c not in ("sequence_id", "offset")], "sequence_id", "offset")
+    return fixed.join(seats, F.col("__row") == F.col("__at")).select(*names, "sequence_id", "offset")
 
 
 def op10_pack_gga(spark, sf_dir: str) -> DataFrame:
