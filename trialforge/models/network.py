@@ -88,14 +88,17 @@ def saturate(c: np.ndarray, top: float) -> np.ndarray:
 def fit_indicator(t: np.ndarray, y: np.ndarray) -> dict[str, float]:
     """Amplitude, rise and decay of the mean autoresponse, best of four starts."""
 
+    def times(z):
+        rise, more = math.exp(min(max(z[1], -6.0), 6.0)), math.exp(min(max(z[2], -6.0), 8.0))
+        return rise, rise + more
+
     def residual(z):
-        rise, decay = math.exp(z[1]), math.exp(z[1]) + math.exp(z[2])
-        return z[0] * impulse(t, rise, decay) - y
+        return z[0] * impulse(t, *times(z)) - y
 
     top = float(np.max(np.abs(y))) or 1.0
     best = min((least_squares(residual, np.array([top, math.log(r), math.log(d)])) for r, d in ((0.3, 1.0), (0.5, 3.0), (1.0, 5.0), (2.0, 10.0))), key=lambda f: f.value)
-    rise = math.exp(best.x[1])
-    return {"amplitude": float(best.x[0]), "rise": rise, "decay": rise + math.exp(best.x[2]), "cost": best.value}
+    rise, decay = times(best.x)
+    return {"amplitude": float(best.x[0]), "rise": rise, "decay": decay, "cost": best.value}
 
 
 def bandwidth(kernel: np.ndarray, dt: float, noise_sd: float, trials: int) -> float:

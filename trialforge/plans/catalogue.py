@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import functions as F
 
-MODULES = ("trials", "graphs", "evaluation", "entities")
+MODULES = ("trials", "graphs", "evaluation", "entities", "numeric")
 
 
 def _wide(run):
