@@ -120,3 +120,32 @@ def op9_secret_ownership(spark, sf_dir: str) -> DataFrame:
     counts = [F.size(F.filter("spans", of(k, "kind"))).cast("long").alias(f"n_{k}") for k in BASE]
     judged = [F.size(F.filter("verdicts", of(k))).cast("long").alias(f"n_{k}") for k in ("live", "example")]
     return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), F.array_join("verdicts", ",").alias("verdicts"), *judged)
+
+
+#: The assign pattern as the SQL engine writes it.
+SQL_ASSIGN = r'''(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)'''
+ORACLE = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents
+), m AS (
+  SELECT r, source, 'assign' AS k, 0 AS o, string_split_regex(t, '{SQL_ASSIGN}') AS g, regexp_extract_all(t, '{SQL_ASSIGN}') AS h, regexp_extract_all(t, '{SQL_ASSIGN}', 2) AS v FROM d
+  UNION ALL SELECT r, source, 'access', 1, string_split_regex(t, 'AKIA[A-Z0-9]{{16,}}'), regexp_extract_all(t, 'AKIA[A-Z0-9]{{16,}}'), regexp_extract_all(t, 'AKIA[A-Z0-9]{{16,}}') FROM d
+  UNION ALL SELECT r, source, 'hex', 2, string_split_regex(t, '[0-9a-f]{{24,}}'), regexp_extract_all(t, '[0-9a-f]{{24,}}'), regexp_extract_all(t, '[0-9a-f]{{24,}}') FROM d
+  UNION ALL SELECT r, source, 'pem', 3, string_split_regex(t, '-----BEGIN [A-Z ]{{0,40}}PRIVATE KEY-----'), regexp_extract_all(t, '-----BEGIN [A-Z ]{{0,40}}PRIVATE KEY-----'), regexp_extract_all(t, '-----BEGIN [A-Z ]{{0,40}}PRIVATE KEY-----') FROM d
+), x AS (
+  SELECT r, source, k, o, g, h, v, unnest(range(1, len(h) + 1)) AS i FROM m WHERE len(h) > 0
+), s AS (
+  SELECT r, source, k, o, v[i] AS val, CAST(list_sum(list_transform(g[1:i], lambda p: len(p))) + coalesce(list_sum(list_transform(h[1:i - 1], lambda p: len(p))), 0) AS BIGINT) AS st, len(h[i]) AS n
+  FROM x WHERE k <> 'assign' OR len(v[i]) >= 6
+), own AS (
+  SELECT val, CASE WHEN count(DISTINCT coalesce(source, chr(1))) >= 3 THEN 'example' WHEN len(val) >= 16 AND len(list_distinct(string_split(val, ''))) >= 8 THEN 'live' ELSE 'weak' END AS verdict FROM s GROUP BY val
+), a AS (
+  SELECT r, count(*) FILTER (WHERE k = 'assign') AS n_assign, count(*) FILTER (WHERE k = 'access') AS n_access, count(*) FILTER (WHERE k = 'hex') AS n_hex,
+    string_agg(k || ':' || st || ':' || (st + n), ',' ORDER BY st, o) FILTER (WHERE o < 3) AS base, string_agg(k || ':' || st || ':' || (st + n), ',' ORDER BY st, o) AS spans,
+    string_agg(verdict, ',' ORDER BY st, o) AS verdicts, count(*) FILTER (WHERE verdict = 'live') AS n_live, count(*) FILTER (WHERE verdict = 'example') AS n_example
+  FROM s JOIN own USING (val) GROUP BY r
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+  coalesce(verdicts, '') AS verdicts, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
+FROM d LEFT JOIN a USING (r)
+"""
