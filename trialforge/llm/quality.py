@@ -207,14 +207,17 @@ def score(docs: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",)) -
     Null and empty texts get the score of no n-gram at all. Equal texts get equal scores. Empty table: empty result.
     """
     names, shared = list(carry), docs.sparkSession.sparkContext.broadcast(model)
+    source = "text" if "text" in names else "__text"  # a text that is carried crosses to Python once
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            p = pa.array([shared.value.score(t.as_py()) for t in b.column("__text")], pa.float64())
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], p], names=[*names, "score"])
+            for at in range(0, b.num_rows, 1000):
+                part = b.slice(at, 1000)
+                p = pa.array([shared.value.score(t.as_py()) for t in part.column(source)], pa.float64())
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], p], names=[*names, "score"])
 
-    rows = docs.select(*[c for c in names], F.col("text").alias("__text"))
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__text")
+    rows = docs.select(*names) if source == "text" else docs.select(*names, F.col("text").alias(source))
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in names)
     return rows.mapInArrow(work, f"{kept}, score double")
 
 
@@ -225,8 +228,9 @@ def held_out(doc_id: Column) -> Column:
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """docs without the documents that score under threshold; columns as they were."""
-    row = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    return score(row, model, ("row",)).filter(F.col("score") >= threshold).select("row.*")
+    plain = {c: c if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)}  # no name may clash with score
+    rows = score(docs.select(*[F.col(f"`{c}`").alias(n) for c, n in plain.items()]), model, tuple(plain.values()))
+    return rows.filter(F.col("score") >= threshold).select(*[F.col(n).alias(c) for c, n in plain.items()])
 
 
 def op1_quality_nbsvm(spark, sf_dir: str) -> DataFrame:
