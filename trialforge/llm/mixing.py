@@ -13,6 +13,7 @@ from .common import global_prefix, scratch, table, word_count
 BITS = 28
 #: Rows whose doc_id agree beyond this many low bits are ranked together; no group of ids outgrows 2**BLOCK_BITS.
 BLOCK_BITS = 12
+NO_BLOCK = -(1 << 63)
 OUTPUTS = ("size", "source_size", "target", "copies", "taken")
 
 
@@ -48,23 +49,22 @@ def systematic_mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: f
     Null text: size 0. Null source: one source, last. Null doc_id: ranked first. Equal rows are ranked one by one.
     Empty table: empty result. A hot source is split by size and blocks of doc_id: no task gets it whole.
     """
-    keys = ["__source", "__size", "__block"]
-    rows = docs.drop(*OUTPUTS).withColumns({"__source": F.col("source"), "__size": word_count(F.col("text")), "__block": F.shiftright(F.col("doc_id").cast("long"), BLOCK_BITS), "__tie": F.xxhash64("text")})
+    keys = ["__source", "__none", "__size", "__block"]  # without nulls, so that windows and joins share one dealing
+    source, block = F.coalesce(F.col("source").cast("string"), F.lit("")), F.coalesce(F.shiftright(F.col("doc_id").cast("long"), BLOCK_BITS), F.lit(NO_BLOCK))
+    rows = docs.drop(*OUTPUTS).withColumns({"__source": source, "__none": F.col("source").isNull(), "__size": word_count(F.col("text")), "__block": block, "__tie": F.xxhash64("text")})
     counts = scratch(rows.groupBy(*keys).agg(F.count("*").alias("__n")))
-    sizes = counts.groupBy(F.col("__source").alias("source")).agg(F.sum(F.col("__size") * F.col("__n")).alias("source_size"))
-    targets = source_targets(sizes, weights, share, cap).select(F.col("source").alias("__t_source"), "source_size", "target")
-    before = lambda *by: Window.partitionBy(*by[:-1]).orderBy(F.col(by[-1]).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    by_size = counts.groupBy("__source", "__size").agg(F.sum("__n").alias("__n"))
-    by_size = by_size.select(F.col("__source").alias("__source_"), F.col("__size").alias("__size_"), F.coalesce(F.sum("__n").over(before("__source", "__size")), F.lit(0)).alias("__0"))
+    sizes = counts.groupBy("__source", "__none").agg(F.sum(F.col("__size") * F.col("__n")).alias("source_size"))
+    targets = source_targets(sizes.select(F.when(~F.col("__none"), F.col("__source")).alias("source"), "source_size"), weights, share, cap)
+    targets = targets.select(F.coalesce("source", F.lit("")).alias("__source"), F.col("source").isNull().alias("__none"), "source_size", "target")
+    before = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    by_size = counts.groupBy(*keys[:3]).agg(F.sum("__n").alias("__n"))
+    by_size = by_size.select(*keys[:3], F.coalesce(F.sum("__n").over(before(*keys[:3])), F.lit(0)).alias("__0"))
     offsets = counts.withColumn("__1", F.coalesce(F.sum("__n").over(before(*keys)), F.lit(0)))
-    offsets = offsets.join(by_size, offsets["__source"].eqNullSafe(by_size["__source_"]) & (offsets["__size"] == by_size["__size_"]))
-    offsets = offsets.join(targets, offsets["__source"].eqNullSafe(targets["__t_source"]))
-    offsets = offsets.select(*[F.col(k).alias(f"{k}_o") for k in keys], (F.col("__0") + F.col("__1")).alias("__first"), "source_size", "target")
+    offsets = offsets.join(by_size, keys[:3]).join(targets, keys[:2]).select(*keys, (F.col("__0") + F.col("__1")).alias("__first"), "source_size", "target")
     inside = Window.partitionBy(*keys).orderBy(F.col("doc_id").asc_nulls_first(), "__tie")
-    rows = rows.withColumn("__in", F.row_number().over(inside).cast("long"))
-    out = rows.join(offsets, rows["__source"].eqNullSafe(offsets["__source_o"]) & (rows["__size"] == offsets["__size_o"]) & rows["__block"].eqNullSafe(offsets["__block_o"]))
+    out = rows.withColumn("__in", F.row_number().over(inside).cast("long")).join(offsets, keys)
     one = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") * (1 << BITS))).otherwise(0).cast("long")
-    start = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("__source"), F.lit("")))), 1, BITS // 4), 16, 10).cast("long")
+    start = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("__source"))), 1, BITS // 4), 16, 10).cast("long")
     at = lambda rank: F.shiftright(rank * F.col("__one") + F.col("__start"), BITS)
     rank = F.col("__first") + F.col("__in")
     out = out.withColumns({"__one": one, "__start": start}).withColumn("copies", (at(rank) - at(rank - 1)).cast("long"))
