@@ -7,6 +7,8 @@ from importlib import import_module
 
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 MODULES = ("trials", "graphs", "evaluation", "entities", "numeric")
 
 
@@ -15,6 +17,7 @@ def _wide(run):
 
     @wraps(run)
     def out(spark, sf_dir):
+        ship(spark)
         df = run(spark, sf_dir)
         return df.select(*[F.col(f"`{c}`").cast("long").alias(c) if t in ("int", "smallint", "tinyint") else F.col(f"`{c}`") for c, t in df.dtypes])
 

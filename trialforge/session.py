@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -18,3 +22,20 @@ def get_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str =
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, so that their Python can import it.
+
+    Functions that run there are named by module; on a cluster, or where the driver was started elsewhere, nothing else
+    brings the modules. Operators call this before they hand a function over.
+    """
+    sc, home = spark.sparkContext, Path(__file__).parent
+    if getattr(sc, "_trialforge_shipped", False) or not home.is_dir():  # a package inside an archive was sent as one
+        return
+    out = Path(tempfile.mkdtemp(prefix="trialforge-")) / "trialforge.zip"
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(home.rglob("*.py")):
+            z.write(p, f"{home.name}/{p.relative_to(home)}")
+    sc.addPyFile(str(out))
+    sc._trialforge_shipped = True
