@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .common import table
 
 START, END = "<|im_start|>", "<|im_end|>"
@@ -107,6 +108,7 @@ def format_chat(turns: DataFrame) -> DataFrame:
                 names=["conv_id", "turn", "role", "block", "loss_start", "loss_end", "escapes"],
             )
 
+    ship(turns.sparkSession)
     rows = turns.select("conv_id", "turn", "role", "text")
     kinds = dict(rows.dtypes)
     return rows.mapInArrow(work, f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, role string, block string, loss_start int, loss_end int, escapes int")
@@ -155,6 +157,7 @@ def read_back(blocks: DataFrame) -> DataFrame:
         if out:
             yield flush()
 
+    ship(blocks.sparkSession)
     dealt = blocks.withColumn("conv_id", F.col("conv_id").cast("long")).repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "block")
     return dealt.select("conv_id", "block", "loss_start", "loss_end", "escapes").mapInArrow(work, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, escaped_turns long")
 

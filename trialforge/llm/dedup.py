@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .common import WORD, ascii_lower, scratch, table
 
 LEAST_ID = -(1 << 63)
@@ -143,6 +144,7 @@ def _long_lists(members: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     A list is cut into blocks by hash and each two blocks are a group of their own, so no task holds a long list and
     none of its pairs becomes a row.
     """
+    ship(members.sparkSession)
     n = F.ceil(F.col("size") / s.block).cast("int")
     dealt = members.withColumn("n", n).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("n")).cast("int"))
     dealt = dealt.select("value", "rep", "label", "block", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("j"))

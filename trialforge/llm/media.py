@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .common import table
 
 BLOCK = 64  # fixed by the contract: payloads are padded to a positive multiple of this
@@ -178,6 +179,7 @@ def media_columns(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), s: Sett
     Null and empty texts: 64 bytes of 0. Each row is worked alone, so equal texts give equal values; nothing is
     shuffled. Empty table: empty result. Batches are handed on in parts of bounded size.
     """
+    ship(docs.sparkSession)
     names = list(carry)
     pairs = lambda rows: pa.array([[{"start_ms": a, "end_ms": b} for a, b in r] for r in rows], SPAN)
 

@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .common import scratch, table
 
 #: Fixed by the contract.
@@ -105,8 +106,8 @@ def token_pieces(docs: DataFrame, tokenizer: tuple[str, str] | None = None, with
 
     The path is opened on the executors, where the tokenizer package is installed. Null text: empty, one piece [2].
     """
+    ship(docs.sparkSession)
     kind = dict(docs.dtypes)["doc_id"]
-    arrow = pa.list_(pa.uint32())
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(*(tokenizer or default_tokenizer()))
@@ -254,6 +255,7 @@ def _epoch(islands: DataFrame, s: Settings, epoch: int) -> DataFrame:
                 bins, fill = best.fitness()
                 yield pd.DataFrame({"block": [block], "island": [island], "labels": [_labels(best)], "bins": [-bins], "fill": [fill]})
 
+    ship(islands.sparkSession)
     return islands.mapInPandas(work, EVOLVED)
 
 

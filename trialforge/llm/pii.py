@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .common import of, table
 
 BASE = ("email", "ip", "card", "phone")
@@ -99,6 +100,7 @@ def pii_spans(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFram
     One pass over each partition in Arrow batches; nothing is shuffled. Null and empty texts: an empty array.
     Repeated rows each get their own. Empty table: empty result. Linear in the text: no pattern rescans a long run.
     """
+    ship(docs.sparkSession)
     names = list(carry)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 

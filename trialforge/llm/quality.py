@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .common import table
 
 #: Decision of the contract: a score of at least this predicts label 1.
@@ -176,6 +177,7 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), label: s
     many as s.max_rows allows. Null labels and labels without a document are left out; a repeated label row counts
     again. No labels at all: a model that scores 0.5.
     """
+    ship(docs.sparkSession)
     order = [F.xxhash64("__id"), "__id", "__y"]
     chosen = labels.select(F.col("doc_id").alias("__id"), F.col(label).cast("int").alias("__y")).dropna().orderBy(*order).limit(s.max_rows)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))
@@ -206,6 +208,7 @@ def score(docs: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",)) -
 
     Null and empty texts get the score of no n-gram at all. Equal texts get equal scores. Empty table: empty result.
     """
+    ship(docs.sparkSession)
     names, shared = list(carry), docs.sparkSession.sparkContext.broadcast(model)
     source = "text" if "text" in names else "__text"  # a text that is carried crosses to Python once
 
