@@ -28,6 +28,10 @@ def test_edit_and_likeness(spark, sf):
         assert by_text.setdefault(docs[d], r.fingerprint) == r.fingerprint
         same = lambda a, b: 1 - (int(a, 16) ^ int(b, 16)).bit_count() / 64
         assert r.near_edited == same(r.fingerprint, r.edited_fingerprint) and r.near_next == same(r.fingerprint, n.fingerprint)
+    prints = {int(r.fingerprint, 16) for r in got.values()}
+    for r in got.values():
+        x = int(r.fingerprint, 16)
+        assert r.n_near == sum(0 < (x ^ y).bit_count() <= 3 for y in prints)
     mean = lambda k: sum(getattr(r, k) for r in got.values()) / len(got)
     assert mean("near_edited") > 0.72 > 0.6 > mean("near_next")
 
@@ -62,4 +66,6 @@ def test_within_radius(spark):
     signed = sorted(p - (1 << 64) if p >> 63 else p for p in prints)
     want = {(a, b) for i, a in enumerate(signed) for b in signed[i + 1 :] if ((a ^ b) & (1 << 64) - 1).bit_count() <= 3}
     df = spark.createDataFrame([(s,) for s in [*signed, signed[0]]], "fp long")
-    assert {(r.a, r.b) for r in simhash.within_radius(df).collect()} == want
+    assert sorted((r.a, r.b) for r in simhash.within_radius(df).collect()) == sorted(want)
+    far = {(a, b) for i, a in enumerate(signed) for b in signed[i + 1 :] if ((a ^ b) & (1 << 64) - 1).bit_count() <= 2}
+    assert sorted((r.a, r.b) for r in simhash.within_radius(df, 2, 1).collect()) == sorted(far)

@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, ascii_lower, table
+from .common import WORD, ascii_lower, scratch, table
 
 #: Documents whose ids agree beyond so many low bits are put in order together; then so many blocks, and so on.
 BLOCK_BITS, MORE_BITS = 8, 12
@@ -106,8 +106,9 @@ def within_radius(prints: DataFrame, radius: int = 3, spare: int = 3) -> DataFra
     """All pairs (a, b), a < b, of different fingerprints in column fp at a Hamming distance up to radius.
 
     The 64 bits are cut into radius + spare blocks. Two fingerprints within the radius agree in at least spare of
-    them, so one table per choice of spare blocks, keyed by those, holds every such pair; the distance settles each
-    candidate within the join. Equal fingerprints are one row here: classes of copies aren't expanded.
+    them, so one table per choice of spare blocks, keyed by those, holds every such pair. The join settles a candidate's
+    distance and lets it through in the first table that holds it only, so no pair is made twice. Equal fingerprints
+    are one row here: classes of copies aren't expanded.
     """
     n = radius + spare
     edges = [64 * i // n for i in range(n + 1)]
@@ -117,12 +118,24 @@ def within_radius(prints: DataFrame, radius: int = 3, spare: int = 3) -> DataFra
         masks.append(mask - (1 << 64) if mask >= 1 << 63 else mask)
     fps = prints.select("fp").where("fp is not null").distinct()
     keyed = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("at", "key"))
-    a, b = keyed.select(F.col("fp").alias("a"), "at", "key"), keyed.select(F.col("fp").alias("b"), "at", "key")
-    pairs = a.join(b, ["at", "key"]).filter((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius))
-    return pairs.select("a", "b", F.bit_count(F.col("a").bitwiseXOR(F.col("b"))).alias("distance")).distinct()
+    a, b = keyed.select(F.col("fp").alias("a"), "at", "key"), keyed.select(F.col("fp").alias("b"), F.col("at").alias("at_b"), F.col("key").alias("key_b"))
+    differ = F.col("a").bitwiseXOR(F.col("b"))
+    first = F.when(differ.bitwiseAND(F.lit(masks[0])) == 0, 0)
+    for i, m in enumerate(masks[1:], 1):
+        first = first.when(differ.bitwiseAND(F.lit(m)) == 0, i)
+    near = (F.col("a") < F.col("b")) & (F.bit_count(differ) <= radius) & (first == F.col("at"))
+    return a.join(b, (F.col("at") == F.col("at_b")) & (F.col("key") == F.col("key_b")) & near).select("a", "b", F.bit_count(differ).alias("distance"))
+
+
+def near_counts(prints: DataFrame, radius: int = 3) -> DataFrame:
+    """fp and n_near: for each fingerprint that has any, how many different ones lie within the radius."""
+    pairs = within_radius(prints, radius)
+    return pairs.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count("*").alias("n_near"))
 
 
 def op6_simhash(spark, sf_dir: str) -> DataFrame:
-    found = fingerprint_pairs(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = scratch(fingerprint_pairs(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    found = found.join(near_counts(found), "fp", "left")
     text = lambda c: F.lpad(F.lower(F.hex(c)), 16, "0")
-    return found.select("doc_id", "n_chars", "edited_sha256", text("fp").alias("fingerprint"), text("edited_fp").alias("edited_fingerprint"), likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"))
+    likes = [likeness(F.col("fp"), F.col(c)).alias(n) for c, n in (("edited_fp", "near_edited"), ("next_fp", "near_next"))]
+    return found.select("doc_id", "n_chars", "edited_sha256", text("fp").alias("fingerprint"), text("edited_fp").alias("edited_fingerprint"), *likes, F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"))
