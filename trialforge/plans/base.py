@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 
 from ..operators import windows
 
-Query = tuple
-
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
