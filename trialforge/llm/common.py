@@ -56,6 +56,15 @@ def scratch(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Tables of ids (16 bytes a row) of at most so many rows are broadcast, after a count; larger ones are shuffled.
+BROADCAST_ROWS = 1_000_000
+
+
+def small(rows: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """rows, broadcast if they count at most so many; rows must be a scratch table, cheap to count."""
+    return F.broadcast(rows) if rows.count() <= most else rows
+
+
 def drop_scratch(n: int = 0) -> None:
     """Delete the scratch tables written since the list had n entries. Frames that read them must be finished."""
     while len(_scratch) > n:

@@ -10,11 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import WORD, ascii_lower, scratch, table
+from .common import WORD, ascii_lower, scratch, small, table
 
 LEAST_ID = -(1 << 63)
-#: Tables of ids of at most so many rows (16 bytes each) are broadcast, after a count; larger ones are shuffled.
-BROADCAST_ROWS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -51,11 +49,6 @@ def with_shingles(docs: DataFrame, words: int) -> DataFrame:
     return out.withColumn("s", F.sort_array(F.array_distinct(F.slice("__g", F.lit(1), F.greatest(n - (words - 1), F.lit(1)))))).drop("__w", "__g")
 
 
-def small(ids: DataFrame) -> DataFrame:
-    """ids, broadcast if its counted rows are within BROADCAST_ROWS; ids must be a scratch table, cheap to count."""
-    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-
-
 def _least_overlap(size: Column, s: Settings) -> Column:
     """Values that the sketches of a linked pair share at least, up to s.sigmas; size: of the sketch."""
     j = s.percent / 100
@@ -86,16 +79,17 @@ def _estimated(pairs: DataFrame, sketches: DataFrame, s: Settings) -> DataFrame:
     b = sketches.select(F.col("rep").alias("b"), F.col("sketch").alias("kb"))
     rows = pairs.join(a, "a").join(b, "b").withColumn("u", F.slice(F.array_sort(F.array_union("ka", "kb")), 1, s.k))
     shared = F.size(F.array_intersect(F.array_intersect("u", "ka"), F.col("kb")))
-    return rows.filter(shared >= _least_overlap(F.size("u"), s)).select("a", "b").distinct()
+    return rows.filter(shared >= _least_overlap(F.size("u"), s)).select("a", "b")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
-    """The pairs that link by their full sets."""
+    """The pairs that link by their full sets. No aggregation follows the joins in their stage, so that a pivot with many
+    pairs can be split; a pair may come twice where rows share a doc_id, which does no harm."""
     a = sets.select(F.col("rep").alias("a"), F.col("s").alias("sa"))
     b = sets.select(F.col("rep").alias("b"), F.col("s").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb")).cast("long")
     union = F.size("sa").cast("long") + F.size("sb") - both
-    return pairs.join(a, "a").join(b, "b").filter(both * 100 >= union * s.percent).select("a", "b").distinct()
+    return pairs.join(a, "a").join(b, "b").filter(both * 100 >= union * s.percent).select("a", "b")
 
 
 def _forest(part: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
