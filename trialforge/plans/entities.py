@@ -269,10 +269,10 @@ QUERIES = {
     "source_attribution": (source_attribution, "SELECT o_custkey, bool_and(o_orderkey % 97 <> 0 OR o_totalprice = 0) AS o_totalprice, true AS o_orderstatus FROM orders GROUP BY o_custkey"),
     "target_reconcile": (target_reconcile, "SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 3 AND o_orderstatus = 'F' AND o_custkey % 2 <> 0 THEN o_custkey ELSE -(o_orderkey % 5) END AS code FROM orders"),
     "roundtrip_check": (roundtrip_check, "SELECT o_orderkey FROM orders WHERE o_orderkey % 500 = 3 OR o_orderkey % 700 = 5"),
-    "setops_intersect": (setops_intersect, "SELECT c_nationkey FROM customer INTERSECT SELECT s_nationkey FROM supplier"),
+    "setops_intersect": (setops_intersect, "SELECT CAST(c_nationkey AS BIGINT) AS c_nationkey FROM customer INTERSECT SELECT s_nationkey FROM supplier"),
     "setops_except": (setops_except, "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders"),
     "three_way": (three_way, "SELECT s_suppkey FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size = 1) AND s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey < 3)"),
     "distinct_counts": (distinct_counts, "SELECT o_orderstatus, count(DISTINCT o_custkey) AS customers, array_to_string(list_sort(list(DISTINCT o_orderpriority)), ',') AS priorities FROM orders GROUP BY 1"),
-    "json_edges": (json_edges, "WITH e AS (SELECT CAST(json_extract(props, '$.k') AS INT) AS k FROM events WHERE event_id < 3000), x AS (SELECT 0 AS i, 1 AS j, k AS w FROM e UNION ALL SELECT 1, 0, k % 2 FROM e) SELECT i, j, count(*) AS n, CAST(sum(w) AS BIGINT) AS w FROM x WHERE w <> 0 GROUP BY ALL"),
+    "json_edges": (json_edges, "WITH e AS (SELECT CAST(json_extract(props, '$.k') AS INT) AS k FROM events WHERE event_id < 3000), x AS (SELECT 0 AS i, 1 AS j, k AS w FROM e UNION ALL SELECT 1, 0, k % 2 FROM e) SELECT CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, count(*) AS n, CAST(sum(w) AS BIGINT) AS w FROM x WHERE w <> 0 GROUP BY ALL"),
     "text_vectors": (text_vectors, "SELECT event_id, c AS col, round(CASE WHEN c = 0 THEN value WHEN event_id % 7 = 0 THEN NULL ELSE 1.5 END, 6) AS v FROM events, range(2) r(c) WHERE event_id < 2000"),
 }

@@ -217,7 +217,7 @@ SELECT c_mktsegment, count(*) AS n_tested, CAST(min(coalesce(usable, 0)) AS BIGI
     "ratio_of_sums": (ratio_of_sums, "SELECT o_orderpriority, round(sum(o_totalprice) FILTER (WHERE o_orderstatus = 'F') / nullif(sum(o_totalprice), 0.0), 6) AS ratio FROM orders GROUP BY o_orderpriority"),
     "drop_one_min": (drop_one_min, "SELECT c_mktsegment, round(min((s - c_acctbal) / (n - 1)), 6) AS least_mean FROM (SELECT *, sum(c_acctbal) OVER w AS s, count(*) OVER w AS n FROM customer WINDOW w AS (PARTITION BY c_mktsegment)) WHERE n > 1 GROUP BY c_mktsegment"),
     "paired_difference": (paired_difference, "WITH o AS (SELECT o_custkey, o_orderstatus, sum(o_totalprice) AS v FROM orders GROUP BY ALL) SELECT count(*) FILTER (WHERE a.v IS NULL OR b.v IS NULL) AS unpaired, count(a.v - b.v) AS paired, round(sum(a.v - b.v), 2) AS difference FROM (SELECT * FROM o WHERE o_orderstatus = 'F') a FULL JOIN (SELECT * FROM o WHERE o_orderstatus = 'O') b USING (o_custkey)"),
-    "argmin_ridge": (argmin_ridge, "SELECT p_brand, p_size AS size FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY round(m, 6), p_size) AS r FROM (SELECT p_brand, p_size, avg(p_retailprice) AS m FROM part GROUP BY ALL)) WHERE r = 1"),
+    "argmin_ridge": (argmin_ridge, "SELECT p_brand, CAST(p_size AS BIGINT) AS size FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY round(m, 6), p_size) AS r FROM (SELECT p_brand, p_size, avg(p_retailprice) AS m FROM part GROUP BY ALL)) WHERE r = 1"),
     "nested_choice": (nested_choice, "SELECT o_orderpriority, count(*) AS wins FROM (SELECT *, row_number() OVER (PARTITION BY y ORDER BY m, o_orderpriority) AS r FROM (SELECT year(o_orderdate) AS y, o_orderpriority, round(avg(o_totalprice), 6) AS m FROM orders GROUP BY ALL)) WHERE r = 1 GROUP BY 1"),
     "even_subsample": (even_subsample, "SELECT p_brand, p_partkey FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS r, count(*) OVER (PARTITION BY p_brand) AS n FROM part) WHERE list_contains([CAST(round_even(i * (n - 1) / 6.0::DOUBLE, 0) AS BIGINT) FOR i IN range(7)], r)"),
     "top_labels": (top_labels, "SELECT p_type, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, p_type) AS rank FROM part GROUP BY p_type ORDER BY n DESC, p_type LIMIT 12"),

@@ -294,7 +294,7 @@ SELECT recording_id, frame, round(coalesce(v0 + (v1 - v0) * (frame - p0) / nulli
     "peak_halfdecay": (peak_halfdecay, with_series(""", top AS (SELECT trial_id, max(dff) AS peak FROM dff WHERE ok AND o BETWEEN 0 AND 19 GROUP BY trial_id),
 lat AS (SELECT t.trial_id, t.peak, min(x.o) AS latency FROM top t JOIN dff x ON x.trial_id = t.trial_id AND x.ok AND x.o BETWEEN 0 AND 19 AND x.dff = t.peak GROUP BY ALL)
 SELECT l.trial_id, round(peak, 6) AS peak, latency, min(o) FILTER (WHERE o <= latency AND dff >= 0.5 * peak) AS half_rise, min(o) FILTER (WHERE o > latency AND dff <= 0.5 * peak) - latency AS half_decay FROM lat l JOIN dff x ON x.trial_id = l.trial_id AND x.ok AND x.o >= 0 GROUP BY l.trial_id, peak, latency""")),
-    "convolve_basis": (convolve_basis, with_series(_TENTS + "SELECT s.recording_id, s.frame, t.k, round(sum(CASE WHEN u.event_type = 'error' THEN t.weight ELSE 0.0 END), 6) AS x FROM series s JOIN series u ON u.recording_id = s.recording_id AND u.frame BETWEEN s.frame - 59 AND s.frame JOIN tents t ON t.lag = s.frame - u.frame GROUP BY ALL")),
+    "convolve_basis": (convolve_basis, with_series(_TENTS + "SELECT s.recording_id, s.frame, CAST(t.k AS BIGINT) AS k, round(sum(CASE WHEN u.event_type = 'error' THEN t.weight ELSE 0.0 END), 6) AS x FROM series s JOIN series u ON u.recording_id = s.recording_id AND u.frame BETWEEN s.frame - 59 AND s.frame JOIN tents t ON t.lag = s.frame - u.frame GROUP BY ALL")),
     "autoresponse_frames": (autoresponse_frames, with_series("SELECT t.trial_id, count(*) AS n, min(frame) AS first, max(frame) AS last, round(avg(value) FILTER (WHERE valid), 6) AS mean FROM trials t JOIN series s ON s.recording_id = t.recording_id AND frame >= previous_stim_frame AND frame < next_stim_frame GROUP BY t.trial_id")),
     "interval_coverage": (interval_coverage, with_series(", m AS (SELECT recording_id, avg(value) AS m, stddev_samp(value) AS s FROM series GROUP BY recording_id) SELECT recording_id, count(*) AS n, " + ", ".join(f"round(avg(CASE WHEN abs((value - m) / s) <= {q!r} THEN 1.0 ELSE 0.0 END::DOUBLE), 6) AS {k}" for k, q in LEVELS.items()) + " FROM series JOIN m USING (recording_id) WHERE s > 0 GROUP BY recording_id")),
     "segment_autocorr": (segment_autocorr, with_series(", c AS (SELECT *, value - avg(value) OVER (PARTITION BY recording_id) AS c FROM series), p AS (SELECT c, lag(c) OVER (PARTITION BY recording_id ORDER BY frame) AS p FROM c) SELECT count(p) AS n, round(sum(c * p) / sum(c * c) FILTER (WHERE p IS NOT NULL), 6) AS lag1 FROM p")),
