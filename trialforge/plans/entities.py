@@ -10,10 +10,10 @@ from ..operators import catalog, entity
 from .base import r6, read
 
 _NAME = "chr(CAST(65 + {k} % 5 AS INT)) || 'A' || chr(CAST(86 - {k} % 3 AS INT)) || CASE {k} % 4 WHEN 0 THEN 'L' WHEN 1 THEN 'R' WHEN 2 THEN 'DL' ELSE '2' END"
-_CANON = f"SELECT DISTINCT {_NAME.format(k='c_custkey')} AS name FROM customer WHERE c_custkey < 53"
+_CANON = f"SELECT DISTINCT {_NAME.format(k='c_custkey')} AS name FROM customer"
 _LABELS = f"""SELECT row_id, source, CASE row_id % 6 WHEN 0 THEN n WHEN 1 THEN lower(n) WHEN 2 THEN substr(n, 1, 3) WHEN 3 THEN 'zz' || substr(n, 1, 2) WHEN 4 THEN substr(n, 1, 2) || 'q' || substr(n, 4)
  ELSE substr(n, 2, 1) || substr(n, 1, 1) || substr(n, 3) END AS label FROM (SELECT o_orderkey AS row_id, o_orderstatus AS source, {_NAME.format(k='o_custkey')} AS n FROM orders) x"""
-_EVIDENCE = "SELECT 'n' || (doc_id % 60) AS neuron_id, CASE WHEN doc_id % 3 = 0 THEN 'type' ELSE 'role' END AS attribute, CASE doc_id % 7 WHEN 0 THEN 'unknown' WHEN 1 THEN 'polymodal' WHEN 2 THEN lang ELSE 'v' || (n_chars % 3) END AS value, source FROM documents WHERE doc_id < 400"
+_EVIDENCE = "SELECT 'n' || (doc_id % 60) AS neuron_id, CASE WHEN doc_id % 3 = 0 THEN 'type' ELSE 'role' END AS attribute, CASE doc_id % 7 WHEN 0 THEN 'unknown' WHEN 1 THEN 'polymodal' WHEN 2 THEN lang ELSE 'v' || (n_chars % 3) END AS value, source FROM documents"
 
 
 def _sql(spark, d, sql, *tables):
@@ -87,7 +87,7 @@ def evidence_fan_out(spark, d):
 
 
 def union_merge(spark, d):
-    base = _labels(spark, d).filter("row_id % 6 in (1, 2)").select(F.upper(F.substring("label", 1, 2)).alias("alias"), F.upper("label").alias("name"), F.when(F.col("row_id") % 6 == 1, "case").otherwise("stem").alias("kind"), (F.col("row_id") % 6).alias("priority"), "source")
+    base = _labels(spark, d).select(F.upper(F.substring("label", 1, 2)).alias("alias"), F.upper("label").alias("name"), F.when(F.col("row_id") % 6 == 1, "case").otherwise("stem").alias("kind"), (F.col("row_id") % 6).alias("priority"), "source")
     x = entity.merge_aliases(base)
     return x.select("alias", "name", "kind", join_text("observed_in").alias("observed_in"), "n_candidates", "ambiguous")
 
@@ -148,25 +148,25 @@ def edge_signs(spark, d):
 
 
 def license_category(spark, d):
-    p = read(spark, d, "part").filter("p_partkey < 500")
+    p = read(spark, d, "part")
     spdx = F.when(F.col("p_partkey") % 5 == 0, "MIT").when(F.col("p_partkey") % 5 == 1, "GPL-3.0").when(F.col("p_partkey") % 5 == 2, "Custom").when(F.col("p_partkey") % 5 == 3, "")
     status = F.when(F.col("p_size") % 4 == 0, "none_declared").when(F.col("p_size") % 4 == 1, "unknown").otherwise("declared")
     return p.groupBy(text.license_category(spdx, status).alias("category")).agg(F.count("*").alias("n"))
 
 
 def status_classify(spark, d):
-    o = read(spark, d, "orders").filter("o_orderkey < 2000")
+    o = read(spark, d, "orders")
     reg = o.filter("o_orderkey % 7 > 0").select(F.col("o_orderkey").cast("string").alias("path"), F.col("o_custkey").alias("bytes"), F.when(F.col("o_orderkey") % 5 > 0, F.sha2("o_orderstatus", 256)).alias("sha256"), F.md5("o_orderstatus").alias("md5"))
     files = o.filter("o_orderkey % 11 > 0").select(F.col("o_orderkey").cast("string").alias("path"), F.when(F.col("o_orderkey") % 13 == 0, 0).otherwise(F.col("o_custkey")).alias("bytes"), F.when(F.col("o_orderkey") % 17 == 0, "x").otherwise(F.sha2("o_orderstatus", 256)).alias("sha256"), F.md5("o_orderstatus").alias("md5"))
     return catalog.verify(reg, files).groupBy("status").agg(F.count("*").alias("n"))
 
 
-_FILES = """reg AS (SELECT o_orderkey AS path, o_custkey AS bytes, CASE WHEN o_orderkey % 5 > 0 THEN sha256(o_orderstatus) END AS sha, md5(o_orderstatus) AS md5 FROM orders WHERE o_orderkey < 2000 AND o_orderkey % 7 > 0),
-f AS (SELECT o_orderkey AS path, CASE WHEN o_orderkey % 13 = 0 THEN 0 ELSE o_custkey END AS bytes, CASE WHEN o_orderkey % 17 = 0 THEN 'x' ELSE sha256(o_orderstatus) END AS sha, md5(o_orderstatus) AS md5 FROM orders WHERE o_orderkey < 2000 AND o_orderkey % 11 > 0)"""
+_FILES = """reg AS (SELECT o_orderkey AS path, o_custkey AS bytes, CASE WHEN o_orderkey % 5 > 0 THEN sha256(o_orderstatus) END AS sha, md5(o_orderstatus) AS md5 FROM orders WHERE o_orderkey % 7 > 0),
+f AS (SELECT o_orderkey AS path, CASE WHEN o_orderkey % 13 = 0 THEN 0 ELSE o_custkey END AS bytes, CASE WHEN o_orderkey % 17 = 0 THEN 'x' ELSE sha256(o_orderstatus) END AS sha, md5(o_orderstatus) AS md5 FROM orders WHERE o_orderkey % 11 > 0)"""
 
 
 def pin_sources(spark, d):
-    o = read(spark, d, "orders").filter("o_orderkey < 2000")
+    o = read(spark, d, "orders")
     reg = o.filter("o_orderkey % 7 > 0").select(F.col("o_orderkey").alias("path"), F.col("o_custkey").alias("bytes"), F.when(F.col("o_orderkey") % 5 > 0, F.sha2("o_orderstatus", 256)).alias("sha256"), F.md5("o_orderstatus").alias("md5"))
     files = o.filter("o_orderkey % 11 > 0").select(F.col("o_orderkey").alias("path"), F.when(F.col("o_orderkey") % 13 == 0, 0).otherwise(F.col("o_custkey")).alias("bytes"), F.sha2("o_orderstatus", 256).alias("sha256"), F.md5("o_orderstatus").alias("md5"))
     return catalog.pin(reg, files).select("path", "sha256", "refused")
@@ -230,7 +230,7 @@ def distinct_counts(spark, d):
 
 def json_edges(spark, d):
     """Nonzero entries of a square matrix kept as JSON text."""
-    e = read(spark, d, "events").filter("event_id < 3000").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
+    e = read(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
     m = e.select("event_id", F.format_string("[[0,%d],[%d,0]]", F.col("k"), F.col("k") % 2).alias("m"))
     x = m.select("event_id", F.posexplode(F.from_json("m", "array<array<int>>")).alias("i", "row")).select("event_id", "i", F.posexplode("row").alias("j", "w")).filter("w <> 0")
     return x.groupBy("i", "j").agg(F.count("*").alias("n"), F.sum(F.col("w").cast("long")).alias("w"))
@@ -238,7 +238,7 @@ def json_edges(spark, d):
 
 def text_vectors(spark, d):
     """Whitespace-separated numbers per line of a made-up text, bad ones as null."""
-    e = read(spark, d, "events").filter("event_id < 2000").select("event_id", F.concat_ws(" ", F.lit(" "), F.col("value").cast("string"), F.when(F.col("event_id") % 7 == 0, "x").otherwise("1.5")).alias("line"))
+    e = read(spark, d, "events").select("event_id", F.concat_ws(" ", F.lit(" "), F.col("value").cast("string"), F.when(F.col("event_id") % 7 == 0, "x").otherwise("1.5")).alias("line"))
     x = e.select("event_id", F.posexplode(F.split(F.trim("line"), r"\s+")).alias("col", "t"))
     return x.select("event_id", "col", r6(F.expr("try_cast(t as double)")).alias("v"))
 
@@ -251,7 +251,7 @@ QUERIES = {
     "edit_one": (edit_one, f"WITH c AS ({_CANON}), l AS (SELECT DISTINCT label FROM ({_LABELS})) SELECT label AS \"left\", name AS \"right\" FROM l JOIN c ON label <> name AND damerau_levenshtein(label, name) = 1"),
     "alias_resolution": (alias_resolution, f"WITH {_RESOLVE} SELECT label, status, kind, candidates FROM r"),
     "evidence_fan_out": (evidence_fan_out, f"WITH {_RESOLVE}, x AS (SELECT unnest(string_split(candidates, ',')) AS neuron_id, contains(candidates, ',') AS a FROM ({_LABELS}) y JOIN r USING (label) WHERE candidates <> '') SELECT neuron_id, count(*) AS n, count(*) FILTER (WHERE a) AS n_ambiguous FROM x GROUP BY 1"),
-    "union_merge": (union_merge, f"WITH b AS (SELECT upper(substr(label, 1, 2)) AS alias, upper(label) AS name, row_id % 6 AS p, source FROM ({_LABELS}) WHERE row_id % 6 IN (1, 2)), m AS (SELECT alias, name, CASE WHEN min(p) = 1 THEN 'case' ELSE 'stem' END AS kind, array_to_string(list_sort(list(DISTINCT source)), ',') AS observed_in FROM b GROUP BY ALL) SELECT *, count(*) OVER (PARTITION BY alias) AS n_candidates, count(*) OVER (PARTITION BY alias) > 1 AS ambiguous FROM m"),
+    "union_merge": (union_merge, f"WITH b AS (SELECT upper(substr(label, 1, 2)) AS alias, upper(label) AS name, row_id % 6 AS p, source FROM ({_LABELS})), m AS (SELECT alias, name, CASE WHEN min(p) = 1 THEN 'case' ELSE 'stem' END AS kind, array_to_string(list_sort(list(DISTINCT source)), ',') AS observed_in FROM b GROUP BY ALL) SELECT *, count(*) OVER (PARTITION BY alias) AS n_candidates, count(*) OVER (PARTITION BY alias) > 1 AS ambiguous FROM m"),
     "evidence_conflicts": (evidence_conflicts, f"SELECT neuron_id, attribute, CASE WHEN count(DISTINCT source) > 1 THEN 'values_differ_across_sources' ELSE 'several_values_in_one_source' END AS kind, CASE WHEN count(DISTINCT source) > 1 THEN 'hard' ELSE 'soft' END AS severity, array_to_string(list_sort(list(DISTINCT value)), ',') AS \"values\" FROM ({_EVIDENCE}) GROUP BY ALL HAVING count(DISTINCT value) > 1"),
     "type_conflicts": (type_conflicts, f"WITH s AS (SELECT neuron_id, attribute, source, list_sort(list(DISTINCT value)) AS v FROM ({_EVIDENCE}) WHERE value <> 'unknown' GROUP BY ALL), p AS (SELECT a.neuron_id, a.attribute, bool_and(list_has_any(a.v, b.v) OR list_contains(a.v, 'polymodal') OR list_contains(b.v, 'polymodal')) AS soft FROM s a JOIN s b ON a.neuron_id = b.neuron_id AND a.attribute = b.attribute AND a.source < b.source AND a.v <> b.v GROUP BY ALL) SELECT neuron_id, attribute, CASE WHEN soft THEN 'sets_overlap_but_differ' ELSE 'sets_disjoint' END AS kind, CASE WHEN soft THEN 'soft' ELSE 'hard' END AS severity FROM p"),
     "wide_attributes": (wide_attributes, f"SELECT neuron_id, " + ", ".join(f"coalesce({_LISTED(c, a)}, '') AS {a}_{k}" for a in ("type", "role") for c, k in (("value", "values"), ("source", "sources"))) + f", count(*) AS n_evidence FROM ({_EVIDENCE}) GROUP BY neuron_id"),
@@ -261,7 +261,7 @@ QUERIES = {
     "muscle_alias": (muscle_alias, "SELECT s_suppkey, CASE WHEN s_suppkey % 5 > 0 AND s_suppkey < 100 THEN 'M' || CASE WHEN s_suppkey % 2 = 0 THEN 'D' ELSE 'V' END || 'L' || lpad(CAST(s_suppkey AS VARCHAR), 2, '0') END AS name FROM supplier"),
     "wallclock": (wallclock, "WITH x AS (SELECT o_orderkey, strftime(o_orderdate, '%Y%m%d') AS n, lpad(CAST(o_orderkey * 37 % 300000 AS VARCHAR), 6, '0') AS h FROM orders) SELECT o_orderkey, strftime(try_strptime(n || h, '%Y%m%d%H%M%S'), '%Y-%m-%dT%H:%M:%S') AS \"at\", substr(n, 1, 4) || '-' || substr(n, 5, 2) || '-' || substr(n, 7, 2) AS day FROM x"),
     "edge_signs": (edge_signs, "SELECT CASE WHEN p_size % 5 = 0 THEN 'none' WHEN p_size > 10 AND p_size % 3 = 0 THEN 'excitatory' WHEN p_size > 10 AND p_size % 3 = 1 THEN 'inhibitory' ELSE 'unknown' END AS sign, count(*) AS n FROM part GROUP BY 1"),
-    "license_category": (license_category, "SELECT CASE WHEN p_size % 4 = 0 THEN 'unlicensed' WHEN p_size % 4 = 1 OR p_partkey % 5 >= 3 THEN 'unknown' WHEN p_partkey % 5 = 0 THEN 'permissive' WHEN p_partkey % 5 = 1 THEN 'copyleft' ELSE 'other' END AS category, count(*) AS n FROM part WHERE p_partkey < 500 GROUP BY 1"),
+    "license_category": (license_category, "SELECT CASE WHEN p_size % 4 = 0 THEN 'unlicensed' WHEN p_size % 4 = 1 OR p_partkey % 5 >= 3 THEN 'unknown' WHEN p_partkey % 5 = 0 THEN 'permissive' WHEN p_partkey % 5 = 1 THEN 'copyleft' ELSE 'other' END AS category, count(*) AS n FROM part GROUP BY 1"),
     "status_classify": (status_classify, f"WITH {_FILES} SELECT CASE WHEN reg.path IS NULL THEN 'untracked' WHEN f.path IS NULL THEN 'missing' WHEN reg.bytes <> f.bytes THEN 'mismatch: size' WHEN reg.sha <> f.sha THEN 'mismatch: sha256' WHEN reg.md5 <> f.md5 THEN 'mismatch: md5' WHEN reg.sha IS NULL THEN 'unpinned' ELSE 'ok' END AS status, count(*) AS n FROM reg FULL JOIN f ON f.path = reg.path GROUP BY 1"),
     "pin_sources": (pin_sources, f"WITH {_FILES} SELECT reg.path, CASE WHEN coalesce(reg.bytes <> f.bytes, false) THEN reg.sha ELSE coalesce(reg.sha, CASE WHEN f.path IS NOT NULL THEN sha256(o_orderstatus) END) END AS sha256, coalesce(reg.bytes <> f.bytes, false) AS refused FROM reg LEFT JOIN f ON f.path = reg.path JOIN orders ON o_orderkey = reg.path"),
     "catalog_diff": (catalog_diff, "SELECT c_custkey, CASE WHEN c_nationkey >= 20 THEN 'added' WHEN c_nationkey <= 3 THEN 'removed' WHEN c_custkey % 9 = 0 THEN 'changed' ELSE 'same' END AS change, CASE WHEN c_nationkey >= 20 AND c_custkey % 9 = 0 THEN 'MOVED' ELSE c_mktsegment END AS value FROM customer"),
@@ -273,6 +273,6 @@ QUERIES = {
     "setops_except": (setops_except, "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders"),
     "three_way": (three_way, "SELECT s_suppkey FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size = 1) AND s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey < 3)"),
     "distinct_counts": (distinct_counts, "SELECT o_orderstatus, count(DISTINCT o_custkey) AS customers, array_to_string(list_sort(list(DISTINCT o_orderpriority)), ',') AS priorities FROM orders GROUP BY 1"),
-    "json_edges": (json_edges, "WITH e AS (SELECT CAST(json_extract(props, '$.k') AS INT) AS k FROM events WHERE event_id < 3000), x AS (SELECT 0 AS i, 1 AS j, k AS w FROM e UNION ALL SELECT 1, 0, k % 2 FROM e) SELECT CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, count(*) AS n, CAST(sum(w) AS BIGINT) AS w FROM x WHERE w <> 0 GROUP BY ALL"),
-    "text_vectors": (text_vectors, "SELECT event_id, c AS col, round(CASE WHEN c = 0 THEN value WHEN event_id % 7 = 0 THEN NULL ELSE 1.5 END, 6) AS v FROM events, range(2) r(c) WHERE event_id < 2000"),
+    "json_edges": (json_edges, "WITH e AS (SELECT CAST(json_extract(props, '$.k') AS INT) AS k FROM events), x AS (SELECT 0 AS i, 1 AS j, k AS w FROM e UNION ALL SELECT 1, 0, k % 2 FROM e) SELECT CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, count(*) AS n, CAST(sum(w) AS BIGINT) AS w FROM x WHERE w <> 0 GROUP BY ALL"),
+    "text_vectors": (text_vectors, "SELECT event_id, c AS col, round(CASE WHEN c = 0 THEN value WHEN event_id % 7 = 0 THEN NULL ELSE 1.5 END, 6) AS v FROM events, range(2) r(c)"),
 }

@@ -22,7 +22,7 @@ def group_kfold(spark, d):
 
 
 def nested_folds(spark, d):
-    x = splits.nested(_animals(spark, d).filter("c_nationkey < 3"), "animal", 3, 4, SEED)
+    x = splits.nested(_animals(spark, d), "animal", 3, 4, SEED)
     return x.groupBy("outer", "role", "inner").agg(F.count("*").alias("n"), F.min("animal").alias("first"))
 
 
@@ -37,7 +37,7 @@ def loao_folds(spark, d):
 def fold_coverage(spark, d):
     """Per target (segment): in how many outer folds it is tested, and the least and mean number of inner folds that can
     both fit and validate it."""
-    f = splits.nested(_animals(spark, d).filter("c_nationkey < 3"), "animal", 3, 4, SEED).join(_animals(spark, d).select("animal", "c_mktsegment"), "animal")
+    f = splits.nested(_animals(spark, d), "animal", 3, 4, SEED).join(_animals(spark, d).select("animal", "c_mktsegment"), "animal")
     tested = f.filter("role = 'test'").select("c_mktsegment", "outer").distinct()
     by = f.filter("role = 'train'").groupBy("c_mktsegment", "outer", "inner").agg(F.count("*").alias("n"))
     usable = by.withColumn("all", F.sum("n").over(Window.partitionBy("c_mktsegment", "outer"))).withColumn("ok", ((F.col("n") >= 1) & (F.col("all") - F.col("n") >= 2)).cast("int"))
@@ -175,15 +175,15 @@ def common_animals(spark, d):
 def dot_predict(spark, d):
     """Each vector's dot product with the kernel of its label; a label without one has the zero kernel."""
     e = read(spark, d, "embeddings")
-    kernels = e.filter("vec_id < 40 and label % 2 = 0").groupBy("label").agg(F.min_by("embedding", "vec_id").alias("k"))
-    x = e.join(F.broadcast(kernels), "label", "left")  # at most one row per even label among 40 vectors
+    kernels = e.filter("label % 2 = 0").groupBy("label").agg(F.min_by("embedding", "vec_id").alias("k"))
+    x = e.join(F.broadcast(kernels), "label", "left")  # a row per class of vectors
     dot = F.aggregate(F.zip_with("embedding", F.coalesce("k", F.transform("embedding", lambda v: F.lit(0.0).cast("float"))), lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda acc, v: acc + v)
     return x.select("vec_id", r6(dot).alias("prediction"))
 
 
 def long_matrix(spark, d):
-    """The entries over 0.5 of the first vectors, as (row, column, weight)."""
-    e = read(spark, d, "embeddings").filter("vec_id < 100")
+    """The entries over 0.5 of all vectors, as (row, column, weight)."""
+    e = read(spark, d, "embeddings")
     return e.select("vec_id", F.posexplode("embedding").alias("col", "w")).filter("w > 0.5").select("vec_id", "col", r6(F.col("w").cast("double")).alias("w"))
 
 
@@ -195,11 +195,10 @@ def quantised(spark, d):
     return x.select("c_custkey", F.bround((F.col("c_acctbal") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 63).cast("long").alias("step"))
 
 
-_N3 = "WHERE c_nationkey < 3"
 QUERIES = {
     "group_kfold": (group_kfold, f"SELECT * FROM {_FOLD('outer').format(k=K)}"),
     "loao_folds": (loao_folds, "SELECT CAST(c_custkey AS VARCHAR) AS animal, row_number() OVER (ORDER BY CAST(c_custkey AS VARCHAR)) - 1 AS fold FROM customer"),
-    "nested_folds": (nested_folds, _NEST := f"""WITH o AS (SELECT * FROM {_FOLD('outer', _N3).format(k=3)}), t AS (SELECT f.fold AS "outer", o.animal FROM o JOIN (SELECT DISTINCT fold FROM o) f ON o.fold <> f.fold),
+    "nested_folds": (nested_folds, _NEST := f"""WITH o AS (SELECT * FROM {_FOLD('outer').format(k=3)}), t AS (SELECT f.fold AS "outer", o.animal FROM o JOIN (SELECT DISTINCT fold FROM o) f ON o.fold <> f.fold),
 i AS (SELECT "outer", animal, (row_number() OVER (PARTITION BY "outer" ORDER BY sha256('{SEED}:inner' || "outer" || ':' || animal)) - 1) % 4 AS "inner" FROM t),
 n AS (SELECT "outer", 'train' AS role, "inner", animal FROM i UNION ALL SELECT fold, 'test', NULL, animal FROM o)
 SELECT "outer", role, "inner", count(*) AS n, min(animal) AS first FROM n GROUP BY ALL"""),
@@ -226,7 +225,7 @@ SELECT c_mktsegment, count(*) AS n_tested, CAST(min(coalesce(usable, 0)) AS BIGI
     "benchmark_summary": (benchmark_summary, "WITH m AS (SELECT o_orderstatus, arg_min(o_orderpriority, (-c, o_orderpriority)) AS modal FROM (SELECT o_orderstatus, o_orderpriority, count(*) AS c FROM orders GROUP BY ALL) GROUP BY 1) SELECT o_orderstatus, round(avg(o_totalprice), 6) AS mean, round(avg(CASE WHEN o_totalprice > 300000 THEN 1.0 ELSE 0.0 END::DOUBLE), 6) AS at_edge, round(quantile_cont(o_totalprice, 0.5), 6) AS median, any_value(modal) AS modal FROM orders JOIN m USING (o_orderstatus) GROUP BY 1"),
     "gate_counts": (gate_counts, "SELECT CASE WHEN p_size > 45 THEN 'budget' WHEN p_retailprice > 1800 THEN 'unstable' WHEN contains(p_type, 'TIN') THEN 'type' ELSE 'kept' END AS reason, count(*) AS n FROM part GROUP BY 1"),
     "common_animals": (common_animals, "SELECT o_custkey FROM orders GROUP BY o_custkey HAVING count(DISTINCT o_orderstatus) = (SELECT count(DISTINCT o_orderstatus) FROM orders)"),
-    "dot_predict": (dot_predict, "WITH k AS (SELECT label, arg_min(embedding, vec_id) AS k FROM embeddings WHERE vec_id < 40 AND label % 2 = 0 GROUP BY label) SELECT vec_id, round(coalesce(list_sum(list_transform(list_zip(embedding, k), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)), 0.0), 6) AS prediction FROM embeddings LEFT JOIN k USING (label)"),
-    "long_matrix": (long_matrix, "SELECT vec_id, i AS col, round(embedding[i + 1]::DOUBLE, 6) AS w FROM embeddings, range(1024) r(i) WHERE vec_id < 100 AND i < len(embedding) AND embedding[i + 1] > 0.5"),
+    "dot_predict": (dot_predict, "WITH k AS (SELECT label, arg_min(embedding, vec_id) AS k FROM embeddings WHERE label % 2 = 0 GROUP BY label) SELECT vec_id, round(coalesce(list_sum(list_transform(list_zip(embedding, k), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)), 0.0), 6) AS prediction FROM embeddings LEFT JOIN k USING (label)"),
+    "long_matrix": (long_matrix, "SELECT vec_id, i AS col, round(embedding[i + 1]::DOUBLE, 6) AS w FROM embeddings, range(1024) r(i) WHERE i < len(embedding) AND embedding[i + 1] > 0.5"),
     "quantised": (quantised, "SELECT c_custkey, CAST(round_even((c_acctbal - lo) / (hi - lo) * 63, 0) AS BIGINT) AS step FROM customer, (SELECT min(c_acctbal) AS lo, max(c_acctbal) AS hi FROM customer)"),
 }

@@ -45,7 +45,7 @@ def row_normalise(spark, d):
 
 
 def gap_symmetrise(spark, d):
-    x = graph.symmetrise(_edges(spark, d).filter("pre <= 100 and post <= 100").groupBy("pre", "post").agg(F.max("weight").alias("weight")), "pre", "post")
+    x = graph.symmetrise(_edges(spark, d).groupBy("pre", "post").agg(F.max("weight").alias("weight")), "pre", "post")
     return x.select("pre", "post", "weight", "added")
 
 
@@ -146,7 +146,7 @@ def csr_order(spark, d):
     """Place of each edge in the row of its target, sorted by (source, delay, sign, weight)."""
     from pyspark.sql import Window
 
-    x = _edges(spark, d).filter("post <= 50")
+    x = _edges(spark, d)
     w = Window.partitionBy("post").orderBy("pre", "delay", "sign", "weight", "row", "line")
     return x.select("post", "pre", "row", "line", (F.row_number().over(w) - 1).alias("slot"), F.sum("weight").over(w).alias("running"))
 
@@ -155,7 +155,7 @@ QUERIES = {
     "edge_aggregate": (edge_aggregate, f"WITH {_E} SELECT pre, post, bundle, round(sum(weight), 6) AS weight, count(*) AS n_rows, array_to_string(list_sort(list_distinct(list(sign))), ',') AS signs, array_to_string(list_sort(list_distinct(list(delay))), ',') AS delays FROM e GROUP BY pre, post, bundle"),
     "edge_pairs": (edge_pairs, f"WITH {_E} SELECT pre, post, count(DISTINCT (sign, delay)) AS n_pairs FROM e GROUP BY pre, post"),
     "row_normalise": (row_normalise, f"WITH {_E}, a AS (SELECT pre, post, sum(weight) AS w FROM e GROUP BY ALL), t AS (SELECT max(s) AS m FROM (SELECT sum(w) AS s FROM a GROUP BY post)) SELECT pre, post, round(w / m, 9) AS norm FROM a, t"),
-    "gap_symmetrise": (gap_symmetrise, f"WITH {_E}, g AS (SELECT pre, post, max(weight) AS weight FROM e WHERE pre <= 100 AND post <= 100 GROUP BY ALL) SELECT pre, post, weight, false AS added FROM g UNION ALL SELECT post, pre, weight, true FROM g x WHERE NOT EXISTS (SELECT 1 FROM g y WHERE y.pre = x.post AND y.post = x.pre)"),
+    "gap_symmetrise": (gap_symmetrise, f"WITH {_E}, g AS (SELECT pre, post, max(weight) AS weight FROM e GROUP BY ALL) SELECT pre, post, weight, false AS added FROM g UNION ALL SELECT post, pre, weight, true FROM g x WHERE NOT EXISTS (SELECT 1 FROM g y WHERE y.pre = x.post AND y.post = x.pre)"),
     "gap_max": (gap_max, f"WITH {_G} SELECT a, b, round(g, 8) AS g FROM g"),
     "bundle_full_outer": (bundle_full_outer, f"WITH {_E}, a AS (SELECT bundle, pre, post, sum(weight) AS w FROM e GROUP BY ALL) SELECT CASE WHEN f.w IS NULL THEN 'only_o' WHEN o.w IS NULL THEN 'only_f' WHEN f.w = o.w THEN 'equal' ELSE 'different' END AS kind, count(*) AS n FROM (SELECT * FROM a WHERE bundle = 'F') f FULL JOIN (SELECT * FROM a WHERE bundle = 'O') o ON f.pre = o.pre AND f.post = o.post GROUP BY 1"),
     "bundle_multiset": (bundle_multiset, f"WITH {_E}, f AS (SELECT pre, delay, sign FROM e WHERE bundle = 'F'), o AS (SELECT pre, delay, sign FROM e WHERE bundle = 'O') SELECT 'both' AS part, count(*) AS n FROM (SELECT * FROM f INTERSECT ALL SELECT * FROM o) UNION ALL SELECT 'only_f', count(*) FROM (SELECT * FROM f EXCEPT ALL SELECT * FROM o) UNION ALL SELECT 'only_o', count(*) FROM (SELECT * FROM o EXCEPT ALL SELECT * FROM f)"),
@@ -169,5 +169,5 @@ QUERIES = {
     "connectome": (connectome, f"WITH {_E}, c AS (SELECT pre, post, sum(weight) AS w FROM e GROUP BY ALL), s AS (SELECT pre, post, min(sign) AS sign FROM e WHERE post % 4 > 0 GROUP BY ALL), t AS (SELECT max(s) AS m FROM (SELECT sum(w) AS s FROM c GROUP BY post)) SELECT c.pre, c.post, CAST(coalesce(sign, 1) AS BIGINT) AS sign, sign IS NULL AS assumed, round(w / m, 9) AS norm FROM c LEFT JOIN s ON s.pre = c.pre AND s.post = c.post CROSS JOIN t"),
     "connectome_gap": (connectome_gap, f"WITH {_G}, t AS (SELECT max(s) AS m FROM (SELECT sum(g) AS s FROM (SELECT a, g FROM g UNION ALL SELECT b, g FROM g) GROUP BY a)) SELECT a, b, round(g / m, 9) AS g FROM g, t"),
     "endpoint_mapping": (endpoint_mapping, f"WITH {_E} SELECT CASE WHEN s_nationkey IS NULL THEN 'unknown source' WHEN p_brand IS NULL THEN 'unknown target' WHEN sign < 0 AND delay = 0 THEN 'mirror' ELSE 'kept' END AS outcome, count(*) AS n, round(sum(weight), 6) AS w FROM e LEFT JOIN supplier ON s_suppkey = pre AND s_suppkey % 7 > 0 LEFT JOIN part ON p_partkey = post AND p_size > 5 GROUP BY 1"),
-    "csr_order": (csr_order, f"WITH {_E} SELECT post, pre, row_ AS row, CAST(line AS BIGINT) AS line, row_number() OVER w - 1 AS slot, sum(weight) OVER w AS running FROM e WHERE post <= 50 WINDOW w AS (PARTITION BY post ORDER BY pre, delay, sign, weight, row_, line)"),
+    "csr_order": (csr_order, f"WITH {_E} SELECT post, pre, row_ AS row, CAST(line AS BIGINT) AS line, row_number() OVER w - 1 AS slot, sum(weight) OVER w AS running FROM e WINDOW w AS (PARTITION BY post ORDER BY pre, delay, sign, weight, row_, line)"),
 }

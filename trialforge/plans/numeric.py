@@ -35,12 +35,16 @@ BUDGET = {"tier": "G1", "max_nodes": 4, "max_depth": 4, "max_registers": 1, "ops
 
 
 def _graph(spark, d) -> dict:
-    """A graph of at most 24 suppliers, joined where they deliver a part of the first 200 in turn; small by its query."""
-    x = read(spark, d, "lineitem").filter("l_suppkey < 24 and l_partkey < 200").groupBy("l_suppkey", (F.col("l_partkey") % 24).alias("post")).agg(F.sum("l_quantity").alias("w"), F.max("l_returnflag").alias("f"))
-    rows = x.filter("l_suppkey <> post").orderBy("l_suppkey", "post").limit(24 * 24).collect()
-    names = sorted({r.l_suppkey for r in rows} | {r.post for r in rows})
-    top = max((r.w for r in rows), default=1.0)
-    chem = [{"pre": f"s{r.l_suppkey}", "post": f"s{r.post}", "weight": r.w / top, "sign": -1 if r.f == "R" else 1, "delay": r.post % 3} for r in rows]
+    """A graph of the nations: what the suppliers of one sent to the customers of another, over all line items. An edge
+    inhibits where more was returned than accepted."""
+    s = read(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("pre"))
+    c = read(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("post"))
+    o = read(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey").join(c, "o_custkey")
+    flag = lambda x: F.sum((F.col("l_returnflag") == x).cast("int"))
+    x = read(spark, d, "lineitem").join(s, "l_suppkey").join(o, "l_orderkey").groupBy("pre", "post").agg(F.sum("l_quantity").alias("w"), (flag("R") > flag("A")).alias("back"))
+    rows = sorted((r.pre, r.post, r.w, r.back) for r in x.collect() if r.pre != r.post)  # a row per two nations at most
+    names, top = sorted({n for r in rows for n in r[:2]}), max((r[2] for r in rows), default=1.0)
+    chem = [{"pre": f"s{a}", "post": f"s{b}", "weight": w / top, "sign": -1 if back else 1, "delay": b % 3} for a, b, w, back in rows]
     return {"neurons": [{"id": f"s{n}"} for n in names], "chemical": chem, "gap": [{"a": f"s{a}", "b": f"s{b}", "g": 0.2} for a, b in zip(names, names[1:])]}
 
 
@@ -214,11 +218,11 @@ def intervention_gain(spark, d):
 
 
 def equivalence_cliques(spark, d):
-    """Maximal sets of parts of a kind whose price and size are alike; the table is cut to the first 60 parts of it."""
-    p = read(spark, d, "part").filter("p_type = 'PROMO' and p_partkey < 400").select("p_partkey", "p_size").orderBy("p_partkey").limit(60).collect()
-    near = {frozenset((a.p_partkey, b.p_partkey)) for a in p for b in p if a.p_partkey < b.p_partkey and abs(a.p_size - b.p_size) <= 3}
-    found = plan.cliques([r.p_partkey for r in p], near)
-    return spark.createDataFrame([(i, k) for i, c in enumerate(found) for k in c], "clique long, p_partkey long")
+    """Maximal sets of nations whose customers' mean balances are all within 150 of each other."""
+    p = read(spark, d, "customer").groupBy("c_nationkey").agg(F.avg("c_acctbal").alias("m")).collect()  # a row per nation
+    near = {frozenset((a.c_nationkey, b.c_nationkey)) for a in p for b in p if a.c_nationkey < b.c_nationkey and abs(a.m - b.m) <= 150}
+    found = plan.cliques([r.c_nationkey for r in p], near)
+    return spark.createDataFrame([(i, k) for i, c in enumerate(found) for k in c], "clique long, nation long")
 
 
 def swimmer_endpoints(spark, d):

@@ -229,11 +229,11 @@ def sufficient_statistics(spark, d):
 
 
 def indicator_kernel(spark, d):
-    """A difference of exponentials, normalised to its peak, and the saturating readout, at the first frames."""
+    """A difference of exponentials, normalised to its peak, and the saturating readout, at all frames."""
     rise, decay, top = 0.5, 3.0, 0.8
     tp = rise * decay / (decay - rise) * math.log(decay / rise)
     peak = math.exp(-tp / decay) - math.exp(-tp / rise)
-    t = series(spark, d).filter("frame < 40").select("frame").distinct()
+    t = series(spark, d).select("frame").distinct()
     k = (F.exp(-F.col("frame") / decay) - F.exp(-F.col("frame") / rise)) / peak
     return t.select("frame", F.round(k, 9).alias("kernel"), F.round(k / (1 + F.abs(k) / top), 9).alias("readout"))
 
@@ -243,7 +243,7 @@ def _kernel_sql() -> str:
     tp = rise * decay / (decay - rise) * math.log(decay / rise)
     peak = math.exp(-tp / decay) - math.exp(-tp / rise)
     k = f"((exp(-frame / {decay}) - exp(-frame / {rise})) / {peak!r})"
-    return with_series(f"SELECT DISTINCT frame, round({k}, 9) AS kernel, round({k} / (1 + abs({k}) / {top}), 9) AS readout FROM series WHERE frame < 40")
+    return with_series(f"SELECT DISTINCT frame, round({k}, 9) AS kernel, round({k} / (1 + abs({k}) / {top}), 9) AS readout FROM series")
 
 
 def quantile_summary(spark, d):
