@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import of, scratch, table
+from .common import of, scratch, small, table
 
 #: Fixed values of the contract, in its order. {n,} states "drop what is shorter" where no shorter match can hide a
 #: longer one; assign keeps its plain form, as a dropped match there still consumes its text.
@@ -16,6 +16,8 @@ HEX = r"[0-9a-f]{24,}"
 PEM = r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"
 BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "pem")
+#: So many documents with live values (about 100 bytes each) are broadcast at most.
+LIVE_ROWS = 200_000
 EMPTY = "array<struct<start:int,order:int,kind:string,end:int,value:string>>"
 
 
@@ -97,10 +99,14 @@ def redact(text: Column, live: Column, mask: str = "[SECRET]") -> Column:
 
 
 def remove_secrets(docs: DataFrame, **options) -> DataFrame:
-    """docs with every live-looking value masked in text (and n_chars, if there, set anew); other rows as they were."""
+    """docs with every live-looking value masked in text (and n_chars, if there, set anew); other rows as they were.
+
+    The documents concerned are few; up to a counted limit they are broadcast, so texts stay where they are.
+    """
     live = scan_secrets(docs, **options).filter(F.size("live") > 0)
     live = live.groupBy(F.col("doc_id").alias("__id")).agg(F.array_distinct(F.flatten(F.collect_list("live"))).alias("__live"))
-    out = docs.join(live, docs["doc_id"].eqNullSafe(live["__id"]), "left")
+    live = scratch(live)
+    out = docs.join(small(live, LIVE_ROWS), docs["doc_id"].eqNullSafe(live["__id"]), "left")
     text = F.when(F.col("__live").isNotNull() & F.col("text").isNotNull(), redact(F.col("text"), F.col("__live"))).otherwise(F.col("text"))
     out = out.withColumn("text", text)
     if "n_chars" in docs.columns:
