@@ -135,7 +135,7 @@ def near_counts(prints: DataFrame, radius: int = 3) -> DataFrame:
 
 def op6_simhash(spark, sf_dir: str) -> DataFrame:
     found = scratch(fingerprint_pairs(table(spark, sf_dir, "documents").select("doc_id", "text")))
-    found = found.join(near_counts(found), "fp", "left")
+    found = found.join(scratch(near_counts(found)), "fp", "left")  # so nothing keeps a hot fingerprint's rows together
     text = lambda c: F.lpad(F.lower(F.hex(c)), 16, "0")
     likes = [likeness(F.col("fp"), F.col(c)).alias(n) for c, n in (("edited_fp", "near_edited"), ("next_fp", "near_next"))]
     return found.select("doc_id", "n_chars", "edited_sha256", text("fp").alias("fingerprint"), text("edited_fp").alias("edited_fingerprint"), *likes, F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"))
