@@ -164,7 +164,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, s: Settings = Settings()) ->
         zero = np.zeros(1 << s.bits, np.float32)
         return Model(zero, zero, 0.0, 0.0, float(np.log(share / (1 - share))), s)
     r = log_ratios([rows[i] for i in used], y[used], s)
-    w, bias = dual_descent([rows[i] for i in used], [_scaled(rows[i], r) for i in used], y[used], s)
+    w, bias = dual_descent([rows[i] for i in used], [_scaled(rows[i], r).astype(np.float32) for i in used], y[used], s)
     margin = np.array([w[rows[i]] @ _scaled(rows[i], r) + bias for i in held])
     slope, offset = calibrate(margin, y[held])
     return Model(w.astype(np.float32), r.astype(np.float32), bias, slope, offset, s)
@@ -188,11 +188,10 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), label: s
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("__y"), x], names=["doc_id", "y", "x"])
 
     def learn(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        frames = [p for p in parts if len(p)]
-        if not frames:
+        data = sorted((i, y, x) for p in parts for i, y, x in zip(p["doc_id"], p["y"], p["x"]))
+        if not data:
             return
-        data = pd.concat(frames).sort_values(["doc_id", "y", "x"], kind="stable")
-        m = fit([np.frombuffer(x, np.uint32) for x in data["x"]], data["y"].to_numpy(), s)
+        m = fit([np.frombuffer(x, np.uint32) for _, _, x in data], np.array([y for _, y, _ in data]), s)
         yield pd.DataFrame({"weights": [m.weights.tobytes()], "ratios": [m.ratios.tobytes()], "bias": [m.bias], "slope": [m.slope], "offset": [m.offset]})
 
     encoded = rows.select("doc_id", "text", "__y").mapInArrow(encode, f"doc_id {dict(docs.dtypes)['doc_id']}, y int, x binary")
