@@ -53,19 +53,27 @@ class Encoder:
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.slow = Tokenizer.from_file(path)
+        self.path, self.slow = path, Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             vocab = json.load(f)["model"]["vocab"]
         ranks = {bytes(_BYTES[c] for c in token): i for token, i in vocab.items() if token != SPECIAL}
         self.fast = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         if self.fast.encode_ordinary(self.PROBE) != self.slow.encode(self.PROBE, add_special_tokens=False).ids:
             self.fast = None
+        else:
+            self.slow = None  # it takes memory, and is loaded again for a text that needs it
+
+    def library(self, text: str) -> list[int]:
+        from tokenizers import Tokenizer
+
+        self.slow = self.slow or Tokenizer.from_file(self.path)
+        return self.slow.encode(text, add_special_tokens=False).ids
 
     def ids(self, text: str | None) -> np.ndarray:
         if not text:
             return np.array([END_ID], "<u4")
         if self.fast is None or SPECIAL in text:
-            out = self.slow.encode(text, add_special_tokens=False).ids
+            out = self.library(text)
         else:
             out = self.fast.encode_ordinary(text)
         return np.array([*out, END_ID], "<u4")
