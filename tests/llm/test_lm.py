@@ -89,3 +89,26 @@ def test_odd_rows(spark):
     empty = lm.train(docs.limit(0))
     assert all(r.n_known == 0 and r.base_score == 0 for r in lm.score(docs, empty).collect())
     assert lm.score(docs.limit(0), m).count() == 0
+
+
+def test_what_is_held_changes_no_score(spark):
+    """Pairs beyond a share of the tokens count too, and those that the tasks don't hold add the same by the join."""
+    filler = " ".join(f"w{i}" for i in range(300))
+    texts = [f"the {filler} {x} q r the" for x in "abcab"] + ["q r q r s t", "s t"]
+    docs = spark.createDataFrame([(i, t, None, None, 0) for i, t in enumerate(texts)], DOCS)
+    test = {100: "the q r s t unseen q r", 101: "", 102: None, 103: f"{filler} b q"}
+    rows = spark.createDataFrame([(d, t) for d, t in test.items()], "doc_id long, text string")
+    want, _, (after, _, _) = plain(test, texts)
+    for s in (lm.Settings(), lm.Settings(held=0.003, held_arcs=2), lm.Settings(held=0.003, held_arcs=0), lm.Settings(held=2.0)):
+        m = lm.train(docs, s)
+        got = {r.doc_id: r for r in lm.score(rows.union(rows), m).collect()}
+        assert len(m.arc_codes) <= s.held_arcs and (m.pair_bits is None) == (s == lm.Settings())
+        assert len(m.arc_codes) + m.entries.filter("c IS NULL").count() == sum(map(len, after.values()))
+        for d, w in want.items():
+            assert (got[d].n_tokens, got[d].n_known) == w[:2]
+            assert got[d].base_score == pytest.approx(w[2], rel=1e-9) and got[d].score == pytest.approx(w[3], rel=1e-9)
+
+
+def test_no_share_leaves_pairs_out():
+    s = lm.Settings()
+    assert s.states == s.arcs == 0 and s.least == 2

@@ -22,17 +22,21 @@ END = b"\n"  # the end token: no word can be this
 
 @dataclass(frozen=True)
 class Settings:
-    """Which tokens the tasks hold themselves, by share of all training tokens, so that the number has a bound.
+    """The model, and which part of it the tasks hold themselves, so that the number has a bound.
 
-    states: a token of at least this share is a state; at most 1 / states of them exist, 2 million. arcs: so for pairs
-    of states, at most 5 million, counted at least least times. All other tokens' counts meet their documents in a
-    join. discount: taken off each pair's count for what follows a state unseen.
+    states, arcs: shares of all training tokens that a token, or a pair, needs to take part; 0: all do. least: pairs
+    counted at least so often are arcs. discount: taken off each pair's count for what follows a state unseen.
+    held: tokens of at least this share are in the tasks' memory, at most 1 / held of them, 2 million. held_arcs: so
+    many arcs between them at most, the most frequent. All other tokens and arcs meet their documents in a join, so
+    what is held changes no score.
     """
 
-    states: float = 5e-7
-    arcs: float = 2e-7
+    states: float = 0.0
+    arcs: float = 0.0
     least: int = 2
     discount: float = 0.5
+    held: float = 5e-7
+    held_arcs: int = 1_000_000
 
 
 def key_of(word: bytes) -> int:
@@ -48,6 +52,28 @@ def tokens(text: str | None) -> list[bytes]:
     return words
 
 
+def pair_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """64-bit keys of pairs of token keys: a turned by one bit, and b."""
+    return (a << 1 | (a >> 63 & 1)) ^ b
+
+
+BITS = 1 << 27  # of a bit map: 16 MB
+
+
+def bit_map(rows: DataFrame) -> np.ndarray:
+    """Bits of the keys k of rows, of one size however many there are: it may show a key that is not there, but none is missed."""
+    bit = F.expr("shiftleft(1L, cast(k & 63 as int))")
+    found = rows.select(F.expr(f"shiftright(k & {BITS - 1}L, 6)").alias("w"), bit.alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(BITS >> 6, np.int64)
+    out[found["w"].to_numpy()] = found["bits"].to_numpy()
+    return out
+
+
+def may_hold(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = keys & (BITS - 1)
+    return (bits[at >> 6] >> (at & 63) & 1).astype(bool)
+
+
 class Names(dict):
     """Word to state number, or to -1 if it is none; as many words as fit are remembered."""
 
@@ -65,79 +91,96 @@ class Names(dict):
 
 @dataclass(frozen=True)
 class Model:
-    """keys: of the states, by number; counts: all training tokens' (key, c); arcs: code (from << 21 | to) and count."""
+    """keys, state_counts, backs: of the held tokens, by number, with their log10 backoff weights; arc_codes (from << 21
+    | to), arc_counts: of the held arcs. pair_bits: a bit map of the other arcs, None if there are none. entries: (k, c, w)
+    of all tokens (count, backoff weight) and of the arcs that are not held (no count; what the arc adds to a backoff)."""
 
     keys: np.ndarray
     state_counts: np.ndarray
+    backs: np.ndarray
     arc_codes: np.ndarray
     arc_counts: np.ndarray
-    counts: DataFrame | None
+    pair_bits: np.ndarray | None
+    entries: DataFrame | None
     n: int
     v: int
     s: Settings
 
     def shipped(self) -> tuple:
-        return self.keys, self.state_counts, self.arc_codes, self.arc_counts, self.n, self.v, self.s
+        return self.keys, self.state_counts, self.backs, self.arc_codes, self.arc_counts, self.pair_bits, self.n, self.v, self.s
 
 
 class Automaton:
-    """States are the root and each frequent token, as the context after it. An arc reads a token and adds its log10
+    """States are the root and each held token, as the context after it. An arc reads a token and adds its log10
     probability; where a state has no arc for it, the failure arc adds the state's backoff weight and goes to the root,
-    whose arcs read any token. Each state's arcs and failure arc share out a probability of 1."""
+    whose arcs read any token. Each state's arcs, held or not, and failure arc share out a probability of 1."""
 
-    def __init__(self, keys, state_counts, arc_codes, arc_counts, n, v, s):
+    def __init__(self, keys, state_counts, backs, arc_codes, arc_counts, pair_bits, n, v, s):
+        self.keys, self.pair_bits = np.append(keys, 0), pair_bits
         self.names = Names({int(k): i for i, k in enumerate(keys)})
         self.unit = n + 0.5 * (v + 1)
         single = (state_counts + 0.5) / self.unit
-        start, to = arc_codes >> 21, arc_codes & ((1 << 21) - 1)
-        p = (arc_counts - s.discount) / state_counts[start] if len(start) else np.zeros(0)
-        used = np.bincount(start, p, len(keys)) if len(start) else np.zeros(len(keys))
-        cover = np.bincount(start, single[to], len(keys)) if len(start) else np.zeros(len(keys))
-        left = np.maximum(1 - used, 1e-9) / np.maximum(1 - cover, 1e-9)
+        p = (arc_counts - s.discount) / state_counts[arc_codes >> 21] if len(arc_codes) else np.zeros(0)
         self.arcs = dict(zip(arc_codes.tolist(), np.log10(p).tolist()))
         self.single = np.log10(single).tolist()
-        self.back = [*np.where(np.bincount(start, minlength=len(keys)) > 0, np.log10(left), 0.0).tolist(), 0.0]
+        self.back = [*backs.tolist(), 0.0]
         self.root = len(keys)
+        self.end = key_of(END)
         self.first = self.names[END] if self.names[END] >= 0 else self.root
         self.singles = np.append(single, 1.0)
 
-    def run(self, words: list[bytes]) -> tuple[float, float, int, dict[bytes, int]]:
-        """(score, base, states read) without the rare words, which add the same to both, and those with their number."""
+    def run(self, words: list[bytes]) -> tuple[float, float, int, dict[int, int], dict[int, int]]:
+        """(score, base, tokens read) of what is held, and the keys of the other tokens and of pairs that may be arcs
+        which are not held, with their numbers: what the model's entries say of these is still to be added."""
         arc, single, back, root = self.arcs.get, self.single, self.back, self.root
         ids = list(map(self.names.__getitem__, words))
-        state, score = self.first, 0.0
-        for i in ids:
+        state, score, missed = self.first, 0.0, []
+        for at, i in enumerate(ids):
             if i < 0:
                 score += back[state]
                 state = root
+                missed.append(at)
                 continue
-            p = arc(state << 21 | i)
-            score += p if p is not None else back[state] + single[i]
+            p = arc(state << 21 | i) if state != root else None
+            if p is None:
+                p = back[state] + single[i]
+                missed.append(at)
+            score += p
             state = i
         at = np.array(ids)
         known = int((at >= 0).sum())
-        rare = Counter([w for w, i in zip(words, ids) if i < 0]) if known < len(ids) else {}
-        return score, float(np.log10(self.singles[at]).sum()), known, rare
-
-
-def _sums(texts: DataFrame, count, size: int = 1_000_000) -> DataFrame:
-    """(k, n): sums over all texts of what count() yields for lists of token lists, added up in the task first."""
+        others = np.flatnonzero(at < 0)
+        far = np.fromiter((key_of(words[x]) for x in others), np.int64, len(others))
+        rare = Counter(far.tolist())
+        pairs = {}
+        if self.pair_bits is not None and missed:
+            keys = np.empty(len(words) + 1, np.int64)
+            keys[0], keys[1:] = self.end, self.keys[at]
+            keys[1 + others] = far
+            missed = np.array(missed)
+            codes = pair_key(keys[missed], keys[missed + 1])
+            pairs = Counter(codes[may_hold(self.pair_bits, codes)].tolist())
+        return score, float(np.log10(self.singles[at]).sum()), known, rare, pairs
+
+
+def _sums(texts: DataFrame, count, names: tuple[str, ...] = ("k",)) -> DataFrame:
+    """names and n: sums over all texts of what count() yields for lists of token lists, added up in the task first."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = count()
         for b in batches:
             for t in b.column(0):
-                for k, n in total.add(tokens(t.as_py())):
-                    yield from _cut(k, n)
-        for k, n in total.rest():
-            yield from _cut(k, n)
+                for found in total.add(tokens(t.as_py())):
+                    yield from _cut(found)
+        for found in total.rest():
+            yield from _cut(found)
 
-    def _cut(k: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for a in range(0, len(k), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(k[a : a + 100_000], pa.int64()), pa.array(n[a : a + 100_000], pa.int64())], names=["k", "n"])
+    def _cut(found: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
+        for a in range(0, len(found[0]), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 100_000], pa.int64()) for x in found], names=[*names, "n"])
 
     ship(texts.sparkSession)
-    return texts.select("text").mapInArrow(work, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
+    return texts.select("text").mapInArrow(work, ", ".join(f"{c} long" for c in (*names, "n"))).groupBy(*names).agg(F.sum("n").alias("n"))
 
 
 class Singles:
@@ -158,38 +201,99 @@ class Singles:
 
 
 class Pairs:
-    """Counts of pairs of neighbouring states; the end stands before the first token."""
+    """Counts (k, a, n) of pairs of neighbours; the end stands before the first token. Of two held tokens, k is their code
+    and a is 0; else a is the first one's key and k the pair's. Pairs with a token that is in too few places are left out."""
 
-    def __init__(self, names: Names):
-        self.names, self.codes, self.held = names, [], 0
+    def __init__(self, names: Names, keys: np.ndarray, bits: np.ndarray):
+        self.names, self.keys, self.bits, self.found, self.held = names, np.append(keys, 0), bits, [], 0
 
     def add(self, words: list[bytes]):
-        ids = np.fromiter(map(self.names.__getitem__, [END, *words]), np.int64, len(words) + 1)
-        good = (ids[:-1] >= 0) & (ids[1:] >= 0)
-        self.codes.append((ids[:-1] << 21 | ids[1:])[good])
-        self.held += len(self.codes[-1])
+        words = [END, *words]
+        ids = np.fromiter(map(self.names.__getitem__, words), np.int64, len(words))
+        others = np.flatnonzero(ids < 0)
+        keys, use = self.keys[ids], np.ones(len(ids), bool)
+        if len(others):
+            keys[others] = np.fromiter((key_of(words[x]) for x in others), np.int64, len(others))
+            use[others] = may_hold(self.bits, keys[others])
+        good = use[:-1] & use[1:]
+        near = (ids[:-1] >= 0) & (ids[1:] >= 0)
+        k = np.where(near, ids[:-1] << 21 | ids[1:], pair_key(keys[:-1], keys[1:]))
+        self.found.append((k[good], np.where(near, 0, keys[:-1])[good]))
+        self.held += int(good.sum())
         return self.rest() if self.held > 6_000_000 else ()
 
     def rest(self):
-        out = [np.unique(np.concatenate(self.codes), return_counts=True)] if self.codes else []
-        self.codes, self.held = [], 0
+        out = []
+        if self.found:
+            k, a = (np.concatenate(x) for x in zip(*self.found))
+            for near in (True, False):
+                part, first = k[(a == 0) == near], a[(a == 0) == near]
+                values, at, n = np.unique(part, return_index=True, return_counts=True)
+                out.append((values, first[at], n))
+        self.found, self.held = [], 0
         return out
 
 
+def _by_keys(pairs: DataFrame, shared) -> DataFrame:
+    """(a, b, n) by the tokens' keys, of what Pairs counts."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = np.append(shared.value[0], 0)
+        for batch in batches:
+            k, a, n = (batch.column(x).to_numpy(zero_copy_only=False) for x in range(3))
+            near = a == 0
+            code = np.where(near, k, 0)
+            first = np.where(near, keys[code >> 21], a)
+            second = np.where(near, keys[code & ((1 << 21) - 1)], pair_key(a, k))  # the key is its own inverse
+            yield pa.RecordBatch.from_arrays([pa.array(first), pa.array(second), pa.array(n)], names=["a", "b", "n"])
+
+    return pairs.select("k", "a", "n").mapInArrow(work, "a long, b long, n long")
+
+
 def train(docs: DataFrame, s: Settings = Settings()) -> Model:
-    """Count all tokens of docs, and the pairs of frequent ones, in two passes over the whole texts.
+    """Count all tokens of docs and all pairs of neighbours, in two passes over the whole texts.
 
-    The counts stay a table. Only states and arcs come to the driver: by their share of all tokens they number at most
-    1 / s.states and 1 / s.arcs. Null texts: empty. No documents: every token is unknown.
+    Tokens and arcs stay tables. Only those held come to the driver, at most 1 / s.held tokens and s.held_arcs arcs, and
+    bit maps of one size. Null texts: empty. No documents: every token is unknown.
     """
+    spark = docs.sparkSession
     counts = scratch(_sums(docs, Singles))
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    rows = counts.filter(F.col("n") >= max(1, math.ceil(s.states * n))).orderBy(F.desc("n"), "k").toPandas()
-    keys, state_counts = rows["k"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
-    shared = docs.sparkSession.sparkContext.broadcast(keys)
-    pairs = _sums(docs, lambda: Pairs(Names({int(k): i for i, k in enumerate(shared.value)})))
-    arcs = pairs.filter(F.col("n") >= max(s.least, math.ceil(s.arcs * n))).toPandas().sort_values("k")
-    return Model(keys, state_counts, arcs["k"].to_numpy(np.int64), arcs["n"].to_numpy(np.int64), counts, n, v, s)
+    unit = float(n + 0.5 * (v + 1))
+    state, least = max(1, math.ceil(s.states * n)), max(s.least, math.ceil(s.arcs * n))
+    held = max(state, math.ceil(s.held * n))
+    rows = counts.filter(F.col("n") >= held).toArrow()
+    keys, state_counts = rows["k"].to_numpy(), rows["n"].to_numpy()
+    order = np.lexsort((keys, -state_counts))
+    keys, state_counts = keys[order], state_counts[order]
+    some = counts.filter(F.col("n") >= max(state, least))  # no pair is more frequent than its tokens
+    shared = spark.sparkContext.broadcast((keys, bit_map(some)))
+    pairs = _sums(docs, lambda: Pairs(Names({int(k): i for i, k in enumerate(shared.value[0])}), *shared.value), ("k", "a")).filter(F.col("n") >= least)
+    pairs = scratch(_by_keys(pairs, shared))
+    pairs = pairs.join(some.select(F.col("k").alias("b"), F.col("n").alias("cb")), "b").join(some.select(F.col("k").alias("a"), F.col("n").alias("ca")), "a")
+    pairs = scratch(pairs.select("a", "b", "n", "ca", "cb"))
+    used = (F.sum("n") - F.count("*") * s.discount) / F.first("ca")
+    cover = (F.sum("cb") + F.count("*") * 0.5) / F.lit(unit)
+    left = F.log10(F.greatest(1 - used, F.lit(1e-9)) / F.greatest(1 - cover, F.lit(1e-9)))
+    backs = scratch(pairs.groupBy("a").agg(left.alias("back")))
+    both = (F.col("ca") >= held) & (F.col("cb") >= held)
+    by_n = pairs.filter(both).groupBy("n").agg(F.count("*").alias("m")).orderBy(F.desc("n")).toArrow()
+    fit = np.cumsum(by_n["m"].to_numpy()) <= s.held_arcs
+    from_n = int(by_n["n"].to_numpy()[fit].min()) if fit.any() else n + 1
+    near = both & (F.col("n") >= from_n)
+    arcs, weights = pairs.filter(near).select("a", "b", "n").toArrow(), backs.join(some.filter(F.col("n") >= held).select(F.col("k").alias("a")), "a", "left_semi").toArrow()
+    place = np.argsort(keys)
+    number = lambda x: place[np.searchsorted(keys, x.to_numpy(), sorter=place)] if len(x) else np.zeros(0, np.int64)
+    back = np.zeros(len(keys))
+    back[number(weights["a"])] = weights["back"].to_numpy()
+    codes, arc_counts = number(arcs["a"]) << 21 | number(arcs["b"]), arcs["n"].to_numpy()
+    by_code = np.argsort(codes)
+    delta = F.log10((F.col("n") - s.discount) / F.col("ca")) - F.col("back") - F.log10((F.col("cb") + 0.5) / F.lit(unit))
+    k = F.expr("(shiftleft(a, 1) | shiftrightunsigned(a, 63)) ^ b")
+    far = scratch(pairs.filter(~near).join(backs, "a").select(k.alias("k"), F.lit(None).cast("long").alias("c"), delta.alias("w")))
+    own = counts.join(backs.withColumnRenamed("a", "k"), "k", "left").select("k", F.col("n").alias("c"), F.coalesce("back", F.lit(0.0)).alias("w"))
+    bits = bit_map(far) if far.head(1) else None
+    return Model(keys, state_counts, back, codes[by_code], arc_counts[by_code], bits, scratch(own.union(far)), n, v, s)
 
 
 _machines: dict[str, Automaton] = {}  # of this worker, by the name its scoring run has
@@ -198,9 +302,9 @@ _machines: dict[str, Automaton] = {}  # of this worker, by the name its scoring
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score and score (log10), one row per row of docs, in one traversal per text.
 
-    The automaton is broadcast (see train for its bound). What rare words add is looked up by a join of (document,
-    word) with the table of counts, summed per document. Null text: only the end. Null doc_id stays null. Repeated
-    rows each get theirs. Empty table: empty result. Other columns are left out.
+    The automaton is broadcast (see train for its bound). What other tokens and arcs add is looked up by a join of
+    (document, key) with the model's entries, summed per document. Null text: only the end. Null doc_id stays null.
+    Repeated rows each get theirs. Empty table: empty result. Other columns are left out.
     """
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model.shipped())
@@ -216,15 +320,18 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             for a in range(0, b.num_rows, 500):
                 part = b.slice(a, 500)
                 found = [machine.run(tokens(t.as_py())) for t in part.column("text")]
-                rows = np.array([1 + len(r[3]) for r in found], np.int64)
+                rows = np.array([1 + len(r[3]) + len(r[4]) for r in found], np.int64)
                 at, first = np.repeat(np.arange(len(found)), rows), np.cumsum(rows) - rows
                 keys, ns = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
                 rare = np.ones(len(at), bool)
                 rare[first] = False
+                kinds = np.zeros(len(at), np.int32)
+                kinds[first] = 1
+                kinds[rare] = [x for r in found for x in [0] * len(r[3]) + [2] * len(r[4])]
                 keys[first] = part.column("h").to_numpy(zero_copy_only=False)
                 ns[first] = [r[2] for r in found]
-                keys[rare] = [k for r in found for k in map(key_of, r[3])]
-                ns[rare] = [n for r in found for n in r[3].values()]
+                keys[rare] = [k for r in found for x in r[3:] for k in x]
+                ns[rare] = [n for r in found for x in r[3:] for n in x.values()]
 
                 def at_first(values: list, kind: type) -> pa.Array:
                     out = np.zeros(len(at), kind)
@@ -232,18 +339,20 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                     return pa.array(out)
 
                 own = pa.array(at)
-                cols = [part.column("doc_id").take(own), part.column("h").take(own), pa.array((~rare).astype(np.int32)), pa.array(keys), pa.array(ns)]
+                cols = [part.column("doc_id").take(own), part.column("h").take(own), pa.array(kinds), pa.array(keys), pa.array(ns)]
                 cols += [at_first([r[1] for r in found], np.float64), at_first([r[0] for r in found], np.float64), at_first([r[2] for r in found], np.int64)]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "h", "head", "k", "n", "base", "score", "known"])
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "h", "kind", "k", "n", "base", "score", "known"])
 
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
-    parts = rows.mapInArrow(work, f"doc_id {kind}, h long, head int, k long, n long, base double, score double, known long")
+    parts = rows.mapInArrow(work, f"doc_id {kind}, h long, kind int, k long, n long, base double, score double, known long")
     parts = parts.withColumn("h", F.col("h").bitwiseAND(F.lit(0xFFFFFFFF)).cast("long"))  # tells texts of one doc_id apart
-    met = parts.join(model.counts.select("k", F.col("n").alias("c")), "k", "left")
-    c = F.when(F.col("head") == 1, None).otherwise(F.coalesce("c", F.lit(0)))
-    more = F.when(F.col("head") == 1, 0.0).otherwise(F.col("n") * F.log10((c + 0.5) / F.lit(float(unit))))
-    known = F.when((F.col("head") == 0) & (c > 0), F.col("n")).otherwise(F.col("known"))
-    met = met.select("doc_id", "h", "head", "n", (F.col("base") + more).alias("base"), (F.col("score") + more).alias("score"), known.alias("known"))
+    met = parts.join(model.entries, "k", "left")
+    is_head, is_token = F.col("kind") == 1, F.col("kind") == 0
+    c, w = F.coalesce("c", F.lit(0)), F.col("n") * F.coalesce("w", F.lit(0.0))
+    more = F.when(is_token, F.col("n") * F.log10((c + 0.5) / F.lit(float(unit)))).otherwise(0.0)
+    extra = more + F.when(is_head, 0.0).otherwise(w)
+    known = F.when(is_token & (c > 0), F.col("n")).otherwise(F.col("known"))
+    met = met.select("doc_id", "h", is_head.cast("int").alias("head"), F.when(F.col("kind") < 2, F.col("n")).otherwise(0).alias("n"), (F.col("base") + more).alias("base"), (F.col("score") + extra).alias("score"), known.alias("known"))
     out = met.groupBy("doc_id", "h").agg(F.sum("head").cast("int").alias("m"), *[F.sum(x).alias(x) for x in ("n", "base", "score", "known")])
     each = out.withColumn("__", F.explode(F.array_repeat(F.lit(0), F.col("m"))))  # equal rows were summed together
     return each.select("doc_id", F.expr("n div m").alias("n_tokens"), F.expr("known div m").alias("n_known"), (F.col("base") / F.col("m")).alias("base_score"), (F.col("score") / F.col("m")).alias("score"))
