@@ -1,3 +1,4 @@
+import base64
 import hashlib
 import re
 
@@ -55,3 +56,27 @@ def test_odd_rows(spark):
     assert ss.scan_secrets(docs).count() == docs.count()
     assert ss.remove_secrets(docs).columns == docs.columns and ss.remove_secrets(docs).count() == docs.count()
     assert ss.scan_secrets(docs.limit(0)).count() == 0 and ss.remove_secrets(docs.limit(0)).count() == 0
+
+
+def test_private_keys(spark):
+    """Keys of one header are judged and masked by their bodies; one that many hold is an example, however wrapped."""
+    def body(seed):
+        s = base64.b64encode(b"".join(hashlib.sha256(f"{seed}{i}".encode()).digest() for i in range(20))).decode()
+        return [s[a : a + 64] for a in range(0, len(s), 64)]
+
+    def block(lines, end="\n", last=True, notes=""):
+        return f"-----BEGIN RSA PRIVATE KEY-----{end}{notes}{end.join(lines)}{end}" + ("-----END RSA PRIVATE KEY-----" if last else "")
+
+    notes = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0011\n\n"
+    own = [block(body("a")), block(body("b"), "\\n"), block(body("c"), last=False) + "then words", block(body("d"), notes=notes), block(body("e")) + " and " + block(body("f"), "\r\n")]
+    texts = [f"before {t} after" for t in own] + [f"x {block(body('shared'), e)} y" for e in ("\n", "\r\n", "\\n", " ")]
+    texts += ["-----BEGIN RSA PRIVATE KEY----- x", "-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join(body("g") * 40)]
+    docs = spark.createDataFrame([(i, t, None, f"s{i}", len(t)) for i, t in enumerate(texts)], DOCS)
+    pem = {r.doc_id: [v for s, v in zip(r.spans, r.verdicts) if s.kind == "pem"] for r in ss.scan_secrets(docs).collect()}
+    assert [pem[i] for i in range(5)] == [["live"]] * 4 + [["live"] * 2] and all(pem[i] == ["example"] for i in range(5, 9))
+    clean = {r.doc_id: r.text for r in ss.remove_secrets(docs).collect()}
+    for i, seeds in enumerate(["a", "b", "c", "d", "ef"]):
+        assert not any(line in clean[i] for x in seeds for line in body(x)) and clean[i].count("[SECRET]") == len(seeds)
+        assert clean[i].startswith("before -----BEGIN RSA PRIVATE KEY-----") and clean[i].endswith(" after")
+    assert all(clean[i] == texts[i] for i in range(5, 9)) and "then words" in clean[2]
+    assert not any(line in clean[10] for line in body("g"))

@@ -12,8 +12,11 @@ from .common import of, scratch, small, table
 ASSIGN = r"""((?i)password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
-#: Added by the method: headers of private key blocks.
-PEM = r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"
+#: Added by the method: private key blocks. The body goes up to the END line or, without one, as far as base64 lines go;
+#: the match ends with it, so that its place is known. Possessive, as Java repeats such groups in a loop at any length. A header without a body stands for itself.
+PEM_END = r"[^-]*+(?:-{1,4}[^-]++)*+(?=-----END [A-Z ]{0,40}PRIVATE KEY-----)"
+PEM_LINES = r"[A-Za-z0-9+/=]{32,}+(?:[\s\\]++[A-Za-z0-9+/=]{16,}+)*+(?:[\s\\]++[A-Za-z0-9+/]{1,15}={1,2})?"
+PEM = rf"-----BEGIN [A-Z ]{{0,40}}PRIVATE KEY-----(?:\s*+(?:\\[nr]\s*+)*+({PEM_END}|{PEM_LINES}))?"
 BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "pem")
 #: So many documents with live values (about 100 bytes each) are broadcast at most.
@@ -22,7 +25,8 @@ EMPTY = "array<struct<start:int,order:int,kind:string,end:int,value:string>>"
 
 
 def _matches(text: Column, pattern: str, kind: str, group: int, least: int = 1) -> Column:
-    """Matches of one kind with their places: the pieces between matches give the distances."""
+    """Matches of one kind with their places: the pieces between matches give the distances. Without a value in the
+    group, the match is the value."""
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     rows = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), hits.alias("hit"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("value"))
     rows = F.filter(rows, lambda x: x["hit"].isNotNull())  # the last piece has no match after it
@@ -31,8 +35,9 @@ def _matches(text: Column, pattern: str, kind: str, group: int, least: int = 1)
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["gap"])
         end = start + F.length(x["hit"])
-        span = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("order"), F.lit(kind).alias("kind"), end.alias("end"), x["value"].alias("value"))
-        kept = F.when(F.length(x["value"]) >= least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"])
+        value = F.when(x["value"] == "", x["hit"]).otherwise(x["value"])
+        span = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("order"), F.lit(kind).alias("kind"), end.alias("end"), value.alias("value"))
+        kept = F.when(F.length(value) >= least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"])
         return F.struct(end.alias("at"), kept.alias("out"))
 
     folded = F.aggregate(rows, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
@@ -42,12 +47,13 @@ def _matches(text: Column, pattern: str, kind: str, group: int, least: int = 1)
 def secret_spans(text: Column) -> Column:
     """All spans of a text by start, then kind as listed: array of (start, order, kind, end, value), in code points."""
     text = F.coalesce(text, F.lit(""))
-    found = [_matches(text, ASSIGN, "assign", 2, 6), _matches(text, ACCESS, "access", 0), _matches(text, HEX, "hex", 0), _matches(text, PEM, "pem", 0)]
+    found = [_matches(text, ASSIGN, "assign", 2, 6), _matches(text, ACCESS, "access", 0), _matches(text, HEX, "hex", 0), _matches(text, PEM, "pem", 1)]
     return F.sort_array(F.concat(*found))
 
 
 def _digest(value: Column) -> Column:
-    return F.md5(value)
+    """Of the value without line ends, real or written, which only a key's body has: a copy may be wrapped anew."""
+    return F.md5(F.regexp_replace(value, r"\s|\\[nr]", ""))
 
 
 def ownership(found: DataFrame, min_owners: int = 3, min_length: int = 16, min_letters: int = 8) -> DataFrame:
