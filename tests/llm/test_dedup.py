@@ -85,3 +85,14 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 101), (205, 203), (203, 209)]
     got = {r.node: r.label for r in dedup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in range(61)) and got[101] == 100 and got[209] == 203
+
+
+def test_rows_of_one_id(spark):
+    """Null and repeated ids: only near copies go, row by row."""
+    text = lambda i: " ".join(f"w{i}x{j}" for j in range(30))
+    rows = [(None, text(i)) for i in range(5)] + [(7, text(i)) for i in range(5, 10)] + [(8, None), (8, None), (None, ""), (None, None)]
+    rows += [(7, text(20)), (3, text(20)), (9, text(5)), (None, text(30)), (1, text(30) + " end"), (None, text(0))]
+    docs = spark.createDataFrame([(d, t, None, None, 0) for d, t in rows], DOCS)
+    kept = sorted(((r.doc_id, r.text) for r in dedup.drop_near_copies(docs).collect()), key=repr)
+    want = rows[:14] + [(3, text(20)), (None, text(30))]
+    assert kept == sorted(want, key=repr)

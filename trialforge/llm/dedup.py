@@ -231,15 +231,21 @@ def near_groups(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """docs with one document of each group of linked documents, the one of least doc_id; columns as they were.
+    """docs with one row of each group of linked texts, the one of least doc_id (null before all), then the first; columns
+    as they were.
 
-    Of repeated rows of one doc_id one stays. The ids to drop are broadcast if few, else joined.
+    Rows count each alone, whatever their doc_id, so that only linked rows go: texts that share an id, or have none, stay
+    unless they are near copies, and so do all without words. The rows are numbered in a written table; the numbers to
+    drop are broadcast if few, else joined.
     """
-    found = scratch(near_groups(docs, s))
-    gone = scratch(found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone")).distinct())
-    out = docs.join(small(gone), docs["doc_id"] == F.col("__gone"), "left_anti")
-    repeated = found.groupBy("doc_id").count().filter("count > 1")
-    return out.dropDuplicates(["doc_id"]) if repeated.head(1) else out
+    rows = scratch(docs.withColumn("__row", F.monotonically_increasing_id()))
+    found = near_groups(rows.select(F.col("__row").alias("doc_id"), "text"), s).select(F.col("doc_id").alias("__row"), "component_id")
+    linked = scratch(found.filter(F.col("__row") != F.col("component_id")))
+    members = scratch(linked.union(linked.select(F.col("component_id").alias("__row"), "component_id").distinct()))
+    named = rows.select("__row", F.col("doc_id").cast("long").alias("id")).join(small(members), "__row")
+    kept = named.groupBy("component_id").agg(F.min(F.struct("id", "__row")).alias("m")).select("m.__row")
+    gone = scratch(members.select("__row").join(kept, "__row", "left_anti"))
+    return rows.join(small(gone), "__row", "left_anti").select(*docs.columns)
 
 
 def op4_minhash_dedup(spark, sf_dir: str) -> DataFrame:
