@@ -37,6 +37,44 @@ def of(value: str, field: str | None = None) -> Callable[[Column], Column]:
     return lambda x: (x[field] if field else x) == value
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once: in a lambda, an outer expression is computed at every call."""
+    return F.transform(F.array(value), body)[0]
+
+
+def running(values: Column, step: Callable[[Column, Column], Column], zero: Column, chunk: int = 256) -> Column:
+    """For each element of an array of longs, step folded over all earlier ones.
+
+    An array can't be appended to in place, so the folds are over chunks of an array, then over the chunks' totals:
+    a million elements take some millions of copies, not the square.
+    """
+    none = F.array().cast("array<bigint>")
+
+    def fold(xs: Column) -> Column:
+        return F.aggregate(xs, F.struct(zero.alias("at"), none.alias("out")), lambda acc, x: F.struct(step(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))
+
+    def whole(xs: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(xs) / chunk).cast("int") - 1, F.lit(0)))
+        parts = F.transform(starts, lambda i: fold(F.slice(xs, i * chunk + 1, chunk)))
+        return let(parts, lambda p: F.flatten(F.zip_with(p, fold(F.transform(p, lambda c: c["at"]))["out"], lambda c, o: F.transform(c["out"], lambda v: step(o, v)))))
+
+    return let(values, whole)
+
+
+def pieces(text: Column, size: int = 4096) -> Column:
+    """The text in pieces of size code points, the last shorter: places in it are then found without a walk from its start."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+
+
+def between(cut: Column, start: Column, end: Column, size: int = 4096) -> Column:
+    """Code points start (from 0) up to end of a text that pieces() cut."""
+    i, j = F.floor(start / size).cast("int"), F.floor(end / size).cast("int")
+    at = lambda k: F.coalesce(F.get(cut, k), F.lit(""))
+    a, b = (start % size).cast("int"), (end % size).cast("int")
+    inside = F.array_join(F.slice(cut, i + 2, F.greatest(j - i - 1, F.lit(0))), "")
+    return F.when(i == j, F.substring(at(i), a + 1, b - a)).otherwise(F.concat(F.substring(at(i), a + 1, F.lit(size)), inside, F.substring(at(j), F.lit(1), b)))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset (local mode)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

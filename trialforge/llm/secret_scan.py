@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import of, scratch, small, table
+from .common import between, let, of, pieces, running, scratch, table
 
 #: Fixed values of the contract, in its order. {n,} states "drop what is shorter" where no shorter match can hide a
 #: longer one; assign keeps its plain form, as a dropped match there still consumes its text.
@@ -19,8 +19,8 @@ PEM_LINES = r"[A-Za-z0-9+/=]{32,}+(?:[\s\\]++[A-Za-z0-9+/=]{16,}+)*+(?:[\s\\]++[
 PEM = rf"-----BEGIN [A-Z ]{{0,40}}PRIVATE KEY-----(?:\s*+(?:\\[nr]\s*+)*+({PEM_END}|{PEM_LINES}))?"
 BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "pem")
-#: So many documents with live values (about 100 bytes each) are broadcast at most.
-LIVE_ROWS = 200_000
+#: The places to mask are broadcast if they take so many bytes at most, else joined.
+LIVE_BYTES = 16_000_000
 EMPTY = "array<struct<start:int,order:int,kind:string,end:int,value:string>>"
 
 
@@ -30,18 +30,17 @@ def _matches(text: Column, pattern: str, kind: str, group: int, least: int = 1)
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     rows = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), hits.alias("hit"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("value"))
     rows = F.filter(rows, lambda x: x["hit"].isNotNull())  # the last piece has no match after it
-    none = F.array().cast(EMPTY)
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["hit"])
+    def placed(rows: Column) -> Column:
+        before = running(F.transform(rows, lambda x: (F.length(x["gap"]) + F.length(x["hit"])).cast("long")), lambda a, b: a + b, F.lit(0).cast("long"))
+        return F.zip_with(rows, before, lambda x, at: span(x, (at + F.length(x["gap"])).cast("int")))
+
+    def span(x: Column, start: Column) -> Column:
         value = F.when(x["value"] == "", x["hit"]).otherwise(x["value"])
-        span = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("order"), F.lit(kind).alias("kind"), end.alias("end"), value.alias("value"))
-        kept = F.when(F.length(value) >= least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"])
-        return F.struct(end.alias("at"), kept.alias("out"))
+        return F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("order"), F.lit(kind).alias("kind"), (start + F.length(x["hit"])).alias("end"), value.alias("value"))
 
-    folded = F.aggregate(rows, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), folded).otherwise(none)
+    found = F.filter(let(rows, placed), lambda x: F.length(x["value"]) >= least)
+    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(EMPTY))
 
 
 def secret_spans(text: Column) -> Column:
@@ -56,68 +55,84 @@ def _digest(value: Column) -> Column:
     return F.md5(F.regexp_replace(value, r"\s|\\[nr]", ""))
 
 
-def ownership(found: DataFrame, min_owners: int = 3, min_length: int = 16, min_letters: int = 8) -> DataFrame:
-    """A verdict for each candidate hash, from (repository, owner, hash), at most one row per repository and hash.
+def ownership(found: DataFrame, min_owners: int = 3) -> DataFrame:
+    """A verdict for each candidate hash, from (repository, owner, hash, strong).
 
-    example: min_owners owners or more hold it, so it was copied around; live: fewer hold it and it is long and varied
-    enough to be a credential; weak: the rest. Two aggregations, each summed before its shuffle: a value that a third
-    of all rows hold arrives as one row per task and owner.
+    example: min_owners owners or more hold it, so it was copied around; live: fewer hold it and it is strong enough
+    to be a credential; weak: the rest. A repository counts once, however often it is seen. Three aggregations, each
+    summed before its shuffle: of a value that a third of all rows hold, repositories are dealt apart, then one row
+    per task and owner is left.
     """
-    held = found.groupBy("hash", "owner", "strong").agg(F.count("*").alias("n"))
+    once = found.groupBy("hash", "owner", "strong", "repository").agg(F.lit(1).alias("n"))
+    held = once.groupBy("hash", "owner", "strong").agg(F.sum("n").alias("n"))
     counted = held.groupBy("hash").agg(F.count("*").alias("n_owners"), F.sum("n").alias("n_repositories"), F.first("strong").alias("strong"))
     verdict = F.when(F.col("n_owners") >= min_owners, "example").when(F.col("strong"), "live").otherwise("weak")
     return counted.select("hash", "n_owners", "n_repositories", verdict.alias("verdict"))
 
 
 def _strong(value: Column, min_length: int, min_letters: int) -> Column:
-    return (F.length(value) >= min_length) & (F.size(F.array_distinct(F.split(value, ""))) >= min_letters)
+    """Long and varied, or of 10 characters at least with lower case, upper case and digits."""
+    varied = (F.length(value) >= min_length) & (F.size(F.array_distinct(F.split(value, ""))) >= min_letters)
+    return varied | ((F.length(value) >= 10) & value.rlike("[a-z]") & value.rlike("[A-Z]") & value.rlike("[0-9]"))
 
 
-def scan_secrets(docs: DataFrame, owner: str = "source", min_owners: int = 3, min_length: int = 16, min_letters: int = 8) -> DataFrame:
+def scan_secrets(docs: DataFrame, owner: str = "source", min_owners: int = 3, min_length: int = 16, min_letters: int = 8, carry: tuple[str, ...] = ()) -> DataFrame:
     """Find secrets in whole texts and judge each by how many repositories (documents) and owners hold its value.
 
     Returns one row per row of docs: doc_id, spans (array of start, order, kind, end, value, sorted), verdicts (one
-    per span: live, example or weak) and live (hashes of the live values). Null text: no spans. Null owner: an owner
-    of its own. Null or repeated doc_id: rows stay apart. Empty table: empty result. Other columns are left out.
+    per span: live, example or weak), live (hashes of the live values) and the columns in carry. Null text: no spans.
+    Null owner: an owner of its own. Null doc_id: one repository. Repeated doc_id: rows stay apart, as one repository.
+    Empty table: empty result. Other columns are left out.
     """
-    keep = docs.select("doc_id", F.col(owner).alias("owner"), secret_spans(F.col("text")).alias("spans"))
+    own = [F.col(c).alias(f"__c{i}") for i, c in enumerate(carry)]
+    keep = docs.select("doc_id", *own, F.col(owner).alias("owner"), secret_spans(F.col("text")).alias("spans"))
     found = scratch(keep.withColumn("row", F.monotonically_increasing_id()))  # narrow; the ids are fixed once written
     some = found.filter(F.size("spans") > 0)
-    each = some.select("row", "owner", F.posexplode("spans").alias("i", "span")).select("row", "owner", "i", _digest(F.col("span.value")).alias("hash"), _strong(F.col("span.value"), min_length, min_letters).alias("strong"))
-    distinct = some.select("owner", F.explode(F.array_distinct(F.transform("spans", lambda s: F.struct(_digest(s["value"]).alias("hash"), _strong(s["value"], min_length, min_letters).alias("strong"))))).alias("c")).select("owner", "c.hash", "c.strong")
-    verdicts = ownership(distinct, min_owners, min_length, min_letters)
-    judged = each.join(verdicts, "hash", "left").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("i", "verdict", "hash"))).alias("judged"))
+    each = some.select("row", F.posexplode("spans").alias("i", "span")).select("row", "i", _digest(F.col("span.value")).alias("hash"))
+    distinct = some.select(F.col("doc_id").alias("repository"), "owner", F.explode("spans.value").alias("v")).select("repository", "owner", _digest(F.col("v")).alias("hash"), _strong(F.col("v"), min_length, min_letters).alias("strong"))
+    judged = each.join(ownership(distinct, min_owners), "hash", "left").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("i", "verdict", "hash"))).alias("judged"))
     out = found.join(judged, "row", "left")
     live = F.array_distinct(F.transform(F.filter("judged", lambda j: j["verdict"] == "live"), lambda j: j["hash"]))
-    return out.select("doc_id", "spans", F.coalesce(F.col("judged.verdict"), F.array().cast("array<string>")).alias("verdicts"), F.coalesce(live, F.array().cast("array<string>")).alias("live"))
+    none = F.array().cast("array<string>")
+    return out.select("doc_id", "spans", F.coalesce(F.col("judged.verdict"), none).alias("verdicts"), F.coalesce(live, none).alias("live"), *[F.col(f"__c{i}").alias(c) for i, c in enumerate(carry)])
+
+
+def live_places(spans: Column, verdicts: Column) -> Column:
+    """(start, end) of the live values among spans, by start."""
+    hot = F.filter(F.arrays_zip(spans.alias("s"), verdicts.alias("v")), lambda x: x["v"] == "live")
+    return F.sort_array(F.transform(hot, lambda x: F.struct((x["s"]["end"] - F.length(x["s"]["value"])).cast("long").alias("start"), x["s"]["end"].cast("long").alias("end"))))
 
 
-def redact(text: Column, live: Column, mask: str = "[SECRET]") -> Column:
-    """The text with each value whose hash is in live replaced by mask; overlapping values become one mask."""
-    spans = F.filter(secret_spans(text), lambda s: F.array_contains(live, _digest(s["value"])))
-    parts = F.sort_array(F.transform(spans, lambda s: F.struct((s["end"] - F.length(s["value"])).alias("start"), s["end"].alias("end"))))
+def redact(text: Column, places: Column, mask: str = "[SECRET]") -> Column:
+    """The text with mask at each of places (start, end; by start); places that overlap become one mask.
+
+    Gaps between places are cut out of pieces of the text and joined once, so the work grows with the text and the
+    number of places, not with their product.
+    """
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.when(s["start"] >= acc["at"], F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))).otherwise("")
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], gap).alias("out"))
+    def joined_up(cut: Column) -> Column:
+        past = running(F.transform(places, lambda p: p["end"]), lambda a, b: F.greatest(a, b), F.lit(0).cast("long"))
+        gaps = F.zip_with(places, past, lambda p, at: F.when(p["start"] >= at, F.concat(between(cut, at, p["start"]), F.lit(mask))).otherwise(""))
+        return F.concat(F.array_join(gaps, ""), between(cut, F.array_max(F.transform(places, lambda p: p["end"])), F.length(text).cast("long")))
 
-    return F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    return let(pieces(text), joined_up)
 
 
 def remove_secrets(docs: DataFrame, **options) -> DataFrame:
     """docs with every live-looking value masked in text (and n_chars, if there, set anew); other rows as they were.
 
-    The documents concerned are few; up to a counted limit they are broadcast, so texts stay where they are.
+    What to mask follows from the text, so the places go by its digest; those of the few texts concerned are
+    broadcast if their bytes are within LIVE_BYTES, and joined else.
     """
-    live = scan_secrets(docs, **options).filter(F.size("live") > 0)
-    live = live.groupBy(F.col("doc_id").alias("__id")).agg(F.array_distinct(F.flatten(F.collect_list("live"))).alias("__live"))
-    live = scratch(live)
-    out = docs.join(small(live, LIVE_ROWS), docs["doc_id"].eqNullSafe(live["__id"]), "left")
-    text = F.when(F.col("__live").isNotNull() & F.col("text").isNotNull(), redact(F.col("text"), F.col("__live"))).otherwise(F.col("text"))
-    out = out.withColumn("text", text)
+    key = F.md5(F.col("text").cast("binary"))
+    found = scan_secrets(docs.withColumn("__key", key), carry=("__key",), **options).filter(F.size("live") > 0)
+    live = scratch(found.groupBy(F.col("__key").alias("__of")).agg(F.first(live_places(F.col("spans"), F.col("verdicts"))).alias("__places")))
+    held = live.agg(F.coalesce(F.sum(F.size("__places") * 16 + 64), F.lit(0))).first()[0]
+    out = docs.join(F.broadcast(live) if held <= LIVE_BYTES else live, key == F.col("__of"), "left")
+    out = out.withColumn("text", F.when(F.col("__places").isNotNull(), redact(F.col("text"), F.col("__places"))).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("__live").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(kind))
+        out = out.withColumn("n_chars", F.when(F.col("__places").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(kind))
     return out.select(*docs.columns)
 
 
@@ -150,7 +165,7 @@ WITH d AS (
   SELECT r, source, k, o, v[i] AS val, CAST(list_sum(list_transform(g[1:i], lambda p: len(p))) + coalesce(list_sum(list_transform(h[1:i - 1], lambda p: len(p))), 0) AS BIGINT) AS st, len(h[i]) AS n
   FROM x WHERE k <> 'assign' OR len(v[i]) >= 6
 ), own AS (
-  SELECT val, CASE WHEN count(DISTINCT coalesce(source, chr(1))) >= 3 THEN 'example' WHEN len(val) >= 16 AND len(list_distinct(string_split(val, ''))) >= 8 THEN 'live' ELSE 'weak' END AS verdict FROM s GROUP BY val
+  SELECT val, CASE WHEN count(DISTINCT coalesce(source, chr(1))) >= 3 THEN 'example' WHEN len(val) >= 16 AND len(list_distinct(string_split(val, ''))) >= 8 OR len(val) >= 10 AND regexp_matches(val, '[a-z]') AND regexp_matches(val, '[A-Z]') AND regexp_matches(val, '[0-9]') THEN 'live' ELSE 'weak' END AS verdict FROM s GROUP BY val
 ), a AS (
   SELECT r, count(*) FILTER (WHERE k = 'assign') AS n_assign, count(*) FILTER (WHERE k = 'access') AS n_access, count(*) FILTER (WHERE k = 'hex') AS n_hex,
     string_agg(k || ':' || st || ':' || (st + n), ',' ORDER BY st, o) FILTER (WHERE o < 3) AS base, string_agg(k || ':' || st || ':' || (st + n), ',' ORDER BY st, o) AS spans,
