@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Spellings of transmitters and of functional types.
-TRANSMITTERS = {"acetylcholine": "ACh", "ach": "ACh", "glutamate": "Glu", "glu": "Glu", "gaba": "GABA", "da": "dopamine", "dopamine": "dopamine", "5-ht": "serotonin", "serotonin": "serotonin", "octopamine": "octopamine", "tyramine": "tyramine", "betaine": "betaine"}
-FUNCTIONS = {"sensory": "sensory", "inter": "interneuron", "interneuron": "interneuron", "motor": "motor", "polymodal": "polymodal", "unknown": "unknown"}
+#: Spellings of transmitters and of functional types; what else is written gets the prefix other:.
+TRANSMITTERS = {"ach": "ACh", "glu": "Glu", "gaba": "GABA", "da": "dopamine", "dopamine": "dopamine", "5-ht": "serotonin", "serotonin": "serotonin", "octopamine": "octopamine", "tyramine": "tyramine", "betaine": "betaine"}
+FUNCTIONS = {"motor neuron": "motor", "interneuron": "interneuron", "sensory neuron": "sensory", "unknown": "unknown", "pharyngeal motor neuron": "motor", "pharyngeal interneuron": "interneuron"}
+#: Transmitters that are none.
+NO_TRANSMITTER = ("unknown_orphan", "unknown_monoamine")
 #: Fixed value: what may follow a stem, a number, a dorsal or ventral letter, a side.
 STEM_SUFFIX = r"^(\d+)?([DV])?([LR])?$"
-#: Licence families.
-PERMISSIVE = ("MIT", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "CC0-1.0", "CC-BY-4.0")
-COPYLEFT = ("GPL", "LGPL", "AGPL", "CC-BY-SA")
+#: Licence names and, of those that demand the same licence, prefixes.
+PERMISSIVE = ("MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "CC-BY-4.0", "CC0-1.0", "Unlicense")
+COPYLEFT = ("GPL-", "LGPL-", "AGPL-", "MPL-", "CC-BY-SA-", "EUPL-")
 
 
 def label_status(label: Column) -> Column:
@@ -70,8 +72,8 @@ def acquisition_date(name: Column) -> Column:
 
 
 def has_transmitter(values: Column) -> Column:
-    """Whether a list names a transmitter that is known and not only taken up."""
-    return F.exists(values, lambda v: ~v.startswith("unknown") & ~v.endswith("_uptake") & ~v.startswith("other:"))
+    """Whether a list names a transmitter, of whatever spelling, that isn't said to be unknown or only taken up."""
+    return F.exists(values, lambda v: ~v.isin(*NO_TRANSMITTER) & ~v.endswith("_uptake"))
 
 
 def sign_for(loader: Column, kind: Column, raws: Column) -> Column:

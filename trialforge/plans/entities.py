@@ -110,17 +110,18 @@ _LISTED = lambda c, a: f"array_to_string(list_sort(list(DISTINCT {c}) FILTER (WH
 
 
 def transmitter_names(spark, d):
-    raw = F.concat(F.lit("*"), F.initcap("lang"), F.lit(" - NEW, GABA (uptake), "), F.when(F.col("doc_id") % 3 == 0, "Glu").when(F.col("doc_id") % 3 == 1, "unknown (monoamine, x)").otherwise("5-HT"))
+    k = F.col("doc_id") % 4
+    raw = F.when(k == 0, "*Acetylcholine - NEW, GABA (uptake), Glu").when(k == 1, "GABA (uptake), unknown (monoamine, x)").when(k == 2, F.concat(F.lit("5-HT , "), F.initcap("lang"))).otherwise("ACh (new),, Unknown")
     x = read(spark, d, "documents").select("doc_id", text.transmitters(raw).alias("t"))
     return x.select("doc_id", join_text("t").alias("names"), text.has_transmitter(F.col("t")).alias("has"))
 
 
-_TN = """WITH x AS (SELECT doc_id, ['other:' || lang, 'GABA_uptake', CASE doc_id % 3 WHEN 0 THEN 'Glu' WHEN 1 THEN 'unknown_monoamine' ELSE 'serotonin' END] AS t FROM documents)
-SELECT doc_id, array_to_string(t, ',') AS names, doc_id % 3 <> 1 AS has FROM x"""
+_TN = """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'other:acetylcholine,GABA_uptake,Glu' WHEN 1 THEN 'GABA_uptake,unknown_monoamine' WHEN 2 THEN 'serotonin,other:' || lang ELSE 'ACh,unknown_orphan' END AS names,
+ doc_id % 4 <> 1 AS has FROM documents"""
 
 
 def function_names(spark, d):
-    raw = F.concat(F.lit(" Sensory , , "), F.col("lang"), F.lit(",INTER"))
+    raw = F.concat(F.lit(" Motor Neuron , , "), F.col("lang"), F.when(F.col("doc_id") % 2 == 0, ",PHARYNGEAL interneuron,Unknown").otherwise(",sensory, Sensory neuron,Pharyngeal motor neuron"))
     return read(spark, d, "documents").select("doc_id", join_text(text.function_types(raw)).alias("types"))
 
 
@@ -149,9 +150,9 @@ def edge_signs(spark, d):
 
 def license_category(spark, d):
     p = read(spark, d, "part")
-    spdx = F.when(F.col("p_partkey") % 5 == 0, "MIT").when(F.col("p_partkey") % 5 == 1, "GPL-3.0").when(F.col("p_partkey") % 5 == 2, "Custom").when(F.col("p_partkey") % 5 == 3, "")
+    spdx = F.element_at(F.array(*[F.lit(x) for x in ("MIT", "GPL-3.0-only", "Custom", "", None, "ISC", "Unlicense", "MPL-2.0", "EUPL-1.2", "CC-BY-SA-4.0", "GPLv3", "CC-BY-NC-4.0")]), (F.col("p_partkey") % 12 + 1).cast("int"))
     status = F.when(F.col("p_size") % 4 == 0, "none_declared").when(F.col("p_size") % 4 == 1, "unknown").otherwise("declared")
-    return p.groupBy(text.license_category(spdx, status).alias("category")).agg(F.count("*").alias("n"))
+    return p.groupBy(F.coalesce(spdx, F.lit("none")).alias("spdx"), text.license_category(spdx, status).alias("category")).agg(F.count("*").alias("n"))
 
 
 def status_classify(spark, d):
@@ -211,7 +212,9 @@ def setops_intersect(spark, d):
 
 
 def setops_except(spark, d):
-    return read(spark, d, "customer").select(F.col("c_custkey").alias("k")).exceptAll(read(spark, d, "orders").select(F.col("o_custkey").alias("k")).distinct())
+    """Days and customers with orders of which none is finished, each once, however many orders there were."""
+    o = read(spark, d, "orders").select(F.to_date("o_orderdate").alias("k"), F.col("o_custkey").alias("who"))
+    return o.subtract(read(spark, d, "orders").filter("o_orderstatus = 'F'").select(F.to_date("o_orderdate").alias("k"), F.col("o_custkey").alias("who"))).select(F.date_format("k", "yyyy-MM-dd").alias("k"), "who")
 
 
 def three_way(spark, d):
@@ -256,12 +259,12 @@ QUERIES = {
     "type_conflicts": (type_conflicts, f"WITH s AS (SELECT neuron_id, attribute, source, list_sort(list(DISTINCT value)) AS v FROM ({_EVIDENCE}) WHERE value <> 'unknown' GROUP BY ALL), p AS (SELECT a.neuron_id, a.attribute, bool_and(list_has_any(a.v, b.v) OR list_contains(a.v, 'polymodal') OR list_contains(b.v, 'polymodal')) AS soft FROM s a JOIN s b ON a.neuron_id = b.neuron_id AND a.attribute = b.attribute AND a.source < b.source AND a.v <> b.v GROUP BY ALL) SELECT neuron_id, attribute, CASE WHEN soft THEN 'sets_overlap_but_differ' ELSE 'sets_disjoint' END AS kind, CASE WHEN soft THEN 'soft' ELSE 'hard' END AS severity FROM p"),
     "wide_attributes": (wide_attributes, f"SELECT neuron_id, " + ", ".join(f"coalesce({_LISTED(c, a)}, '') AS {a}_{k}" for a in ("type", "role") for c, k in (("value", "values"), ("source", "sources"))) + f", count(*) AS n_evidence FROM ({_EVIDENCE}) GROUP BY neuron_id"),
     "transmitter_names": (transmitter_names, _TN),
-    "function_names": (function_names, "SELECT doc_id, 'sensory,other:' || lang || ',interneuron' AS types FROM documents"),
+    "function_names": (function_names, "SELECT doc_id, 'motor,other:' || lang || CASE WHEN doc_id % 2 = 0 THEN ',interneuron,unknown' ELSE ',other:sensory,sensory,motor' END AS types FROM documents"),
     "reason_keys": (reason_keys, "SELECT regexp_replace('order N of ' || o_orderpriority, '\\b\\d+\\b', 'N', 'g') AS key, count(*) AS n FROM orders GROUP BY 1"),
     "muscle_alias": (muscle_alias, "SELECT s_suppkey, CASE WHEN s_suppkey % 5 > 0 AND s_suppkey < 100 THEN 'M' || CASE WHEN s_suppkey % 2 = 0 THEN 'D' ELSE 'V' END || 'L' || lpad(CAST(s_suppkey AS VARCHAR), 2, '0') END AS name FROM supplier"),
     "wallclock": (wallclock, "WITH x AS (SELECT o_orderkey, strftime(o_orderdate, '%Y%m%d') AS n, lpad(CAST(o_orderkey * 37 % 300000 AS VARCHAR), 6, '0') AS h FROM orders) SELECT o_orderkey, strftime(try_strptime(n || h, '%Y%m%d%H%M%S'), '%Y-%m-%dT%H:%M:%S') AS \"at\", substr(n, 1, 4) || '-' || substr(n, 5, 2) || '-' || substr(n, 7, 2) AS day FROM x"),
     "edge_signs": (edge_signs, "SELECT CASE WHEN p_size % 5 = 0 THEN 'none' WHEN p_size > 10 AND p_size % 3 = 0 THEN 'excitatory' WHEN p_size > 10 AND p_size % 3 = 1 THEN 'inhibitory' ELSE 'unknown' END AS sign, count(*) AS n FROM part GROUP BY 1"),
-    "license_category": (license_category, "SELECT CASE WHEN p_size % 4 = 0 THEN 'unlicensed' WHEN p_size % 4 = 1 OR p_partkey % 5 >= 3 THEN 'unknown' WHEN p_partkey % 5 = 0 THEN 'permissive' WHEN p_partkey % 5 = 1 THEN 'copyleft' ELSE 'other' END AS category, count(*) AS n FROM part GROUP BY 1"),
+    "license_category": (license_category, "WITH p AS (SELECT p_size, ['MIT', 'GPL-3.0-only', 'Custom', '', NULL, 'ISC', 'Unlicense', 'MPL-2.0', 'EUPL-1.2', 'CC-BY-SA-4.0', 'GPLv3', 'CC-BY-NC-4.0'][p_partkey % 12 + 1] AS s FROM part) SELECT coalesce(s, 'none') AS spdx, CASE WHEN p_size % 4 = 0 THEN 'unlicensed' WHEN p_size % 4 = 1 OR coalesce(s, '') = '' THEN 'unknown' WHEN s IN ('MIT', 'ISC', 'Unlicense') THEN 'permissive' WHEN s IN ('GPL-3.0-only', 'MPL-2.0', 'EUPL-1.2', 'CC-BY-SA-4.0') THEN 'copyleft' ELSE 'other' END AS category, count(*) AS n FROM p GROUP BY ALL"),
     "status_classify": (status_classify, f"WITH {_FILES} SELECT CASE WHEN reg.path IS NULL THEN 'untracked' WHEN f.path IS NULL THEN 'missing' WHEN reg.bytes <> f.bytes THEN 'mismatch: size' WHEN reg.sha <> f.sha THEN 'mismatch: sha256' WHEN reg.md5 <> f.md5 THEN 'mismatch: md5' WHEN reg.sha IS NULL THEN 'unpinned' ELSE 'ok' END AS status, count(*) AS n FROM reg FULL JOIN f ON f.path = reg.path GROUP BY 1"),
     "pin_sources": (pin_sources, f"WITH {_FILES} SELECT reg.path, CASE WHEN coalesce(reg.bytes <> f.bytes, false) THEN reg.sha ELSE coalesce(reg.sha, CASE WHEN f.path IS NOT NULL THEN sha256(o_orderstatus) END) END AS sha256, coalesce(reg.bytes <> f.bytes, false) AS refused FROM reg LEFT JOIN f ON f.path = reg.path JOIN orders ON o_orderkey = reg.path"),
     "catalog_diff": (catalog_diff, "SELECT c_custkey, CASE WHEN c_nationkey >= 20 THEN 'added' WHEN c_nationkey <= 3 THEN 'removed' WHEN c_custkey % 9 = 0 THEN 'changed' ELSE 'same' END AS change, CASE WHEN c_nationkey >= 20 AND c_custkey % 9 = 0 THEN 'MOVED' ELSE c_mktsegment END AS value FROM customer"),
@@ -270,7 +273,7 @@ QUERIES = {
     "target_reconcile": (target_reconcile, "SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 3 AND o_orderstatus = 'F' AND o_custkey % 2 <> 0 THEN o_custkey ELSE -(o_orderkey % 5) END AS code FROM orders"),
     "roundtrip_check": (roundtrip_check, "SELECT o_orderkey FROM orders WHERE o_orderkey % 500 = 3 OR o_orderkey % 700 = 5"),
     "setops_intersect": (setops_intersect, "SELECT CAST(c_nationkey AS BIGINT) AS c_nationkey FROM customer INTERSECT SELECT s_nationkey FROM supplier"),
-    "setops_except": (setops_except, "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders"),
+    "setops_except": (setops_except, "SELECT strftime(k, '%Y-%m-%d') AS k, who FROM (SELECT CAST(o_orderdate AS DATE) AS k, o_custkey AS who FROM orders EXCEPT SELECT CAST(o_orderdate AS DATE), o_custkey FROM orders WHERE o_orderstatus = 'F')"),
     "three_way": (three_way, "SELECT s_suppkey FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size = 1) AND s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey < 3)"),
     "distinct_counts": (distinct_counts, "SELECT o_orderstatus, count(DISTINCT o_custkey) AS customers, array_to_string(list_sort(list(DISTINCT o_orderpriority)), ',') AS priorities FROM orders GROUP BY 1"),
     "json_edges": (json_edges, "WITH e AS (SELECT CAST(json_extract(props, '$.k') AS INT) AS k FROM events), x AS (SELECT 0 AS i, 1 AS j, k AS w FROM e UNION ALL SELECT 1, 0, k % 2 FROM e) SELECT CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, count(*) AS n, CAST(sum(w) AS BIGINT) AS w FROM x WHERE w <> 0 GROUP BY ALL"),
