@@ -80,15 +80,27 @@ def _polyphase(up: int, down: int, taps: int) -> tuple[np.ndarray, int]:
     return bank / bank.sum(axis=1, keepdims=True), half
 
 
-def resample(x: np.ndarray, up: int, down: int, taps: int = 8) -> np.ndarray:
-    """x at up/down of its rate: output m is the bank's phase m mod up over the inputs around m * down / up."""
+def resample(x: np.ndarray, up: int, down: int, taps: int = 8, start: int = 0, end: int | None = None) -> np.ndarray:
+    """x at up/down of its rate: output m is the bank's phase m mod up over the inputs around m * down / up.
+
+    Outputs start up to end alone if given; what they need of x is then all that is made a float. 8-bit samples are
+    centred and scaled to -1 to 1.
+    """
     bank, half = _polyphase(up, down, taps)
-    n = -(-len(x) * up // down)
-    windows = np.lib.stride_tricks.sliding_window_view(np.pad(x.astype(np.float32), half), 2 * half + 1)
-    out = np.empty(n, np.float32)
+    end = -(-len(x) * up // down) if end is None else end
+    centre = np.minimum(np.arange(start, end) * down // up, len(x) - 1)
+    out = np.empty(end - start, np.float32)
+    if not len(out):
+        return out
+    lo, hi = int(centre[0]) - half, int(centre[-1]) + half + 1
+    part = x[max(lo, 0) : hi].astype(np.float32)
+    if x.dtype == np.uint8:
+        part = (part - 128) / 128
+    part = np.pad(part, (max(-lo, 0), max(hi - len(x), 0)))
+    windows = np.lib.stride_tricks.sliding_window_view(part, 2 * half + 1)
     for p in range(up):
-        m = np.arange(p, n, up)
-        out[p::up] = np.einsum("ij,j->i", windows[np.minimum(m * down // up, len(x) - 1)], bank[p])
+        at = slice((p - start) % up, None, up)
+        out[at] = np.einsum("ij,j->i", windows[centre[at] - half - lo], bank[p])
     return out
 
 
@@ -103,18 +115,28 @@ def _filters(rate: float, frame: int, mels: int) -> np.ndarray:
     return np.maximum(0, np.minimum(rise, fall)).T.astype(np.float32)
 
 
-def log_mel(x: np.ndarray, rate: float, s: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """(frames, mels) in dB, and each frame's energy in dB. Short inputs are padded to one frame."""
-    n = 1 + max(0, -(-(len(x) - s.frame) // s.hop))
-    x = np.pad(x, (0, (n - 1) * s.hop + s.frame - len(x)))
-    frames = np.lib.stride_tricks.sliding_window_view(x, s.frame)[:: s.hop]
+STEP = 2048  # frames that are worked at once
+
+
+def log_mel(samples: np.ndarray, rate: float, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """(frames, mels) in dB, and each frame's energy in dB, of the resampled samples. Short inputs are padded to one frame.
+
+    Long recordings pass through in steps: of each, only its own stretch is resampled, so that beside the samples and
+    the result (together 1.6 bytes a sample) the memory is bounded.
+    """
+    total = -(-len(samples) * s.up // s.down)
+    n = 1 + max(0, -(-(total - s.frame) // s.hop))
     window, filters = np.hanning(s.frame).astype(np.float32), _filters(rate, s.frame, s.mels)
     mel, energy = np.empty((n, s.mels), np.float32), np.empty(n, np.float32)
-    for a in range(0, n, 512):  # long recordings pass through in steps of bounded memory
-        f = frames[a : a + 512] * window
+    for a in range(0, n, STEP):
+        b = min(n, a + STEP)
+        first, last = a * s.hop, (b - 1) * s.hop + s.frame
+        y = resample(samples, s.up, s.down, s.taps, first, min(total, last))
+        y = np.pad(y, (0, last - first - len(y)))
+        f = np.lib.stride_tricks.sliding_window_view(y, s.frame)[:: s.hop] * window
         power = np.abs(np.fft.rfft(f, axis=1)).astype(np.float32) ** 2
-        mel[a : a + 512] = 10 * np.log10(power @ filters + 1e-6)
-        energy[a : a + 512] = 10 * np.log10(np.einsum("ij,ij->i", f, f) / s.frame + 1e-9)
+        mel[a:b] = 10 * np.log10(power @ filters + 1e-6)
+        energy[a:b] = 10 * np.log10(np.einsum("ij,ij->i", f, f) / s.frame + 1e-9)
     return mel, energy
 
 
@@ -136,9 +158,8 @@ def segments(energy: np.ndarray, on: float, off: float, least: int) -> list[tupl
 def features(media: bytes, s: Settings = Settings()) -> dict:
     """What one stored recording holds: tensors of (s.frames, s.mels), the last padded with its floor, and spans in ms."""
     rate, samples = decode_wav(media)
-    x = (np.frombuffer(samples, np.uint8).astype(np.float32) - 128) / 128
-    y = resample(x, s.up, s.down, s.taps)
-    mel, energy = log_mel(y, rate * s.up / s.down, s)
+    x = np.frombuffer(samples, np.uint8)
+    mel, energy = log_mel(x, rate * s.up / s.down, s)
     n = -(-len(mel) // s.frames)
     tensor = np.full((n * s.frames, s.mels), -60, np.float32)
     tensor[: len(mel)] = mel
@@ -166,7 +187,11 @@ def tensor_type(s: Settings = Settings()) -> pa.DataType:
 
 def to_tensors(tensors: pa.ListArray, s: Settings = Settings()) -> pa.ExtensionArray:
     """A column of tensors, as Spark hands it over (list of lists), as one fixed-shape tensor array, rows in order."""
-    flat = tensors.flatten().flatten()
+    return fixed_shape(tensors.flatten().flatten(), s)
+
+
+def fixed_shape(flat: pa.Array, s: Settings = Settings()) -> pa.ExtensionArray:
+    """A tensor array over the floats of all its tensors, which it doesn't copy."""
     return pa.ExtensionArray.from_storage(tensor_type(s), pa.FixedSizeListArray.from_arrays(flat, s.frames * s.mels))
 
 
@@ -175,24 +200,29 @@ def media_columns(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), s: Sett
 
     Everything but n_bytes is computed from the stored file as read back. tensors is a list of flat float lists, each
     the storage of one fixed-shape tensor (see tensor_type); spans has each tensor's time, segments the loud stretches.
-    slim: leaves tensors out and puts feature, a digest of them rounded to 0.01 dB, of spans and segments instead.
+    slim: leaves these out and puts feature instead, a digest of what the stored tensors hold when read back, rounded
+    to 0.01 dB, of spans and segments. Names in carry must not be n_bytes, media, tensors, spans, segments or feature.
     Null and empty texts: 64 bytes of 0. Each row is worked alone, so equal texts give equal values; nothing is
     shuffled. Empty table: empty result. Batches are handed on in parts of bounded size.
     """
     ship(docs.sparkSession)
     names = list(carry)
+    if taken := {"n_bytes", "media", "tensors", "spans", "segments", "feature", "__text"} & set(names):
+        raise ValueError(f"carried columns must be renamed first: {', '.join(sorted(taken))}")
     pairs = lambda rows: pa.array([[{"start_ms": a, "end_ms": b} for a, b in r] for r in rows], SPAN)
 
     def emit(b: pa.RecordBatch, at: list[int], rows: list[tuple]) -> pa.RecordBatch:
         cols = [b.column(c).take(pa.array(at)) for c in names]
         cols += [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())]
+        counts = [len(r[2]["tensors"]) for r in rows]
+        stored = fixed_shape(pa.array(np.concatenate([r[2]["tensors"].ravel() for r in rows]), pa.float32()), s)
         if slim:
-            cols.append(pa.array([digest(r[2]) for r in rows], pa.string()))
+            firsts = np.cumsum(counts) - counts
+            held = [stored.slice(a, n).to_numpy_ndarray() for a, n in zip(firsts.tolist(), counts)]
+            cols.append(pa.array([digest(t, r[2]["spans"], r[2]["segments"]) for t, r in zip(held, rows)], pa.string()))
             return pa.RecordBatch.from_arrays(cols, names=[*names, "n_bytes", "media", "feature"])
-        tensors = [r[2]["tensors"] for r in rows]
-        flat = pa.array(np.concatenate([t.ravel() for t in tensors]), pa.float32())
-        inner = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, s.frames * s.mels, dtype=np.int32)), flat)
-        outer = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, tensors)]), pa.int32()), inner)
+        inner = pa.ListArray.from_arrays(pa.array(np.arange(0, len(stored) + 1, dtype=np.int32) * (s.frames * s.mels), pa.int32()), stored.storage.values)
+        outer = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *counts]), pa.int32()), inner)
         cols += [outer, pairs([r[2]["spans"] for r in rows]), pairs([r[2]["segments"] for r in rows])]
         return pa.RecordBatch.from_arrays(cols, names=[*names, "n_bytes", "media", "tensors", "spans", "segments"])
 
@@ -216,11 +246,12 @@ def media_columns(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), s: Sett
     return rows.mapInArrow(work, f"{kept}, n_bytes long, media binary, feature string" if slim else f"{kept}, {COLUMNS}")
 
 
-def digest(found: dict) -> str:
-    """Tensors, spans and segments in one short string: counts, the mean level of each mel band, and a hash of all."""
-    whole = np.rint(found["tensors"] * 100).astype(np.int32)
-    h = hashlib.sha256(whole.tobytes() + repr((found["spans"], found["segments"])).encode()).hexdigest()
-    return f"{len(whole)} tensors, {len(found['segments'])} segments, {h[:32]}"
+def digest(tensors: np.ndarray, spans: list, loud: list) -> str:
+    """Tensors of shape (count, frames, mels), spans and segments in a short string: counts, the least and the mean
+    level in dB, and a hash of all."""
+    whole = np.rint(tensors * 100).astype(np.int32)
+    h = hashlib.sha256(whole.tobytes() + repr((spans, loud)).encode()).hexdigest()
+    return f"{len(whole)} tensors, {len(loud)} segments, least {int(whole.min()) // 100} dB, mean {int(whole.sum(dtype=np.int64)) // whole.size // 100} dB, {h[:32]}"
 
 
 def op2_media_audio(spark, sf_dir: str) -> DataFrame:
