@@ -1,5 +1,8 @@
 import hashlib
 import random
+import re
+
+import xxhash
 
 from trialforge.llm import simhash
 
@@ -69,3 +72,40 @@ def test_within_radius(spark):
     assert sorted((r.a, r.b) for r in simhash.within_radius(df).collect()) == sorted(want)
     far = {(a, b) for i, a in enumerate(signed) for b in signed[i + 1 :] if ((a ^ b) & (1 << 64) - 1).bit_count() <= 2}
     assert sorted((r.a, r.b) for r in simhash.within_radius(df, 2, 1).collect()) == sorted(far)
+
+
+def test_dense_keys(spark):
+    """A thousand fingerprints of one template: half of the bits the same, so some tables have one key for all."""
+    rnd = random.Random(8)
+    base = rnd.getrandbits(64)
+    prints = {base ^ rnd.getrandbits(22) for _ in range(900)} | {rnd.getrandbits(64) for _ in range(50)}
+    assert len(prints) > 3 * simhash.DENSE
+    signed = sorted(p - (1 << 64) if p >> 63 else p for p in prints)
+    want = sorted((a, b) for i, a in enumerate(signed) for b in signed[i + 1 :] if ((a ^ b) & (1 << 64) - 1).bit_count() <= 3)
+    df = spark.createDataFrame([(s,) for s in signed], "fp long")
+    assert sorted((r.a, r.b) for r in simhash.within_radius(df).collect()) == want
+    counts = {r.fp: r.n_near for r in simhash.near_counts(df).collect()}
+    assert counts == {x: n for x in signed if (n := sum(x in p for p in want))}
+
+
+def plain_print(text):
+    """The fingerprint by definition: each pair of neighbouring words votes with its hash's bits, by its length."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
+    votes = [0] * 64
+    for i, a in enumerate(words):
+        b = words[i + 1] if i + 1 < len(words) else None
+        h = xxhash.xxh64_intdigest(a.encode(), 42)
+        if b is not None:
+            h = xxhash.xxh64_intdigest(b.encode(), h)
+        w = min(24, len(a) + len(b or ""))
+        for k in range(64):
+            votes[k] += w if h >> k & 1 else -w
+    return sum(1 << k for k in range(64) if votes[k] > 0)
+
+
+def test_fingerprints_by_definition(spark, sf):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").limit(60).collect()}
+    docs |= {-1: None, -2: "", -3: "one", -4: "Same same SAME", -5: "näïve 🙂 wörd " * 50, -6: "long text of words " * 260_000}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    for r in simhash.fingerprints(df, ["doc_id"]).collect():
+        assert r.fp & (1 << 64) - 1 == plain_print(docs[r.doc_id]), r.doc_id

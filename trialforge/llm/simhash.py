@@ -11,6 +11,8 @@ from .common import WORD, ascii_lower, scratch, table
 
 #: Documents whose ids agree beyond so many low bits are put in order together; then so many blocks, and so on.
 BLOCK_BITS, MORE_BITS = 8, 12
+#: Documents that a task puts in order and votes on, about.
+TASK_ROWS = 4000
 #: A term is a pair of neighbouring words and weighs as many votes as it has characters, up to MOST.
 MOST = 24
 LANES = 0x0000000100000001
@@ -77,7 +79,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     blocks = rows.select("block").distinct()
     follow = _next_block(blocks).crossJoin(F.broadcast(blocks.agg(F.min("block").alias("zero")))).select(F.col("block").alias("of"), F.coalesce("next", "zero").alias("block"))
     follow = follow.join(firsts, "block").select(F.col("of").alias("block"), "first")
-    lead = rows.withColumns({"rn": F.row_number().over(order), "after": F.lead(F.struct("doc_id", "text")).over(order)})
+    parts = max(1, -(-docs.select("doc_id").count() // TASK_ROWS))  # so tasks don't grow with the input
+    lead = rows.repartition(parts, "block").withColumns({"rn": F.row_number().over(order), "after": F.lead(F.struct("doc_id", "text")).over(order)})
     out = lead.join(follow, "block", "left").withColumn("then", F.coalesce("after", "first"))
     return out.select("block", "rn", "doc_id", "text", F.col("after").isNull().alias("is_last"), F.col("then.doc_id").alias("next_id"), F.col("then.text").alias("next_text"))
 
@@ -102,33 +105,74 @@ def fingerprint_pairs(docs: DataFrame) -> DataFrame:
     return wide.withColumn("next_fp", after).select("doc_id", "next_id", F.col("n_chars").cast("long").alias("n_chars"), "edited_sha256", F.col("f0").alias("fp"), F.col("f1").alias("edited_fp"), "next_fp")
 
 
-def within_radius(prints: DataFrame, radius: int = 3, spare: int = 3) -> DataFrame:
-    """All pairs (a, b), a < b, of different fingerprints in column fp at a Hamming distance up to radius.
+#: Fingerprints that share a key are compared as they are up to so many, beyond that by finer keys.
+DENSE = 256
 
-    The 64 bits are cut into radius + spare blocks. Two fingerprints within the radius agree in at least spare of
-    them, so one table per choice of spare blocks, keyed by those, holds every such pair. The join settles a candidate's
-    distance and lets it through in the first table that holds it only, so no pair is made twice. Equal fingerprints
-    are one row here: classes of copies aren't expanded.
-    """
-    n = radius + spare
-    edges = [64 * i // n for i in range(n + 1)]
-    masks = []
-    for chosen in combinations(range(n), spare):
-        mask = sum(((1 << (edges[i + 1] - edges[i])) - 1) << edges[i] for i in chosen)
-        masks.append(mask - (1 << 64) if mask >= 1 << 63 else mask)
+
+def _mask(bits: range) -> int:
+    m = sum(1 << i for i in bits)
+    return m - (1 << 64) if m >> 63 else m
+
+
+def _cuts(bits: list[int], n: int) -> list[list[int]]:
+    return [bits[len(bits) * i // n : len(bits) * (i + 1) // n] for i in range(n)]
+
+
+def _block_tables(radius: int, spare: int) -> tuple[list[int], list[list[int]]]:
+    """Per choice of spare of the radius + spare blocks its mask, and the masks of radius + 1 parts of the other bits."""
+    blocks = _cuts(list(range(64)), radius + spare)
+    masks, finer = [], []
+    for chosen in combinations(range(len(blocks)), spare):
+        rest = [i for k, b in enumerate(blocks) if k not in chosen for i in b]
+        masks.append(_mask([i for k in chosen for i in blocks[k]]))
+        finer.append([_mask(part) for part in _cuts(rest, radius + 1)])
+    return masks, finer
+
+
+def _candidates(prints: DataFrame, radius: int, spare: int) -> tuple[DataFrame, DataFrame, Column]:
+    """Two sides (a and b, both keyed by at, key, part) and the condition under which a meets b, each pair once."""
+    masks, finer = _block_tables(radius, spare)
     fps = prints.select("fp").where("fp is not null").distinct()
-    keyed = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("at", "key"))
-    a, b = keyed.select(F.col("fp").alias("a"), "at", "key"), keyed.select(F.col("fp").alias("b"), F.col("at").alias("at_b"), F.col("key").alias("key_b"))
+    tables = F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])
+    keyed = fps.select("fp", F.posexplode(tables).alias("at", "key"))
+    dense = keyed.groupBy("at", "key").agg(F.count("*").alias("n")).filter(F.col("n") > DENSE).select("at", "key", F.lit(True).alias("dense"))
+    parts = F.array(*[F.array(*[F.lit(m).cast("long") for m in row]) for row in finer])
+    dealt = keyed.join(dense, ["at", "key"], "left")
+    fine = F.transform(F.element_at(parts, F.col("at") + 1), lambda m, i: F.struct(i.alias("part"), F.col("fp").bitwiseAND(m).alias("sub")))
+    whole = F.array(F.struct(F.lit(-1).alias("part"), F.lit(0).cast("long").alias("sub")))
+    dealt = dealt.select("fp", "at", "key", F.inline(F.when(F.col("dense"), fine).otherwise(whole)))
+    a, b = dealt.withColumnRenamed("fp", "a"), dealt.select(F.col("fp").alias("b"), *[F.col(c).alias(f"{c}_b") for c in ("at", "key", "part", "sub")])
     differ = F.col("a").bitwiseXOR(F.col("b"))
     first = F.when(differ.bitwiseAND(F.lit(masks[0])) == 0, 0)
     for i, m in enumerate(masks[1:], 1):
         first = first.when(differ.bitwiseAND(F.lit(m)) == 0, i)
+    agree = F.transform(F.element_at(parts, F.col("at") + 1), lambda m: differ.bitwiseAND(m) == 0)
     near = (F.col("a") < F.col("b")) & (F.bit_count(differ) <= radius) & (first == F.col("at"))
-    return a.join(b, (F.col("at") == F.col("at_b")) & (F.col("key") == F.col("key_b")) & near).select("a", "b", F.bit_count(differ).alias("distance"))
+    near = near & F.when(F.col("part") < 0, True).otherwise(F.array_position(agree, F.lit(True)) == F.col("part") + 1)
+    for c in ("at", "key", "part", "sub"):
+        near = near & (F.col(c) == F.col(f"{c}_b"))
+    return a, b, near
+
+
+def within_radius(prints: DataFrame, radius: int = 3, spare: int = 3) -> DataFrame:
+    """All pairs (a, b), a < b, of different fingerprints in column fp at a Hamming distance up to radius.
+
+    The 64 bits are cut into radius + spare blocks. Two fingerprints within the radius agree in at least spare of
+    them, so one table per choice of spare blocks, keyed by those, holds every such pair. Of the other bits, cut into
+    radius + 1 parts, they agree in one part at least, so a key that many fingerprints share is divided by these parts
+    and no pair is lost: a family made from one template isn't compared all with all. The join settles a candidate's
+    distance and lets it through in the first table and part that hold it only, so no pair is made twice. Equal
+    fingerprints are one row here: classes of copies aren't expanded. A fingerprint has at most 43,744 others within 3.
+    """
+    a, b, near = _candidates(prints, radius, spare)
+    return a.join(b, near).select("a", "b", F.bit_count(F.col("a").bitwiseXOR(F.col("b"))).alias("distance"))
 
 
 def near_counts(prints: DataFrame, radius: int = 3) -> DataFrame:
-    """fp and n_near: for each fingerprint that has any, how many different ones lie within the radius."""
+    """fp and n_near: for each fingerprint that has any, how many different ones lie within the radius.
+
+    Pairs are counted where the join finds them; what is shuffled then is one row per task and fingerprint.
+    """
     pairs = within_radius(prints, radius)
     return pairs.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count("*").alias("n_near"))
 
