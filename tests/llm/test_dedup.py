@@ -1,5 +1,6 @@
 import random
 import re
+from dataclasses import replace
 
 import pytest
 
@@ -62,7 +63,7 @@ def test_families_and_passages(spark):
     rows = [(d, t, None, None, 0) for d, t in docs.items()]
     rnd.shuffle(rows)
     df = spark.createDataFrame(rows, DOCS)
-    for s in (dedup.CONTRACT, dedup.Settings(), dedup.Settings(words=3, percent=85, k=16, stars=1, long=5, block=25)):
+    for s in (dedup.CONTRACT, dedup.Settings(), dedup.Settings(words=3, percent=85, k=16, stars=1, long=5), replace(dedup.CONTRACT, **dedup.EXACT)):
         got = {r.doc_id: (r.n_shingles, r.component_id) for r in dedup.near_groups(df, s).collect()}
         assert got == plain(docs, s.words, s.percent)
 
@@ -96,3 +97,29 @@ def test_rows_of_one_id(spark):
     kept = sorted(((r.doc_id, r.text) for r in dedup.drop_near_copies(docs).collect()), key=repr)
     want = rows[:14] + [(3, text(20)), (None, text(30))]
     assert kept == sorted(want, key=repr)
+
+
+def test_long_lists_meet_by_rare_elements(spark):
+    """A passage that is half of 300 texts, in which pairs of near copies hide: no pair of texts by the passage alone."""
+    rnd = random.Random(9)
+    word = lambda: f"w{rnd.randrange(10**6)}"
+    passage, docs = [word() for _ in range(60)], {}
+    for i in range(150):
+        own = [word() for _ in range(50)]
+        docs[2 * i] = " ".join(own + passage)
+        if i % 3:
+            docs[2 * i + 1] = " ".join([word(), *own[1:], *passage])
+    df = spark.createDataFrame([(d, t) for d, t in docs.items()], "doc_id long, text string")
+    s = dedup.Settings(words=3, percent=85, k=8, stars=0, long=4)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in dedup.near_groups(df, replace(s, sigmas=1e5)).collect()}
+    assert got == plain(docs, 3, 85)
+    sets = dedup.with_shingles(df.withColumnRenamed("doc_id", "rep"), 3)
+    members = sets.selectExpr("rep", "size(s) n", "rep label")
+    assert dedup._rare_pairs(members, sets.select("rep", "s"), s).count() < 300
+
+
+def test_long_texts(spark):
+    text = " ".join(f"w{i}" for i in range(700_000))
+    df = spark.createDataFrame([(1, text), (2, text + " more"), (3, "x" * 5_000_000), (4, None)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in dedup.near_groups(df).collect()}
+    assert got == {1: (699_996, 1), 2: (699_997, 1), 3: (1, 3), 4: (0, 4)}
