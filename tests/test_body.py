@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from trialforge.body.swimmer import InterfaceError, LinearNeural, MotorMap, NoiseNeural, Pose, Stretch, Swimmer, Wave, endpoints, run, run_many
+from trialforge.body.swimmer import InterfaceError, LinearNeural, Muscles, NoiseNeural, Pose, Stretch, Swimmer, Wave, endpoints, motor_weights, run, run_many
 
 
 def test_force_free_motion():
@@ -31,10 +31,33 @@ def test_wave_drives_forward():
     assert abs(even["speed_mm_s"]) < 0.2 * ahead["speed_mm_s"]
 
 
-def test_motor_map_and_loop():
+def test_wave_by_closed_form():
+    w = Wave(5, frequency=0.25, wavelength=2.0)
+    for t in (0.0, 0.3, 1.7):
+        a, clipped = w(np.zeros(1), ("n",), t)
+        want = (1 + np.sin(2 * np.pi * (np.arange(5) / 8 - 0.25 * t))) / 2
+        assert np.allclose(a, [*want, *(1 - want)]) and not clipped.any()
+
+
+def test_relaxation_by_closed_form():
+    """A held activation bends each joint as 1 - exp(-t / tau), in however many steps."""
+    body, pull = Swimmer(n=4, tau=0.2), np.array([[0.9, 0.5, 0.2], [0.1, 0.5, 0.3]])
+    k = np.zeros(3)
+    for _ in range(10):
+        k = body.bent(k, pull, 0.03)
+    assert np.allclose(k, 1e4 * np.array([0.8, 0.0, -0.1]) * (1 - np.exp(-1.5)))
+
+
+def test_motor_map_and_loop(spark):
     ids = ("DB1", "VD1", "X")
-    m = MotorMap(ids, [("DB1", "MDL01", 2.0), ("DB1", "MDR01", 2.0), ("VD1", "MVL24", 4.0), ("X", "MDL05", 1.0), ("DB1", "other", 9.0)], {"DB1": {"ACh"}, "VD1": {"GABA"}, "X": {"ACh", "GABA"}}, 23)
-    assert m.used == 3 and m.left_out == {"X"} and m.weights[0, 0] == 1.0 and m.weights[45, 1] == -1.0
+    edges = spark.createDataFrame([("DB1", "MDL01", 2.0), ("DB1", "MDR01", 2.0), ("VD1", "MVL24", 4.0), ("X", "MDL05", 1.0), ("DB1", "other", 9.0), ("DB1", "MVL12", None), ("none", "MDL01", 5.0)], "source string, target string, weight double")
+    kinds = spark.createDataFrame([("DB1", ["ACh"]), ("VD1", ["GABA", "GABA"]), ("X", ["ACh", "GABA"])], "source string, values array<string>")
+    rows = motor_weights(edges, kinds, 23).toPandas()
+    assert {(r.source, r.side, r.joint): r.weight for r in rows.itertuples()} == {("DB1", "D", 0): 1.0, ("VD1", "V", 22): -1.0, ("DB1", "V", 11): 0.0}
+    assert {r.joint for r in motor_weights(edges, kinds, 3).collect()} == {0, 1, 2}
+    assert motor_weights(edges.limit(0), kinds, 23).count() == 0
+    m = Muscles(ids, rows, 23)
+    assert m.weights.shape == (46, 3) and m.weights[0, 0] == 1.0 and m.weights[45, 1] == -1.0
     act, clipped = m(np.array([1.0, 1.0, 0.0]), ids, 0.0)
     assert act[0] == 1.0 and clipped[0] and act[45] == 0.0 and act[5] == 0.5
     with pytest.raises(InterfaceError):

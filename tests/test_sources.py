@@ -3,7 +3,9 @@
 import io
 import os
 import pickle
+import sys
 import tarfile
+import types
 import zipfile
 from collections import OrderedDict
 
@@ -63,12 +65,30 @@ class Evil:
         return os.system, ("true",)
 
 
+def upstream(module, name, **state):
+    """A pickle of an object of a class that isn't here."""
+    kind = type(name, (), {"__module__": module})
+    parts = module.split(".")
+    names = [".".join(parts[: i + 1]) for i in range(len(parts))]
+    sys.modules.update({n: types.ModuleType(n) for n in names})
+    setattr(sys.modules[module], name, kind)
+    try:
+        x = kind()
+        x.__dict__.update(state)
+        return pickle.dumps(x)
+    finally:
+        for n in names:
+            del sys.modules[n]
+
+
 def test_pickles():
-    assert readers.load_attributes(pickle.dumps({"a": [1, 2.5, "x"], "m": np.arange(3)}))["m"].tolist() == [0, 1, 2]
-    assert readers.load_attributes(pickle.dumps(OrderedDict(a=1))) == {"a": 1}
-    for bad in (pickle.dumps(Evil()), b"cbuiltins\neval\n(S'1'\ntR."):
+    got = readers.load_attributes(upstream("pumpprobe.Fconn", "Fconn", m=np.arange(3), s=np.float64(2.5), names=["a"]))
+    assert got["m"].tolist() == [0, 1, 2] and got["s"] == 2.5 and got["names"] == ["a"]
+    assert readers.load_attributes(upstream("wormdatamodel.data.recording", "recording", a=1)) == {"a": 1}
+    bad = [pickle.dumps(Evil()), b"cbuiltins\neval\n(S'1'\ntR.", pickle.dumps({"a": 1}), pickle.dumps(OrderedDict(a=1)), upstream("pumpprobe.Other", "Fconn", a=1), upstream("elsewhere", "Thing", a=1)]
+    for x in bad:
         with pytest.raises(pickle.UnpicklingError):
-            readers.load_attributes(bad)
+            readers.load_attributes(x)
 
 
 def workbook():

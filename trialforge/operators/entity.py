@@ -80,7 +80,7 @@ def set_conflicts(evidence: DataFrame, wildcard: str, ignored: str) -> DataFrame
     pairs = a.join(b, ["neuron_id", "attribute"]).filter((F.col("source") < F.col("source2")) & (F.col("v") != F.col("v2")))
     loose = F.arrays_overlap("v", "v2") | F.array_contains("v", wildcard) | F.array_contains("v2", wildcard)
     worst = pairs.groupBy("neuron_id", "attribute").agg(F.bool_and(loose).alias("soft"))
-    return worst.select("neuron_id", "attribute", F.when(F.col("soft"), "sets_overlap_but_differ").otherwise("sets_disjoint").alias("kind"), F.when(F.col("soft"), "soft").otherwise("hard").alias("severity"))
+    return worst.select("neuron_id", "attribute", F.when(F.col("soft"), "type_sets_overlap_but_differ").otherwise("type_sets_disjoint").alias("kind"), F.when(F.col("soft"), "soft").otherwise("hard").alias("severity"))
 
 
 def wide(evidence: DataFrame, attributes: list[str]) -> DataFrame:

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import catalog, entity
+from ..sources import readers
 from .base import r6, read
 
 _NAME = "chr(CAST(65 + {k} % 5 AS INT)) || 'A' || chr(CAST(86 - {k} % 3 AS INT)) || CASE {k} % 4 WHEN 0 THEN 'L' WHEN 1 THEN 'R' WHEN 2 THEN 'DL' ELSE '2' END"
 _CANON = f"SELECT DISTINCT {_NAME.format(k='c_custkey')} AS name FROM customer"
 _LABELS = f"""SELECT row_id, source, CASE row_id % 6 WHEN 0 THEN n WHEN 1 THEN lower(n) WHEN 2 THEN substr(n, 1, 3) WHEN 3 THEN 'zz' || substr(n, 1, 2) WHEN 4 THEN substr(n, 1, 2) || 'q' || substr(n, 4)
  ELSE substr(n, 2, 1) || substr(n, 1, 1) || substr(n, 3) END AS label FROM (SELECT o_orderkey AS row_id, o_orderstatus AS source, {_NAME.format(k='o_custkey')} AS n FROM orders) x"""
-_EVIDENCE = "SELECT 'n' || (doc_id % 60) AS neuron_id, CASE WHEN doc_id % 3 = 0 THEN 'type' ELSE 'role' END AS attribute, CASE doc_id % 7 WHEN 0 THEN 'unknown' WHEN 1 THEN 'polymodal' WHEN 2 THEN lang ELSE 'v' || (n_chars % 3) END AS value, source FROM documents"
+_EVIDENCE = "SELECT 'n' || (n_chars % 60) AS neuron_id, CASE WHEN doc_id % 3 = 0 THEN 'type' ELSE 'role' END AS attribute, CASE doc_id % 7 WHEN 0 THEN 'unknown' WHEN 1 THEN 'polymodal' WHEN 2 THEN lang ELSE 'v' || (n_chars % 3) END AS value, source FROM documents"
 
 
 def _sql(spark, d, sql, *tables):
@@ -234,16 +235,17 @@ def distinct_counts(spark, d):
 def json_edges(spark, d):
     """Nonzero entries of a square matrix kept as JSON text."""
     e = read(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
-    m = e.select("event_id", F.format_string("[[0,%d],[%d,0]]", F.col("k"), F.col("k") % 2).alias("m"))
-    x = m.select("event_id", F.posexplode(F.from_json("m", "array<array<int>>")).alias("i", "row")).select("event_id", "i", F.posexplode("row").alias("j", "w")).filter("w <> 0")
-    return x.groupBy("i", "j").agg(F.count("*").alias("n"), F.sum(F.col("w").cast("long")).alias("w"))
+    m = e.select(F.array(F.lit("a"), F.concat(F.lit("b"), F.col("k"))).alias("names"), F.format_string("[[0,%d],[%d,0]]", F.col("k"), F.col("k") % 2).alias("m"))
+    x = readers.adjacency(m, "names", "m")
+    return x.groupBy("pre", "post").agg(F.count("*").alias("n"), F.sum(F.col("weight").cast("long")).alias("w"))
 
 
 def text_vectors(spark, d):
-    """Whitespace-separated numbers per line of a made-up text, bad ones as null."""
-    e = read(spark, d, "events").select("event_id", F.concat_ws(" ", F.lit(" "), F.col("value").cast("string"), F.when(F.col("event_id") % 7 == 0, "x").otherwise("1.5")).alias("line"))
-    x = e.select("event_id", F.posexplode(F.split(F.trim("line"), r"\s+")).alias("col", "t"))
-    return x.select("event_id", "col", r6(F.expr("try_cast(t as double)")).alias("v"))
+    """A text for each event, as a file would hold it: a header, numbers in two rows, a blank line; and its cells."""
+    e = read(spark, d, "events")
+    text = F.concat(F.lit('# {"k": 1}\n '), F.col("value").cast("string"), F.lit("\t-2.5e1  7\n\n"), F.when(F.col("event_id") % 7 == 0, "nan").otherwise("1.5"), F.lit(" 0\n"))
+    x = readers.matrix_cells(e.select(F.col("event_id").cast("string").alias("path"), text.alias("value")))
+    return x.select(F.col("path").cast("long").alias("event_id"), "row", "col", r6(F.nanvl("value", F.lit(-1.0))).alias("v"))
 
 
 QUERIES = {
@@ -256,7 +258,7 @@ QUERIES = {
     "evidence_fan_out": (evidence_fan_out, f"WITH {_RESOLVE}, x AS (SELECT unnest(string_split(candidates, ',')) AS neuron_id, contains(candidates, ',') AS a FROM ({_LABELS}) y JOIN r USING (label) WHERE candidates <> '') SELECT neuron_id, count(*) AS n, count(*) FILTER (WHERE a) AS n_ambiguous FROM x GROUP BY 1"),
     "union_merge": (union_merge, f"WITH b AS (SELECT upper(substr(label, 1, 2)) AS alias, upper(label) AS name, row_id % 6 AS p, source FROM ({_LABELS})), m AS (SELECT alias, name, CASE WHEN min(p) = 1 THEN 'case' ELSE 'stem' END AS kind, array_to_string(list_sort(list(DISTINCT source)), ',') AS observed_in FROM b GROUP BY ALL) SELECT *, count(*) OVER (PARTITION BY alias) AS n_candidates, count(*) OVER (PARTITION BY alias) > 1 AS ambiguous FROM m"),
     "evidence_conflicts": (evidence_conflicts, f"SELECT neuron_id, attribute, CASE WHEN count(DISTINCT source) > 1 THEN 'values_differ_across_sources' ELSE 'several_values_in_one_source' END AS kind, CASE WHEN count(DISTINCT source) > 1 THEN 'hard' ELSE 'soft' END AS severity, array_to_string(list_sort(list(DISTINCT value)), ',') AS \"values\" FROM ({_EVIDENCE}) GROUP BY ALL HAVING count(DISTINCT value) > 1"),
-    "type_conflicts": (type_conflicts, f"WITH s AS (SELECT neuron_id, attribute, source, list_sort(list(DISTINCT value)) AS v FROM ({_EVIDENCE}) WHERE value <> 'unknown' GROUP BY ALL), p AS (SELECT a.neuron_id, a.attribute, bool_and(list_has_any(a.v, b.v) OR list_contains(a.v, 'polymodal') OR list_contains(b.v, 'polymodal')) AS soft FROM s a JOIN s b ON a.neuron_id = b.neuron_id AND a.attribute = b.attribute AND a.source < b.source AND a.v <> b.v GROUP BY ALL) SELECT neuron_id, attribute, CASE WHEN soft THEN 'sets_overlap_but_differ' ELSE 'sets_disjoint' END AS kind, CASE WHEN soft THEN 'soft' ELSE 'hard' END AS severity FROM p"),
+    "type_conflicts": (type_conflicts, f"WITH s AS (SELECT neuron_id, attribute, source, list_sort(list(DISTINCT value)) AS v FROM ({_EVIDENCE}) WHERE value <> 'unknown' GROUP BY ALL), p AS (SELECT a.neuron_id, a.attribute, bool_and(list_has_any(a.v, b.v) OR list_contains(a.v, 'polymodal') OR list_contains(b.v, 'polymodal')) AS soft FROM s a JOIN s b ON a.neuron_id = b.neuron_id AND a.attribute = b.attribute AND a.source < b.source AND a.v <> b.v GROUP BY ALL) SELECT neuron_id, attribute, CASE WHEN soft THEN 'type_sets_overlap_but_differ' ELSE 'type_sets_disjoint' END AS kind, CASE WHEN soft THEN 'soft' ELSE 'hard' END AS severity FROM p"),
     "wide_attributes": (wide_attributes, f"SELECT neuron_id, " + ", ".join(f"coalesce({_LISTED(c, a)}, '') AS {a}_{k}" for a in ("type", "role") for c, k in (("value", "values"), ("source", "sources"))) + f", count(*) AS n_evidence FROM ({_EVIDENCE}) GROUP BY neuron_id"),
     "transmitter_names": (transmitter_names, _TN),
     "function_names": (function_names, "SELECT doc_id, 'motor,other:' || lang || CASE WHEN doc_id % 2 = 0 THEN ',interneuron,unknown' ELSE ',other:sensory,sensory,motor' END AS types FROM documents"),
@@ -276,6 +278,6 @@ QUERIES = {
     "setops_except": (setops_except, "SELECT strftime(k, '%Y-%m-%d') AS k, who FROM (SELECT CAST(o_orderdate AS DATE) AS k, o_custkey AS who FROM orders EXCEPT SELECT CAST(o_orderdate AS DATE), o_custkey FROM orders WHERE o_orderstatus = 'F')"),
     "three_way": (three_way, "SELECT s_suppkey FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size = 1) AND s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey < 3)"),
     "distinct_counts": (distinct_counts, "SELECT o_orderstatus, count(DISTINCT o_custkey) AS customers, array_to_string(list_sort(list(DISTINCT o_orderpriority)), ',') AS priorities FROM orders GROUP BY 1"),
-    "json_edges": (json_edges, "WITH e AS (SELECT CAST(json_extract(props, '$.k') AS INT) AS k FROM events), x AS (SELECT 0 AS i, 1 AS j, k AS w FROM e UNION ALL SELECT 1, 0, k % 2 FROM e) SELECT CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, count(*) AS n, CAST(sum(w) AS BIGINT) AS w FROM x WHERE w <> 0 GROUP BY ALL"),
-    "text_vectors": (text_vectors, "SELECT event_id, c AS col, round(CASE WHEN c = 0 THEN value WHEN event_id % 7 = 0 THEN NULL ELSE 1.5 END, 6) AS v FROM events, range(2) r(c)"),
+    "json_edges": (json_edges, "WITH e AS (SELECT CAST(json_extract(props, '$.k') AS INT) AS k FROM events), x AS (SELECT 'a' AS pre, 'b' || k AS post, k AS w FROM e UNION ALL SELECT 'b' || k, 'a', k % 2 FROM e) SELECT pre, post, count(*) AS n, CAST(sum(w) AS BIGINT) AS w FROM x WHERE w <> 0 GROUP BY ALL"),
+    "text_vectors": (text_vectors, "SELECT event_id, r AS row, c AS col, round(CASE WHEN r = 0 AND c = 0 THEN value WHEN r = 0 AND c = 1 THEN -25 WHEN r = 0 THEN 7 WHEN c = 1 THEN 0 WHEN event_id % 7 = 0 THEN -1 ELSE 1.5 END, 6) AS v FROM events, (VALUES (0, 0), (0, 1), (0, 2), (2, 0), (2, 1)) p(r, c)"),
 }

@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import scoring, splits
+from ..sources import readers
 from .base import r6, read
 
 K, SEED = 5, 20261008
@@ -182,9 +183,10 @@ def dot_predict(spark, d):
 
 
 def long_matrix(spark, d):
-    """The entries over 0.5 of all vectors, as (row, column, weight)."""
+    """All vectors as a wide table of 64 columns, and its nonzero entries to two digits as (row, column, weight)."""
     e = read(spark, d, "embeddings")
-    return e.select("vec_id", F.posexplode("embedding").alias("col", "w")).filter("w > 0.5").select("vec_id", "col", r6(F.col("w").cast("double")).alias("w"))
+    cells = [F.bround(F.get("embedding", F.lit(i)).cast("double"), 2).alias(f"d{i}") for i in range(64)]
+    return readers.labelled_matrix(e.select("vec_id", *cells), "vec_id").select(F.col("pre").alias("vec_id"), F.col("post").alias("col"), "weight")
 
 
 def quantised(spark, d):
@@ -226,6 +228,6 @@ SELECT c_mktsegment, count(*) AS n_tested, CAST(min(coalesce(usable, 0)) AS BIGI
     "gate_counts": (gate_counts, "SELECT CASE WHEN p_size > 45 THEN 'budget' WHEN p_retailprice > 1800 THEN 'unstable' WHEN contains(p_type, 'TIN') THEN 'type' ELSE 'kept' END AS reason, count(*) AS n FROM part GROUP BY 1"),
     "common_animals": (common_animals, "SELECT o_custkey FROM orders GROUP BY o_custkey HAVING count(DISTINCT o_orderstatus) = (SELECT count(DISTINCT o_orderstatus) FROM orders)"),
     "dot_predict": (dot_predict, "WITH k AS (SELECT label, arg_min(embedding, vec_id) AS k FROM embeddings WHERE label % 2 = 0 GROUP BY label) SELECT vec_id, round(coalesce(list_sum(list_transform(list_zip(embedding, k), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)), 0.0), 6) AS prediction FROM embeddings LEFT JOIN k USING (label)"),
-    "long_matrix": (long_matrix, "SELECT vec_id, i AS col, round(embedding[i + 1]::DOUBLE, 6) AS w FROM embeddings, range(1024) r(i) WHERE i < len(embedding) AND embedding[i + 1] > 0.5"),
+    "long_matrix": (long_matrix, "SELECT vec_id, 'd' || i AS col, round_even(embedding[i + 1]::DOUBLE, 2) AS weight FROM embeddings, range(64) r(i) WHERE round_even(embedding[i + 1]::DOUBLE, 2) <> 0"),
     "quantised": (quantised, "SELECT c_custkey, CAST(round_even((c_acctbal - lo) / (hi - lo) * 63, 0) AS BIGINT) AS step FROM customer, (SELECT min(c_acctbal) AS lo, max(c_acctbal) AS hi FROM customer)"),
 }

@@ -24,7 +24,12 @@ def read_matrix(spark: SparkSession, path: str) -> DataFrame:
 
     nan is a value; an infinite or unreadable number is an error. Rows are numbered from 0 after the header.
     """
-    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.split(F.rtrim("value"), "\r?\n").alias("lines"))
+    return matrix_cells(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value"))
+
+
+def matrix_cells(texts: DataFrame) -> DataFrame:
+    """What read_matrix gives, of texts (path, value)."""
+    text = texts.select("path", F.split(F.rtrim("value"), "\r?\n").alias("lines"))
     has = F.substring(F.col("lines")[0], 1, 1) == "#"
     text = text.select("path", F.when(has, F.trim(F.expr("substring(lines[0], 2)"))).alias("header"), F.expr("if(substring(lines[0], 1, 1) = '#', slice(lines, 2, size(lines)), lines)").alias("lines"))
     cells = text.select("path", "header", F.posexplode("lines").alias("row", "line")).filter(F.trim("line") != "").select("path", "header", "row", F.posexplode(F.split(F.trim("line"), r"\s+")).alias("col", "t"))
