@@ -36,7 +36,7 @@ class Settings:
     least: int = 2
     discount: float = 0.5
     held: float = 5e-7
-    held_arcs: int = 1_000_000
+    held_arcs: int = 400_000
 
 
 def key_of(word: bytes) -> int:
@@ -191,7 +191,7 @@ class Singles:
 
     def add(self, words: list[bytes]):
         self.found.update(words)
-        return self.rest() if len(self.found) > 1_000_000 else ()
+        return self.rest() if len(self.found) > 600_000 else ()
 
     def rest(self):
         k = np.fromiter(map(key_of, self.found), np.int64, len(self.found))
@@ -220,7 +220,7 @@ class Pairs:
         k = np.where(near, ids[:-1] << 21 | ids[1:], pair_key(keys[:-1], keys[1:]))
         self.found.append((k[good], np.where(near, 0, keys[:-1])[good]))
         self.held += int(good.sum())
-        return self.rest() if self.held > 6_000_000 else ()
+        return self.rest() if self.held > 3_000_000 else ()
 
     def rest(self):
         out = []
@@ -269,7 +269,7 @@ def train(docs: DataFrame, s: Settings = Settings()) -> Model:
     some = counts.filter(F.col("n") >= max(state, least))  # no pair is more frequent than its tokens
     shared = spark.sparkContext.broadcast((keys, bit_map(some)))
     pairs = _sums(docs, lambda: Pairs(Names({int(k): i for i, k in enumerate(shared.value[0])}), *shared.value), ("k", "a")).filter(F.col("n") >= least)
-    pairs = scratch(_by_keys(pairs, shared))
+    pairs = _by_keys(pairs, shared)
     pairs = pairs.join(some.select(F.col("k").alias("b"), F.col("n").alias("cb")), "b").join(some.select(F.col("k").alias("a"), F.col("n").alias("ca")), "a")
     pairs = scratch(pairs.select("a", "b", "n", "ca", "cb"))
     used = (F.sum("n") - F.count("*") * s.discount) / F.first("ca")
@@ -290,12 +290,15 @@ def train(docs: DataFrame, s: Settings = Settings()) -> Model:
     by_code = np.argsort(codes)
     delta = F.log10((F.col("n") - s.discount) / F.col("ca")) - F.col("back") - F.log10((F.col("cb") + 0.5) / F.lit(unit))
     k = F.expr("(shiftleft(a, 1) | shiftrightunsigned(a, 63)) ^ b")
-    far = scratch(pairs.filter(~near).join(backs, "a").select(k.alias("k"), F.lit(None).cast("long").alias("c"), delta.alias("w")))
+    far = pairs.filter(~near).join(backs, "a").select(k.alias("k"), F.lit(None).cast("long").alias("c"), delta.alias("w"))
     own = counts.join(backs.withColumnRenamed("a", "k"), "k", "left").select("k", F.col("n").alias("c"), F.coalesce("back", F.lit(0.0)).alias("w"))
+    entries = scratch(own.union(far))
+    far = entries.filter("c is null")
     bits = bit_map(far) if far.head(1) else None
-    return Model(keys, state_counts, back, codes[by_code], arc_counts[by_code], bits, scratch(own.union(far)), n, v, s)
+    return Model(keys, state_counts, back, codes[by_code], arc_counts[by_code], bits, entries, n, v, s)
 
 
+KINDS = 5  # of rows that a document has in the join: its score, base and number of tokens, other tokens, other pairs
 _machines: dict[str, Automaton] = {}  # of this worker, by the name its scoring run has
 
 
@@ -320,39 +323,30 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             for a in range(0, b.num_rows, 500):
                 part = b.slice(a, 500)
                 found = [machine.run(tokens(t.as_py())) for t in part.column("text")]
-                rows = np.array([1 + len(r[3]) + len(r[4]) for r in found], np.int64)
+                rows = np.array([3 + len(r[3]) + len(r[4]) for r in found], np.int64)
                 at, first = np.repeat(np.arange(len(found)), rows), np.cumsum(rows) - rows
-                keys, ns = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
-                rare = np.ones(len(at), bool)
-                rare[first] = False
-                kinds = np.zeros(len(at), np.int32)
-                kinds[first] = 1
-                kinds[rare] = [x for r in found for x in [0] * len(r[3]) + [2] * len(r[4])]
-                keys[first] = part.column("h").to_numpy(zero_copy_only=False)
-                ns[first] = [r[2] for r in found]
-                keys[rare] = [k for r in found for x in r[3:] for k in x]
-                ns[rare] = [n for r in found for x in r[3:] for n in x.values()]
-
-                def at_first(values: list, kind: type) -> pa.Array:
-                    out = np.zeros(len(at), kind)
-                    out[first] = values
-                    return pa.array(out)
-
+                keys, kinds, values = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64), np.zeros(len(at))
+                heads = np.zeros(len(at), bool)
+                for j in range(3):  # a head each for the score, the base and the number of tokens read
+                    heads[first + j], kinds[first + j] = True, j
+                    keys[first + j] = part.column("h").to_numpy(zero_copy_only=False) + j
+                    values[first + j] = [r[j] for r in found]
+                keys[~heads] = [k for r in found for x in r[3:] for k in x]
+                kinds[~heads] = [KINDS * n + kind for r in found for kind, x in ((3, r[3]), (4, r[4])) for n in x.values()]
                 own = pa.array(at)
-                cols = [part.column("doc_id").take(own), part.column("h").take(own), pa.array(kinds), pa.array(keys), pa.array(ns)]
-                cols += [at_first([r[1] for r in found], np.float64), at_first([r[0] for r in found], np.float64), at_first([r[2] for r in found], np.int64)]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "h", "kind", "k", "n", "base", "score", "known"])
+                cols = [part.column("doc_id").take(own), part.column("h").take(own), pa.array(kinds), pa.array(keys), pa.array(values)]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "h", "kind", "k", "value"])
 
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
-    parts = rows.mapInArrow(work, f"doc_id {kind}, h long, kind int, k long, n long, base double, score double, known long")
+    parts = rows.mapInArrow(work, f"doc_id {kind}, h long, kind long, k long, value double")
     parts = parts.withColumn("h", F.col("h").bitwiseAND(F.lit(0xFFFFFFFF)).cast("long"))  # tells texts of one doc_id apart
     met = parts.join(model.entries, "k", "left")
-    is_head, is_token = F.col("kind") == 1, F.col("kind") == 0
-    c, w = F.coalesce("c", F.lit(0)), F.col("n") * F.coalesce("w", F.lit(0.0))
-    more = F.when(is_token, F.col("n") * F.log10((c + 0.5) / F.lit(float(unit)))).otherwise(0.0)
-    extra = more + F.when(is_head, 0.0).otherwise(w)
-    known = F.when(is_token & (c > 0), F.col("n")).otherwise(F.col("known"))
-    met = met.select("doc_id", "h", is_head.cast("int").alias("head"), F.when(F.col("kind") < 2, F.col("n")).otherwise(0).alias("n"), (F.col("base") + more).alias("base"), (F.col("score") + extra).alias("score"), known.alias("known"))
+    what, n = F.col("kind") % KINDS, F.expr(f"kind div {KINDS}")
+    c, w = F.coalesce("c", F.lit(0)), n * F.coalesce("w", F.lit(0.0))
+    more = n * F.log10((c + 0.5) / F.lit(float(unit)))
+    at = lambda *cases: F.coalesce(*[F.when(what == k, x) for k, x in cases], F.lit(0.0))
+    read = F.col("value").cast("long")
+    met = met.select("doc_id", "h", (what == 0).cast("int").alias("head"), F.when(what == 2, read).when(what == 3, n).otherwise(0).alias("n"), at((1, F.col("value")), (3, more)).alias("base"), at((0, F.col("value")), (3, more + w), (4, w)).alias("score"), F.when(what == 2, read).when((what == 3) & (c > 0), n).otherwise(0).alias("known"))
     out = met.groupBy("doc_id", "h").agg(F.sum("head").cast("int").alias("m"), *[F.sum(x).alias(x) for x in ("n", "base", "score", "known")])
     each = out.withColumn("__", F.explode(F.array_repeat(F.lit(0), F.col("m"))))  # equal rows were summed together
     return each.select("doc_id", F.expr("n div m").alias("n_tokens"), F.expr("known div m").alias("n_known"), (F.col("base") / F.col("m")).alias("base_score"), (F.col("score") / F.col("m")).alias("score"))
