@@ -63,7 +63,7 @@ def test_families_and_passages(spark):
     rows = [(d, t, None, None, 0) for d, t in docs.items()]
     rnd.shuffle(rows)
     df = spark.createDataFrame(rows, DOCS)
-    for s in (dedup.CONTRACT, dedup.Settings(), dedup.Settings(words=3, percent=85, k=16, stars=1, long=5), replace(dedup.CONTRACT, **dedup.EXACT)):
+    for s in (dedup.CONTRACT, dedup.Settings(), dedup.Settings(words=3, percent=85, k=16, stars=1, long=5, block=25), replace(dedup.CONTRACT, **dedup.EXACT)):
         got = {r.doc_id: (r.n_shingles, r.component_id) for r in dedup.near_groups(df, s).collect()}
         assert got == plain(docs, s.words, s.percent)
 
@@ -99,7 +99,7 @@ def test_rows_of_one_id(spark):
     assert kept == sorted(want, key=repr)
 
 
-def test_long_lists_meet_by_rare_elements(spark):
+def test_wide_lists_are_filed_anew(spark):
     """A passage that is half of 300 texts, in which pairs of near copies hide: no pair of texts by the passage alone."""
     rnd = random.Random(9)
     word = lambda: f"w{rnd.randrange(10**6)}"
@@ -110,12 +110,12 @@ def test_long_lists_meet_by_rare_elements(spark):
         if i % 3:
             docs[2 * i + 1] = " ".join([word(), *own[1:], *passage])
     df = spark.createDataFrame([(d, t) for d, t in docs.items()], "doc_id long, text string")
-    s = dedup.Settings(words=3, percent=85, k=8, stars=0, long=4)
+    s = dedup.Settings(words=3, percent=85, k=8, stars=0, long=4, wide=10)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in dedup.near_groups(df, replace(s, sigmas=1e5)).collect()}
     assert got == plain(docs, 3, 85)
     sets = dedup.with_shingles(df.withColumnRenamed("doc_id", "rep"), 3)
     members = sets.selectExpr("rep", "size(s) n", "rep label")
-    assert dedup._rare_pairs(members, sets.select("rep", "s"), s).count() < 300
+    assert dedup._filed_anew(members, sets.select("rep", "s"), s).agg({"size": "max"}).first()[0] == 2
 
 
 def test_long_texts(spark):

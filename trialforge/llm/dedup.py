@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .common import WORD, ascii_lower, scratch, small, table
 
 LEAST_ID = -(1 << 63)
@@ -19,8 +22,8 @@ class Settings:
     sigmas: how far a pair at the threshold may stray from its expected sketch overlap before the lists or the
     estimate miss it; at 5 and k = 64 the binomial tail is 2.4 pairs in a million for 85 percent, 1.2 for 80, for each
     of the two. EXACT misses none: its sketches are the full sets, and one common value is enough to be a candidate.
-    stars: rounds of one pivot per list before all pairs. long: members of longer lists than this meet by the rare
-    elements of their full sets instead.
+    stars: rounds of one pivot per list before all pairs. long: lists of more members than this are compared by matrix
+    in blocks of at most `block` members, those of more than `wide` after their members are filed anew.
     """
 
     words: int = 5
@@ -29,6 +32,8 @@ class Settings:
     sigmas: float = 5.0
     stars: int = 3
     long: int = 48
+    block: int = 2000
+    wide: int = 20_000
 
 
 CONTRACT = Settings(words=3, percent=85)
@@ -92,25 +97,83 @@ def _verified(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").filter(both * 100 >= union * s.percent).select("a", "b")
 
 
-def _rare_pairs(members: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
-    """Pairs (a, b) of members (rep, n, label) of long lists, of different labels, that may link.
+def _forest(part: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
+    """Links by full sets between rows (rep, label, block, s) of different labels: as many as join all that can be
+    joined, no more. Where the rows are of two blocks, only pairs across them are looked at.
+
+    Intersections are counted by a matrix product over elements that many rows have, and one by one over the others.
+    """
+    reps, sizes, m = part["rep"].to_numpy(), part["s"].map(len).to_numpy(np.int64), len(part)
+    if not m:
+        return []
+    own = np.repeat(np.arange(m), sizes)
+    _, at, count = np.unique(np.concatenate(part["s"].to_list()), return_inverse=True, return_counts=True)
+    many = max(8, m // 32)
+    both = np.zeros((m, m), np.float32)
+    wide = np.flatnonzero(count >= many)
+    for a in range(0, len(wide), 4096):
+        column = np.full(len(count), -1)
+        column[wide[a : a + 4096]] = np.arange(len(wide[a : a + 4096]))
+        hit = column[at] >= 0
+        has = np.zeros((m, len(wide[a : a + 4096])), np.float32)
+        has[own[hit], column[at[hit]]] = 1
+        both += has @ has.T
+    rest = np.flatnonzero((count[at] > 1) & (count[at] < many))
+    rest = rest[np.argsort(at[rest], kind="stable")]
+    for rows in np.split(own[rest], np.flatnonzero(np.diff(at[rest])) + 1) if len(rest) else ():
+        both[np.ix_(rows, rows)] += 1
+    blocks = part["block"].to_numpy()
+    across = len(np.unique(blocks)) > 1
+    root, links = np.unique(part["label"].to_numpy(), return_inverse=True)[1], []
+    for r in range(m):
+        shared = both[r].astype(np.int64)
+        good = (shared * 100 >= (sizes[r] + sizes - shared) * percent) & (root != root[r])
+        if across:
+            good &= blocks != blocks[r]
+        for c in np.flatnonzero(good):
+            if root[c] != root[r]:
+                links.append((int(reps[r]), int(reps[c])))
+                root[root == root[c]] = root[r]
+    return links
+
+
+def _long_lists(members: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
+    """Links (a, b) within lists of many members (value, rep, label, size), enough to connect what is connected.
+
+    A list is cut into blocks by hash and each two blocks are a group of their own, so no task holds a long list and
+    none of its pairs becomes a row. A set is copied once for each block, so lists must not be wider than _filed_anew
+    leaves them.
+    """
+    ship(members.sparkSession)
+    n = F.ceil(F.col("size") / s.block).cast("int")
+    dealt = members.withColumn("n", n).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("n")).cast("int"))
+    dealt = dealt.select("value", "rep", "label", "block", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("j"))
+    dealt = dealt.withColumns({"lo": F.least("block", "j"), "hi": F.greatest("block", "j")}).drop("j").join(sets, "rep")
+
+    def work(part: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(_forest(part, s.percent), columns=["a", "b"], dtype="int64")
+
+    links = dealt.groupBy("value", "lo", "hi").applyInPandas(work, "a long, b long")
+    return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _filed_anew(members: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
+    """Other lists (value, rep, label, size) of the members (rep, n, label) of very wide lists, for all their links.
 
     Two sets of which each has n elements and that link share at least percent of n, so in any common order they share
     one of the n - that + 1 first. Here the order is by how many members hold an element, rarest first: what makes a
-    list long, a passage or a line that many texts hold, comes last and files nothing unless it is most of a text.
-    An element of one member files nothing but takes its place. Full sets are exploded once and never copied.
+    list wide, a passage or a line that many texts hold, comes last and files nothing unless it is most of a text.
+    An element of one member files nothing but takes its place. Full sets are exploded once.
     """
     who = members.select("rep", "n", "label").distinct()
     each = who.join(sets, "rep").select("rep", "n", "label", F.explode("s").alias("e"))
     held = each.groupBy("e").agg(F.count("*").alias("df"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-    met = each.join(held, "e").withColumn("apart", F.col("lo") < F.col("hi"))
     firsts = F.col("n") - F.ceil(F.col("n") * s.percent / 100).cast("int") + 1
+    met = each.join(held.select("e", "df", (F.col("lo") < F.col("hi")).alias("apart")), "e")
     filed = met.groupBy("rep", "n", "label").agg(F.sort_array(F.collect_list(F.struct("df", "e", "apart"))).alias("held"))
-    filed = filed.select("rep", "n", "label", F.explode(F.slice("held", F.lit(1), firsts)).alias("x")).filter("x.apart").select("rep", "n", "label", "x.e")
-    x, y = filed.alias("x"), filed.alias("y")
-    near = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * s.percent
-    pairs = x.join(y, (F.col("x.e") == F.col("y.e")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.label") != F.col("y.label")) & near)
-    return pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+    filed = filed.select("rep", "label", F.explode(F.slice("held", F.lit(1), firsts)).alias("x")).filter("x.apart").select(F.col("x.e").alias("value"), "rep", "label")
+    sizes = filed.groupBy("value").agg(F.count("*").alias("size")).filter("size > 1")
+    return filed.join(sizes, "value")
 
 
 def _lists(reps: DataFrame, s: Settings) -> DataFrame:
@@ -135,9 +198,9 @@ def near_groups(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     Texts of one shingle set are a class and only its least doc_id is compared. Documents that share a filed value
     are candidates; in rounds, each list compares all members with one pivot, first the most central, and members
     found linked, in whatever list, need no more comparing: a list within one component is done. In what is left
-    after s.stars pivots, pairs across components are compared in full, those of long lists where they share a rare
-    element of their sets. So the pairs of a group of copies don't become rows, and no pair that could join two
-    components goes unseen. Only counts come to the driver.
+    after s.stars pivots, pairs across components are compared in full, those of long lists within their tasks. So
+    the pairs of a group of copies don't become rows, and no pair that could join two components goes unseen. Only
+    counts come to the driver.
 
     Null text, or without words: linked with nothing. Null doc_id: before all others, as component too. Rows that
     share a doc_id are one node where they lead their classes. Empty table: empty result. Other columns are left out.
@@ -162,18 +225,22 @@ def near_groups(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
             pairs = pairs.select(F.least("rep", F.col("p.rep")).alias("a"), F.greatest("rep", F.col("p.rep")).alias("b"))
         else:
             left = scratch(named.join(heads.select("value", "size"), "value"))
-            more = _rare_pairs(left.filter(F.col("size") > s.long), sets, s)
+            many = left.filter((F.col("size") > s.long) & (F.col("size") <= s.wide)).select("value", "rep", "label", "size")
+            widest = left.filter(F.col("size") > s.wide)
+            if widest.head(1):
+                many = many.union(_filed_anew(widest, sets, s).select("value", "rep", "label", "size"))
+            more = _long_lists(many, sets, s)
             short = left.filter(F.col("size") <= s.long)
             x, y = short.alias("x"), short.alias("y")
             pairs = x.join(y, (F.col("x.value") == F.col("y.value")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.label") != F.col("y.label")) & ratio(F.col("x.n"), F.col("y.n")))
-            pairs = pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).union(more)
+            pairs = pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
         pairs = pairs.distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = scratch(_estimated(pairs, sketches, s))
         tried = pairs if tried is None else tried.union(pairs)
         links = _verified(pairs, sets, s)
-        links = scratch(links)
+        links = scratch(links if turn < s.stars else links.union(more))
         if not links.head(1):
             continue
         if labels is None:
