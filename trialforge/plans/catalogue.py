@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 
-MODULES = ("trials", "graphs", "evaluation", "entities", "annotations", "numeric")
+MODULES = ("trials", "graphs", "evaluation", "entities", "annotations", "imports", "numeric")
 
 
 def _wide(run):
