@@ -1,5 +1,6 @@
 """Enumeration against brute force, selection, locks, controls, planning."""
 
+import itertools
 import json
 from itertools import product
 
@@ -131,3 +132,46 @@ def test_planning():
     assert d["a", "c"] == pytest.approx(2.5) and plan.equivalence_classes(d, 0.1) == [["a", "b"], ["c"]]
     e = {frozenset(x) for x in ((1, 2), (2, 3), (1, 3), (3, 4))}
     assert plan.cliques([1, 2, 3, 4, 5], e) == [[1, 2, 3], [3, 4], [5]]
+
+
+#: Two budgets whose numbers of candidates, programs and rejects are known.
+G0 = {
+    "tier": "G0", "max_nodes": 5, "max_depth": 4, "max_registers": 1, "max_parameters": 0, "ops": ["lut", "add", "mul", "count_in", "stimulus", "const"],
+    "constants": [2], "count_values": [1], "lut": {"sizes": [3], "values": [0, 1]}, "register_init": [0],
+}
+G1 = {
+    "tier": "G1", "max_nodes": 6, "max_depth": 4, "max_registers": 1, "max_parameters": 2, "ops": ["neg", "relu", "tanh", "add", "mul", "leaky_integrate", "euler_leak", "stimulus", "sum_in", "const", "param"],
+    "constants": [1], "tau_constants": [0.1], "sum_in_selects": ["exc", "inh"], "dt_max": 0.05, "register_init": [0],
+    "parameters": [{"unit": "1", "lower": 0, "upper": 2, "bits": 8}, {"unit": "s", "lower": 0.1, "upper": 5, "bits": 8}, {"unit": "s", "lower": 0.01, "upper": 5, "bits": 8}],
+}
+
+
+def test_known_counts(spark):
+    n = en.summary(en.enumerate_programs(spark, G0))
+    assert (n["generated"], n["unique"], n["duplicates"]) == (9368, 3921, 5447)
+    n = en.summary(en.enumerate_programs(spark, G1))
+    assert (n["generated"], n["unique"], n["rejected"]["stability"]) == (32682, 21858, 3240)
+
+
+def test_numbered_trees():
+    """The text of each number against all texts made in order."""
+    c = TINY | {"max_nodes": 5, "max_depth": 3, "max_registers": 2, "ops": ["neg", "add", "min", "threshold", "clamp", "lut", "leaky_integrate", "const", "stimulus"], "constants": [1, 2], "tau_constants": [0.1, 1], "lut": {"sizes": [2], "values": [0, 1]}, "register_init": [0, 1]}
+    t = en.Trees(c, 1)
+
+    def every(nodes, depth):
+        if nodes == 1:
+            return list(t.leaves)
+        out = []
+        for op, sizes, last, _ in t.blocks(nodes, depth):
+            pools = [every(k, depth - 1) for k in sizes]
+            same = op in en.N_ARY and len(sizes) == 2 and sizes[0] == sizes[1]
+            combos = itertools.combinations_with_replacement(pools[0], 2) if same else itertools.product(*pools)
+            out += [f"{op}({', '.join([*x, *([y] if y else [])])})" for x in combos for y in last]
+        return out
+
+    for nodes in range(1, 6):
+        want = every(nodes, 3)
+        assert [t.text(nodes, 3, i) for i in range(t.count(nodes, 3))] == want
+    space = en.Space(c)
+    texts = [space[i] for i in range(0, len(space), 97)]
+    assert len(set(texts)) == len(texts) and all(x.startswith("wrl 0.1") for x in texts)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
-from itertools import combinations, combinations_with_replacement, product
+from itertools import accumulate, combinations, product
+from math import prod
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 from ..rules import RuleError, compile_rule
 from ..rules.program import N_ARY
 from ..rules.units import number_text
+from ..session import ship
 
 #: Fixed value: the order in which operators are tried.
 INNER = ("neg", "abs", "relu", "tanh", "sigmoid", "add", "mul", "min", "max", "threshold", "clamp", "select", "lut", "leaky_integrate", "euler_leak")
@@ -48,44 +51,72 @@ def _leaves(c: dict, registers: int) -> list[str]:
     return out
 
 
-def trees(c: dict, registers: int):
-    """A function from (nodes, depth) to all expressions of exactly so many nodes and at most that depth, in order."""
-    ops = [o for o in INNER if o in c["ops"]]
-    taus = [f"p{i}" for i, p in enumerate(c.get("parameters", [])) if p["unit"] == "s"] + [f"{number_text(x)}[s]" for x in c.get("tau_constants", [])]
-    lut = c.get("lut", {})
-    tables = ["[" + ", ".join(map(number_text, t)) + "]" for n in lut.get("sizes", []) for t in product(lut.get("values", []), repeat=n)]
-    leaves = _leaves(c, registers)
+class Trees:
+    """All expressions of exactly so many nodes and at most some depth, numbered in a fixed order: how many there are, and
+    the text of the one with a given number, without making those before it."""
 
-    @cache
-    def of(nodes: int, depth: int) -> tuple[str, ...]:
-        if nodes == 1:
-            return tuple(leaves)
+    def __init__(self, c: dict, registers: int):
+        self.ops = [o for o in INNER if o in c["ops"]]
+        self.taus = [f"p{i}" for i, p in enumerate(c.get("parameters", [])) if p["unit"] == "s"] + [f"{number_text(x)}[s]" for x in c.get("tau_constants", [])]
+        lut = c.get("lut", {})
+        self.tables = ["[" + ", ".join(map(number_text, t)) + "]" for n in lut.get("sizes", []) for t in product(lut.get("values", []), repeat=n)]
+        self.leaves = _leaves(c, registers)
+        self.blocks, self.count = cache(self._blocks), cache(self._count)
+
+    def _blocks(self, nodes: int, depth: int) -> list[tuple[str, tuple[int, ...], tuple[str, ...], int]]:
+        """(operator, nodes of its arguments, texts of its last argument, number) in order."""
         if depth <= 1:
-            return ()
+            return []
         out = []
-        for op in ops:
-            if op in UNARY:
-                out += [f"{op}({x})" for x in of(nodes - 1, depth - 1)]
-            elif op == "lut":
-                out += [f"lut({x}, {t})" for x in of(nodes - 1, depth - 1) for t in tables]
+        for op in self.ops:
+            last = self.tables if op == "lut" else self.taus if op in ("leaky_integrate", "euler_leak") else [""]
+            if op in UNARY or op == "lut":
+                splits = [(nodes - 1,)]
             elif op in TERNARY:
-                for a in range(1, nodes - 2):
-                    for b in range(1, nodes - 1 - a):
-                        out += [f"{op}({x}, {y}, {z})" for x, y, z in product(of(a, depth - 1), of(b, depth - 1), of(nodes - 1 - a - b, depth - 1))]
+                splits = [(a, b, nodes - 1 - a - b) for a in range(1, nodes - 2) for b in range(1, nodes - 1 - a)]
             elif op in ("leaky_integrate", "euler_leak"):
-                for a in range(1, nodes - 2):
-                    out += [f"{op}({x}, {y}, {t})" for x, y, t in product(of(a, depth - 1), of(nodes - 2 - a, depth - 1), taus)]
+                splits = [(a, nodes - 2 - a) for a in range(1, nodes - 2)]
             else:
-                for a in range(1, nodes - 1):
-                    b = nodes - 1 - a
-                    if op in N_ARY and a > b:
-                        continue
-                    left, right = of(a, depth - 1), of(b, depth - 1)
-                    pairs = combinations_with_replacement(left, 2) if op in N_ARY and a == b else product(left, right)
-                    out += [f"{op}({x}, {y})" for x, y in pairs]
-        return tuple(out)
+                splits = [(a, nodes - 1 - a) for a in range(1, nodes - 1) if op not in N_ARY or a <= nodes - 1 - a]
+            for sizes in splits:
+                ns = [self.count(k, depth - 1) for k in sizes]
+                n = ns[0] * (ns[0] + 1) // 2 if op in N_ARY and len(sizes) == 2 and sizes[0] == sizes[1] else prod(ns)
+                out.append((op, sizes, tuple(last), n * len(last)))
+        return out
+
+    def _count(self, nodes: int, depth: int) -> int:
+        return len(self.leaves) if nodes == 1 else sum(b[3] for b in self.blocks(nodes, depth))
 
-    return of
+    def text(self, nodes: int, depth: int, i: int) -> str:
+        if nodes == 1:
+            return self.leaves[i]
+        for op, sizes, last, n in self.blocks(nodes, depth):
+            if i < n:
+                break
+            i -= n
+        i, tail = divmod(i, len(last))
+        ns = [self.count(k, depth - 1) for k in sizes]
+        if op in N_ARY and len(sizes) == 2 and sizes[0] == sizes[1]:  # pairs of one pool, the second not before the first
+            m = ns[0]
+            x = int(m + 0.5 - ((m + 0.5) ** 2 - 2 * i) ** 0.5)
+            while x * m - x * (x - 1) // 2 > i:
+                x -= 1
+            while (x + 1) * m - (x + 1) * x // 2 <= i:
+                x += 1
+            picked = [x, x + i - (x * m - x * (x - 1) // 2)]
+        else:
+            picked = _digits(i, ns)
+        parts = [self.text(k, depth - 1, j) for k, j in zip(sizes, picked)]
+        return f"{op}({', '.join(parts + [last[tail]] * (last[tail] != ''))})"
+
+
+def _digits(i: int, sizes: list[int]) -> list[int]:
+    """Mixed-radix digits of i, the last running fastest."""
+    out = []
+    for n in reversed(sizes):
+        i, d = divmod(i, n)
+        out.append(d)
+    return out[::-1]
 
 
 def _splits(total: int, parts: int) -> Iterator[tuple[int, ...]]:
@@ -94,20 +125,45 @@ def _splits(total: int, parts: int) -> Iterator[tuple[int, ...]]:
         yield tuple(b - a for a, b in zip(edges, edges[1:]))
 
 
+class Space:
+    """All candidates of a budget, numbered: by registers and their initial values, then nodes, then how these are split,
+    then the trees, then junctions. The text of each follows from its number."""
+
+    def __init__(self, c: dict):
+        validate(c)
+        self.depth, self.variants = c.get("max_depth", 12), list(c.get("gap_variants", ["none"]))
+        self.head = ["wrl 0.1", f"tier {c['tier']}"] + ([f"dt_max {number_text(c['dt_max'])}"] if c.get("dt_max") else [])
+        self.pars = [f"param p{i} : {p['unit']} in [{number_text(p['lower'])}, {number_text(p['upper'])}] trainable bits {p['bits']}" for i, p in enumerate(c.get("parameters", []))]
+        gap = c.get("gap_scale", {})
+        self.tails = {"none": [], "unit": ["gap r0"], "scaled": [f"param pg : 1 in [{number_text(gap.get('lower', 0))}, {number_text(gap.get('upper', 1))}] trainable bits {gap.get('bits', 8)}", "gap r0 scale pg"]}
+        first = c.get("register_init", 0)
+        first = first if isinstance(first, list) else [first]
+        self.parts = []
+        for registers in range(1, c.get("max_registers", 1) + 1):
+            trees = Trees(c, registers)
+            for inits in product(first, repeat=registers):
+                for total in range(registers, c["max_nodes"] + 1):
+                    for sizes in _splits(total, registers):
+                        ns = [trees.count(n, self.depth) for n in sizes]
+                        self.parts.append((trees, inits, sizes, ns, prod(ns) * len(self.variants)))
+        self.ends = list(accumulate(p[4] for p in self.parts))
+
+    def __len__(self) -> int:
+        return self.ends[-1] if self.ends else 0
+
+    def __getitem__(self, i: int) -> str:
+        at = bisect_right(self.ends, i)
+        trees, inits, sizes, ns, n = self.parts[at]
+        *picked, v = _digits(i - (self.ends[at] - n), [*ns, len(self.variants)])
+        states = [f"state r{k} : 1 = {number_text(x)}" for k, x in enumerate(inits)]
+        exprs = [f"next r{k} = {trees.text(m, self.depth, j)}" for k, (m, j) in enumerate(zip(sizes, picked))]
+        return "\n".join([*self.head, *states, *self.pars, *exprs, *self.tails[self.variants[v]], "observe identity_v1(r0)"]) + "\n"
+
+
 def candidates(c: dict) -> Iterator[str]:
-    """Source texts in order: by registers, then nodes, then how they are split, then the trees."""
-    head = ["wrl 0.1", f"tier {c['tier']}"] + ([f"dt_max {number_text(c['dt_max'])}"] if c.get("dt_max") else [])
-    pars = [f"param p{i} : {p['unit']} in [{number_text(p['lower'])}, {number_text(p['upper'])}] trainable bits {p['bits']}" for i, p in enumerate(c.get("parameters", []))]
-    gap = c.get("gap_scale", {})
-    tails = {"none": [], "unit": ["gap r0"], "scaled": [f"param pg : 1 in [{number_text(gap.get('lower', 0))}, {number_text(gap.get('upper', 1))}] trainable bits {gap.get('bits', 8)}", "gap r0 scale pg"]}
-    for registers in range(1, c.get("max_registers", 1) + 1):
-        of = trees(c, registers)
-        states = [f"state r{i} : 1 = {number_text(c.get('register_init', 0))}" for i in range(registers)]
-        for total in range(registers, c["max_nodes"] + 1):
-            for sizes in _splits(total, registers):
-                for exprs in product(*(of(n, c.get("max_depth", 12)) for n in sizes)):
-                    for variant in c.get("gap_variants", ["none"]):
-                        yield "\n".join([*head, *states, *pars, *[f"next r{i} = {e}" for i, e in enumerate(exprs)], *tails[variant], "observe identity_v1(r0)"]) + "\n"
+    """Source texts in order."""
+    space = Space(c)
+    return (space[i] for i in range(len(space)))
 
 
 def judge(source: str, c: dict) -> tuple[str, str, str, int, int]:
@@ -124,17 +180,22 @@ def judge(source: str, c: dict) -> tuple[str, str, str, int, int]:
 def enumerate_programs(spark: SparkSession, c: dict, part: int = 2000) -> DataFrame:
     """index, outcome (ok, duplicate, type_or_unit, stability, budget), hash, source, l_struct, l_params of every candidate.
 
-    Texts are made in order on the driver in parts and compiled in tasks; of equal programs the first is ok.
+    The driver counts the candidates; tasks make the texts from their numbers and compile them. Of equal programs the
+    first is ok.
     """
-    validate(c)
-    rows = spark.createDataFrame(pd.DataFrame(enumerate(candidates(c)), columns=["index", "text"]), "index long, text string")
+    n = len(Space(c))
+    ship(spark)
 
     def work(parts):
+        space = Space(c)
         for p in parts:
-            out = [judge(t, c) for t in p["text"]]
-            yield pd.DataFrame({"index": p["index"], **{k: [o[i] for o in out] for i, k in enumerate(("outcome", "hash", "source", "l_struct", "l_params"))}})
+            for at in range(0, len(p), part):
+                index = p["id"].iloc[at : at + part]
+                out = [judge(space[int(i)], c) for i in index]
+                yield pd.DataFrame({"index": index, **{k: [o[i] for o in out] for i, k in enumerate(("outcome", "hash", "source", "l_struct", "l_params"))}})
 
-    done = rows.repartition(max(1, rows.count() // part)).mapInPandas(work, "index long, outcome string, hash string, source string, l_struct long, l_params long")
+    rows = spark.range(0, n, 1, max(1, -(-n // part)))
+    done = rows.mapInPandas(work, "index long, outcome string, hash string, source string, l_struct long, l_params long")
     first = done.filter("outcome = 'ok'").groupBy("hash").agg(F.min("index").alias("first"))
     x = done.join(first, "hash", "left")
     return x.withColumn("outcome", F.when((F.col("outcome") == "ok") & (F.col("index") != F.col("first")), "duplicate").otherwise(F.col("outcome"))).drop("first")
