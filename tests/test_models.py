@@ -93,6 +93,29 @@ def test_kernel_families():
     assert (own.kernel(t, "never seen") == 0).all()
 
 
+def test_kernels_by_target():
+    """Two targets with a kernel each: one shared kernel can't hold both, a kernel per target does; no loss per pair grows."""
+    rng = np.random.default_rng(8)
+    shapes, rows = rng.normal(size=(2, 5)), []
+    for target in range(2):
+        for j in range(5):
+            c, x, z = rng.normal() * shapes[target], rng.normal(size=(200, 5)), rng.normal(size=(200, 1))
+            a = np.column_stack([x, z, x @ c + 0.3 * z[:, 0] + 0.1 * rng.normal(size=200)])
+            rows.append({"target": f"t{target}", "responder": j, "stat": (a.T @ a).ravel(), "n": 200, "c": c})
+    rows = pd.DataFrame(rows)
+    s = K.stack(rows, ["target", "responder"], 5, 1)
+    f = K.fit_shared(s, 1e-6)
+    assert np.allclose(f.c, np.stack(rows["c"]), atol=0.06) and f.extra["kernels"].shape == (2, 5)
+    together = K.fit_shared(s, 1e-6, groups=np.zeros(10, int))
+    assert K.loss(s, together.c, together.b) > 3 * K.loss(s, f.c, f.b)
+    for t in range(2):
+        assert np.linalg.matrix_rank(f.c[5 * t : 5 * t + 5], tol=1e-8) == 1
+    losses = [K.loss(s, *(lambda g: (g.c, g.b))(K.FAMILIES[k](s, 1e-6))) for k in ("rank1", "rank2", "rank4", "independent")]
+    assert all(x >= y - 1e-6 for x, y in zip(losses, losses[1:])) and losses[1] < 1.1 * losses[3]
+    warm = K.fit_shared(s, 1e-6, start=f.extra["kernels"])
+    assert np.allclose(warm.c, f.c, atol=1e-4)
+
+
 def test_delays():
     knots = np.arange(9)
     s3 = K.shift(9, knots, 2)

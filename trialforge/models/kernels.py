@@ -7,6 +7,7 @@ are a pair's kernel weights on the basis and b the animals' nuisance weights.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -114,45 +115,62 @@ def shift(m: int, knots: np.ndarray, lag: int) -> np.ndarray:
     return out
 
 
-def fit_shared(s: Stats, ridge: float, knots: np.ndarray | None = None, start: np.ndarray | None = None) -> Fit:
-    """One kernel for all pairs, an amplitude (and with knots a whole delay) for each, by alternating least squares.
+def targets_of(pairs: list) -> np.ndarray:
+    """The number of each pair's target, its first part; all one where a pair is a single name."""
+    firsts = [p[0] if isinstance(p, tuple) and len(p) > 1 else None for p in pairs]
+    return np.unique([repr(f) for f in firsts], return_inverse=True)[1] if firsts else np.zeros(0, int)
 
+
+def _leading(c: np.ndarray) -> np.ndarray:
+    """The first right singular vector of c, its largest entry positive; without one, the first unit vector."""
+    if not c.any():
+        return np.eye(c.shape[1])[0]
+    v = np.linalg.svd(c, full_matrices=False)[2][0]
+    return v if v[np.argmax(np.abs(v))] > 0 else -v
+
+
+def fit_shared(s: Stats, ridge: float, knots: np.ndarray | None = None, start: np.ndarray | None = None, groups: np.ndarray | None = None) -> Fit:
+    """One kernel for each target, shared by its pairs, an amplitude (and with knots a whole delay) for each pair, by
+    alternating least squares.
+
+    groups: number of each pair's target; start: kernels to begin from, else the leading shapes of the independent fit.
     Ties between delays go to the one nearest to zero.
     """
     lam, (p, m) = ridge * s.ridge_unit, s.y.shape
-    moves = [shift(m, knots, d) for d in DELAYS] if knots is not None else [np.eye(m)]
-    b = _solve(s.Q, s.q)
+    groups = targets_of(s.pairs) if groups is None else groups
+    of = np.eye(int(groups.max()) + 1 if p else 1)[groups].T if p else np.zeros((1, 0))  # group by pair
+    moves = np.stack([shift(m, knots, d) for d in DELAYS]) if knots is not None else np.eye(m)[None]
     if start is None:
-        u, _, vt = np.linalg.svd(fit_independent(s, max(ridge, 1.0)).c, full_matrices=False)
-        start = vt[0] * np.sign(vt[0][np.argmax(np.abs(vt[0]))] or 1)
-    k, pick, amp, last = start / (np.linalg.norm(start) or 1), np.zeros(p, int), np.zeros(p), np.inf
+        own = fit_independent(s, ridge)
+        k, b = np.stack([_leading(own.c[g > 0]) for g in of]) if p else np.eye(m)[:1], own.b
+    else:
+        k, b = np.array(start, float), _solve(s.Q, s.q)
+    tie = 1e-12 * np.abs(np.arange(len(moves)))
+    gl, pick, amp, last = s.G + lam * np.eye(m), np.zeros(p, int), np.zeros(p), np.inf
     for _ in range(SWEEPS if knots is None else 60):
-        gain = np.empty((len(moves), p))
-        amps = np.empty_like(gain)
-        for d, move in enumerate(moves):
-            v = move @ k
-            h = np.einsum("m,pmn,n->p", v, s.G, v) + lam * (v @ v) + EPS
-            g = s.y @ v - np.einsum("m,pmk,k->p", v, s.X, b)
-            amps[d], gain[d] = g / h, g * g / h
-        pick = np.argmax(gain > gain.max(axis=0) - 1e-12 * (1 + gain.max(axis=0)), axis=0)
-        amp = amps[pick, np.arange(p)]
-        S = np.stack(moves)[pick]
-        a = np.einsum("p,pnm,pno,pol->ml", amp**2, S, s.G + lam * np.eye(m), S)
-        r = np.einsum("p,pnm,pn->m", amp, S, s.y - np.einsum("pmk,k->pm", s.X, b))
-        k = _solve(a, r)
-        size = np.linalg.norm(k) or 1.0
-        k, amp = k / size, amp * size
-        c = amp[:, None] * np.einsum("pmn,n->pm", S, k)
+        r = s.y - s.X @ b
+        v = np.einsum("dmn,pn->pdm", moves, k[groups])
+        num, den = np.einsum("pdm,pm->pd", v, r), np.einsum("pdm,pmn,pdn->pd", v, gl, v) + EPS
+        pick = np.argmax(num**2 / den - tie, axis=1)
+        amp = num[np.arange(p), pick] / den[np.arange(p), pick]
+        moved = moves[pick]
+        left = np.einsum("gp,pnm,pno,pol->gml", of * amp**2, moved, gl, moved, optimize=True) + EPS * np.eye(m)
+        k = np.linalg.solve(left, np.einsum("gp,pnm,pn->gm", of * amp, moved, r, optimize=True)[..., None])[..., 0]
+        size = np.linalg.norm(k, axis=1)
+        size[size == 0] = 1.0
+        k, amp = k / size[:, None], amp * size[groups]
+        c = amp[:, None] * np.einsum("pmn,pn->pm", moved, k[groups])
         b = _solve(s.Q, s.q - np.einsum("pmk,pm->k", s.X, c))
         now = loss(s, c, b, lam)
-        if last - now <= TOL * max(1.0, abs(now)):
+        if abs(last - now) <= TOL * max(1.0, abs(now)):
             break
         last = now
-    return Fit("shared" if knots is None else "shared+delay", c, b, {"kernel": k, "amplitude": amp, "delay": np.array(DELAYS)[pick] if knots is not None else np.zeros(p, int), "lam": lam})
+    delay = np.array(DELAYS)[pick] if knots is not None else np.zeros(p, int)
+    return Fit("shared" if knots is None else "shared+delay", c, b, {"kernels": k, "amplitude": amp, "delay": delay, "lam": lam})
 
 
 def fit_low_rank(s: Stats, ridge: float, rank: int) -> Fit:
-    """Kernels in a common subspace of few dimensions, by alternating least squares; an orthonormal basis, signs fixed."""
+    """Kernels in a common subspace of few dimensions, by alternating least squares, in an orthonormal basis."""
     lam, (p, m) = ridge * s.ridge_unit, s.y.shape
     rank = min(rank, m, p)
     b = _solve(s.Q, s.q)
@@ -165,7 +183,7 @@ def fit_low_rank(s: Stats, ridge: float, rank: int) -> Fit:
         big = np.einsum("pi,pmn,pj->minj", A, s.G + lam * np.eye(m), A).reshape(m * rank, m * rank)
         B = _solve(big, np.einsum("pm,pi->mi", r, A).ravel()).reshape(m, rank)
         B, R = np.linalg.qr(B)
-        sign = np.sign(B[np.argmax(np.abs(B), axis=0), np.arange(rank)])
+        sign = np.where(np.diag(R) < 0, -1.0, 1.0)  # the triangle's diagonal is positive
         B, A = B * sign, A @ (R * sign[:, None]).T
         c = A @ B.T
         b = _solve(s.Q, s.q - np.einsum("pmk,pm->k", s.X, c))
@@ -176,7 +194,7 @@ def fit_low_rank(s: Stats, ridge: float, rank: int) -> Fit:
     return Fit(f"rank{rank}", c, b, {"basis": B, "weights": A, "lam": lam})
 
 
-FAMILIES = {"null": fit_null, "independent": fit_independent, "shared": fit_shared, "rank2": lambda s, r: fit_low_rank(s, r, 2)}
+FAMILIES = {"null": fit_null, "independent": fit_independent, "shared": fit_shared} | {f"rank{k}": partial(fit_low_rank, rank=k) for k in (1, 2, 4, 8)}
 
 
 def choose_ridge(train: list[Stats], test: list[Stats], fit, ridges=RIDGES) -> tuple[float, dict[float, float]]:
