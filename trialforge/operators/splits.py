@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import ordered
+
 
 def order_key(seed: int, scope: str | Column, group: str) -> Column:
     """Hex sha256 of seed:scope:group."""
@@ -13,14 +15,14 @@ def order_key(seed: int, scope: str | Column, group: str) -> Column:
 
 
 def kfold(rows: DataFrame, group: str, k: int, seed: int, scope: str) -> DataFrame:
-    """group, fold: distinct groups in hash order, every k-th one in a fold. One row per group meets in one window."""
-    ids = rows.select(group).distinct()
-    return ids.withColumn("fold", (F.row_number().over(Window.orderBy(order_key(seed, scope, group))) - 1) % k)
+    """group, fold: distinct groups in hash order, every k-th one in a fold."""
+    placed = ordered(rows.select(group).distinct(), [], [order_key(seed, scope, group), F.col(group)], "fold")
+    return placed.withColumn("fold", (F.col("fold") % k).cast("int"))
 
 
 def leave_one_out(rows: DataFrame, group: str) -> DataFrame:
     """group, fold: a fold for each group, in order of name."""
-    return rows.select(group).distinct().withColumn("fold", F.row_number().over(Window.orderBy(group)) - 1)
+    return ordered(rows.select(group).distinct(), [], [F.col(group)], "fold").withColumn("fold", F.col("fold").cast("int"))
 
 
 def nested(rows: DataFrame, group: str, k: int, inner: int, seed: int) -> DataFrame:
@@ -29,8 +31,8 @@ def nested(rows: DataFrame, group: str, k: int, inner: int, seed: int) -> DataFr
     folds = outer.select(F.col("fold").alias("outer")).distinct()
     train = folds.join(outer, F.col("outer") != F.col("fold")).drop("fold")
     scope = F.concat(F.lit("inner"), F.col("outer").cast("string"))
-    w = Window.partitionBy("outer").orderBy(order_key(seed, scope, group))
-    train = train.select("outer", F.lit("train").alias("role"), ((F.row_number().over(w) - 1) % inner).alias("inner"), group)
+    train = ordered(train.select("outer", group), ["outer"], [order_key(seed, scope, group), F.col(group)], "inner")
+    train = train.select("outer", F.lit("train").alias("role"), (F.col("inner") % inner).cast("int").alias("inner"), group)
     test = outer.select(F.col("fold").alias("outer"), F.lit("test").alias("role"), F.lit(None).cast("int").alias("inner"), group)
     return train.unionByName(test)
 

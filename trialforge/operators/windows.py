@@ -43,6 +43,15 @@ def masked(offset: Column) -> Column:
     return offset.isin(*MASKED)
 
 
+def with_baseline(windows: DataFrame, keys: list[str], value: str = "value", valid: str = "valid") -> DataFrame:
+    """windows with f0 and pre_sd of their trace (see baseline), beside the rows in one pass: a trace has few rows."""
+    w = Window.partitionBy(*keys)
+    x = F.when((F.col("offset") < 0) & F.col(valid) & ~masked(F.col("offset")), F.col(value))
+    out = windows.withColumns({"__f": F.avg(x).over(w), "__s": F.stddev_pop(x).over(w), "__n": F.count(x).over(w)})
+    good = (F.col("__n") >= LEAST_BASE) & (F.col("__f") > LEAST_F0)
+    return out.withColumns({"f0": F.when(good, F.col("__f")), "pre_sd": F.when(good, F.col("__s") / F.col("__f"))}).drop("__f", "__s", "__n")
+
+
 def baseline(windows: DataFrame, keys: list[str], value: str = "value", valid: str = "valid") -> DataFrame:
     """f0 and pre_sd (population, of dF/F) per trace, null where the baseline isn't usable, and n_base."""
     pre = (F.col("offset") < 0) & F.col(valid) & ~masked(F.col("offset"))
@@ -54,7 +63,7 @@ def baseline(windows: DataFrame, keys: list[str], value: str = "value", valid: s
 
 def dff(windows: DataFrame, keys: list[str], value: str = "value", valid: str = "valid") -> DataFrame:
     """windows with dF/F; 0 and not valid where masked, invalid or without a usable baseline."""
-    out = windows.join(baseline(windows, keys, value, valid), keys)
+    out = with_baseline(windows, keys, value, valid)
     good = F.col(valid) & ~masked(F.col("offset")) & F.col("f0").isNotNull()
     return out.withColumns({"dff": F.when(good, F.try_divide(F.col(value) - F.col("f0"), F.col("f0"))).otherwise(0.0), "dff_valid": good})
 
@@ -103,10 +112,13 @@ def peak_shape(rows: DataFrame, keys: list[str], offset: str, value: str, search
 
 
 def convolve(series: DataFrame, keys: list[str], order: str, value: str, basis: DataFrame, lags: int) -> DataFrame:
-    """keys, order, k, x: causal convolution of each series with each basis function (lag, k, weight), by lag join."""
-    spread = series.select(*keys, F.col(order).alias("__s"), F.col(value).alias("__u"), F.explode(F.sequence(F.lit(0), F.lit(lags - 1))).alias("lag"))
-    at = spread.withColumn(order, F.col("__s") + F.col("lag")).join(series.select(*keys, order), [*keys, order])
-    return at.join(F.broadcast(basis), "lag").groupBy(*keys, order, "k").agg(F.sum(F.col("__u") * F.col("weight")).alias("x"))
+    """keys, order, k, x: causal convolution of each series with each basis function (lag, k, weight), for every sample
+    and function. Only samples that aren't 0 are spread over the lags; basis has at most lags rows a function."""
+    used = series.filter(F.col(value) != 0).select(*keys, F.col(order).alias("__s"), F.col(value).alias("__u"))
+    spread = used.crossJoin(F.broadcast(basis.filter(F.col("lag") < lags))).select(*keys, (F.col("__s") + F.col("lag")).alias(order), "k", (F.col("__u") * F.col("weight")).alias("__x"))
+    sums = spread.groupBy(*keys, order, "k").agg(F.sum("__x").alias("__x"))
+    grid = series.select(*keys, order).crossJoin(F.broadcast(basis.select("k").distinct()))
+    return grid.join(sums, [*keys, order, "k"], "left").select(*keys, order, "k", F.coalesce("__x", F.lit(0.0)).alias("x"))
 
 
 def tents(knots: tuple[int, ...], n: int) -> list[tuple[int, int, float]]:

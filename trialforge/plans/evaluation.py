@@ -7,7 +7,9 @@ import math
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from .. import tables
 from ..operators import scoring, splits
+from ..search import select
 from ..sources import readers
 from .base import r6, read
 
@@ -67,19 +69,17 @@ def resume_anti(spark, d):
 def pareto_front(spark, d):
     """Parts that no other part beats in price and size without losing in either, per brand."""
     p = read(spark, d, "part").select("p_brand", "p_partkey", "p_retailprice", "p_size")
-    q = p.select("p_brand", F.col("p_retailprice").alias("c"), F.col("p_size").alias("s"))
-    beaten = (p["p_brand"] == q["p_brand"]) & (q["c"] <= p["p_retailprice"]) & (q["s"] <= p["p_size"]) & ((q["c"] < p["p_retailprice"]) | (q["s"] < p["p_size"]))
-    return p.join(q, beaten, "left_anti").select("p_brand", "p_partkey")
+    return select.pareto(p, "p_size", "p_retailprice", "p_brand").select("p_brand", "p_partkey")
 
 
 def rank_ties(spark, d):
-    w = Window.partitionBy("p_brand").orderBy("p_size", "p_retailprice", "p_partkey")
-    return read(spark, d, "part").select("p_brand", "p_partkey", F.row_number().over(w).alias("rank"))
+    x = tables.ordered(read(spark, d, "part").select("p_brand", "p_partkey", "p_size", "p_retailprice"), ["p_brand"], ["p_size", "p_retailprice", "p_partkey"])
+    return x.select("p_brand", "p_partkey", (F.col("position") + 1).alias("rank"))
 
 
 def prefix_min(spark, d):
-    w = Window.partitionBy("p_brand").orderBy("p_partkey").rowsBetween(Window.unboundedPreceding, 0)
-    return read(spark, d, "part").select("p_brand", "p_partkey", F.min("p_retailprice").over(w).alias("best_so_far"))
+    x = tables.ordered(read(spark, d, "part").select("p_brand", "p_partkey", "p_retailprice"), ["p_brand"], ["p_partkey"], None, least={"earlier": "p_retailprice"})
+    return x.select("p_brand", "p_partkey", F.least("earlier", "p_retailprice").alias("best_so_far"))
 
 
 def posterior_weights(spark, d):
@@ -131,8 +131,7 @@ def nested_choice(spark, d):
 
 def even_subsample(spark, d):
     """Seven of a brand's parts at even ranks, the ranks rounded half to even."""
-    w = Window.partitionBy("p_brand")
-    p = read(spark, d, "part").select("p_brand", "p_partkey", (F.row_number().over(w.orderBy("p_partkey")) - 1).alias("r"), F.count("*").over(w).alias("n"))
+    p = tables.ordered(read(spark, d, "part").select("p_brand", "p_partkey"), ["p_brand"], ["p_partkey"], "r", "n")
     want = F.transform(F.sequence(F.lit(0), F.lit(6)), lambda i: F.bround(i * (F.col("n") - 1) / 6.0).cast("int"))
     return p.filter(F.array_contains(want, F.col("r"))).select("p_brand", "p_partkey")
 
@@ -156,8 +155,9 @@ def benchmark_summary(spark, d):
     """Per status: mean price, the most common priority (ties to the first), share of the top size bucket, median price."""
     o = read(spark, d, "orders")
     mode = o.groupBy("o_orderstatus", "o_orderpriority").count().groupBy("o_orderstatus").agg(F.min_by("o_orderpriority", F.struct(-F.col("count"), "o_orderpriority")).alias("modal"))
-    x = o.groupBy("o_orderstatus").agg(r6(F.avg("o_totalprice")).alias("mean"), r6(F.avg((F.col("o_totalprice") > 300000).cast("double"))).alias("at_edge"), r6(F.percentile("o_totalprice", 0.5)).alias("median"))
-    return x.join(mode, "o_orderstatus")
+    x = o.groupBy("o_orderstatus").agg(r6(F.avg("o_totalprice")).alias("mean"), r6(F.avg((F.col("o_totalprice") > 300000).cast("double"))).alias("at_edge"))
+    middle = tables.quantiles(o, "o_orderstatus", "o_totalprice", {"median": 0.5}).select("o_orderstatus", r6("median").alias("median"))
+    return x.join(middle, "o_orderstatus").join(mode, "o_orderstatus")
 
 
 def gate_counts(spark, d):

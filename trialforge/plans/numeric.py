@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from .. import tables
 from ..body import swimmer
 from ..models import kernels, network, noise
 from ..models.fit import Problem, fit_program, gaussian_loss
@@ -235,10 +234,15 @@ def _stream(spark, d):
 
 
 def _drained(df, mode: str):
-    name = f"q{uuid.uuid4().hex}"
-    q = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    """All a stream gives, by way of files in the shared folder; in complete mode the last table."""
+    spark = df.sparkSession
+    path, state = tables.new_path(spark), tables.new_path(spark)
+    if mode == "complete":  # files are only appended to; each trigger replaces the table
+        q = df.writeStream.outputMode(mode).option("checkpointLocation", state).foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(path)).trigger(availableNow=True).start()
+    else:
+        q = df.writeStream.outputMode(mode).format("parquet").option("path", path).option("checkpointLocation", state).trigger(availableNow=True).start()
     q.awaitTermination()
-    return df.sparkSession.table(name)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def stream_windows(spark, d):

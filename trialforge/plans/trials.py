@@ -8,6 +8,7 @@ from statistics import NormalDist
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from .. import tables
 from ..operators import scoring, windows
 from .base import r6, read, samples, series, trials, with_series
 
@@ -59,7 +60,7 @@ def response_amplitude(spark, d):
 
 
 def artifact_profile(spark, d):
-    x = _aligned(spark, d).join(windows.baseline(_aligned(spark, d), TRACE), TRACE).filter("valid and f0 is not null and offset between -3 and 4")
+    x = windows.with_baseline(_aligned(spark, d), TRACE).filter("valid and f0 is not null and offset between -3 and 4")
     return x.groupBy((F.col("event_index") % 4 == F.col("recording_id") % 5).alias("is_target"), "offset").agg(F.count("*").alias("n"), r6(F.avg((F.col("value") - F.col("f0")) / F.col("f0"))).alias("mean_dff"))
 
 
@@ -179,7 +180,8 @@ def autoresponse_frames(spark, d):
 
 
 def interval_coverage(spark, d):
-    x = scoring.whiten(series(spark, d), ["recording_id"], ["frame"], "value", PHI).join(series(spark, d).groupBy("recording_id").agg(F.avg("value").alias("m"), F.stddev_samp("value").alias("s")), "recording_id")
+    w = Window.partitionBy("recording_id")
+    x = series(spark, d).withColumns({"m": F.avg("value").over(w), "s": F.stddev_samp("value").over(w)})
     c = scoring.coverage(x.filter("s > 0"), ["recording_id"], (F.col("value") - F.col("m")) / F.col("s"), LEVELS)
     return c.select("recording_id", "n", *[r6(k).alias(k) for k in LEVELS])
 
@@ -192,19 +194,21 @@ def segment_autocorr(spark, d):
 
 
 def tail_diagnostics(spark, d):
-    s = series(spark, d).groupBy("recording_id").agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("s"))
-    x = series(spark, d).join(s, "recording_id").filter("s > 0").withColumn("z", (F.col("value") - F.col("m")) / F.col("s"))
+    w = Window.partitionBy("recording_id")
+    x = series(spark, d).withColumns({"m": F.avg("value").over(w), "s": F.stddev_pop("value").over(w)}).filter("s > 0").withColumn("z", (F.col("value") - F.col("m")) / F.col("s"))
     return x.groupBy(F.floor(F.col("frame") / 20).alias("time_bin")).agg(F.count("*").alias("n"), F.count_if(F.abs("z") > 2).alias("big"), r6(F.avg(F.pow("z", F.lit(4.0))) / F.pow(F.avg(F.pow("z", F.lit(2.0))), F.lit(2.0)) - 3).alias("kurtosis"))
 
 
 def top_share(spark, d):
     """Share of all squared signal in the largest hundredth of the samples."""
-    x = series(spark, d).select((F.col("value") * F.col("value")).alias("q"), F.percent_rank().over(Window.partitionBy("event_type").orderBy(F.desc("value"))).alias("r"), "event_type")
-    return x.groupBy("event_type").agg(F.count_if(F.col("r") <= 0.01).alias("n_top"), r6(F.sum(F.when(F.col("r") <= 0.01, F.col("q")).otherwise(0.0)) / F.sum("q")).alias("share"))
+    x = tables.ordered(series(spark, d).select("event_type", "value"), ["event_type"], [F.desc("value")], "p", "n")
+    tied = x.groupBy("event_type", "value").agg(F.min("p").alias("p"), F.max("n").alias("n"), F.count("*").alias("m"))  # ties share the first rank
+    x = tied.withColumns({"r": F.coalesce(F.col("p") / F.nullif(F.col("n") - 1, F.lit(0)), F.lit(0.0)), "q": F.col("m") * F.col("value") * F.col("value")})
+    return x.groupBy("event_type").agg(F.sum(F.when(F.col("r") <= 0.01, F.col("m")).otherwise(0)).alias("n_top"), r6(F.sum(F.when(F.col("r") <= 0.01, F.col("q")).otherwise(0.0)) / F.sum("q")).alias("share"))
 
 
 def trial_means(spark, d):
-    x = _aligned(spark, d).join(windows.baseline(_aligned(spark, d), TRACE), TRACE).filter("f0 is not null")
+    x = windows.with_baseline(_aligned(spark, d), TRACE).filter("f0 is not null")
     return x.groupBy("recording_id").agg(F.count_distinct("trial_id").alias("trials"), F.round(F.avg(F.abs("value")), 9).alias("mean_abs"), r6(F.avg(F.log("f0"))).alias("mean_log_f0"))
 
 
@@ -223,9 +227,11 @@ def sufficient_statistics(spark, d):
     """Sums of outer products of a short design (1, offset, dff one before) per recording, as long rows."""
     w = Window.partitionBy("trial_id").orderBy("offset")
     x = _dff(spark, d).filter("offset >= 2 and dff_valid").withColumn("lagged", F.coalesce(F.lag("dff").over(w), F.lit(0.0)))
-    x = x.select("recording_id", "dff", F.array(F.lit(1.0), F.col("offset").cast("double"), "lagged").alias("x"))
-    one = x.select("recording_id", "dff", "x", F.posexplode("x").alias("i", "a")).select("recording_id", "i", "a", F.posexplode(F.concat("x", F.array("dff"))).alias("j", "b")).filter("i <= j")
-    return one.groupBy("recording_id", "i", "j").agg(F.round(F.sum(F.col("a") * F.col("b")), 5).alias("value"))
+    cols = [F.lit(1.0), F.col("offset").cast("double"), F.col("lagged"), F.col("dff")]
+    sums = {(i, j): F.sum(cols[i] * cols[j]) for i in range(3) for j in range(i, 4)}  # one pass, a row per recording and task
+    one = x.groupBy("recording_id").agg(*[v.alias(f"s{i}{j}") for (i, j), v in sums.items()])
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.round(f"s{i}{j}", 5).alias("value")) for i, j in sums])
+    return one.select("recording_id", F.inline(cells))
 
 
 def indicator_kernel(spark, d):
@@ -248,9 +254,9 @@ def _kernel_sql() -> str:
 
 def quantile_summary(spark, d):
     o = read(spark, d, "orders")
-    q = F.percentile("o_totalprice", F.array(*[F.lit(x) for x in (0.0, 0.25, 0.5, 0.75, 1.0)]))
-    x = o.groupBy("o_orderpriority").agg(F.count("*").alias("n"), q.alias("q"))
-    return x.select("o_orderpriority", "n", *[r6(F.col("q")[i]).alias(k) for i, k in enumerate(("min", "q25", "median", "q75", "max"))])
+    at = {"min": 0.0, "q25": 0.25, "median": 0.5, "q75": 0.75, "max": 1.0}
+    x = tables.quantiles(o, "o_orderpriority", "o_totalprice", at)
+    return x.select("o_orderpriority", "n", *[r6(k).alias(k) for k in at])
 
 
 def strata(spark, d):
@@ -294,7 +300,7 @@ SELECT recording_id, frame, round(coalesce(v0 + (v1 - v0) * (frame - p0) / nulli
     "peak_halfdecay": (peak_halfdecay, with_series(""", top AS (SELECT trial_id, max(dff) AS peak FROM dff WHERE ok AND o BETWEEN 0 AND 19 GROUP BY trial_id),
 lat AS (SELECT t.trial_id, t.peak, min(x.o) AS latency FROM top t JOIN dff x ON x.trial_id = t.trial_id AND x.ok AND x.o BETWEEN 0 AND 19 AND x.dff = t.peak GROUP BY ALL)
 SELECT l.trial_id, round(peak, 6) AS peak, latency, min(o) FILTER (WHERE o <= latency AND dff >= 0.5 * peak) AS half_rise, min(o) FILTER (WHERE o > latency AND dff <= 0.5 * peak) - latency AS half_decay FROM lat l JOIN dff x ON x.trial_id = l.trial_id AND x.ok AND x.o >= 0 GROUP BY l.trial_id, peak, latency""")),
-    "convolve_basis": (convolve_basis, with_series(_TENTS + "SELECT s.recording_id, s.frame, CAST(t.k AS BIGINT) AS k, round(sum(CASE WHEN u.event_type = 'error' THEN t.weight ELSE 0.0 END), 6) AS x FROM series s JOIN series u ON u.recording_id = s.recording_id AND u.frame BETWEEN s.frame - 59 AND s.frame JOIN tents t ON t.lag = s.frame - u.frame GROUP BY ALL")),
+    "convolve_basis": (convolve_basis, with_series(_TENTS + ", c AS (SELECT u.recording_id, u.frame + t.lag AS frame, t.k, sum(t.weight) AS x FROM series u CROSS JOIN tents t WHERE u.event_type = 'error' GROUP BY ALL) SELECT s.recording_id, s.frame, CAST(k.k AS BIGINT) AS k, round(coalesce(c.x, 0.0), 6) AS x FROM series s CROSS JOIN (SELECT DISTINCT k FROM tents) k LEFT JOIN c ON c.recording_id = s.recording_id AND c.frame = s.frame AND c.k = k.k")),
     "autoresponse_frames": (autoresponse_frames, with_series("SELECT t.trial_id, count(*) AS n, min(frame) AS first, max(frame) AS last, round(avg(value) FILTER (WHERE valid), 6) AS mean FROM trials t JOIN series s ON s.recording_id = t.recording_id AND frame >= previous_stim_frame AND frame < next_stim_frame GROUP BY t.trial_id")),
     "interval_coverage": (interval_coverage, with_series(", m AS (SELECT recording_id, avg(value) AS m, stddev_samp(value) AS s FROM series GROUP BY recording_id) SELECT recording_id, count(*) AS n, " + ", ".join(f"round(avg(CASE WHEN abs((value - m) / s) <= {q!r} THEN 1.0 ELSE 0.0 END::DOUBLE), 6) AS {k}" for k, q in LEVELS.items()) + " FROM series JOIN m USING (recording_id) WHERE s > 0 GROUP BY recording_id")),
     "segment_autocorr": (segment_autocorr, with_series(", c AS (SELECT *, value - avg(value) OVER (PARTITION BY recording_id) AS c FROM series), p AS (SELECT c, lag(c) OVER (PARTITION BY recording_id ORDER BY frame) AS p FROM c) SELECT count(p) AS n, round(sum(c * p) / sum(c * c) FILTER (WHERE p IS NOT NULL), 6) AS lag1 FROM p")),

@@ -16,6 +16,7 @@ from ..rules import RuleError
 from ..rules.program import Program
 from ..sim.arrays import simulate
 from ..sources.integrity import content_id, read_locked, write_locked
+from ..tables import ordered
 
 MOST_RESPONSE, KERNEL_BITS = 1e3, 32
 
@@ -68,13 +69,9 @@ def rank(rows: DataFrame) -> DataFrame:
 
 def pareto(rows: DataFrame, cost: str, price: str, group: str) -> DataFrame:
     """The rows of a group that no other beats: in order of price, those whose cost is under all cheaper ones'."""
-    w = Window.partitionBy(group).orderBy(price, cost)
-    best = F.min(cost).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    cheaper = rows.groupBy(group, price).agg(F.min(cost).alias("__c"))
-    before = Window.partitionBy(group).orderBy(price).rowsBetween(Window.unboundedPreceding, -1)
-    cheaper = cheaper.withColumn("__before", F.min("__c").over(before))
-    x = rows.withColumn("__best", best).join(cheaper, [group, price])
-    return x.filter((F.col(cost) == F.col("__c")) & (F.col("__before").isNull() | (F.col(cost) < F.col("__before")))).drop("__best", "__c", "__before")
+    cheaper = ordered(rows.groupBy(group, price).agg(F.min(cost).alias("__c")), [group], [price], None, least={"__before": "__c"})
+    x = rows.join(cheaper, [group, price])
+    return x.filter((F.col(cost) == F.col("__c")) & (F.col("__before").isNull() | (F.col(cost) < F.col("__before")))).select(*rows.columns)
 
 
 @dataclass
