@@ -158,19 +158,19 @@ def license_category(spark, d):
 
 def status_classify(spark, d):
     o = read(spark, d, "orders")
-    reg = o.filter("o_orderkey % 7 > 0").select(F.col("o_orderkey").cast("string").alias("path"), F.col("o_custkey").alias("bytes"), F.when(F.col("o_orderkey") % 5 > 0, F.sha2("o_orderstatus", 256)).alias("sha256"), F.md5("o_orderstatus").alias("md5"))
-    files = o.filter("o_orderkey % 11 > 0").select(F.col("o_orderkey").cast("string").alias("path"), F.when(F.col("o_orderkey") % 13 == 0, 0).otherwise(F.col("o_custkey")).alias("bytes"), F.when(F.col("o_orderkey") % 17 == 0, "x").otherwise(F.sha2("o_orderstatus", 256)).alias("sha256"), F.md5("o_orderstatus").alias("md5"))
+    reg = o.filter("o_orderstatus <> 'P'").select(F.col("o_orderkey").cast("string").alias("path"), F.col("o_custkey").alias("bytes"), F.when(F.col("o_orderkey") % 5 > 0, F.sha2("o_orderstatus", 256)).alias("sha256"), F.md5("o_orderstatus").alias("md5"))
+    files = o.filter("o_orderstatus = 'P' or o_orderpriority <> '5-LOW'").select(F.col("o_orderkey").cast("string").alias("path"), F.when(F.col("o_orderkey") % 13 == 0, 0).otherwise(F.col("o_custkey")).alias("bytes"), F.when(F.col("o_orderkey") % 17 == 0, "x").otherwise(F.sha2("o_orderstatus", 256)).alias("sha256"), F.md5("o_orderstatus").alias("md5"))
     return catalog.verify(reg, files).groupBy("status").agg(F.count("*").alias("n"))
 
 
-_FILES = """reg AS (SELECT o_orderkey AS path, o_custkey AS bytes, CASE WHEN o_orderkey % 5 > 0 THEN sha256(o_orderstatus) END AS sha, md5(o_orderstatus) AS md5 FROM orders WHERE o_orderkey % 7 > 0),
-f AS (SELECT o_orderkey AS path, CASE WHEN o_orderkey % 13 = 0 THEN 0 ELSE o_custkey END AS bytes, CASE WHEN o_orderkey % 17 = 0 THEN 'x' ELSE sha256(o_orderstatus) END AS sha, md5(o_orderstatus) AS md5 FROM orders WHERE o_orderkey % 11 > 0)"""
+_FILES = """reg AS (SELECT o_orderkey AS path, o_custkey AS bytes, CASE WHEN o_orderkey % 5 > 0 THEN sha256(o_orderstatus) END AS sha, md5(o_orderstatus) AS md5 FROM orders WHERE o_orderstatus <> 'P'),
+f AS (SELECT o_orderkey AS path, CASE WHEN o_orderkey % 13 = 0 THEN 0 ELSE o_custkey END AS bytes, CASE WHEN o_orderkey % 17 = 0 THEN 'x' ELSE sha256(o_orderstatus) END AS sha, md5(o_orderstatus) AS md5 FROM orders WHERE o_orderstatus = 'P' OR o_orderpriority <> '5-LOW')"""
 
 
 def pin_sources(spark, d):
     o = read(spark, d, "orders")
-    reg = o.filter("o_orderkey % 7 > 0").select(F.col("o_orderkey").alias("path"), F.col("o_custkey").alias("bytes"), F.when(F.col("o_orderkey") % 5 > 0, F.sha2("o_orderstatus", 256)).alias("sha256"), F.md5("o_orderstatus").alias("md5"))
-    files = o.filter("o_orderkey % 11 > 0").select(F.col("o_orderkey").alias("path"), F.when(F.col("o_orderkey") % 13 == 0, 0).otherwise(F.col("o_custkey")).alias("bytes"), F.sha2("o_orderstatus", 256).alias("sha256"), F.md5("o_orderstatus").alias("md5"))
+    reg = o.filter("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("path"), F.col("o_custkey").alias("bytes"), F.when(F.col("o_orderkey") % 5 > 0, F.sha2("o_orderstatus", 256)).alias("sha256"), F.md5("o_orderstatus").alias("md5"))
+    files = o.filter("o_orderstatus = 'P' or o_orderpriority <> '5-LOW'").select(F.col("o_orderkey").alias("path"), F.when(F.col("o_orderkey") % 13 == 0, 0).otherwise(F.col("o_custkey")).alias("bytes"), F.sha2("o_orderstatus", 256).alias("sha256"), F.md5("o_orderstatus").alias("md5"))
     return catalog.pin(reg, files).select("path", "sha256", "refused")
 
 
@@ -204,7 +204,7 @@ def target_reconcile(spark, d):
 
 def roundtrip_check(spark, d):
     e = read(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
-    again = e.withColumn("o_totalprice", F.when(F.col("o_orderkey") % 500 == 3, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))).filter("o_orderkey % 700 <> 5")
+    again = e.withColumn("o_totalprice", F.when(F.col("o_orderkey") % 500 == 3, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))).filter("o_orderstatus <> 'P' or o_totalprice < 250000")
     return catalog.roundtrip(e, again, ["o_orderkey"], 1.0, 7)
 
 
@@ -273,7 +273,7 @@ QUERIES = {
     "registry_validation": (registry_validation, "WITH n AS (SELECT c_custkey % 1400 AS id, c_name, CASE WHEN c_custkey % 10 = 0 THEN '' ELSE c_mktsegment END AS segment, CASE WHEN c_custkey % 3 = 0 THEN c_custkey * 2 END AS s FROM customer), p AS (SELECT 'id repeated' AS problem FROM n GROUP BY id HAVING count(*) > 1 UNION ALL SELECT 'segment missing' FROM n WHERE segment = '' UNION ALL SELECT 'c_name malformed' FROM n WHERE NOT regexp_full_match(c_name, 'Customer#[0-9]*[1-9]') UNION ALL SELECT 'superseded_by unknown' FROM n WHERE s IS NOT NULL AND s NOT IN (SELECT id FROM n)) SELECT problem, count(*) AS n FROM p GROUP BY problem"),
     "source_attribution": (source_attribution, "SELECT o_custkey, bool_and(o_orderkey % 97 <> 0 OR o_totalprice = 0) AS o_totalprice, true AS o_orderstatus FROM orders GROUP BY o_custkey"),
     "target_reconcile": (target_reconcile, "SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 3 AND o_orderstatus = 'F' AND o_custkey % 2 <> 0 THEN o_custkey ELSE -(o_orderkey % 5) END AS code FROM orders"),
-    "roundtrip_check": (roundtrip_check, "SELECT o_orderkey FROM orders WHERE o_orderkey % 500 = 3 OR o_orderkey % 700 = 5"),
+    "roundtrip_check": (roundtrip_check, "SELECT o_orderkey FROM orders WHERE o_orderkey % 500 = 3 OR o_orderstatus = 'P' AND o_totalprice >= 250000"),
     "setops_intersect": (setops_intersect, "SELECT CAST(c_nationkey AS BIGINT) AS c_nationkey FROM customer INTERSECT SELECT s_nationkey FROM supplier"),
     "setops_except": (setops_except, "SELECT strftime(k, '%Y-%m-%d') AS k, who FROM (SELECT CAST(o_orderdate AS DATE) AS k, o_custkey AS who FROM orders EXCEPT SELECT CAST(o_orderdate AS DATE), o_custkey FROM orders WHERE o_orderstatus = 'F')"),
     "three_way": (three_way, "SELECT s_suppkey FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size = 1) AND s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey < 3)"),

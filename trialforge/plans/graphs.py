@@ -135,7 +135,7 @@ def connectome_gap(spark, d):
 
 def endpoint_mapping(spark, d):
     """Both endpoints looked up, with the first reason for which an edge is dropped."""
-    s = read(spark, d, "supplier").filter("s_suppkey % 7 > 0").select(F.col("s_suppkey").alias("pre"), F.col("s_nationkey").alias("pre_nation"))
+    s = read(spark, d, "supplier").filter("s_acctbal >= 0").select(F.col("s_suppkey").alias("pre"), F.col("s_nationkey").alias("pre_nation"))
     p = read(spark, d, "part").filter("p_size > 5").select(F.col("p_partkey").alias("post"), "p_brand")
     x = _edges(spark, d).join(s, "pre", "left").join(p, "post", "left")
     why = F.when(F.col("pre_nation").isNull(), "unknown source").when(F.col("p_brand").isNull(), "unknown target").when((F.col("sign") < 0) & (F.col("delay") == 0), "mirror").otherwise("kept")
@@ -168,6 +168,6 @@ QUERIES = {
     "graph_problems": (graph_problems, f"WITH {_E}, {_G}, x AS (SELECT pre, post % 120 AS post, weight - 3 AS weight FROM e), p AS (SELECT 'bad weight' AS problem FROM x WHERE weight < 0 UNION ALL SELECT 'unknown endpoint' FROM (SELECT pre AS id FROM x UNION ALL SELECT post FROM x) WHERE id NOT IN (SELECT s_suppkey FROM supplier) UNION ALL SELECT 'gap self-loop' FROM g WHERE b % 11 = 0) SELECT problem, count(*) AS n FROM p GROUP BY problem"),
     "connectome": (connectome, f"WITH {_E}, c AS (SELECT pre, post, sum(weight) AS w FROM e GROUP BY ALL), s AS (SELECT pre, post, min(sign) AS sign FROM e WHERE post % 4 > 0 GROUP BY ALL), t AS (SELECT max(s) AS m FROM (SELECT sum(w) AS s FROM c GROUP BY post)) SELECT c.pre, c.post, CAST(coalesce(sign, 1) AS BIGINT) AS sign, sign IS NULL AS assumed, round(w / m, 9) AS norm FROM c LEFT JOIN s ON s.pre = c.pre AND s.post = c.post CROSS JOIN t"),
     "connectome_gap": (connectome_gap, f"WITH {_G}, t AS (SELECT max(s) AS m FROM (SELECT sum(g) AS s FROM (SELECT a, g FROM g UNION ALL SELECT b, g FROM g) GROUP BY a)) SELECT a, b, round(g / m, 9) AS g FROM g, t"),
-    "endpoint_mapping": (endpoint_mapping, f"WITH {_E} SELECT CASE WHEN s_nationkey IS NULL THEN 'unknown source' WHEN p_brand IS NULL THEN 'unknown target' WHEN sign < 0 AND delay = 0 THEN 'mirror' ELSE 'kept' END AS outcome, count(*) AS n, round(sum(weight), 6) AS w FROM e LEFT JOIN supplier ON s_suppkey = pre AND s_suppkey % 7 > 0 LEFT JOIN part ON p_partkey = post AND p_size > 5 GROUP BY 1"),
+    "endpoint_mapping": (endpoint_mapping, f"WITH {_E} SELECT CASE WHEN s_nationkey IS NULL THEN 'unknown source' WHEN p_brand IS NULL THEN 'unknown target' WHEN sign < 0 AND delay = 0 THEN 'mirror' ELSE 'kept' END AS outcome, count(*) AS n, round(sum(weight), 6) AS w FROM e LEFT JOIN supplier ON s_suppkey = pre AND s_acctbal >= 0 LEFT JOIN part ON p_partkey = post AND p_size > 5 GROUP BY 1"),
     "csr_order": (csr_order, f"WITH {_E} SELECT post, pre, row_ AS row, CAST(line AS BIGINT) AS line, row_number() OVER w - 1 AS slot, sum(weight) OVER w AS running FROM e WINDOW w AS (PARTITION BY post ORDER BY pre, delay, sign, weight, row_, line)"),
 }

@@ -110,7 +110,7 @@ def noise_fit(spark, d):
     def work(p: pd.DataFrame) -> pd.DataFrame:
         e = p.pivot(index="trial_id", columns="offset", values="dff").reindex(columns=range(60)).fillna(0.0).to_numpy()
         m = p.pivot(index="trial_id", columns="offset", values="dff_valid").reindex(columns=range(60)).eq(True).to_numpy()
-        f = noise.fit_noise(e, m, np.full(len(e), 0.3), starts=(0.3,)) if m.sum() >= 20 else noise.Noise(float("nan"), float("nan"), float("nan"))
+        f = noise.fit_noise(e, m, np.full(len(e), 0.3)) if m.sum() >= 20 else noise.Noise(float("nan"), float("nan"), float("nan"))
         return pd.DataFrame([(p["recording_id"].iloc[0], int(m.sum()), f.a, f.b, f.phi)], columns=["recording_id", "n", "a", "b", "phi"])
 
     return rows.groupBy("recording_id").applyInPandas(work, "recording_id long, n long, a double, b double, phi double")

@@ -44,14 +44,26 @@ def mark() -> int:
     return len(_written)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark._jvm
+    if jvm is not None:
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def drop_scratch(n: int = 0) -> None:
     """Delete the scratch tables written since there were n. Frames that read them must be finished."""
     while len(_written) > n:
-        spark, path = _written.pop()
-        jvm = spark._jvm
-        if jvm is not None:
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        _delete(*_written.pop())
+
+
+def settle(df: DataFrame, n: int) -> DataFrame:
+    """df as a scratch table, and all others written since there were n deleted: for a step that is done once df is written."""
+    out = scratch(df)
+    old, _written[n:] = _written[n:-1], _written[-1:]
+    for spark, path in old:
+        _delete(spark, path)
+    return out
 
 
 @atexit.register
