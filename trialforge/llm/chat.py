@@ -117,7 +117,7 @@ def format_chat(turns: DataFrame) -> DataFrame:
 def read_back(blocks: DataFrame) -> DataFrame:
     """Per conversation, what its formatted text holds when parsed again, and what lies under the loss mask.
 
-    Rows are dealt by conversation and sorted, and each task streams through them: hashes, counts and the parser's
+    Rows are dealt by conversation, a whole number, and sorted by turn, role and formatted block, and each task streams through them: hashes, counts and the parser's
     rest are all it keeps, so a conversation may be longer than memory. A digest runs over its turns in order, which
     is why one conversation is one task's. Empty table: empty result.
     """

@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..tables import drop_scratch, mark, scratch, settle  # noqa: F401
+
 #: Fixed by the contracts: a word is a run of characters other than space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-_scratch: list[tuple[SparkSession, str]] = []
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one input table; only Spark's reader touches the path, so any store Spark knows will do."""
@@ -75,25 +72,6 @@ def between(cut: Column, start: Column, end: Column, size: int = 4096) -> Column
     return F.when(i == j, F.substring(at(i), a + 1, b - a)).otherwise(F.concat(F.substring(at(i), a + 1, F.lit(size)), inside, F.substring(at(j), F.lit(1), b)))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset (local mode)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="trialforge-")
-        spark.sparkContext.setCheckpointDir(found)
-        found = spark.sparkContext.getCheckpointDir()
-    return found
-
-
-def scratch(df: DataFrame) -> DataFrame:
-    """Cut lineage: write df as a table in the shared folder and read it back. It survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _scratch.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
 #: Tables of ids (16 bytes a row) of at most so many rows are broadcast, after a count; larger ones are shuffled.
 BROADCAST_ROWS = 1_000_000
 
@@ -103,24 +81,6 @@ def small(rows: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= most else rows
 
 
-def drop_scratch(n: int = 0) -> None:
-    """Delete the scratch tables written since the list had n entries. Frames that read them must be finished."""
-    while len(_scratch) > n:
-        spark, path = _scratch.pop()
-        jvm = spark._jvm
-        if jvm is not None:
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
-@atexit.register
-def _at_end() -> None:
-    try:
-        drop_scratch()
-    except Exception:  # the JVM may be gone by now, with nothing left to ask
-        _scratch.clear()
-
-
 def global_prefix(df: DataFrame, order: Sequence[Column], rank: str, sums: dict[str, str] | None = None) -> DataFrame:
     """Add rank (from 0) in the total order, and for each name in sums the sum of that column over all earlier rows.
 

@@ -202,7 +202,7 @@ def near_groups(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     the pairs of a group of copies don't become rows, and no pair that could join two components goes unseen. Only
     counts come to the driver.
 
-    Null text, or without words: linked with nothing. Null doc_id: before all others, as component too. Rows that
+    doc_id must be a whole number. Null text, or without words: linked with nothing. Null doc_id: before all others, as component too. Rows that
     share a doc_id are one node where they lead their classes. Empty table: empty result. Other columns are left out.
     """
     ratio = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * s.percent

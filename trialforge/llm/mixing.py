@@ -47,7 +47,7 @@ def systematic_mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: f
 
     Returns docs' columns and size, source_size, target, copies, taken; columns of docs by these names are replaced.
     Null text: size 0. Null source: one source, last. Null doc_id: ranked first. Equal rows are ranked one by one.
-    Empty table: empty result. A hot source is split by size and blocks of doc_id: no task gets it whole.
+    doc_id must be a whole number. Empty table: empty result. A hot source is split by size and blocks of doc_id: no task gets it whole.
     """
     keys = ["__source", "__none", "__size", "__block"]  # without nulls, so that windows and joins share one dealing
     source, block = F.coalesce(F.col("source").cast("string"), F.lit("")), F.coalesce(F.shiftright(F.col("doc_id").cast("long"), BLOCK_BITS), F.lit(NO_BLOCK))

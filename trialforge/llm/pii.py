@@ -23,7 +23,7 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
-#: Words that, within WINDOW characters before a span, raise or lower its score.
+#: Words that raise or lower a span's score, within WINDOW characters before it or, to raise it, AFTER characters behind it.
 HINTS = {
     "email": re.compile(r"(?i)\b(?:e-?mail|mail|contact|write)\b"),
     "ip": re.compile(r"(?i)\b(?:ip|host|server|address|login)\b"),
@@ -34,7 +34,7 @@ HINTS = {
 }
 AGAINST = re.compile(r"(?i)\b(?:version|release|example|order|invoice|isbn|serial)\b")
 PRIOR = {"email": 0.9, "ip": 0.7, "card": 0.9, "phone": 0.8, "iban": 0.95, "ssn": 0.4}
-WINDOW, HINT, COUNTER, ACCEPT = 40, 0.3, 0.3, 0.6
+WINDOW, AFTER, HINT, COUNTER, ACCEPT = 40, 24, 0.3, 0.3, 0.6
 
 
 def luhn(digits: str) -> bool:
@@ -85,7 +85,8 @@ def find_spans(text: str | None) -> list[tuple[int, str, int, float]]:
     out = []
     for start, kind, end in found:
         near = text[max(0, start - WINDOW) : start]
-        score = PRIOR[kind] + HINT * bool(HINTS[kind].search(near)) - COUNTER * bool(AGAINST.search(near))
+        hinted = HINTS[kind].search(near) or HINTS[kind].search(text[end : end + AFTER])
+        score = PRIOR[kind] + HINT * bool(hinted) - COUNTER * bool(AGAINST.search(near))
         if kind in BASE or score >= ACCEPT:
             out.append((start, kind, end, round(min(1.0, max(0.0, score)), 2)))
     return sorted(out, key=lambda x: (x[0], KINDS.index(x[1])))
@@ -99,9 +100,12 @@ def pii_spans(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFram
 
     One pass over each partition in Arrow batches; nothing is shuffled. Null and empty texts: an empty array.
     Repeated rows each get their own. Empty table: empty result. Linear in the text: no pattern rescans a long run.
+    Columns in carry must not be called pii.
     """
     ship(docs.sparkSession)
     names = list(carry)
+    if taken := {"pii", "__text"} & set(names):
+        raise ValueError(f"carried columns must be renamed first: {', '.join(sorted(taken))}")
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

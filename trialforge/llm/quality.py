@@ -21,12 +21,15 @@ THRESHOLD = 0.7
 @dataclass(frozen=True)
 class Settings:
     """max_rows bounds the labelled rows that the fit sees; all of them are used up to that, else those of least hash.
+    max_grams bounds their distinct n-grams, summed over rows (4 bytes each in the one task that fits): from the row on
+    that would exceed it, in order of hash, rows are left out.
 
     orders: lengths of the n-grams, in UTF-8 bytes; bits: log2 of the hash space; c: the hinge loss's weight; smooth:
     added to each class count; hold: share of the sample kept for calibration.
     """
 
     max_rows: int = 12_000
+    max_grams: int = 100_000_000
     orders: tuple[int, ...] = (1, 2, 3)
     bits: int = 18
     c: float = 4.0
@@ -173,14 +176,17 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, s: Settings = Settings()) ->
 def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), label: str = "quality") -> Model:
     """Fit on labelled documents: at most s.max_rows, those whose doc_id hashes lowest.
 
-    The chosen ids (bounded) are broadcast, so the texts of docs aren't shuffled; their n-grams meet in one task, as
-    many as s.max_rows allows. Null labels and labels without a document are left out; a repeated label row counts
-    again. No labels at all: a model that scores 0.5.
+    The chosen ids (bounded) are broadcast, so of the texts of docs only those are moved; their n-grams meet in one
+    task, as many as s.max_rows and s.max_grams allow. Null labels and labels without a document are left out; a
+    repeated label row counts again; of texts that share a doc_id the one of least hash counts. No labels at all: a
+    model that scores 0.5.
     """
     ship(docs.sparkSession)
     order = [F.xxhash64("__id"), "__id", "__y"]
     chosen = labels.select(F.col("doc_id").alias("__id"), F.col(label).cast("int").alias("__y")).dropna().orderBy(*order).limit(s.max_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))
+    wanted = docs.select("doc_id", "text").join(F.broadcast(chosen.select("__id").distinct()), F.col("doc_id") == F.col("__id"), "left_semi")
+    wanted = wanted.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = wanted.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -188,14 +194,21 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), label: s
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("__y"), x], names=["doc_id", "y", "x"])
 
     def learn(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        data = sorted((i, y, x) for p in parts for i, y, x in zip(p["doc_id"], p["y"], p["x"]))
+        data, total = [], 0
+        for p in parts:  # in order of hash
+            for i, y, x in zip(p["doc_id"], p["y"], p["x"]):
+                total += len(x) // 4
+                if total <= s.max_grams:
+                    data.append((i, y, x))
+        data.sort()
         if not data:
             return
         m = fit([np.frombuffer(x, np.uint32) for _, _, x in data], np.array([y for _, y, _ in data]), s)
         yield pd.DataFrame({"weights": [m.weights.tobytes()], "ratios": [m.ratios.tobytes()], "bias": [m.bias], "slope": [m.slope], "offset": [m.offset]})
 
     encoded = rows.select("doc_id", "text", "__y").mapInArrow(encode, f"doc_id {dict(docs.dtypes)['doc_id']}, y int, x binary")
-    found = encoded.repartition(1).mapInPandas(learn, "weights binary, ratios binary, bias double, slope double, offset double").collect()  # one row
+    one = encoded.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "y")
+    found = one.mapInPandas(learn, "weights binary, ratios binary, bias double, slope double, offset double").collect()  # one row
     if not found:
         return fit([], np.zeros(0), s)
     m = found[0]
@@ -206,8 +219,11 @@ def score(docs: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",)) -
     """The columns in carry and score, 0 to 1, from the whole text alone. No shuffle; the model (2 MB) is broadcast.
 
     Null and empty texts get the score of no n-gram at all. Equal texts get equal scores. Empty table: empty result.
+    Columns in carry must not be called score.
     """
     ship(docs.sparkSession)
+    if taken := {"score", "__text"} & set(carry):
+        raise ValueError(f"carried columns must be renamed first: {', '.join(sorted(taken))}")
     names, shared = list(carry), docs.sparkSession.sparkContext.broadcast(model)
     source = "text" if "text" in names else "__text"  # a text that is carried crosses to Python once
 

@@ -68,7 +68,7 @@ def _next_block(blocks: DataFrame, shift: int = MORE_BITS) -> DataFrame:
 def with_next(docs: DataFrame) -> DataFrame:
     """doc_id, text, block, rn (place in the block), is_last (of the block), next_id and next_text.
 
-    The next document is the next doc_id up, after the last the first. Null text: empty. Null doc_id: before all
+    The next document is the next doc_id up, a whole number; after the last the first. Null text: empty. Null doc_id: before all
     others. Rows of one doc_id follow each other by text hash. A single row is its own next. One shuffle of the
     texts, by blocks of ids; each block's first document is found again for the block before it.
     """
