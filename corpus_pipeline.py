@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trialforge.llm import dedup, mixing, packing, quality, secret_scan
-from trialforge.llm.common import scratch, table
+from trialforge.llm.common import mark, settle, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,8 +48,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole table of documents, with a written table between each two."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over the whole table of documents, with a written table between each two; what a stage wrote besides
+    is deleted once its table is there, and so is the table before."""
+    docs, before = table(spark, sf_dir, "documents"), mark()
     for _, stage in STAGES[:-1]:
-        docs = scratch(stage(spark, docs, sf_dir))
+        docs = settle(stage(spark, docs, sf_dir), before)
     return STAGES[-1][1](spark, docs, sf_dir)
