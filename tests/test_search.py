@@ -5,6 +5,7 @@ import json
 from itertools import product
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from trialforge.operators import splits
@@ -113,9 +114,42 @@ def test_controls(spark):
     rows = spark.createDataFrame([(f"r{i % 3}", i, f"L{i}") for i in range(60)], "rec string, i int, label string")
     a, b = (sorted(tuple(r) for r in controls.shuffle_labels(rows, "rec", "label", 5).collect()) for _ in range(2))
     assert a == b and {(x[0], x[2]) for x in a} == {(r.rec, r.label) for r in rows.collect()} and a != sorted(tuple(r) for r in rows.collect())
-    gain = {f"a{i}": 1.0 + 0.1 * (i % 3) for i in range(12)}
-    assert controls.verdict(gain, {k: 0.1 for k in gain}, 0.94)["holds"]
-    assert not controls.verdict(gain | {"a0": -30.0}, {k: 0.1 for k in gain}, 0.94)["holds"]
+    gaps = list({tuple(sorted((f"n{a}", f"n{b}"))): (*sorted((f"n{a}", f"n{b}")), float(a)) for a, b in rng.integers(0, 12, (40, 2)) if a != b}.values())
+    turned = controls.degree_preserving(gaps, 4, undirected=True)
+    ends = lambda e: sorted(x for g in e for x in g[:2])
+    assert turned != gaps and ends(turned) == ends(gaps) and len({x[:2] for x in turned}) == len(gaps) and all(x < y for x, y, _ in turned)
+    assert [w for *_, w in turned] == [w for *_, w in gaps]
+    scaled = controls.rescaled(turned, both_ends=True)
+    assert max(sum(w for x, y, w in scaled if n in (x, y)) for n in {x for g in scaled for x in g[:2]}) == pytest.approx(1.0)
+    some = spark.createDataFrame([("r", i, f"L{i}" if i % 2 else None) for i in range(20)], "rec string, i int, label string")
+    assert {r.i for r in controls.shuffle_labels(some, "rec", "label", 1).collect() if r.label is None} == set(range(0, 20, 2))
+
+
+def scores(gain, day=lambda i: f"d{i % 4}"):
+    n = len(gain)
+    return pd.DataFrame({
+        "animal": [f"a{i:02d}" for i in range(n)], "day": [day(i) for i in range(n)], "rule": 10.0 - np.array(gain), "baseline": 10.0, "nothing": 12.0, "rule_trimmed": 5.0 - np.array(gain) / 2, "baseline_trimmed": 5.0,
+        "null_rule": 1.0, "null_baseline": 1.0, "null_samples": 100,
+    })
+
+
+def test_verdict():
+    fair = pd.DataFrame({"level": [0.5, 0.9], "rule": [0.51, 0.9], "baseline": [0.5, 0.91]})
+    good = [1.0 + 0.1 * (i % 3) for i in range(12)]
+    v = controls.verdict(scores(good), fair)
+    assert v["holds"] and v["gain"]["estimate"] == pytest.approx(np.mean(good)) and v["gain"]["lo"] > 0.9
+    assert v["gap_closed"]["estimate"] == pytest.approx((2 * 12 + sum(good)) / 24) and v["null_margin"]["estimate"] == 0
+    assert v["least_without"]["animal"][0] == pytest.approx((sum(good) - 1.2) / 11)
+    one_day = [5.0 if i % 4 == 0 else -0.5 for i in range(12)]
+    v = controls.verdict(scores(one_day), fair)
+    assert v["parts"]["robust"] is False and v["least_without"]["day"] == (pytest.approx(-0.5), "d0")
+    assert not controls.verdict(scores([-1.0] * 12), fair)["parts"]["improves"]
+    assert not controls.verdict(scores(good), fair.assign(rule=[0.6, 0.9]))["parts"]["harmless"]
+    assert not controls.verdict(scores(good).assign(null_rule=3.0), fair)["parts"]["harmless"]
+    assert np.isnan(controls.verdict(scores(good, lambda i: "d"), fair)["least_without"]["day"][0])
+    full = {f"a{i}": 1.0 for i in range(9)}
+    assert plan.necessity(full, {k: 1.5 + 0.01 * i for i, k in enumerate(full)}, 0.4)["necessary"]
+    assert not plan.necessity(full, {k: 1.3 for k in full}, 0.4)["necessary"]
 
 
 def test_planning():
@@ -123,8 +157,16 @@ def test_planning():
     assert w["a"] == pytest.approx(2 * w["b"]) and w["c"] == pytest.approx(w["a"] * np.exp(-2)) and sum(w.values()) == pytest.approx(1)
     assert plan.top_diverse(w, lambda x, y: 0.0 if {x, y} == {"a", "b"} else 1.0, 2, 0.5) == ["a", "c"]
     two = np.array([0.5, 0.5])
-    assert plan.information_gain(two, np.array([[0.0], [100.0]]), 1.0, 500, 0) == pytest.approx(np.log(2), abs=1e-6)
-    assert plan.information_gain(two, np.array([[1.0], [1.0]]), 1.0, 500, 0) == pytest.approx(0, abs=1e-9)
+    assert plan.information_gain(two, np.array([[0.0], [100.0]]), 1.0, 500, 0)[0] == pytest.approx(np.log(2), abs=1e-6)
+    assert plan.information_gain(two, np.array([[1.0], [1.0]]), 1.0, 500, 0) == (pytest.approx(0, abs=1e-9), pytest.approx(0, abs=1e-9))
+    # two traces under AR(1) noise: as many units apart as the whitened difference has, with one or many equal particles
+    a, b = np.zeros((1, 2, 6)), np.tile(np.arange(6.0), (1, 2, 1))
+    g, err = plan.information_gain(two, [a, b], np.array([2.0, 3.0]), 4000, 1, phi=0.6)
+    d = np.concatenate([b[..., :1], (b[..., 1:] - 0.6 * b[..., :-1]) / 0.8], axis=-1) / np.array([2.0, 3.0])[:, None]
+    near, _ = plan.information_gain(two, np.array([[0.0], [float(np.sqrt((d**2).sum()))]]), 1.0, 4000, 2)
+    assert abs(g - near) < 4 * err + 0.01 and 0 < err < 0.02
+    many, _ = plan.information_gain(two, [np.repeat(a, 5, axis=0), np.repeat(b, 5, axis=0)], np.array([2.0, 3.0]), 4000, 3, phi=0.6)
+    assert abs(g - many) < 0.04
     r = plan.rank_interventions(two, {"none": np.array([[1.0], [1.0]]), "tell": np.array([[0.0], [3.0]]), "dear": np.array([[0.0], [3.0]])}, 1.0, {"dear": 5.0})
     assert [k for k, _ in r] == ["tell", "dear", "none"]
     p = {"a": {"i": np.zeros(5)}, "b": {"i": np.full(5, 0.01)}, "c": {"i": np.ones(5)}}

@@ -211,7 +211,7 @@ def intervention_gain(spark, d):
 
     def work(k):
         means = np.stack([simulate(compile_rule(RULE), _spec(graph, k), v).observation.ravel() for v in settings])
-        return pd.DataFrame([(k, round(plan.information_gain(np.ones(3) / 3, means, 0.5, 500, 3), 6))], columns=["neuron", "gain"])
+        return pd.DataFrame([(k, round(plan.information_gain(np.ones(3) / 3, means, 0.5, 500, 3)[0], 6))], columns=["neuron", "gain"])
 
     return _each(spark, [n["id"] for n in graph["neurons"]], work, "neuron string, gain double")
 

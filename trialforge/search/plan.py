@@ -7,6 +7,7 @@ from collections.abc import Callable, Hashable
 
 import numpy as np
 
+from ..models.noise import paired_bootstrap
 from ..models.optimize import logsumexp
 
 
@@ -25,20 +26,32 @@ def top_diverse(weights: dict[str, float], distance: Callable[[str, str], float]
     return out
 
 
-def information_gain(weights: np.ndarray, means: np.ndarray, sd: float, draws: int, seed: int) -> float:
-    """Expected entropy (nats) that an outcome takes off the posterior: outcomes are drawn from the mixture of the
-    hypotheses' predicted means (hypotheses, outputs) with Gaussian noise."""
+def information_gain(weights: np.ndarray, means: list[np.ndarray] | np.ndarray, sd: float | np.ndarray, draws: int, seed: int, phi: float = 0.0) -> tuple[float, float]:
+    """Expected entropy (nats) that an outcome takes off the posterior, and the standard error of its estimate.
+
+    means: for each hypothesis its predicted outcomes, (particles, traces, T) or with fewer axes (T), (traces, T). The
+    noise is AR(1) of phi with an sd for each trace. Whitened, it is white: each outcome is a whitened prediction plus
+    unit noise, and the likelihood under a hypothesis is the mean over its particles.
+    """
     rng = np.random.Generator(np.random.PCG64(seed))
-    w = weights / weights.sum()
+    w = np.asarray(weights, float) / np.sum(weights)
+    white = []
+    for m in means:
+        m = np.asarray(m, float)
+        m = m[None, None] if m.ndim == 1 else m[None] if m.ndim == 2 else m
+        m = m / np.reshape(np.broadcast_to(sd, m.shape[1]), (1, -1, 1))
+        white.append(np.concatenate([m[..., :1], (m[..., 1:] - phi * m[..., :-1]) / math.sqrt(1 - phi * phi)], axis=-1).reshape(len(m), -1))
     pick = rng.choice(len(w), draws, p=w)
-    y = means[pick] + sd * rng.normal(size=(draws, means.shape[1]))
-    ll = -0.5 * ((y[:, None] - means[None]) ** 2).sum(axis=2) / sd**2
-    return float(np.mean(ll[np.arange(draws), pick] - logsumexp(ll + np.log(w), axis=1)))
+    particle = (rng.random(draws) * np.array([len(m) for m in white])[pick]).astype(int)
+    y = np.stack([white[j][k] for j, k in zip(pick, particle)]) + rng.standard_normal((draws, white[0].shape[1]))
+    ll = np.stack([logsumexp(-0.5 * ((y[:, None] - m[None]) ** 2).sum(axis=2), axis=1) - math.log(len(m)) for m in white], axis=1)
+    each = ll[np.arange(draws), pick] - logsumexp(ll + np.log(np.maximum(w, 1e-300)), axis=1)
+    return float(each.mean()), float(each.std(ddof=1) / math.sqrt(draws))
 
 
 def rank_interventions(weights: np.ndarray, predictions: dict[str, np.ndarray], sd: float, cost: dict[str, float] | None = None, draws: int = 2000, seed: int = 0) -> list[tuple[str, float]]:
     """Interventions by gain over cost, best first, ties by name."""
-    u = {k: information_gain(weights, m, sd, draws, seed) / (cost or {}).get(k, 1.0) for k, m in predictions.items()}
+    u = {k: information_gain(weights, m, sd, draws, seed)[0] / (cost or {}).get(k, 1.0) for k, m in predictions.items()}
     return sorted(u.items(), key=lambda x: (-x[1], x[0]))
 
 
@@ -78,3 +91,9 @@ def equivalence_classes(d: dict[tuple[str, str], float], threshold: float) -> li
     """Maximal sets of hypotheses no two of which differ by more than threshold."""
     names = sorted({x for k in d for x in k})
     return cliques(names, {frozenset(k) for k, v in d.items() if v <= threshold})
+
+
+def necessity(full: dict[str, float], without: dict[str, float], margin: float, seed: int = 20261008, draws: int = 2000) -> dict:
+    """Whether leaving a feature out costs more than margin in held-out NLL per animal, by the lower bound of the loss."""
+    loss = paired_bootstrap(without, full, seed, draws)
+    return {"loss": loss, "margin": margin, "necessary": loss["lo"] > margin}
