@@ -2,6 +2,8 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from trialforge.llm import lm
@@ -20,11 +22,10 @@ def plain(docs, train, s=lm.Settings()):
         c.update(toks(d))
     n, v = sum(c.values()), len(c)
     unit = n + 0.5 * (v + 1)
-    state = {w for w, k in c.items() if k >= max(1, math.ceil(s.states * n))}
     for d in train:
         x = [b"\n", *toks(d)]
-        pairs.update((a, b) for a, b in zip(x, x[1:]) if a in state and b in state)
-    pairs = {p: k for p, k in pairs.items() if k >= max(s.least, math.ceil(s.arcs * n))}
+        pairs.update(zip(x, x[1:]))
+    pairs = {p: k for p, k in pairs.items() if k >= s.least}
     after = {}
     for (a, b), k in pairs.items():
         after.setdefault(a, {})[b] = (k - s.discount) / c[a]
@@ -59,24 +60,23 @@ def test_query(spark, sf):
 def test_rare_words_and_probabilities(spark):
     texts = ["a b c a b d", "a b c", "b c d e f", "the a b the a c", "z"] * 2
     docs = spark.createDataFrame([(i, t, None, None, 0) for i, t in enumerate(texts)], DOCS)
-    s = lm.Settings(states=0.06, arcs=0.04)
+    s = lm.Settings(held=6)
     m = lm.train(docs, s)
     test = {100: "a b c unseen a b z", 101: "", 102: None, 103: "f e d"}
     got = {r.doc_id: r for r in lm.score(spark.createDataFrame([(d, t) for d, t in test.items()], "doc_id long, text string"), m).collect()}
     want, n, (after, uni, c) = plain(test, texts, s)
-    assert m.n == n and 0 < len(m.keys) < m.v and len(m.arc_codes)
+    assert m.n == n and 0 < len(m.keys) < m.v and len(m.arc_keys)
     for d, w in want.items():
         assert (got[d].n_tokens, got[d].n_known) == w[:2] and got[d].base_score == pytest.approx(w[2]) and got[d].score == pytest.approx(w[3])
-    a = lm.Automaton(*m.shipped())
+    whole = lm.train(docs)
+    a, vocabulary = whole.automaton(), [*c, b"unseen"]
+    key = lambda w: np.array([lm.key_of(w)])
+    assert len(a.keys) == len(c) and whole.pair_bits is None
     for w in c:  # from every state, all known tokens and one unknown share out a probability of 1
-        i = a.names[w]
-        if i < 0:
-            continue
-        total = 0
-        for x in [*c, b"unseen"]:
-            j = a.names[x]
-            arc = a.arcs.get(i << 21 | j) if j >= 0 else None
-            total += 10 ** (arc if arc is not None else a.back[i] + math.log10(uni(x)))
+        total = 0.0
+        for x in vocabulary:
+            score, base, read, rest = a.run(key(x), key(w), np.array([1]))
+            total += 10 ** (score[0] + (0 if read[0] else math.log10(uni(x))))
         assert total == pytest.approx(1)
 
 
@@ -99,16 +99,29 @@ def test_what_is_held_changes_no_score(spark):
     test = {100: "the q r s t unseen q r", 101: "", 102: None, 103: f"{filler} b q"}
     rows = spark.createDataFrame([(d, t) for d, t in test.items()], "doc_id long, text string")
     want, _, (after, _, _) = plain(test, texts)
-    for s in (lm.Settings(), lm.Settings(held=0.003, held_arcs=2), lm.Settings(held=0.003, held_arcs=0), lm.Settings(held=2.0)):
+    for s in (lm.Settings(), lm.Settings(held=12, held_arcs=2), lm.Settings(held=12, held_arcs=0), lm.Settings(held=0)):
         m = lm.train(docs, s)
         got = {r.doc_id: r for r in lm.score(rows.union(rows), m).collect()}
-        assert len(m.arc_codes) <= s.held_arcs and (m.pair_bits is None) == (s == lm.Settings())
-        assert len(m.arc_codes) + m.entries.filter("c IS NULL").count() == sum(map(len, after.values()))
+        assert len(m.arc_keys) <= s.held_arcs and (m.pair_bits is None) == (s == lm.Settings())
+        assert len(m.arc_keys) + m.entries.filter("c IS NULL").count() == sum(map(len, after.values()))
         for d, w in want.items():
             assert (got[d].n_tokens, got[d].n_known) == w[:2]
             assert got[d].base_score == pytest.approx(w[2], rel=1e-9) and got[d].score == pytest.approx(w[3], rel=1e-9)
 
 
-def test_no_share_leaves_pairs_out():
-    s = lm.Settings()
-    assert s.states == s.arcs == 0 and s.least == 2
+def test_runs_of_texts():
+    """Texts in runs of bounded size give what they give alone; counts are handed on in parts."""
+    texts = ["a b", None, "", "long " * 50, "x", "a b c"]
+    column = pa.array(texts, pa.string())
+    assert list(lm.batches(column, 20)) == [(0, 3), (3, 4), (4, 6)] and list(lm.batches(column.slice(0, 0))) == []
+    keys, before, sizes = lm.read(column, lm.Words())
+    assert sizes.tolist() == [len(toks(t)) for t in texts]
+    want = [lm.key_of(w) for t in texts for w in toks(t)]
+    assert keys.tolist() == want and before.tolist() == [lm.key_of(w) for t in texts for w in [b"\n", *toks(t)[:-1]]]
+    held = np.sort(np.unique(keys)[:3])
+    assert [int(held[i]) if i >= 0 else None for i in lm.find(held, keys)] == [k if k in held else None for k in want]
+    most, lm.Words.MOST = lm.Words.MOST, 2
+    try:
+        assert lm.read(column, lm.Words())[0].tolist() == want
+    finally:
+        lm.Words.MOST = most

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import math
-import uuid
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,21 +21,17 @@ END = b"\n"  # the end token: no word can be this
 
 @dataclass(frozen=True)
 class Settings:
-    """The model, and which part of it the tasks hold themselves, so that the number has a bound.
+    """The model, and which part of it the tasks hold themselves, so that its size has a bound.
 
-    states, arcs: shares of all training tokens that a token, or a pair, needs to take part; 0: all do. least: pairs
-    counted at least so often are arcs. discount: taken off each pair's count for what follows a state unseen.
-    held: tokens of at least this share are in the tasks' memory, at most 1 / held of them, 2 million. held_arcs: so
-    many arcs between them at most, the most frequent. All other tokens and arcs meet their documents in a join, so
-    what is held changes no score.
+    least: pairs counted at least so often are arcs. discount: taken off each pair's count for what follows a state
+    unseen. held, held_arcs: so many tokens and arcs between them at most, the most frequent, are in the tasks' memory
+    (24 and 16 bytes each). All others meet their documents in a join, so what is held changes no score.
     """
 
-    states: float = 0.0
-    arcs: float = 0.0
     least: int = 2
     discount: float = 0.5
-    held: float = 5e-7
-    held_arcs: int = 400_000
+    held: int = 600_000
+    held_arcs: int = 2_000_000
 
 
 def key_of(word: bytes) -> int:
@@ -74,103 +69,121 @@ def may_hold(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bits[at >> 6] >> (at & 63) & 1).astype(bool)
 
 
-class Names(dict):
-    """Word to state number, or to -1 if it is none; as many words as fit are remembered."""
+class Words(dict):
+    """Word to key; as many words as fit are remembered."""
 
-    MOST = 500_000
-
-    def __init__(self, states: dict[int, int]):
-        self.states = states
+    MOST = 300_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.MOST:
             self.clear()
-        self[word] = found = self.states.get(key_of(word), -1)
+        self[word] = found = key_of(word)
         return found
 
 
+def batches(column: pa.Array, most: int = 2_000_000) -> Iterator[tuple[int, int]]:
+    """(first, past) of runs of texts of so many bytes in all, or of one longer text."""
+    size, first = 0, 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).tolist()):
+        if size and size + n > most:
+            yield first, i
+            size, first = 0, i
+        size += n + 1
+    if first < len(column):
+        yield first, len(column)
+
+
+def read(texts: pa.Array, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of all tokens of the texts, of the token before each (the end, before a text's first), and each text's number of tokens."""
+    lists = [tokens(t.as_py()) for t in texts]
+    sizes = np.array([len(x) for x in lists], np.int64)
+    keys = np.fromiter(map(words.__getitem__, chain.from_iterable(lists)), np.int64, int(sizes.sum()))
+    before = np.empty_like(keys)
+    before[1:] = keys[:-1]
+    before[np.cumsum(sizes) - sizes] = words[END]
+    return keys, before, sizes
+
+
+def find(held: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Place of each key in held, which is sorted, or -1."""
+    if not len(held) or not len(keys):
+        return np.full(len(keys), -1)
+    distinct, back = np.unique(keys, return_inverse=True)
+    at = np.minimum(np.searchsorted(held, distinct), len(held) - 1)
+    return np.where(held[at] == distinct, at, -1)[back]
+
+
 @dataclass(frozen=True)
 class Model:
-    """keys, state_counts, backs: of the held tokens, by number, with their log10 backoff weights; arc_codes (from << 21
-    | to), arc_counts: of the held arcs. pair_bits: a bit map of the other arcs, None if there are none. entries: (k, c, w)
-    of all tokens (count, backoff weight) and of the arcs that are not held (no count; what the arc adds to a backoff)."""
+    """keys, singles, backs: of the held tokens, sorted by key, their log10 probabilities and, as states, failure weights;
+    arc_keys, arc_weights: of the held arcs, sorted. pair_bits: a bit map of the other arcs, None if there are none.
+    entries: (k, c, w) of all tokens (count, failure weight) and of the arcs that are not held (no count; what the arc
+    adds to a backoff)."""
 
     keys: np.ndarray
-    state_counts: np.ndarray
+    singles: np.ndarray
     backs: np.ndarray
-    arc_codes: np.ndarray
-    arc_counts: np.ndarray
+    arc_keys: np.ndarray
+    arc_weights: np.ndarray
     pair_bits: np.ndarray | None
     entries: DataFrame | None
     n: int
     v: int
     s: Settings
 
-    def shipped(self) -> tuple:
-        return self.keys, self.state_counts, self.backs, self.arc_codes, self.arc_counts, self.pair_bits, self.n, self.v, self.s
+    def automaton(self) -> "Automaton":
+        return Automaton(self.keys, self.singles, self.backs, self.arc_keys, self.arc_weights, self.pair_bits)
 
 
 class Automaton:
-    """States are the root and each held token, as the context after it. An arc reads a token and adds its log10
-    probability; where a state has no arc for it, the failure arc adds the state's backoff weight and goes to the root,
-    whose arcs read any token. Each state's arcs, held or not, and failure arc share out a probability of 1."""
-
-    def __init__(self, keys, state_counts, backs, arc_codes, arc_counts, pair_bits, n, v, s):
-        self.keys, self.pair_bits = np.append(keys, 0), pair_bits
-        self.names = Names({int(k): i for i, k in enumerate(keys)})
-        self.unit = n + 0.5 * (v + 1)
-        single = (state_counts + 0.5) / self.unit
-        p = (arc_counts - s.discount) / state_counts[arc_codes >> 21] if len(arc_codes) else np.zeros(0)
-        self.arcs = dict(zip(arc_codes.tolist(), np.log10(p).tolist()))
-        self.single = np.log10(single).tolist()
-        self.back = [*backs.tolist(), 0.0]
-        self.root = len(keys)
-        self.end = key_of(END)
-        self.first = self.names[END] if self.names[END] >= 0 else self.root
-        self.singles = np.append(single, 1.0)
-
-    def run(self, words: list[bytes]) -> tuple[float, float, int, dict[int, int], dict[int, int]]:
-        """(score, base, tokens read) of what is held, and the keys of the other tokens and of pairs that may be arcs
-        which are not held, with their numbers: what the model's entries say of these is still to be added."""
-        arc, single, back, root = self.arcs.get, self.single, self.back, self.root
-        ids = list(map(self.names.__getitem__, words))
-        state, score, missed = self.first, 0.0, []
-        for at, i in enumerate(ids):
-            if i < 0:
-                score += back[state]
-                state = root
-                missed.append(at)
-                continue
-            p = arc(state << 21 | i) if state != root else None
-            if p is None:
-                p = back[state] + single[i]
-                missed.append(at)
-            score += p
-            state = i
-        at = np.array(ids)
-        known = int((at >= 0).sum())
-        others = np.flatnonzero(at < 0)
-        far = np.fromiter((key_of(words[x]) for x in others), np.int64, len(others))
-        rare = Counter(far.tolist())
-        pairs = {}
-        if self.pair_bits is not None and missed:
-            keys = np.empty(len(words) + 1, np.int64)
-            keys[0], keys[1:] = self.end, self.keys[at]
-            keys[1 + others] = far
-            missed = np.array(missed)
-            codes = pair_key(keys[missed], keys[missed + 1])
-            pairs = Counter(codes[may_hold(self.pair_bits, codes)].tolist())
-        return score, float(np.log10(self.singles[at]).sum()), known, rare, pairs
+    """States are the root and each token, as the context after it. An arc reads a token and adds its log10 probability;
+    where a state has no arc for it, the failure arc adds the state's weight and goes to the root, whose arcs read any
+    token. Each state's arcs, held or not, and its failure arc share out a probability of 1.
+
+    Whatever arcs are taken, the state after a token is the token's own. So the states of a traversal from left to
+    right are the tokens themselves, moved by one, and the arcs of many texts are looked up in one go.
+    """
+
+    def __init__(self, keys, singles, backs, arc_keys, arc_weights, pair_bits):
+        self.keys, self.arc_keys, self.pair_bits = keys, arc_keys, pair_bits
+        self.singles, self.backs, self.arc_weights = np.append(singles, 0.0), np.append(backs, 0.0), np.append(arc_weights, 0.0)
+
+    def run(self, keys: np.ndarray, before: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[np.ndarray, ...]]]:
+        """(score, base, tokens read) of each text for what is held, and (text, key, number) of the other tokens and of
+        pairs that may be arcs which are not held: what the model's entries say of these is still to be added."""
+        first, text = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(sizes)), sizes)
+        state, at = find(self.keys, before), find(self.keys, keys)
+        pairs = pair_key(before, keys)
+        arc = np.full(len(keys), -1)
+        both = (state >= 0) & (at >= 0)
+        arc[both] = find(self.arc_keys, pairs[both])
+        failed = arc < 0
+        step = np.where(failed, self.backs[state] + self.singles[at], self.arc_weights[arc])
+        add = lambda x: np.add.reduceat(x, first)
+        rest = [_counted(text[at < 0], keys[at < 0])]
+        if self.pair_bits is not None:
+            may = failed.copy()
+            may[failed] = may_hold(self.pair_bits, pairs[failed])
+            rest.append(_counted(text[may], pairs[may]))
+        return add(step), add(self.singles[at]), add((at >= 0).astype(np.int64)), rest
+
+
+def _counted(text: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct (text, key) and how often each comes."""
+    order = np.lexsort((keys, text))
+    text, keys = text[order], keys[order]
+    new = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (keys[1:] != keys[:-1])])) if len(text) else np.zeros(0, np.int64)
+    return text[new], keys[new], np.diff(np.append(new, len(text)))
 
 
 def _sums(texts: DataFrame, count, names: tuple[str, ...] = ("k",)) -> DataFrame:
-    """names and n: sums over all texts of what count() yields for lists of token lists, added up in the task first."""
+    """names and n: sums over all texts of what count() yields for runs of texts, added up in the task first."""
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = count()
-        for b in batches:
-            for t in b.column(0):
-                for found in total.add(tokens(t.as_py())):
+    def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, words = count(), Words()
+        for b in parts:
+            for first, past in batches(b.column(0)):
+                for found in total.add(*read(b.column(0).slice(first, past - first), words)):
                     yield from _cut(found)
         for found in total.rest():
             yield from _cut(found)
@@ -183,123 +196,124 @@ def _sums(texts: DataFrame, count, names: tuple[str, ...] = ("k",)) -> DataFrame
     return texts.select("text").mapInArrow(work, ", ".join(f"{c} long" for c in (*names, "n"))).groupBy(*names).agg(F.sum("n").alias("n"))
 
 
+FLUSH = 4_500_000  # tokens or pairs that a task counts at once, 36 MB a column
+
+
 class Singles:
     """Counts of tokens; handed on when there are many."""
 
     def __init__(self):
-        self.found: Counter[bytes] = Counter()
+        self.found, self.held = [], 0
 
-    def add(self, words: list[bytes]):
-        self.found.update(words)
-        return self.rest() if len(self.found) > 600_000 else ()
+    def add(self, keys: np.ndarray, before: np.ndarray, sizes: np.ndarray):
+        self.found.append(keys)
+        self.held += len(keys)
+        return self.rest() if self.held >= FLUSH else ()
 
     def rest(self):
-        k = np.fromiter(map(key_of, self.found), np.int64, len(self.found))
-        n = np.fromiter(self.found.values(), np.int64, len(self.found))
-        self.found.clear()
-        return [(k, n)]
+        out = [np.unique(np.concatenate(self.found), return_counts=True)] if self.found else []
+        self.found, self.held = [], 0
+        return out
 
 
 class Pairs:
-    """Counts (k, a, n) of pairs of neighbours; the end stands before the first token. Of two held tokens, k is their code
-    and a is 0; else a is the first one's key and k the pair's. Pairs with a token that is in too few places are left out."""
-
-    def __init__(self, names: Names, keys: np.ndarray, bits: np.ndarray):
-        self.names, self.keys, self.bits, self.found, self.held = names, np.append(keys, 0), bits, [], 0
-
-    def add(self, words: list[bytes]):
-        words = [END, *words]
-        ids = np.fromiter(map(self.names.__getitem__, words), np.int64, len(words))
-        others = np.flatnonzero(ids < 0)
-        keys, use = self.keys[ids], np.ones(len(ids), bool)
-        if len(others):
-            keys[others] = np.fromiter((key_of(words[x]) for x in others), np.int64, len(others))
-            use[others] = may_hold(self.bits, keys[others])
-        good = use[:-1] & use[1:]
-        near = (ids[:-1] >= 0) & (ids[1:] >= 0)
-        k = np.where(near, ids[:-1] << 21 | ids[1:], pair_key(keys[:-1], keys[1:]))
-        self.found.append((k[good], np.where(near, 0, keys[:-1])[good]))
-        self.held += int(good.sum())
-        return self.rest() if self.held > 3_000_000 else ()
+    """Counts (k, a, n) of pairs of neighbours; the end stands before the first token. Of two held tokens, k is the code of
+    their places and a is 0; else a is the first one's key and k the pair's. Pairs with a token that is in too few places
+    are left out."""
+
+    def __init__(self, held: np.ndarray, bits: np.ndarray):
+        self.held, self.bits, self.near, self.far, self.count = held, bits, [], [], 0
+
+    def add(self, keys: np.ndarray, before: np.ndarray, sizes: np.ndarray):
+        a, b = find(self.held, before), find(self.held, keys)
+        near = (a >= 0) & (b >= 0)
+        self.near.append(a[near] << 21 | b[near])
+        x, y = before[~near], keys[~near]
+        good = may_hold(self.bits, x) & may_hold(self.bits, y)
+        self.far.append((pair_key(x[good], y[good]), x[good]))
+        self.count += len(self.near[-1]) + 2 * len(self.far[-1][0])
+        return self.rest() if self.count >= FLUSH else ()
 
     def rest(self):
         out = []
-        if self.found:
-            k, a = (np.concatenate(x) for x in zip(*self.found))
-            for near in (True, False):
-                part, first = k[(a == 0) == near], a[(a == 0) == near]
-                values, at, n = np.unique(part, return_index=True, return_counts=True)
-                out.append((values, first[at], n))
-        self.found, self.held = [], 0
+        if self.near:
+            values, n = np.unique(np.concatenate(self.near), return_counts=True)
+            out.append((values, np.zeros_like(values), n))
+            self.near.clear()
+            k, a = (np.concatenate(x) for x in zip(*self.far))
+            self.far.clear()
+            values, at, n = np.unique(k, return_index=True, return_counts=True)
+            out.append((values, a[at], n))
+        self.near, self.far, self.count = [], [], 0
         return out
 
 
-def _by_keys(pairs: DataFrame, shared) -> DataFrame:
-    """(a, b, n) by the tokens' keys, of what Pairs counts."""
+def _near(pairs: DataFrame, shared) -> DataFrame:
+    """(a, b, n, ca, cb): the tokens' keys and counts, of pairs of held tokens."""
+
+    def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts = shared.value[:2]
+        for batch in parts:
+            k, n = (batch.column(x).to_numpy(zero_copy_only=False) for x in range(2))
+            a, b = k >> 21, k & ((1 << 21) - 1)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys[a], keys[b], n, counts[a], counts[b])], names=["a", "b", "n", "ca", "cb"])
+
+    return pairs.select("k", "n").mapInArrow(work, "a long, b long, n long, ca long, cb long")
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = np.append(shared.value[0], 0)
-        for batch in batches:
-            k, a, n = (batch.column(x).to_numpy(zero_copy_only=False) for x in range(3))
-            near = a == 0
-            code = np.where(near, k, 0)
-            first = np.where(near, keys[code >> 21], a)
-            second = np.where(near, keys[code & ((1 << 21) - 1)], pair_key(a, k))  # the key is its own inverse
-            yield pa.RecordBatch.from_arrays([pa.array(first), pa.array(second), pa.array(n)], names=["a", "b", "n"])
 
-    return pairs.select("k", "a", "n").mapInArrow(work, "a long, b long, n long")
+def _floor(rows: DataFrame, most: int, n: str = "n") -> int:
+    """The least count such that at most so many rows have it or more."""
+    by = rows.groupBy(n).agg(F.count("*").alias("m")).orderBy(F.desc(n)).toArrow()
+    fit = np.cumsum(by["m"].to_numpy()) <= most
+    values = by[n].to_numpy()
+    return int(values[fit].min()) if fit.any() else int(values.max(initial=0)) + 1
 
 
 def train(docs: DataFrame, s: Settings = Settings()) -> Model:
     """Count all tokens of docs and all pairs of neighbours, in two passes over the whole texts.
 
-    Tokens and arcs stay tables. Only those held come to the driver, at most 1 / s.held tokens and s.held_arcs arcs, and
+    Tokens and arcs stay tables. Only those held come to the driver, at most s.held tokens and s.held_arcs arcs, and
     bit maps of one size. Null texts: empty. No documents: every token is unknown.
     """
     spark = docs.sparkSession
     counts = scratch(_sums(docs, Singles))
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     unit = float(n + 0.5 * (v + 1))
-    state, least = max(1, math.ceil(s.states * n)), max(s.least, math.ceil(s.arcs * n))
-    held = max(state, math.ceil(s.held * n))
+    held = _floor(counts, min(s.held, (1 << 21) - 1))
     rows = counts.filter(F.col("n") >= held).toArrow()
-    keys, state_counts = rows["k"].to_numpy(), rows["n"].to_numpy()
-    order = np.lexsort((keys, -state_counts))
-    keys, state_counts = keys[order], state_counts[order]
-    some = counts.filter(F.col("n") >= max(state, least))  # no pair is more frequent than its tokens
-    shared = spark.sparkContext.broadcast((keys, bit_map(some)))
-    pairs = _sums(docs, lambda: Pairs(Names({int(k): i for i, k in enumerate(shared.value[0])}), *shared.value), ("k", "a")).filter(F.col("n") >= least)
-    pairs = _by_keys(pairs, shared)
-    pairs = pairs.join(some.select(F.col("k").alias("b"), F.col("n").alias("cb")), "b").join(some.select(F.col("k").alias("a"), F.col("n").alias("ca")), "a")
-    pairs = scratch(pairs.select("a", "b", "n", "ca", "cb"))
+    order = np.argsort(rows["k"].to_numpy())
+    keys, state_counts = rows["k"].to_numpy()[order], rows["n"].to_numpy()[order]
+    some = counts.filter(F.col("n") >= s.least)  # no pair is more frequent than its tokens
+    shared = spark.sparkContext.broadcast((keys, state_counts, bit_map(some)))
+    pairs = scratch(_sums(docs, lambda: Pairs(shared.value[0], shared.value[2]), ("k", "a")).filter(F.col("n") >= s.least))
+    turned = F.expr("shiftleft(a, 1) | shiftrightunsigned(a, 63)")
+    far = pairs.filter("a <> 0").select("a", turned.bitwiseXOR(F.col("k")).alias("b"), "n")
+    far = far.join(some.select(F.col("k").alias("b"), F.col("n").alias("cb")), "b").join(some.select(F.col("k").alias("a"), F.col("n").alias("ca")), "a")
+    pairs = scratch(_near(pairs.filter("a = 0"), shared).union(far.select("a", "b", "n", "ca", "cb")))
     used = (F.sum("n") - F.count("*") * s.discount) / F.first("ca")
     cover = (F.sum("cb") + F.count("*") * 0.5) / F.lit(unit)
     left = F.log10(F.greatest(1 - used, F.lit(1e-9)) / F.greatest(1 - cover, F.lit(1e-9)))
-    backs = scratch(pairs.groupBy("a").agg(left.alias("back")))
+    backs = scratch(pairs.groupBy("a").agg(left.alias("back"), F.first("ca").alias("ca")))
     both = (F.col("ca") >= held) & (F.col("cb") >= held)
-    by_n = pairs.filter(both).groupBy("n").agg(F.count("*").alias("m")).orderBy(F.desc("n")).toArrow()
-    fit = np.cumsum(by_n["m"].to_numpy()) <= s.held_arcs
-    from_n = int(by_n["n"].to_numpy()[fit].min()) if fit.any() else n + 1
-    near = both & (F.col("n") >= from_n)
-    arcs, weights = pairs.filter(near).select("a", "b", "n").toArrow(), backs.join(some.filter(F.col("n") >= held).select(F.col("k").alias("a")), "a", "left_semi").toArrow()
-    place = np.argsort(keys)
-    number = lambda x: place[np.searchsorted(keys, x.to_numpy(), sorter=place)] if len(x) else np.zeros(0, np.int64)
+    near = both & (F.col("n") >= _floor(pairs.filter(both), s.held_arcs))
+    k = turned.bitwiseXOR(F.col("b")).alias("k")
+    p = F.log10((F.col("n") - s.discount) / F.col("ca"))
+    arcs = pairs.filter(near).select(k, p.alias("w")).toArrow()
+    by_key = np.argsort(arcs["k"].to_numpy())
+    weights = backs.filter(F.col("ca") >= held).select("a", "back").toArrow()
     back = np.zeros(len(keys))
-    back[number(weights["a"])] = weights["back"].to_numpy()
-    codes, arc_counts = number(arcs["a"]) << 21 | number(arcs["b"]), arcs["n"].to_numpy()
-    by_code = np.argsort(codes)
-    delta = F.log10((F.col("n") - s.discount) / F.col("ca")) - F.col("back") - F.log10((F.col("cb") + 0.5) / F.lit(unit))
-    k = F.expr("(shiftleft(a, 1) | shiftrightunsigned(a, 63)) ^ b")
-    far = pairs.filter(~near).join(backs, "a").select(k.alias("k"), F.lit(None).cast("long").alias("c"), delta.alias("w"))
-    own = counts.join(backs.withColumnRenamed("a", "k"), "k", "left").select("k", F.col("n").alias("c"), F.coalesce("back", F.lit(0.0)).alias("w"))
+    if len(keys):
+        back[np.searchsorted(keys, weights["a"].to_numpy())] = weights["back"].to_numpy()
+    delta = p - F.col("back") - F.log10((F.col("cb") + 0.5) / F.lit(unit))
+    far = pairs.filter(~near).join(backs.select("a", "back"), "a").select(k, F.lit(None).cast("long").alias("c"), delta.alias("w"))
+    own = counts.join(backs.select(F.col("a").alias("k"), "back"), "k", "left").select("k", F.col("n").alias("c"), F.coalesce("back", F.lit(0.0)).alias("w"))
     entries = scratch(own.union(far))
     far = entries.filter("c is null")
     bits = bit_map(far) if far.head(1) else None
-    return Model(keys, state_counts, back, codes[by_code], arc_counts[by_code], bits, entries, n, v, s)
+    return Model(keys, np.log10((state_counts + 0.5) / unit), back, arcs["k"].to_numpy()[by_key], arcs["w"].to_numpy()[by_key], bits, entries, n, v, s)
 
 
 KINDS = 5  # of rows that a document has in the join: its score, base and number of tokens, other tokens, other pairs
-_machines: dict[str, Automaton] = {}  # of this worker, by the name its scoring run has
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -310,32 +324,23 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     Repeated rows each get theirs. Empty table: empty result. Other columns are left out.
     """
     ship(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model.shipped())
-    name, unit = uuid.uuid4().hex, model.n + 0.5 * (model.v + 1)
+    shared = docs.sparkSession.sparkContext.broadcast(model.automaton())
+    unit = model.n + 0.5 * (model.v + 1)
     kind = dict(docs.dtypes)["doc_id"]
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _machines:
-            _machines.clear()
-            _machines[name] = Automaton(*shared.value)
-        machine = _machines[name]
-        for b in batches:
-            for a in range(0, b.num_rows, 500):
-                part = b.slice(a, 500)
-                found = [machine.run(tokens(t.as_py())) for t in part.column("text")]
-                rows = np.array([3 + len(r[3]) + len(r[4]) for r in found], np.int64)
-                at, first = np.repeat(np.arange(len(found)), rows), np.cumsum(rows) - rows
-                keys, kinds, values = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64), np.zeros(len(at))
-                heads = np.zeros(len(at), bool)
-                for j in range(3):  # a head each for the score, the base and the number of tokens read
-                    heads[first + j], kinds[first + j] = True, j
-                    keys[first + j] = part.column("h").to_numpy(zero_copy_only=False) + j
-                    values[first + j] = [r[j] for r in found]
-                keys[~heads] = [k for r in found for x in r[3:] for k in x]
-                kinds[~heads] = [KINDS * n + kind for r in found for kind, x in ((3, r[3]), (4, r[4])) for n in x.values()]
-                own = pa.array(at)
-                cols = [part.column("doc_id").take(own), part.column("h").take(own), pa.array(kinds), pa.array(keys), pa.array(values)]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "h", "kind", "k", "value"])
+    def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine, words = shared.value, Words()
+        for b in parts:
+            for first, past in batches(b.column("text")):
+                part = b.slice(first, past - first)
+                keys, before, sizes = read(part.column("text"), words)
+                *sums, rest = machine.run(keys, before, sizes)
+                h, every = part.column("h").to_numpy(zero_copy_only=False), np.arange(len(part))
+                cols = [(every, h + j, np.full(len(part), j), x.astype(np.float64)) for j, x in enumerate(sums)]  # heads
+                cols += [(text, key, KINDS * n + j, np.zeros(len(text))) for j, (text, key, n) in enumerate(rest, 3)]
+                text, key, what, value = (np.concatenate(x) for x in zip(*cols))
+                own = pa.array(text)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(own), part.column("h").take(own), pa.array(what, pa.int64()), pa.array(key), pa.array(value)], names=["doc_id", "h", "kind", "k", "value"])
 
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
     parts = rows.mapInArrow(work, f"doc_id {kind}, h long, kind long, k long, value double")
@@ -345,8 +350,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     c, w = F.coalesce("c", F.lit(0)), n * F.coalesce("w", F.lit(0.0))
     more = n * F.log10((c + 0.5) / F.lit(float(unit)))
     at = lambda *cases: F.coalesce(*[F.when(what == k, x) for k, x in cases], F.lit(0.0))
-    read = F.col("value").cast("long")
-    met = met.select("doc_id", "h", (what == 0).cast("int").alias("head"), F.when(what == 2, read).when(what == 3, n).otherwise(0).alias("n"), at((1, F.col("value")), (3, more)).alias("base"), at((0, F.col("value")), (3, more + w), (4, w)).alias("score"), F.when(what == 2, read).when((what == 3) & (c > 0), n).otherwise(0).alias("known"))
+    given = F.col("value").cast("long")
+    met = met.select("doc_id", "h", (what == 0).cast("int").alias("head"), F.when(what == 2, given).when(what == 3, n).otherwise(0).alias("n"), at((1, F.col("value")), (3, more)).alias("base"), at((0, F.col("value")), (3, more + w), (4, w)).alias("score"), F.when(what == 2, given).when((what == 3) & (c > 0), n).otherwise(0).alias("known"))
     out = met.groupBy("doc_id", "h").agg(F.sum("head").cast("int").alias("m"), *[F.sum(x).alias(x) for x in ("n", "base", "score", "known")])
     each = out.withColumn("__", F.explode(F.array_repeat(F.lit(0), F.col("m"))))  # equal rows were summed together
     return each.select("doc_id", F.expr("n div m").alias("n_tokens"), F.expr("known div m").alias("n_known"), (F.col("base") / F.col("m")).alias("base_score"), (F.col("score") / F.col("m")).alias("score"))
