@@ -9,7 +9,9 @@ import types
 import numpy as np
 import pytest
 
+from trialforge.__main__ import main
 from trialforge.importers import recordings as rec
+from trialforge.importers import sheets
 from trialforge.schemas import TABLES
 
 NAMES = ("pumpprobe_20200102_101112", "pumpprobe_20200304_131415")
@@ -139,3 +141,49 @@ def test_bad_exports(spark, tmp_path, spoil, message):
     with pytest.raises(Exception, match=message):
         for df in rec.import_recordings(spark, text, archive).values():
             df.collect()
+
+
+def cells(spark, sheets):
+    rows = [("f", s, k, i, j, t) for k, (s, table) in enumerate(sheets.items()) for i, row in enumerate(table) for j, t in enumerate(row) if t is not None]
+    return spark.createDataFrame(rows, "path string, sheet string, position int, row int, col int, text string")
+
+
+def test_sheets(spark):
+    wang = [["title"], [None, None, None], ["Class", "x", "Neuron", "Class", "Neurotransmitter(s)", "Comments"], ["AVA", None, "AVAL", None, " ACh ", "seen"], [None, None, "AVAR", None, "ACh"], [None, "x", None], [None, None, "RIGL", "RIG", "Glu"], [None, None, "RIGR"]]
+    got = [tuple(r)[2:] for r in sheets.transmitter_sheet(cells(spark, {"a": wang})).orderBy("row").collect()]
+    assert got == [("AVAL", "AVA", False, "ACh", "seen"), ("AVAR", "AVA", True, "ACh", None), ("RIGL", "RIG", False, "Glu", None), ("RIGR", "RIG", True, None, None)]
+    for bad in ([["x"]], [["Class", "x", "Neuron"]]):
+        with pytest.raises(ValueError):
+            sheets.transmitter_sheet(cells(spark, {"a": bad}))
+    info = [["Neuron", "b", "Type", "Segment"], ["units"], [" AVAL", None, "inter ", " "], [None, None, "x"], ["AVAR"]]
+    assert [tuple(r)[2:] for r in sheets.neuron_sheet(cells(spark, {"Neuron information": info})).orderBy("row").collect()] == [("AVAL", "inter", None), ("AVAR", None, None)]
+    with pytest.raises(ValueError):
+        sheets.neuron_sheet(cells(spark, {"Neuron information": [["Name"]]}))
+    book = {
+        "1. NT": [["Neuron", "d", "a"], ["AVAL", "ACh", "Glu"], ["note: x", "y"], ["AVAR", "ACh"]], "3. Rec": [["Neurons"], ["AVAL", "glr-1", None, "acr-2"]],
+        "4. Types": [["h"], ["h"], ["AVAL", *[None] * 6, "interneuron"], ["AVAR"]], "5. Sign": [["h"], ["h"], ["AVAL", None, None, "AVAR", "2.5", "chem", *[None] * 10, "+"], ["AVAL", None, None, "AVAR", "1", "chem"]],
+    }
+    out = {k: [tuple(r)[2:] for r in v.orderBy("row").collect()] for k, v in sheets.prediction_sheets(cells(spark, book)).items()}
+    assert out == {"transmitters": [("AVAL", "ACh", "Glu"), ("AVAR", "ACh", None)], "receptors": [("AVAL", ["glr-1", "acr-2"])], "types": [("AVAL", "interneuron")], "signs": [("AVAL", "AVAR", 2.5, "chem", "+")]}
+
+
+def test_ganglia_and_positions(spark):
+    texts = spark.createDataFrame([("g", '{"A": ["x", "y"], "B": ["z"], "head": ["A"], "pharynx": []}')], "path string, value string")
+    assert sorted(tuple(r)[1:] for r in sheets.ganglia(texts).collect()) == [("A", "x", True, False), ("A", "y", True, False), ("B", "z", False, False)]
+    at = spark.createDataFrame([("p", "# AVAL AVAR\n1 2 3\n 4 5.5 -6\n\n")], "path string, value string")
+    assert sorted(tuple(r)[1:] for r in sheets.positions(at).collect()) == [("AVAL", 1.0, 2.0, 3.0), ("AVAR", 4.0, 5.5, -6.0)]
+    for bad in ("AVAL\n1 2 3", "# AVAL AVAR\n1 2 3\n"):
+        with pytest.raises(Exception, match="don't match"):
+            sheets.positions(spark.createDataFrame([("p", bad)], "path string, value string")).collect()
+
+
+def test_commands(spark, tmp_path, capsys):
+    text, archive, _ = write(tmp_path)
+    assert main(["import", text, archive, str(tmp_path / "out")]) == 0
+    said = capsys.readouterr().out
+    assert "observations 320" in said and "disagree: acquisition_count_matches_events" in said and spark.read.parquet(str(tmp_path / "out/trials")).count() == 7
+    (tmp_path / "s.csv").write_text("animal,day,rule,baseline,nothing,rule_trimmed,baseline_trimmed,null_rule,null_baseline,null_samples\n" + "".join(f"a{i},d{i % 2},1,2,3,1,2,1,1,10\n" for i in range(6)))
+    (tmp_path / "c.csv").write_text("level,rule,baseline\n0.5,0.5,0.5\n")
+    assert main(["control", str(tmp_path / "s.csv"), str(tmp_path / "c.csv")]) == 0 and '"holds": true' in capsys.readouterr().out
+    (tmp_path / "e.toml").write_text('tier = "G0"\nmax_nodes = 3\nmax_registers = 1\nops = ["add", "stimulus", "const"]\nconstants = [1]\nregister_init = [0]\n')
+    assert main(["search", str(tmp_path / "e.toml")]) == 0 and '"generated": 9' in capsys.readouterr().out

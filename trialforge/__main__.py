@@ -1,10 +1,11 @@
-"""Commands: query, sources, splits, rule, simulate, search, body."""
+"""Commands: query, sources, import, splits, rule, simulate, search, control."""
 
 from __future__ import annotations
 
 import argparse
 import json
 import sys
+import tomllib
 from pathlib import Path
 
 from .rules import RuleError, compile_rule
@@ -16,10 +17,16 @@ def _spark():
     return get_session()
 
 
+def load_config(path: str) -> dict:
+    """A configuration in TOML or JSON, by the file's name."""
+    text = Path(path).read_text()
+    return tomllib.loads(text) if path.endswith(".toml") else json.loads(text)
+
+
 def _registry(path: str):
     from .sources.integrity import Asset, Source
 
-    return [Source(s["id"], [Asset(**a) for a in s["assets"]], s.get("license", {}), s.get("milestones", [])) for s in json.loads(Path(path).read_text())["sources"]]
+    return [Source(s["id"], [Asset(**a) for a in s["assets"]], s.get("license", {}), s.get("milestones", [])) for s in load_config(path)["sources"]]
 
 
 def query(a) -> int:
@@ -56,6 +63,33 @@ def sources(a) -> int:
     return int(any(v.startswith(("failed", "mismatch", "missing", "differs")) for v in out.values()))
 
 
+def import_(a) -> int:
+    """Recordings into normalised tables, each written once; exit 1 if a check disagrees and --strict is given."""
+    from .importers.recordings import import_recordings
+    from .sources.integrity import write_once
+
+    spark, bad = _spark(), 0
+    for name, df in import_recordings(spark, a.texts, a.archive).items():
+        write_once(df, f"{a.out}/{name}")
+        written = spark.read.parquet(f"{a.out}/{name}")
+        print(name, written.count())
+        if name == "checks":
+            failed = [c for c in written.columns[1:] if written.filter(f"not {c}").head(1)]
+            print("disagree:", ", ".join(failed) or "none")
+            bad = len(failed)
+    return int(a.strict and bad > 0)
+
+
+def control(a) -> int:
+    """The verdict on a rule, from a table of held-out scores per animal and one of coverage per level (CSV)."""
+    import pandas as pd
+
+    from .search.controls import Resampling, verdict
+
+    print(json.dumps(verdict(pd.read_csv(a.scores), pd.read_csv(a.coverage), Resampling(a.draws, a.seed)), default=bool, indent=1))
+    return 0
+
+
 def split(a) -> int:
     from .operators import splits
     from .sources.integrity import write_locked
@@ -89,7 +123,7 @@ def simulate(a) -> int:
 def search(a) -> int:
     from .search import enumerate as en
 
-    found = en.enumerate_programs(_spark(), json.loads(Path(a.config).read_text()))
+    found = en.enumerate_programs(_spark(), load_config(a.config))
     found = found.persist()
     if a.out:
         found.filter("outcome = 'ok'").select("index", "hash", "l_struct", "l_params", "source").write.json(a.out)
@@ -115,6 +149,17 @@ def main(argv: list[str] | None = None) -> int:
     s.add_argument("--jobs", type=int, default=4)
     s.add_argument("--quick", action="store_true")
     s.set_defaults(run=sources)
+    i = sub.add_parser("import")
+    for name in ("texts", "archive", "out"):
+        i.add_argument(name)
+    i.add_argument("--strict", action="store_true")
+    i.set_defaults(run=import_)
+    c = sub.add_parser("control")
+    for name in ("scores", "coverage"):
+        c.add_argument(name)
+    for name, default in (("draws", 2000), ("seed", 20261008)):
+        c.add_argument(f"--{name}", type=int, default=default)
+    c.set_defaults(run=control)
     p = sub.add_parser("splits")
     for name in ("table", "group", "out"):
         p.add_argument(name)

@@ -157,16 +157,16 @@ def column_index(cell: str) -> int:
 
 
 def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
-    """path, sheet, row, col, text: all cells that hold something, of all workbooks."""
+    """path, sheet, position (of the sheet), row, col, text: all cells that hold something, of all workbooks."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist()):
-                cells = [(name, s, i, j, t) for s, rows in read_workbook(content).items() for i, row in enumerate(rows) for j, t in enumerate(row) if t is not None]
-                cols = list(zip(*cells)) or [()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string()))], names=["path", "sheet", "row", "col", "text"])
+                cells = [(name, s, k, i, j, t) for k, (s, rows) in enumerate(read_workbook(content).items()) for i, row in enumerate(rows) for j, t in enumerate(row) if t is not None]
+                cols = list(zip(*cells)) or [()] * 6
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string()))], names=["path", "sheet", "position", "row", "col", "text"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(scan, "path string, sheet string, row int, col int, text string")
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(scan, "path string, sheet string, position int, row int, col int, text string")
 
 
 def adjacency(df: DataFrame, names: str, matrix: str) -> DataFrame:
