@@ -106,6 +106,27 @@ SELECT post, round(CASE WHEN v >= 0.5 THEN drive + u - a + (v - (drive + u - a))
   round(v * 0.5 + (a - v * 0.5) * exp(-(0.1::DOUBLE / 2.0)), 8) AS a FROM q"""
 
 
+def rule_tick_delays(spark, d):
+    """One tick of a rule with a register's own past, n-ary extremes and Euler leaks, and its filtered observation."""
+    from ..sim.columns import observed, tick_columns
+    from .rules import DELAY_RULE
+
+    p = read(spark, d, "part").select(F.col("p_partkey").alias("node"), (F.col("p_size") / 25.0).alias("v"), (F.col("p_retailprice") / 500).alias("w"), (F.col("p_size") % 7 / 4.0).alias("two_ago"), (F.col("p_partkey") % 3 / 2.0).alias("held"))
+    cols = tick_columns(DELAY_RULE, dt=0.1, registers={"v": F.col("v"), "w": F.col("w")}, delays={("v", 2): F.col("two_ago")})
+    return p.select("node", F.round(cols["v"], 8).alias("v"), F.round(cols["w"], 8).alias("w"), F.round(observed(DELAY_RULE, 0.1, cols, F.col("held")), 8).alias("seen"))
+
+
+def rule_tick_table(spark, d):
+    """One tick of a rule on whole numbers: how many sources have the value 2, and a table of what follows."""
+    from ..sim.columns import observed, tick_columns
+    from .rules import TABLE_RULE
+
+    n = graph.count_in(_edges(spark, d), _states(spark, d), 2, F.lit(2.0)).withColumnRenamed("value", "n")
+    p = read(spark, d, "part").select(F.col("p_partkey").alias("post")).join(n, "post", "left").fillna(0, ["n"])
+    cols = tick_columns(TABLE_RULE, dt=0.1, registers={"v": F.lit(0.0)}, counts={("v", 2): F.col("n").cast("double")}, stimulus=F.when(F.col("post") % 4 == 0, 1.0).otherwise(0.0))
+    return p.select("post", observed(TABLE_RULE, 0.1, cols).cast("double").alias("v"))
+
+
 def delete_chemical(spark, d):
     pairs = read(spark, d, "supplier").select(F.col("s_suppkey").alias("pre"), (F.col("s_suppkey") * 3).alias("post"))
     return graph.delete_edges(_edges(spark, d), pairs, "pre", "post").groupBy("pre").agg(F.count("*").alias("n"), r6(F.sum("weight")).alias("w"))
@@ -163,6 +184,11 @@ QUERIES = {
     "count_in": (count_in, f"WITH {_E}, {_H} SELECT post, count(*) FILTER (WHERE value = 2.0) AS value FROM e JOIN h ON h.node = e.pre AND h.tick = greatest(2 - e.delay, 0) GROUP BY post"),
     "gap_step": (gap_step, f"WITH {_G}, n AS (SELECT c_custkey AS node, c_acctbal / 1000 AS o, c_acctbal / 2000 AS w FROM customer), r AS (SELECT a AS node, b AS other, g FROM g UNION ALL SELECT b, a, g FROM g), s AS (SELECT r.node, sum(g * 2.0) AS gg, sum(g * 2.0 * o) AS ss FROM r JOIN n ON n.node = r.other GROUP BY r.node) SELECT n.node, round((w + 0.1::DOUBLE * coalesce(ss, 0.0)) / (1 + 0.1::DOUBLE * coalesce(gg, 0.0)), 8) AS next FROM n LEFT JOIN s USING (node)"),
     "rule_tick": (rule_tick, _RULE_SQL),
+    "rule_tick_delays": (rule_tick_delays, """WITH p AS (SELECT p_partkey AS node, p_size / 25.0::DOUBLE AS v, p_retailprice / 500 AS w, p_size % 7 / 4.0::DOUBLE AS d, p_partkey % 3 / 2.0::DOUBLE AS held FROM part),
+q AS (SELECT *, 1 / (1 + exp(-(-w + 0.75::DOUBLE * d))) AS soft FROM p),
+r AS (SELECT *, greatest(v + 0.1::DOUBLE / 0.5 * (soft - v), least(abs(d - 0.5), greatest(w - 1, 0.0), 2.0)) AS nv, w + 0.1::DOUBLE / 2 * (-greatest(v - soft, 0.0) - w) AS nw FROM q)
+SELECT node, round(nv, 8) AS v, round(nw, 8) AS w, round(nv + (held - nv) * exp(-0.1::DOUBLE / 0.5), 8) AS seen FROM r"""),
+    "rule_tick_table": (rule_tick_table, f"WITH {_E}, {_H}, c AS (SELECT post, count(*) FILTER (WHERE value = 2.0) AS n FROM e JOIN h ON h.node = e.pre AND h.tick = greatest(2 - e.delay, 0) GROUP BY post) SELECT p_partkey AS post, CAST([0, 1, 2, 1][least(coalesce(n, 0) + CASE WHEN p_partkey % 4 = 0 THEN 1 ELSE 0 END, 3) + 1] AS DOUBLE) AS v FROM part LEFT JOIN c ON c.post = p_partkey"),
     "delete_chemical": (delete_chemical, f"WITH {_E} SELECT pre, count(*) AS n, round(sum(weight), 6) AS w FROM e WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = pre AND s_suppkey * 3 = post) GROUP BY pre"),
     "delete_gap": (delete_gap, f"WITH {_G} SELECT count(*) AS n, round(sum(g), 6) AS g FROM g WHERE NOT EXISTS (SELECT 1 FROM customer WHERE (c_custkey = a AND c_custkey % 50 = b) OR (c_custkey = b AND c_custkey % 50 = a))"),
     "graph_problems": (graph_problems, f"WITH {_E}, {_G}, x AS (SELECT pre, post % 120 AS post, weight - 3 AS weight FROM e), p AS (SELECT 'bad weight' AS problem FROM x WHERE weight < 0 UNION ALL SELECT 'unknown endpoint' FROM (SELECT pre AS id FROM x UNION ALL SELECT post FROM x) WHERE id NOT IN (SELECT s_suppkey FROM supplier) UNION ALL SELECT 'gap self-loop' FROM g WHERE b % 11 = 0) SELECT problem, count(*) AS n FROM p GROUP BY problem"),

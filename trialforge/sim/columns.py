@@ -33,3 +33,15 @@ def tick_columns(source: str, dt: float, registers: dict[str, Column], sums: dic
         }
         made[n] = pick[n.op]()
     return {name: made[w] for name, w in zip(names, p.writes)}
+
+
+def observed(source: str, dt: float, new: dict[str, Column], carried: Column | None = None, params: dict[str, float] | None = None) -> Column:
+    """What the rule reports after a tick: the new value of its register, or a first-order filter of it, from its carried
+    value."""
+    p = compile_rule(source)
+    op, register, tau = p.observe
+    value = new[p.registers[register].name]
+    if op == "identity_v1":
+        return value
+    seconds = float((params or {}).get(p.params[tau].name, p.params[tau].value)) if isinstance(tau, int) else tau
+    return value + (carried - value) * F.exp(F.lit(-dt / seconds))
