@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from trialforge.models import benchmark as B
 from trialforge.models import kernels as K
 from trialforge.models.fit import Problem, fit_program, from_raw, gaussian_loss, quantise, standard_errors, starts, to_raw
 from trialforge.models.network import Network, bandwidth, fit_indicator, fit_network, impulse, synthetic
@@ -137,9 +138,58 @@ def test_moments_and_folds(spark):
     for key, a in got.items():
         part = np.array([[*r[2], *r[3], r[4]] for r in rows if (r[0], r[1]) == key])
         assert np.allclose(a, part.T @ part)
-    folds = pd.DataFrame([(o, "test" if i % 3 == o else "train", (i // 3) % 2 if i % 3 != o else None, f"a{i}") for o in range(3) for i in range(6)], columns=["outer", "role", "inner", "animal"])
-    out = {(r.outer, r.family): r.mse for r in K.evaluate_folds(m, folds, ["pair"], 3, 1).collect()}
-    assert len(out) == 9 and all(out[o, "independent"] < 0.1 * out[o, "null"] for o in range(3))
+    s = K.stack(m.toPandas(), ["pair"], 3, 1)
+    null, own = K.fit_null(s), K.fit_independent(s, 0.01)
+    assert K.loss(s, own.c, own.b) < 0.1 * K.loss(s, null.c, null.b)
+
+
+def test_benchmark_by_plain_loops(spark):
+    """Ridges by inner likelihood with refitted noise, and test scores, against loops over folds, ridges and traces."""
+    rng = np.random.default_rng(3)
+    truth, t = rng.normal(size=(3, 2)), np.arange(12)
+    traces, rows = [], []
+    for animal in range(6):
+        for pair in range(3):
+            for j in range(3):
+                if pair == 2 and animal > 3:
+                    continue
+                x = np.stack([np.exp(-t / 3.0), np.exp(-t / 9.0)], axis=1) * rng.uniform(0.5, 2)
+                y = x @ truth[pair] + 0.3 + 0.2 * rng.normal(size=12)
+                mask = rng.random(12) < 0.9
+                traces.append((f"{animal}-{pair}-{j}", f"a{animal}", f"p{pair}", float(rng.uniform(0.1, 0.3)), y.tolist(), mask.tolist(), x.tolist(), np.ones((12, 1)).tolist()))
+                rows += [(f"a{animal}", f"p{pair}", x[i].tolist(), [1.0], float(y[i])) for i in np.flatnonzero(mask)]
+    df = spark.createDataFrame(traces, "trace string, animal string, pair string, s double, y array<double>, mask array<boolean>, x array<array<double>>, z array<array<double>>")
+    m = K.moments(spark.createDataFrame(rows, "animal string, pair string, x array<double>, z array<double>, v double"), ["animal", "pair"], 2, 1)
+    split = [(o, "test" if i % 2 == o else "train", (i // 2) % 2 if i % 2 != o else None, f"a{i}") for o in range(2) for i in range(6)]
+    folds, ridges, families = spark.createDataFrame(split, "outer int, role string, inner int, animal string"), (0.01, 100.0), ("null", "independent", "shared", "rank1")
+    got = {(r.outer, r.family, r.animal): (r.ridge, r.nll, r.samples, r.traces) for r in B.evaluate(df, m, folds, ["pair"], 2, 1, families, ridges).collect()}
+    table = m.toPandas()
+    want = {}
+
+    def fit(animals, family, r):
+        s = K.stack(table[table["animal"].isin(animals)], ["pair"], 2, 1)
+        f = K.FAMILIES[family](s, r)
+        c = dict(zip([p[0] if isinstance(p, tuple) else p for p in s.pairs], f.c))
+        left = {x[0]: np.array(x[4]) - np.array(x[6]) @ c.get(x[2], np.zeros(2)) - np.array(x[7]) @ f.b for x in traces}
+        pick = lambda names: [x for x in traces if x[1] in names]
+        parts = lambda xs: (np.stack([left[x[0]] for x in xs]), np.array([x[5] for x in xs]), np.array([x[3] for x in xs]))
+        return lambda names: (lambda xs: dict(zip([x[0] for x in xs], trace_nll(*parts(xs), fit_noise(*parts(pick(animals)))))))(pick(names))
+
+    for o in range(2):
+        train = {x[3]: x[2] for x in split if x[0] == o and x[1] == "train"}
+        test = [x[3] for x in split if x[0] == o and x[1] == "test"]
+        for family in families:
+            grid = (0.0,) if family == "null" else ridges
+            score = {r: sum(sum(fit([a for a in train if train[a] != i], family, r)([a for a in train if train[a] == i]).values()) for i in (0, 1)) for r in grid}
+            best = min(grid, key=lambda r: (score[r], r))
+            nll = fit(list(train), family, best)(test)
+            for a in test:
+                mine = [x for x in traces if x[1] == a]
+                want[o, family, a] = (best, sum(nll[x[0]] for x in mine), sum(sum(x[5]) for x in mine), len(mine))
+    assert set(got) == set(want)
+    for key, w in want.items():
+        assert got[key][0] == w[0] and got[key][1] == pytest.approx(w[1], rel=2e-3, abs=0.05) and got[key][2:] == w[2:]
+    assert sum(got[o, "independent", a][1] for o, f, a in got if f == "null") < sum(got[k][1] for k in got if k[1] == "null")
 
 
 def test_network_and_indicator():

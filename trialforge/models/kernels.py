@@ -195,46 +195,3 @@ def fit_low_rank(s: Stats, ridge: float, rank: int) -> Fit:
 
 
 FAMILIES = {"null": fit_null, "independent": fit_independent, "shared": fit_shared} | {f"rank{k}": partial(fit_low_rank, rank=k) for k in (1, 2, 4, 8)}
-
-
-def choose_ridge(train: list[Stats], test: list[Stats], fit, ridges=RIDGES) -> tuple[float, dict[float, float]]:
-    """The ridge of least mean squared error over inner folds, ties to the smaller one."""
-    scores = {r: float(np.mean([loss(b, fit(a, r).c, fit(a, r).b) / max(1, b.n) for a, b in zip(train, test)])) for r in ridges}
-    return min(scores, key=lambda r: (scores[r], r)), scores
-
-
-def evaluate_folds(rows: DataFrame, folds: pd.DataFrame, pair: list[str], m: int, k: int, families: tuple[str, ...] = ("null", "independent", "shared")) -> DataFrame:
-    """outer, family, ridge, mse: nested choice and held-out error for each outer fold and family, one task for each.
-
-    rows are per-animal moments (animal, pair, stat, n), a table of bounded size (animals by pairs); folds has outer,
-    role, inner, animal. Statistics are made once and only added up here.
-    """
-    spark = rows.sparkSession
-    table, names = rows.toPandas(), pair
-    shared = spark.sparkContext.broadcast((table, folds))
-
-    def work(parts):
-        data, split = shared.value
-        for part in parts:
-            for outer, family in zip(part["outer"], part["family"]):
-                f = split[split["outer"] == outer]
-                train, test = f[f["role"] == "train"], f[f["role"] == "test"]["animal"]
-                of = lambda animals: data[data["animal"].isin(set(animals))]
-                common = lambda a, b: (stack(a, names, m, k), _aligned(b, stack(a, names, m, k).pairs, names, m, k))
-                inner = [common(of(train[train["inner"] != i]["animal"]), of(train[train["inner"] == i]["animal"])) for i in sorted(train["inner"].unique())]
-                fit = FAMILIES[family]
-                ridge = 0.0 if family == "null" else choose_ridge([a for a, _ in inner], [b for _, b in inner], fit)[0]
-                a, b = common(of(train["animal"]), of(test))
-                best = fit(a, ridge)
-                yield pd.DataFrame({"outer": [outer], "family": [family], "ridge": [ridge], "mse": [loss(b, best.c, best.b) / max(1, b.n)]})
-
-    jobs = spark.createDataFrame([(int(o), f) for o in sorted(folds["outer"].unique()) for f in families], "outer int, family string")
-    return jobs.repartition(max(1, len(families) * folds["outer"].nunique()), "outer", "family").mapInPandas(work, "outer int, family string, ridge double, mse double")
-
-
-def _aligned(rows: pd.DataFrame, pairs: list, names: list[str], m: int, k: int) -> Stats:
-    """Stats of rows in the order of pairs; pairs that weren't trained on keep a zero kernel, so only their sums count."""
-    s, d = stack(rows, names, m, k), {}
-    d = {p: i for i, p in enumerate(s.pairs)}
-    pick = lambda a: np.stack([a[d[p]] if p in d else np.zeros(a.shape[1:]) for p in pairs]) if pairs else a[:0]
-    return Stats(pairs, pick(s.G), pick(s.X), pick(s.y), s.Q, s.q, s.yy, s.n)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import tables
 from ..body import swimmer
-from ..models import kernels, network, noise
+from ..models import benchmark, kernels, network, noise
 from ..models.fit import Problem, fit_program, gaussian_loss
 from ..operators import splits
 from ..rules import compile_rule
@@ -16,7 +16,7 @@ from ..search import controls, plan, select
 from ..search import enumerate as en
 from ..sim.arrays import simulate
 from ..streaming import online
-from .base import read
+from .base import read, with_series
 from .trials import _dff
 
 RULE = """wrl 0.1
@@ -141,10 +141,18 @@ def kernel_moments(spark, d):
 
 
 def kernel_folds(spark, d):
-    """Nested choice of ridge and held-out error per outer fold and family."""
+    """Nested choice of ridge by likelihood, and each animal's held-out likelihood, per outer fold and family."""
     m = _moments(spark, d)
-    folds = splits.nested(m.select("animal").distinct(), "animal", 3, 3, 5).toPandas()
-    return kernels.evaluate_folds(m, folds, ["pair"], 2, 1)
+    folds = tables.scratch(splits.nested(m.select("animal").distinct(), "animal", 3, 3, 5))
+    x = _dff(spark, d).filter("offset >= 2 and dff_valid").select("trial_id", "recording_id", "event_index", "offset", "dff")
+    by = x.groupBy("trial_id", "recording_id", "event_index").agg(F.map_from_entries(F.collect_list(F.struct("offset", "dff"))).alias("at"))  # 58 samples at most
+    each = lambda f: F.transform(F.sequence(F.lit(2), F.lit(59)), f)
+    value = lambda o: F.try_element_at("at", o)
+    traces = by.select(
+        F.col("trial_id").alias("trace"), F.concat(F.lit("a"), F.col("recording_id") % 12).alias("animal"), F.concat(F.lit("p"), F.col("event_index") % 3).alias("pair"), F.lit(0.3).alias("s"), each(lambda o: F.coalesce(value(o), F.lit(0.0))).alias("y"),
+        each(lambda o: value(o).isNotNull()).alias("mask"), each(lambda o: F.array(F.exp(-o / 5.0), F.exp(-o / 20.0))).alias("x"), each(lambda o: F.array(F.lit(1.0))).alias("z"),
+    )
+    return benchmark.evaluate(traces, m, folds, ["pair"], 2, 1, ("null", "independent", "shared"), (0.01, 1.0, 100.0))
 
 
 def false_sharing(spark, d):
@@ -259,4 +267,6 @@ def stream_filter(spark, d):
 QUERIES = {f.__name__: (f, None) for f in (
     rule_simulation, response_kernels, program_fit, rule_enumeration, noise_fit, animal_bootstrap, kernel_moments, kernel_folds, false_sharing, network_kernels, indicator_fit, label_shuffle, degree_preserving, intervention_gain, equivalence_cliques, swimmer_endpoints, stream_filter,
 )}
+QUERIES["kernel_moments"] = (kernel_moments, with_series(""", x AS (SELECT 'a' || (recording_id % 12) AS animal, 'p' || (event_index % 3) AS pair, [exp(-o / 5.0::DOUBLE), exp(-o / 20.0::DOUBLE), 1.0::DOUBLE, dff] AS a FROM dff WHERE o >= 2 AND ok)
+SELECT animal, pair, i, j, round(sum(a[i + 1] * a[j + 1]), 5) AS value, count(*) AS n FROM x, range(4) r(i), range(4) c(j) GROUP BY ALL"""))
 QUERIES["stream_windows"] = (stream_windows, "SELECT strftime(time_bucket(INTERVAL '1 hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
