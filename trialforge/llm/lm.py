@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import scratch, table
+from .common import mark, scratch, settle, table
 
 END = b"\n"  # the end token: no word can be this
 
@@ -30,8 +30,8 @@ class Settings:
 
     least: int = 2
     discount: float = 0.5
-    held: int = 600_000
-    held_arcs: int = 2_000_000
+    held: int = 300_000
+    held_arcs: int = 1_000_000
 
 
 def key_of(word: bytes) -> int:
@@ -275,7 +275,7 @@ def train(docs: DataFrame, s: Settings = Settings()) -> Model:
     Tokens and arcs stay tables. Only those held come to the driver, at most s.held tokens and s.held_arcs arcs, and
     bit maps of one size. Null texts: empty. No documents: every token is unknown.
     """
-    spark = docs.sparkSession
+    spark, before = docs.sparkSession, mark()
     counts = scratch(_sums(docs, Singles))
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     unit = float(n + 0.5 * (v + 1))
@@ -307,7 +307,7 @@ def train(docs: DataFrame, s: Settings = Settings()) -> Model:
     delta = p - F.col("back") - F.log10((F.col("cb") + 0.5) / F.lit(unit))
     far = pairs.filter(~near).join(backs.select("a", "back"), "a").select(k, F.lit(None).cast("long").alias("c"), delta.alias("w"))
     own = counts.join(backs.select(F.col("a").alias("k"), "back"), "k", "left").select("k", F.col("n").alias("c"), F.coalesce("back", F.lit(0.0)).alias("w"))
-    entries = scratch(own.union(far))
+    entries = settle(own.union(far), before)  # the counts have done their work
     far = entries.filter("c is null")
     bits = bit_map(far) if far.head(1) else None
     return Model(keys, np.log10((state_counts + 0.5) / unit), back, arcs["k"].to_numpy()[by_key], arcs["w"].to_numpy()[by_key], bits, entries, n, v, s)
