@@ -124,6 +124,26 @@ def valid_fractions(auto: DataFrame) -> DataFrame:
     return auto.filter("after").groupBy("trial_id").agg(F.avg(F.col("gcamp_valid").cast("double")).alias("autoresponse_valid_fraction"))
 
 
+#: Volumes after a stimulus that a response may use, and the valid share its target's own trace needs.
+POST, LEAST_OWN = 60, 0.8
+
+
+def task_traces(tried: DataFrame, fractions: DataFrame, rois: DataFrame, observed: DataFrame) -> DataFrame:
+    """trial_id, roi_index, target, responder: the traces that a task of responses is about.
+
+    The target is a ROI whose own trace is valid often enough; the responder is a ROI with an identity, other than the
+    target and of another label, with a valid frame after the stimulus and before the next.
+    """
+    t = tried.join(fractions.filter(F.col("autoresponse_valid_fraction") >= LEAST_OWN), "trial_id").filter("target_roi_index is not null")
+    past = F.least(F.col("stim_frame") + POST, F.coalesce("next_stim_frame", "n_frames"))
+    t = t.select("trial_id", "recording_id", "target_roi_index", F.col("target_label").alias("target"), "stim_frame", past.alias("past")).filter("past > stim_frame")
+    x = t.join(rois.filter("neuron_id is not null").select("recording_id", "roi_index", F.col("neuron_id").alias("responder")), "recording_id")
+    x = x.filter((F.col("roi_index") != F.col("target_roi_index")) & ~F.col("responder").eqNullSafe(F.col("target")))
+    frames = x.withColumn("frame", F.explode(F.sequence(F.col("stim_frame"), F.col("past") - 1)))
+    seen = frames.join(observed.filter("gcamp_valid").select("recording_id", "roi_index", "frame"), ["recording_id", "roi_index", "frame"])
+    return seen.select("trial_id", "roi_index", "target", "responder").distinct()
+
+
 def animals(sizes: DataFrame) -> DataFrame:
     """One row per recording, from recording_id, n_frames, n_rois, n_stimulations, volume_interval_s."""
     name = F.expr("substring(recording_id, instr(recording_id, ':') + 1)")

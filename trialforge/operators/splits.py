@@ -37,6 +37,12 @@ def nested(rows: DataFrame, group: str, k: int, inner: int, seed: int) -> DataFr
     return train.unionByName(test)
 
 
+def best_scheme(rows: DataFrame, group: str) -> DataFrame:
+    """group, scheme: the scheme that covers most targets, then the one of fewest folds, then the first by name, from
+    (group, scheme, covered, folds)."""
+    return rows.groupBy(group).agg(F.min_by("scheme", F.struct((-F.col("covered")).alias("c"), "folds", "scheme")).alias("scheme"))
+
+
 def leaks(folds: DataFrame, group: str, sessions: DataFrame | None = None) -> dict[str, int]:
     """How many groups are both in train and test of an outer fold, or in two inner folds, and how many sessions span folds."""
     one = folds.groupBy("outer", group).agg(F.count_distinct("role").alias("roles"), F.count_distinct("inner").alias("inners"))

@@ -58,6 +58,12 @@ def leakage_checks(spark, d):
     return spans.agg(F.count("*").alias("n")).select(F.lit("session spans folds").alias("check"), "n").union(both.agg(F.count("*").alias("n")).select(F.lit("train meets test"), "n"))
 
 
+def scheme_choice(spark, d):
+    """Per year, the priority under which most customers ordered, then in fewest statuses."""
+    o = read(spark, d, "orders").groupBy(F.year("o_orderdate").alias("year"), F.col("o_orderpriority").alias("scheme"))
+    return splits.best_scheme(o.agg(F.count_distinct("o_custkey").alias("covered"), F.count_distinct("o_orderstatus").alias("folds")), "year")
+
+
 def resume_anti(spark, d):
     """The (customer, year) pairs that are still to do, given what a log of finished orders holds."""
     o = read(spark, d, "orders")
@@ -209,6 +215,7 @@ t2 AS (SELECT DISTINCT c_mktsegment, "outer" FROM m WHERE role = 'test'), b AS (
 u AS (SELECT c_mktsegment, "outer", sum(CASE WHEN n >= 1 AND a - n >= 2 THEN 1 ELSE 0 END) AS usable FROM (SELECT *, sum(n) OVER (PARTITION BY c_mktsegment, "outer") AS a FROM b) GROUP BY ALL)
 SELECT c_mktsegment, count(*) AS n_tested, CAST(min(coalesce(usable, 0)) AS BIGINT) AS least, round(avg(coalesce(usable, 0)), 6) AS mean FROM t2 LEFT JOIN u USING (c_mktsegment, "outer") GROUP BY c_mktsegment"""),
     "leakage_checks": (leakage_checks, f"WITH f AS (SELECT * FROM {_FOLD('outer').format(k=K)}) SELECT 'session spans folds' AS \"check\", count(*) AS n FROM (SELECT CAST(o_orderdate AS DATE) FROM orders JOIN f ON animal = CAST(o_custkey AS VARCHAR) GROUP BY 1 HAVING count(DISTINCT fold) > 1) UNION ALL SELECT 'train meets test', 0"),
+    "scheme_choice": (scheme_choice, "SELECT year, arg_min(p, (-c, f, p)) AS scheme FROM (SELECT year(o_orderdate) AS year, o_orderpriority AS p, count(DISTINCT o_custkey) AS c, count(DISTINCT o_orderstatus) AS f FROM orders GROUP BY ALL) GROUP BY year"),
     "resume_anti": (resume_anti, "SELECT c_custkey AS k, y AS year FROM customer, range(1994, 1997) r(y) WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND year(o_orderdate) = y AND o_orderstatus = 'F')"),
     "pareto_front": (pareto_front, "SELECT p_brand, p_partkey FROM part p WHERE NOT EXISTS (SELECT 1 FROM part q WHERE q.p_brand = p.p_brand AND q.p_retailprice <= p.p_retailprice AND q.p_size <= p.p_size AND (q.p_retailprice < p.p_retailprice OR q.p_size < p.p_size))"),
     "rank_ties": (rank_ties, "SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_size, p_retailprice, p_partkey) AS rank FROM part"),

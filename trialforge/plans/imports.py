@@ -84,6 +84,13 @@ def own_responses(spark, d):
     return x.join(rec.valid_fractions(auto), "trial_id", "left").select("trial_id", "n", "n_valid", "first_s", r6(F.coalesce("autoresponse_valid_fraction", F.lit(-1.0))).alias("fraction"))
 
 
+def task_traces(spark, d):
+    text, sources, times = _parts(spark, d)
+    seen, tried = rec.observations(text, text, text, sources, times), _tried(spark, d)
+    x = rec.task_traces(tried, rec.valid_fractions(rec.autoresponses(tried, seen)), _rois(spark, d), seen)
+    return x.select("trial_id", "roi_index", F.coalesce("target", F.lit("-")).alias("target"), "responder")
+
+
 _S = """s AS (SELECT user_id AS u, 'randi2023:pumpprobe_20200101_' || lpad(CAST(user_id AS VARCHAR), 6, '0') AS rid, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame, event_id AS e, event_type, value AS v FROM events)"""
 _N = """n0 AS (SELECT rid, i, CASE (u + i) % 5 WHEN 0 THEN 'AVAL' WHEN 1 THEN 'RIG' WHEN 2 THEN '' WHEN 3 THEN CASE WHEN u % 2 = 0 THEN 'RIG' ELSE '41' END ELSE 'smthng else' END AS l FROM (SELECT DISTINCT u, rid FROM s), range(3) r(i)),
 n1 AS (SELECT *, CASE l WHEN '' THEN 'blank' WHEN '41' THEN 'numeric' WHEN 'smthng else' THEN 'other' ELSE 'name' END AS st, l <> '' AND count(*) OVER (PARTITION BY rid, l) > 1 AS dup FROM n0),
@@ -103,6 +110,9 @@ QUERIES = {
     "imported_trials": (imported_trials, f"""WITH {_S}, {_N}, {_T} SELECT tid AS trial_id, replace(rid, ':', ':animal:') AS animal_id, place2 AS event_index_in_file, rank AS stim_index_in_recording, f AS stim_frame, coalesce(CAST(nxt AS VARCHAR), '-') AS next_stim_frame, f * 0.5::DOUBLE AS stimulus_start_s, code AS target_code, x AS target_code_exported,
  CASE WHEN c >= 0 THEN CAST(c AS VARCHAR) ELSE '-' END AS target_roi_index, coalesce(tl, '-') AS target_label, CASE WHEN c >= 0 THEN coalesce(nid, '-') ELSE '-' END AS target_neuron_id, coalesce(ptid, '-') AS previous_trial_id, coalesce(ptl, '-') AS previous_target_label, coalesce((f - prv) * 0.5::DOUBLE, -1.0) AS time_since_previous_s,
  concat_ws(',', CASE WHEN c < 0 THEN 'target_' || code END, CASE WHEN same > 1 THEN 'duplicate_stim_frame' END, CASE WHEN rank <> place2 THEN 'file_order_differs_from_time_order' END, CASE WHEN rec THEN 'target_code_reconciled_from_manual_file' END, CASE WHEN sup THEN 'manual_target_superseded_by_export' END, CASE WHEN u % 3 = 0 THEN 'acquisition_metadata_unjoined' END) AS flags FROM t"""),
+    "task_traces": (task_traces, f"""WITH {_S}, {_N}, {_T}, a AS (SELECT tid FROM t JOIN s ON s.rid = t.rid AND s.frame >= f AND s.frame < coalesce(nxt, nf) WHERE c >= 0 GROUP BY tid HAVING avg(CASE WHEN s.e % 7 <> 0 THEN 1.0 ELSE 0.0 END::DOUBLE) >= 0.8)
+SELECT DISTINCT tid AS trial_id, n.i AS roi_index, coalesce(tl, '-') AS target, n.nid AS responder FROM t JOIN a USING (tid) JOIN n ON n.rid = t.rid AND n.nid IS NOT NULL AND n.i <> c AND n.nid IS DISTINCT FROM tl
+JOIN s ON s.rid = t.rid AND s.frame >= f AND s.frame < least(f + 60, coalesce(nxt, nf)) AND s.e % 7 <> 0 WHERE c >= 0"""),
     "own_responses": (own_responses, f"""WITH {_S}, {_N}, {_T}, a AS (SELECT tid, t.f, s.frame, s.e % 7 <> 0 AS ok FROM t JOIN s ON s.rid = t.rid AND s.frame >= coalesce(prv, 0) AND s.frame < coalesce(nxt, nf) WHERE c >= 0)
 SELECT tid AS trial_id, count(*) AS n, count(*) FILTER (WHERE ok) AS n_valid, min((frame - f) * 0.5::DOUBLE) AS first_s, round(coalesce(avg(CASE WHEN ok THEN 1.0 ELSE 0.0 END::DOUBLE) FILTER (WHERE frame >= f), -1), 6) AS fraction FROM a GROUP BY tid"""),
 }
