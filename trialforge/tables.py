@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -66,6 +67,13 @@ def settle(df: DataFrame, n: int) -> DataFrame:
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of steps that are done and that nothing refers to: it does so when the driver's
+    garbage is collected, which may else come late. Between two large steps of one job."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 @atexit.register
 def _at_end() -> None:
     try:
