@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import mark, scratch, settle, table
+from ..tables import mark, release, scratch, settle
+from .common import table
 
 END = b"\n"  # the end token: no word can be this
 
@@ -285,11 +286,12 @@ def train(docs: DataFrame, s: Settings = Settings()) -> Model:
     keys, state_counts = rows["k"].to_numpy()[order], rows["n"].to_numpy()[order]
     some = counts.filter(F.col("n") >= s.least)  # no pair is more frequent than its tokens
     shared = spark.sparkContext.broadcast((keys, state_counts, bit_map(some)))
+    counted = mark()
     pairs = scratch(_sums(docs, lambda: Pairs(shared.value[0], shared.value[2]), ("k", "a")).filter(F.col("n") >= s.least))
     turned = F.expr("shiftleft(a, 1) | shiftrightunsigned(a, 63)")
     far = pairs.filter("a <> 0").select("a", turned.bitwiseXOR(F.col("k")).alias("b"), "n")
     far = far.join(some.select(F.col("k").alias("b"), F.col("n").alias("cb")), "b").join(some.select(F.col("k").alias("a"), F.col("n").alias("ca")), "a")
-    pairs = scratch(_near(pairs.filter("a = 0"), shared).union(far.select("a", "b", "n", "ca", "cb")))
+    pairs = settle(_near(pairs.filter("a = 0"), shared).union(far.select("a", "b", "n", "ca", "cb")), counted)
     used = (F.sum("n") - F.count("*") * s.discount) / F.first("ca")
     cover = (F.sum("cb") + F.count("*") * 0.5) / F.lit(unit)
     left = F.log10(F.greatest(1 - used, F.lit(1e-9)) / F.greatest(1 - cover, F.lit(1e-9)))
@@ -365,5 +367,6 @@ def held_out(doc_id: Column) -> Column:
 def op7_lm_backoff(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = train(docs.filter(~held_out(F.col("doc_id"))))
+    release(spark)
     found = score(docs, model)
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
