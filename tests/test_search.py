@@ -50,9 +50,15 @@ def test_enumeration_is_complete(spark):
 
 
 def test_enumeration_limits():
-    for bad in ({"max_nodes": 13}, {"max_registers": 4}, {"tier": "G9"}, {"ops": ["divide"]}, {"gap_variants": ["scaled"]}):
+    bad = [
+        {"max_nodes": 13}, {"max_nodes": 0}, {"max_depth": 0}, {"max_registers": 4}, {"max_parameters": -1}, {"tier": "G9"}, {"ops": ["divide"]}, {"ops": ["lut"]}, {"tier": "G0", "ops": ["tanh"]}, {"tier": "G0", "ops": ["param"], "gap_variants": ["none"]},
+        {"gap_variants": ["scaled"]}, {"gap_variants": []}, {"gap_variants": ["unit", "unit"]}, {"gap_variants": ["half"]}, {"gap_scale": {"unit": "s", "lower": 0, "upper": 1, "bits": 4}}, {"gap_scale": {"unit": "1", "lower": 2, "upper": 1, "bits": 4}},
+        {"sum_in_selects": ["some"]}, {"lut": {"sizes": [9], "values": [0]}}, {"lut": {"sizes": [2], "values": []}}, {"parameters": [{"unit": "s"}]}, {"delays": [0.5]}, {"constants": ["x"]}, {"tier": "G0", "ops": ["add"], "gap_variants": ["unit"]},
+    ]
+    for change in bad:
         with pytest.raises(RuleError):
-            en.validate(TINY | bad)
+            en.validate(TINY | change)
+    assert not en.faults(TINY) and not en.faults(G0) and not en.faults(G1) and len(en.faults({"max_nodes": 99, "tier": "x", "ops": ["q"]})) == 3
 
 
 def test_gates_and_kernels():
@@ -214,6 +220,6 @@ def test_numbered_trees():
     for nodes in range(1, 6):
         want = every(nodes, 3)
         assert [t.text(nodes, 3, i) for i in range(t.count(nodes, 3))] == want
-    space = en.Space(c)
+    space = en.Space(c | {"ops": [o for o in c["ops"] if o != "lut"]})
     texts = [space[i] for i in range(0, len(space), 97)]
     assert len(set(texts)) == len(texts) and all(x.startswith("wrl 0.1") for x in texts)

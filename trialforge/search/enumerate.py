@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..rules import RuleError, compile_rule
+from ..rules.compiler import OPERATORS, TIERS
 from ..rules.program import N_ARY
 from ..rules.units import number_text
 from ..session import ship
@@ -23,18 +24,50 @@ INNER = ("neg", "abs", "relu", "tanh", "sigmoid", "add", "mul", "min", "max", "t
 UNARY, TERNARY = ("neg", "abs", "relu", "tanh", "sigmoid"), ("clamp", "select")
 
 
+#: Ranges of the budget's numbers, and what lists may hold.
+RANGES = {"max_nodes": (1, 12), "max_depth": (1, None), "max_registers": (1, 3), "max_parameters": (0, None)}
+LEAVES, SELECTORS, GAPS = ("const", "param", "stimulus", "sum_in", "count_in", "delay", "type_mask"), ("exc", "inh", "all", "mod"), ("none", "unit", "scaled")
+
+
+def faults(c: dict) -> list[str]:
+    """What is wrong with a budget, in words; nothing if it can be enumerated."""
+    out = []
+
+    def expect(good: bool, message: str) -> None:
+        if not good:
+            out.append(message)
+
+    for key, (lo, hi) in RANGES.items():
+        n = c.get(key, lo)
+        expect(isinstance(n, int) and n >= lo and (hi is None or n <= hi), f"{key} must be at least {lo}" + (f" and at most {hi}" if hi else ""))
+    tier, ops = c.get("tier"), list(c.get("ops", []))
+    expect(tier in TIERS, f"unknown tier {tier}")
+    strange = sorted(set(ops) - set(INNER) - set(LEAVES))
+    expect(not strange, f"unknown operators {strange}")
+    foreign = sorted(o for o in ops if tier in TIERS and o in OPERATORS and o not in TIERS[tier])
+    expect(not foreign, f"operators {foreign} are not in tier {tier}")
+    expect(not (tier == "G0" and "param" in ops), "G0 has no parameters")
+    expect(set(c.get("sum_in_selects", [])) <= set(SELECTORS), "unknown selector of sum_in")
+    for key in ("constants", "tau_constants"):
+        expect(all(isinstance(x, (int, float)) for x in c.get(key, [])), f"{key} must be numbers")
+    for key in ("count_values", "delays"):
+        expect(all(isinstance(x, int) for x in c.get(key, [])), f"{key} must be whole numbers")
+    if "lut" in c:
+        expect(all(1 <= n <= 8 for n in c["lut"].get("sizes", [])), "sizes of tables must be from 1 to 8")
+        expect(1 <= len(c["lut"].get("values", [])) <= 4, "tables must be made of 1 to 4 values")
+    expect(all({"unit", "lower", "upper", "bits"} <= set(p) for p in c.get("parameters", [])), "a parameter needs unit, lower, upper and bits")
+    gaps, scale = c.get("gap_variants", ["none"]), c.get("gap_scale")
+    expect(0 < len(gaps) == len(set(gaps)) and set(gaps) <= set(GAPS), f"gap variants must be different ones of {GAPS}")
+    expect(set(gaps) <= {"none"} or tier == "G1", "gap variants need tier G1")
+    expect("scaled" not in gaps or scale is not None, "the variant scaled needs gap_scale")
+    expect(scale is None or scale.get("unit") == "1" and 0 <= scale.get("lower", -1) < scale.get("upper", -1), "gap_scale must have unit 1 and 0 <= lower < upper")
+    return out
+
+
 def validate(c: dict) -> None:
-    """The budget's own limits."""
-    for key, lo, hi in (("max_nodes", 1, 12), ("max_registers", 1, 3), ("max_depth", 1, 12)):
-        if not lo <= c.get(key, lo) <= hi:
-            raise RuleError("E_INPUT", f"{key} must be from {lo} to {hi}")
-    if c["tier"] not in ("G0", "G1"):
-        raise RuleError("E_INPUT", f"unknown tier {c['tier']}")
-    unknown = set(c["ops"]) - set(INNER) - {"const", "param", "stimulus", "sum_in", "count_in", "delay", "type_mask"}
-    if unknown:
-        raise RuleError("E_INPUT", f"unknown operators {sorted(unknown)}")
-    if set(c.get("gap_variants", ["none"])) - {"none", "unit", "scaled"} or "scaled" in c.get("gap_variants", []) and "gap_scale" not in c:
-        raise RuleError("E_INPUT", "bad gap variants")
+    """Raise where a budget has faults."""
+    if bad := faults(c):
+        raise RuleError("E_INPUT", "; ".join(bad))
 
 
 def _leaves(c: dict, registers: int) -> list[str]:
