@@ -27,9 +27,9 @@ from .suffixes import common_prefix_reaches, suffix_array
 #: Of an anchor's hash, so many low bits give way to its place, which settles ties.
 PLACE_BITS = 20
 #: Strings of one text that are looked at in one go; the text beyond needs no more memory than itself.
-STRIDE = 1 << 19
+STRIDE = 1 << 18
 #: Bytes that are sorted in one go, and contexts of one anchor beyond which they are told apart by longer grams.
-CHUNK, MOST = 1_000_000, 2_000
+CHUNK, MOST = 500_000, 2_000
 _BASE = 0x9E3779B97F4A7C15
 
 

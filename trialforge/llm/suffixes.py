@@ -62,7 +62,7 @@ def sort_smaller(t: np.ndarray, smaller: np.ndarray, depth: int) -> np.ndarray:
         after[:-pieces] = rank[pieces:]
         rank, n = _ranked(rank * np.int64(len(b) + 1) + after + 1)
         pieces *= 2
-    return b[np.argsort(rank)]
+    return b[np.argsort(rank, kind="stable")]  # ties by place, so that equal stretches keep their order from place to place
 
 
 def suffix_array(data: bytes | np.ndarray, depth: int) -> np.ndarray:
@@ -98,25 +98,36 @@ def suffix_array(data: bytes | np.ndarray, depth: int) -> np.ndarray:
     return np.concatenate(out)[1:]  # without the end mark
 
 
-def common_prefix_reaches(data: np.ndarray, left: np.ndarray, right: np.ndarray, depth: int) -> np.ndarray:
+def common_prefix_reaches(data: np.ndarray, left: np.ndarray, right: np.ndarray, depth: int, block: int = 1 << 20) -> np.ndarray:
     """For pairs of places of data with depth bytes behind each: whether their suffixes share the first depth bytes.
 
-    Pairs that lie next to each other on both sides are compared in one go, so a shared run is read once.
+    A few bytes rule most others out. Pairs that lie next to each other on both sides are then compared in one go, so a
+    shared run is read once, about block bytes at a time.
     """
-    if not len(left):
-        return np.zeros(0, dtype=bool)
-    order = np.argsort(left, kind="stable")
-    a, b = left[order], right[order]
+    left, right = left.astype(np.int64), right.astype(np.int64)
+    alive = np.arange(len(left))
+    for at in sorted({(depth - 1) * i // 16 for i in range(17)}, reverse=True):
+        alive = alive[data[left[alive] + at] == data[right[alive] + at]]
+    found = np.zeros(len(left), dtype=bool)
+    if not len(alive):
+        return found
+    alive = alive[np.argsort(left[alive], kind="stable")]
+    a, b = left[alive], right[alive]
     first = np.ones(len(a), dtype=bool)
     first[1:] = (a[1:] != a[:-1] + 1) | (b[1:] != b[:-1] + 1)
     starts = np.flatnonzero(first)
     sizes = np.diff(starts, append=len(a)) + depth - 1  # bytes of each run of pairs
-    base = np.cumsum(sizes) - sizes
-    inner = np.arange(int(sizes.sum())) - np.repeat(base, sizes)
-    differ = data[np.repeat(a[starts], sizes) + inner] != data[np.repeat(b[starts], sizes) + inner]
-    total = np.concatenate([[0], np.cumsum(differ)])
-    run = np.cumsum(first) - 1
-    at = base[run] + a - a[starts][run]
-    found = np.empty(len(a), dtype=bool)
-    found[order] = total[at + depth] == total[at]
+    cuts = np.searchsorted(np.cumsum(sizes), np.arange(block, int(sizes.sum()) + block, block)) + 1
+    for i, j in zip([0, *cuts[:-1].tolist()], cuts.tolist()):
+        part, size = starts[i:j], sizes[i:j]
+        if not len(part):
+            continue
+        base = np.cumsum(size) - size
+        inner = np.arange(int(size.sum())) - np.repeat(base, size)
+        differ = data[np.repeat(a[part], size) + inner] != data[np.repeat(b[part], size) + inner]
+        total = np.concatenate([[0], np.cumsum(differ)])
+        pairs = np.arange(part[0], starts[j] if j < len(starts) else len(a))
+        run = np.searchsorted(part, pairs, side="right") - 1
+        at = base[run] + a[pairs] - a[part][run]
+        found[alive[pairs]] = total[at + depth] == total[at]
     return found
