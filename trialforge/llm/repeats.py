@@ -184,7 +184,7 @@ def _told_apart(contexts: DataFrame, width: int, most: int) -> tuple[DataFrame,
         cut = F.substring("bytes", F.col("i").cast("int") + 1, (F.col("j") - F.col("i")).cast("int") + width)
         rows = rows.select(F.xxhash64("g", "half", core).alias("g"), F.xxhash64(F.lit(1), cut).alias("c"), "n", (F.col("at") - F.col("i")).alias("at"), cut.alias("bytes"), "og", "oc", (F.col("base") + F.col("i")).alias("base"), F.col("half.low").alias("low"), F.col("half.high").alias("high"))
         rows = scratch(rows)
-        again = rows.groupBy("g").agg(F.sum("n").alias("all")).filter(F.col("all") > 1).select("g")
+        again = scratch(rows.groupBy("g").agg(F.sum("n").alias("all")).filter(F.col("all") > 1).select("g"))
         hot = scratch(rows.join(again, "g"))
     parts = scratch(parts)
     once = parts.groupBy("g", "c").agg(F.sum("n").alias("n"), F.first("at").alias("at"), F.first("bytes").alias("bytes"))
@@ -254,7 +254,7 @@ def repeated_passages(docs: DataFrame, width: int = 400, most: int = MOST) -> Da
     texts = distinct_texts(docs, width)
     found = scratch(occurrences(texts, width))
     release(spark)
-    again = found.groupBy("g").agg(F.sum("copies").alias("all")).filter(F.col("all") > 1).select("g")
+    again = scratch(found.groupBy("g").agg(F.sum("copies").alias("all")).filter(F.col("all") > 1).select("g"))  # written: a join can split its hot keys then
     shared = scratch(found.join(again, "g"))
     wanted = shared.groupBy("g", "c").agg(F.sum("copies").alias("n"), F.min(F.struct("key", "first", "last", "at")).alias("one")).select("g", "c", "n", "one.*")
     contexts = scratch(_contents(wanted, texts, width))
