@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scan import scan
 from .windows import previous_valid
 
 LEAST_VAR = 1e-12
@@ -19,11 +20,12 @@ def sigma(a: float, b: float, s: Column) -> Column:
 
 
 def ar1_nll(rows: DataFrame, keys: list[str], order: list[str], value: str, valid: str, sd: Column, phi: float, nu: float | None = None) -> DataFrame:
-    """keys, n, nll: exact negative log likelihood of the valid samples of a stationary AR(1), gaps bridged by phi^gap.
+    """keys, n, nll: exact negative log likelihood of the valid samples of a stationary AR(1), gaps bridged by phi^gap. A key has the
+    few rows of a trace.
 
     nu: Student-t innovations of that many degrees of freedom with the same scale, else Gaussian.
     """
-    out = previous_valid(rows, keys, order, value, valid).filter(F.col(valid)).withColumn("sd", sd)
+    out = previous_valid(rows, keys, order, value, valid, short=True).filter(F.col(valid)).withColumn("sd", sd)
     rho = F.when(F.col("gap").isNull(), 0.0).otherwise(F.pow(F.lit(phi), F.col("gap")))
     var = F.greatest(1 - rho * rho, F.lit(LEAST_VAR)) * F.col("sd") * F.col("sd")
     e = F.col(value) - rho * F.coalesce("prev_value", F.lit(0.0))
@@ -37,8 +39,22 @@ def ar1_nll(rows: DataFrame, keys: list[str], order: list[str], value: str, vali
 
 def whiten(rows: DataFrame, keys: list[str], order: list[str], value: str, phi: float) -> DataFrame:
     """rows with z: the innovations of an AR(1) of unit variance, the first sample as it is."""
-    prev = F.lag(value).over(Window.partitionBy(*keys).orderBy(*order))
-    return rows.withColumn("z", F.when(prev.isNull(), F.col(value)).otherwise((F.col(value) - phi * prev) / math.sqrt(1 - phi * phi)))
+    out = scan(rows, keys, order, past={"__row": F.struct(F.col(value).alias("v"))})
+    prev = F.col("__row.v")
+    return out.withColumn("z", F.when(prev.isNull(), F.col(value)).otherwise((F.col(value) - phi * prev) / math.sqrt(1 - phi * phi))).drop("__row")
+
+
+def segment_autocorr(rows: DataFrame, by: list[str], segment: list[str], order: str, value: str, valid: str, least: int = 2, short: bool = False) -> DataFrame:
+    """by, segments, pairs, lag1: the lag-1 autocorrelation of segments of samples (their keys, beside by) that are valid
+    throughout and have least samples or more, each less its own mean: summed products of neighbours over summed squares.
+    short: segments are windows of few rows."""
+    keys = [*by, *segment]
+    whole = rows.groupBy(*keys).agg(F.count("*").alias("__n"), F.count_if(F.col(valid)).alias("__ok"), F.avg(value).alias("__m")).filter((F.col("__n") == F.col("__ok")) & (F.col("__n") >= least))
+    x = rows.join(whole, keys).withColumn("__c", F.col(value) - F.col("__m"))
+    x, row = x.select(*keys, order, "__c"), F.struct("__c")
+    x = x.withColumn("__row", F.lag(row).over(Window.partitionBy(*keys).orderBy(order))) if short else scan(x, keys, [order], past={"__row": row})
+    prev = F.col("__row.__c")
+    return x.groupBy(*by).agg(F.count_if(prev.isNull()).alias("segments"), F.count(prev).alias("pairs"), (F.sum(F.col("__c") * prev) / F.nullif(F.sum(F.col("__c") * F.col("__c")), F.lit(0.0))).alias("lag1"))
 
 
 def variance_components(rows: DataFrame, group: str, value: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scan import WHOLE, scan
+
 #: Volumes before and after a stimulus, masked offsets, and what a usable baseline needs.
 PRE, POST, MASKED, LEAST_BASE, LEAST_F0 = 10, 60, (-1, 0, 1), 4, 1e-6
 #: Offsets of the response and the share of them that must be valid.
@@ -75,29 +77,35 @@ def amplitude(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.when(F.count(x) >= LEAST_SHARE * (hi - lo + 1), F.avg(x)).alias("amplitude"), F.count(x).alias("n_response"))
 
 
-def previous_valid(rows: DataFrame, keys: list[str], order: list[str], value: str, valid: str) -> DataFrame:
-    """rows with prev_value and gap: the latest valid sample before each row, and how many rows ago it was."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    out = rows.withColumn("pos", F.row_number().over(w) - 1)
-    good = F.col(valid)
-    return out.withColumns({"prev_value": F.last(F.when(good, F.col(value)), True).over(before), "gap": F.col("pos") - F.last(F.when(good, F.col("pos")), True).over(before)})
+def previous_valid(rows: DataFrame, keys: list[str], order: list[str], value: str, valid: str, short: bool = False) -> DataFrame:
+    """rows with pos, prev_value and gap: the row's place, the latest valid sample before it, and how long ago that was: in
+    steps of the order where it is one whole number, as frames are, else in rows. short: a series is a trace of few rows,
+    for which one window does (and gap counts rows)."""
+    if short:
+        w = Window.partitionBy(*keys).orderBy(*order)
+        before = w.rowsBetween(Window.unboundedPreceding, -1)
+        out, good = rows.withColumn("pos", F.row_number().over(w) - 1), F.col(valid)
+        return out.withColumns({"prev_value": F.last(F.when(good, F.col(value)), True).over(before), "gap": F.col("pos") - F.last(F.when(good, F.col("pos")), True).over(before)})
+    out = scan(rows, keys, order, sums={"pos": F.lit(1).cast("long")}, past={"__good": F.when(F.col(valid), F.struct(F.col(value).alias("v"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)]))})
+    if len(order) == 1 and dict(rows.dtypes)[order[0]] in WHOLE:
+        return out.withColumns({"prev_value": F.col("__good.v"), "gap": F.col(order[0]) - F.col("__good.o0")}).drop("__good")
+    out = scan(out.drop("__good"), keys, order, past={"__good": F.when(F.col(valid), F.struct(F.col(value).alias("v"), F.col("pos").alias("at")))})
+    return out.withColumns({"prev_value": F.col("__good.v"), "gap": F.col("pos") - F.col("__good.at")}).drop("__good")
 
 
 def fill_down(rows: DataFrame, keys: list[str], order: list[str], value: Column) -> DataFrame:
     """rows with filled: value, or the last one above that isn't null; filled_from_above says which."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumns({"filled": F.last(value, True).over(w), "filled_from_above": value.isNull()})
+    out = scan(rows.withColumn("__own", value), keys, order, past={"__above": F.col("__own")})
+    return out.withColumns({"filled": F.coalesce("__own", "__above"), "filled_from_above": F.col("__own").isNull()}).drop("__own", "__above")
 
 
 def interpolate(rows: DataFrame, keys: list[str], order: str, value: str, valid: str) -> DataFrame:
     """rows with interp: linear between valid neighbours in order, the nearest valid value at the ends."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    v, p = F.when(F.col(valid), F.col(value)), F.when(F.col(valid), F.col(order))
-    out = rows.withColumns({"v0": F.last(v, True).over(back), "p0": F.last(p, True).over(back), "v1": F.first(v, True).over(ahead), "p1": F.first(p, True).over(ahead)})
-    line = F.col("v0") + (F.col("v1") - F.col("v0")) * (F.col(order) - F.col("p0")) / F.nullif(F.col("p1") - F.col("p0"), F.lit(0))
-    return out.withColumn("interp", F.coalesce(line, "v0", "v1")).drop("v0", "v1", "p0", "p1")
+    good = F.when(F.col(valid), F.struct(F.col(value).cast("double").alias("v"), F.col(order).alias("p")))
+    out = scan(rows.withColumn("__own", good), keys, [order], past={"__a": F.col("__own")}, future={"__b": F.col("__own")})
+    at = lambda side, f: F.coalesce(F.col("__own")[f], F.col(side)[f])
+    line = at("__a", "v") + (at("__b", "v") - at("__a", "v")) * (F.col(order) - at("__a", "p")) / F.nullif(at("__b", "p") - at("__a", "p"), F.lit(0))
+    return out.withColumn("interp", F.coalesce(line, at("__a", "v"), at("__b", "v"))).drop("__own", "__a", "__b")
 
 
 def peak_shape(rows: DataFrame, keys: list[str], offset: str, value: str, search: int = 20) -> DataFrame:

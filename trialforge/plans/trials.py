@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import tables
-from ..operators import scoring, windows
+from ..operators import scan, scoring, windows
 from .base import r6, read, samples, series, trials, with_series
 
 TRACE = ["recording_id", "trial_id", "event_index"]
@@ -170,6 +170,9 @@ def convolve_basis(spark, d):
     return windows.convolve(u, ["recording_id"], "frame", "u", basis, 60).select("recording_id", "frame", "k", r6("x").alias("x"))
 
 
+_RUNS = """, marks AS (SELECT *, CASE WHEN valid AND NOT coalesce(lag(valid) OVER w, false) THEN 1 ELSE 0 END AS new FROM series WINDOW w AS (PARTITION BY recording_id ORDER BY frame)),
+runs AS (SELECT recording_id, frame, value, run FROM (SELECT *, sum(new) OVER (PARTITION BY recording_id ORDER BY frame) AS run FROM marks) WHERE valid)
+"""
 _TENTS = ", tents(lag, k, weight) AS (VALUES " + ", ".join(f"({a}, {k}, {w!r}::DOUBLE)" for a, k, w in windows.tents(KNOTS, 60)) + ")\n"
 
 
@@ -187,10 +190,25 @@ def interval_coverage(spark, d):
 
 
 def segment_autocorr(spark, d):
-    w = Window.partitionBy("recording_id")
-    x = series(spark, d).withColumn("c", F.col("value") - F.avg("value").over(w))
-    x = x.withColumn("p", F.lag("c").over(w.orderBy("frame")))
-    return x.agg(F.count("p").alias("n"), r6(F.sum(F.col("c") * F.col("p")) / F.sum(F.when(F.col("p").isNotNull(), F.col("c") * F.col("c")))).alias("lag1"))
+    """Of windows of a trial before the stimulus that are valid throughout, by recording."""
+    x = _aligned(spark, d).filter("offset between -10 and -2").withColumn("full", F.col("valid") & F.col("value").isNotNull())
+    x = x.join(x.groupBy("trial_id").count().filter("count = 9").select("trial_id"), "trial_id")
+    return scoring.segment_autocorr(x, ["recording_id"], ["trial_id"], "frame", "value", "full", short=True).select("recording_id", "segments", "pairs", r6("lag1").alias("lag1"))
+
+
+def run_autocorr(spark, d):
+    """Of runs of at least three consecutive valid samples, by recording; runs may be of any length."""
+    x = scan.runs(series(spark, d), ["recording_id"], "frame", F.col("valid")).filter("run is not null")
+    return scoring.segment_autocorr(x, ["recording_id"], ["run"], "frame", "value", "valid", 3).select("recording_id", "segments", "pairs", r6("lag1").alias("lag1"))
+
+
+def valid_runs(spark, d):
+    x = scan.runs(series(spark, d), ["recording_id"], "frame", F.col("valid")).filter("run is not null")
+    return x.groupBy("recording_id", "run").agg(F.min("frame").alias("first"), F.count("*").alias("n"), r6(F.avg("value")).alias("mean"))
+
+
+def leaky_filter(spark, d):
+    return scan.leaky(series(spark, d), ["recording_id"], ["frame"], "value", 5.0).select("recording_id", "frame", r6("filtered").alias("filtered"))
 
 
 def tail_diagnostics(spark, d):
@@ -303,7 +321,10 @@ SELECT l.trial_id, round(peak, 6) AS peak, latency, min(o) FILTER (WHERE o <= la
     "convolve_basis": (convolve_basis, with_series(_TENTS + ", c AS (SELECT u.recording_id, u.frame + t.lag AS frame, t.k, sum(t.weight) AS x FROM series u CROSS JOIN tents t WHERE u.event_type = 'error' GROUP BY ALL) SELECT s.recording_id, s.frame, CAST(k.k AS BIGINT) AS k, round(coalesce(c.x, 0.0), 6) AS x FROM series s CROSS JOIN (SELECT DISTINCT k FROM tents) k LEFT JOIN c ON c.recording_id = s.recording_id AND c.frame = s.frame AND c.k = k.k")),
     "autoresponse_frames": (autoresponse_frames, with_series("SELECT t.trial_id, count(*) AS n, min(frame) AS first, max(frame) AS last, round(avg(value) FILTER (WHERE valid), 6) AS mean FROM trials t JOIN series s ON s.recording_id = t.recording_id AND frame >= previous_stim_frame AND frame < next_stim_frame GROUP BY t.trial_id")),
     "interval_coverage": (interval_coverage, with_series(", m AS (SELECT recording_id, avg(value) AS m, stddev_samp(value) AS s FROM series GROUP BY recording_id) SELECT recording_id, count(*) AS n, " + ", ".join(f"round(avg(CASE WHEN abs((value - m) / s) <= {q!r} THEN 1.0 ELSE 0.0 END::DOUBLE), 6) AS {k}" for k, q in LEVELS.items()) + " FROM series JOIN m USING (recording_id) WHERE s > 0 GROUP BY recording_id")),
-    "segment_autocorr": (segment_autocorr, with_series(", c AS (SELECT *, value - avg(value) OVER (PARTITION BY recording_id) AS c FROM series), p AS (SELECT c, lag(c) OVER (PARTITION BY recording_id ORDER BY frame) AS p FROM c) SELECT count(p) AS n, round(sum(c * p) / sum(c * c) FILTER (WHERE p IS NOT NULL), 6) AS lag1 FROM p")),
+    "segment_autocorr": (segment_autocorr, with_series(", seg AS (SELECT recording_id, trial_id, avg(value) AS m FROM win WHERE o BETWEEN -10 AND -2 GROUP BY ALL HAVING count(*) = 9 AND count(*) FILTER (WHERE valid) = 9), c AS (SELECT recording_id, trial_id, o, value - m AS c FROM win JOIN seg USING (recording_id, trial_id) WHERE o BETWEEN -10 AND -2), p AS (SELECT *, lag(c) OVER (PARTITION BY trial_id ORDER BY o) AS p FROM c) SELECT recording_id, count(*) FILTER (WHERE p IS NULL) AS segments, count(p) AS pairs, round(sum(c * p) / nullif(sum(c * c), 0.0), 6) AS lag1 FROM p GROUP BY recording_id")),
+    "run_autocorr": (run_autocorr, with_series(_RUNS + ", m AS (SELECT recording_id, run, avg(value) AS m FROM runs GROUP BY ALL HAVING count(*) >= 3), c AS (SELECT recording_id, run, frame, value - m AS c FROM runs JOIN m USING (recording_id, run)), p AS (SELECT *, lag(c) OVER (PARTITION BY recording_id, run ORDER BY frame) AS p FROM c) SELECT recording_id, count(*) FILTER (WHERE p IS NULL) AS segments, count(p) AS pairs, round(sum(c * p) / nullif(sum(c * c), 0.0), 6) AS lag1 FROM p GROUP BY recording_id")),
+    "valid_runs": (valid_runs, with_series(_RUNS + "SELECT recording_id, CAST(run AS BIGINT) AS run, min(frame) AS first, count(*) AS n, round(avg(value), 6) AS mean FROM runs GROUP BY ALL")),
+    "leaky_filter": (leaky_filter, with_series(", lags AS (SELECT recording_id, frame + k AS frame, value * exp(-k / 5.0) * CASE WHEN frame = 0 THEN 1.0 ELSE 1 - exp(-0.2) END AS x FROM series CROSS JOIN generate_series(0, 200) g(k)) SELECT s.recording_id, s.frame, round(sum(x), 6) AS filtered FROM series s JOIN lags USING (recording_id, frame) GROUP BY ALL")),
     "tail_diagnostics": (tail_diagnostics, with_series(", m AS (SELECT recording_id, avg(value) AS m, stddev_pop(value) AS s FROM series GROUP BY recording_id), z AS (SELECT frame, (value - m) / s AS z FROM series JOIN m USING (recording_id) WHERE s > 0) SELECT frame // 20 AS time_bin, count(*) AS n, count(*) FILTER (WHERE abs(z) > 2) AS big, round(avg(pow(z, 4.0)) / pow(avg(pow(z, 2.0)), 2.0) - 3, 6) AS kurtosis FROM z GROUP BY 1")),
     "top_share": (top_share, with_series(", r AS (SELECT event_type, value * value AS q, percent_rank() OVER (PARTITION BY event_type ORDER BY value DESC) AS r FROM series) SELECT event_type, count(*) FILTER (WHERE r <= 0.01) AS n_top, round(sum(CASE WHEN r <= 0.01 THEN q ELSE 0.0 END) / sum(q), 6) AS share FROM r GROUP BY event_type")),
     "trial_means": (trial_means, with_series("SELECT recording_id, count(DISTINCT trial_id) AS trials, round(avg(abs(value)), 9) AS mean_abs, round(avg(ln(f0)), 6) AS mean_log_f0 FROM win JOIN base USING (trial_id) WHERE f0 IS NOT NULL GROUP BY recording_id")),
