@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import tables
 from ..body import swimmer
-from ..models import benchmark, kernels, network, noise
+from ..models import benchmark, elimination, kernels, network, noise
 from ..models.fit import Problem, fit_program, gaussian_loss
 from ..operators import splits
 from ..rules import compile_rule
@@ -140,10 +140,29 @@ def kernel_moments(spark, d):
     return x.select("animal", "pair", F.floor(F.col("at") / 4).alias("i"), (F.col("at") % 4).alias("j"), F.round("value", 5).alias("value"), "n")
 
 
+def _animal_folds(m):
+    return tables.scratch(splits.nested(m.select("animal").distinct(), "animal", 3, 3, 5))
+
+
+def fold_moments(spark, d):
+    """Moments of each pair's training animals, per outer fold and inner split (-1: all of them), as rows (i, j)."""
+    m = tables.scratch(_moments(spark, d))
+    x = elimination.split_moments(m, _animal_folds(m), ["pair"]).select("outer", "split", "pair", "n", F.posexplode("stat").alias("at", "value"))
+    return x.select("outer", "split", "pair", F.floor(F.col("at") / 4).alias("i"), (F.col("at") % 4).alias("j"), F.round("value", 5).alias("value"), "n")
+
+
+def independent_kernels(spark, d):
+    """Each pair's kernel of two weights and the weight that all pairs share, for every split and ridge."""
+    m = tables.scratch(_moments(spark, d))
+    sums = tables.scratch(elimination.split_moments(m, _animal_folds(m), ["pair"]))
+    own = elimination.independent(sums, ["pair"], 2, 1, (0.01, 1.0, 100.0))[1]
+    return own.select("outer", "split", "ridge", "pair", *[F.round(F.col("c")[i], 6).alias(f"c{i}") for i in range(2)], F.round(F.col("b")[0], 6).alias("b"))
+
+
 def kernel_folds(spark, d):
     """Nested choice of ridge by likelihood, and each animal's held-out likelihood, per outer fold and family."""
-    m = _moments(spark, d)
-    folds = tables.scratch(splits.nested(m.select("animal").distinct(), "animal", 3, 3, 5))
+    m = tables.scratch(_moments(spark, d))
+    folds = _animal_folds(m)
     x = _dff(spark, d).filter("offset >= 2 and dff_valid").select("trial_id", "recording_id", "event_index", "offset", "dff")
     by = x.groupBy("trial_id", "recording_id", "event_index").agg(F.map_from_entries(F.collect_list(F.struct("offset", "dff"))).alias("at"))  # 58 samples at most
     each = lambda f: F.transform(F.sequence(F.lit(2), F.lit(59)), f)
@@ -269,4 +288,20 @@ QUERIES = {f.__name__: (f, None) for f in (
 )}
 QUERIES["kernel_moments"] = (kernel_moments, with_series(""", x AS (SELECT 'a' || (recording_id % 12) AS animal, 'p' || (event_index % 3) AS pair, [exp(-o / 5.0::DOUBLE), exp(-o / 20.0::DOUBLE), 1.0::DOUBLE, dff] AS a FROM dff WHERE o >= 2 AND ok)
 SELECT animal, pair, i, j, round(sum(a[i + 1] * a[j + 1]), 5) AS value, count(*) AS n FROM x, range(4) r(i), range(4) c(j) GROUP BY ALL"""))
+_SPLIT_SUMS = """, x AS (SELECT 'a' || (recording_id % 12) AS animal, 'p' || (event_index % 3) AS pair, [exp(-o / 5.0::DOUBLE), exp(-o / 20.0::DOUBLE), 1.0::DOUBLE, dff] AS a FROM dff WHERE o >= 2 AND ok),
+f AS (SELECT animal, (row_number() OVER (ORDER BY sha256('5:outer:' || animal)) - 1) % 3 AS fold FROM (SELECT DISTINCT animal FROM x)),
+t AS (SELECT o.fold AS "outer", f.animal FROM f JOIN (SELECT DISTINCT fold FROM f) o ON o.fold <> f.fold),
+i AS (SELECT "outer", animal, (row_number() OVER (PARTITION BY "outer" ORDER BY sha256('5:inner' || "outer" || ':' || animal)) - 1) % 3 AS "inner" FROM t),
+parts AS (SELECT i."outer", s.split, i.animal FROM i JOIN (SELECT DISTINCT "outer", "inner" AS split FROM i UNION ALL SELECT DISTINCT "outer", -1 FROM i) s ON s."outer" = i."outer" AND s.split <> i."inner"),
+sums AS (SELECT "outer", split, pair, i, j, sum(a[i + 1] * a[j + 1]) AS value, count(*) AS n FROM x JOIN parts USING (animal), range(4) r(i), range(4) c(j) GROUP BY ALL)
+"""
+QUERIES["fold_moments"] = (fold_moments, with_series(_SPLIT_SUMS + 'SELECT "outer", split, pair, i, j, round(value, 5) AS value, n FROM sums'))
+QUERIES["independent_kernels"] = (independent_kernels, with_series(_SPLIT_SUMS + """, w AS (SELECT "outer", split, pair, max(value) FILTER (WHERE i = 0 AND j = 0) AS g00, max(value) FILTER (WHERE i = 0 AND j = 1) AS g01, max(value) FILTER (WHERE i = 1 AND j = 1) AS g11,
+  max(value) FILTER (WHERE i = 0 AND j = 2) AS x0, max(value) FILTER (WHERE i = 1 AND j = 2) AS x1, max(value) FILTER (WHERE i = 0 AND j = 3) AS y0, max(value) FILTER (WHERE i = 1 AND j = 3) AS y1, max(value) FILTER (WHERE i = 2 AND j = 2) AS q, max(value) FILTER (WHERE i = 2 AND j = 3) AS u FROM sums GROUP BY ALL),
+l AS (SELECT *, median((g00 + g11) / 2) OVER (PARTITION BY "outer", split) AS unit FROM w),
+r AS (SELECT * REPLACE (g00 + ridge * unit + 1e-9 AS g00, g11 + ridge * unit + 1e-9 AS g11) FROM l CROSS JOIN (VALUES (0.01::DOUBLE), (1.0), (100.0)) v(ridge)),
+s AS (SELECT *, (g11 * x0 - g01 * x1) / (g00 * g11 - g01 * g01) AS ix0, (g00 * x1 - g01 * x0) / (g00 * g11 - g01 * g01) AS ix1, (g11 * y0 - g01 * y1) / (g00 * g11 - g01 * g01) AS iy0, (g00 * y1 - g01 * y0) / (g00 * g11 - g01 * g01) AS iy1 FROM r),
+z AS (SELECT *, sum(q - x0 * ix0 - x1 * ix1) OVER c AS a, sum(u - x0 * iy0 - x1 * iy1) OVER c AS h FROM s WINDOW c AS (PARTITION BY "outer", split, ridge)),
+b AS (SELECT *, h / (a + 1e-9 * (1 + a)) AS b FROM z)
+SELECT "outer", split, ridge, pair, round(iy0 - ix0 * b, 6) AS c0, round(iy1 - ix1 * b, 6) AS c1, round(b, 6) AS b FROM b"""))
 QUERIES["stream_windows"] = (stream_windows, "SELECT strftime(time_bucket(INTERVAL '1 hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
