@@ -14,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trialforge.schemas import TABLES, conform, schema
+from trialforge.sources import archive as archive_source
 from trialforge.sources import integrity, readers
 
 
@@ -60,6 +61,49 @@ def test_archives(spark, tmp_path):
         readers.read_archives(spark, str(tmp_path / "b.tgz")).collect()
 
 
+def test_archive_by_offsets(spark, tmp_path):
+    """Plain tars and zips are dealt out by bytes, several archives at once, and name their rows in the manifest."""
+    names = [f"r{i}/{n}.txt" for i in range(12) for n in "ab"]
+    with tarfile.open(tmp_path / "a.tar", "w") as t:
+        for n in names:
+            info = tarfile.TarInfo(n)
+            data = (n + "\n\nx\n").encode() * 3
+            info.size = len(data)
+            t.addfile(info, io.BytesIO(data))
+    with zipfile.ZipFile(tmp_path / "b.zip", "w") as z:
+        z.writestr("q/c.bin", b"\0\1")
+        z.writestr("q/d.csv", b"1,2\n3,4")
+    rows = archive_source.read_archives(spark, str(tmp_path / "*.*"), part_bytes=100)
+    assert rows.rdd.getNumPartitions() > 10
+    got = {(r["folder"], r["member"], r["rows"], r["bytes"]) for r in archive_source.member_manifest(rows).collect()}
+    assert got == {(*n.split("/"), 6, 3 * len(n) + 12) for n in names} | {("q", "c.bin", None, 2), ("q", "d.csv", 2, 7)}
+    uri = archive_source.read_archives(spark, f"file://{tmp_path}/a.tar", "r1/a")
+    assert {bytes(r["content"]) for r in uri.collect()} == {b"r1/a.txt\n\nx\n" * 3}
+    with pytest.raises(Exception, match="nothing.tar"):
+        archive_source.read_archives(spark, str(tmp_path / "nothing.tar")).collect()
+
+
+def test_archive_beyond_two_gib(spark, tmp_path):
+    """A sparse archive of 2.5 GiB, its large member skipped by a seek; that member itself is refused by name."""
+    path, size = tmp_path / "large.tar", 5 << 29
+    with open(path, "wb") as f:
+        for name, n in (("r1/raw.bin", size), ("r1/green.txt", 4), ("r2/green.txt", 6)):
+            info = tarfile.TarInfo(name)
+            info.size = n
+            f.write(info.tobuf(tarfile.GNU_FORMAT))
+            if n < 100:
+                f.write(b"1\n2\n3\n"[:n] + bytes(512 - n))
+            else:
+                f.seek(n, 1)
+        f.write(bytes(1024))
+    assert path.stat().st_size > 2**31
+    rows = archive_source.read_archives(spark, str(path), r"green\.txt$")
+    found = archive_source.member_manifest(rows).collect()
+    assert sorted((r["folder"], r["bytes"], r["rows"]) for r in found) == [("r1", 4, 2), ("r2", 6, 3)]
+    with pytest.raises(Exception, match="raw.bin"):
+        archive_source.read_archives(spark, str(path), "raw").select("bytes").collect()
+
+
 class Evil:
     def __reduce__(self):
         return os.system, ("true",)

@@ -5,8 +5,6 @@ from __future__ import annotations
 import ast
 import io
 import pickle
-import re
-import tarfile
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
@@ -15,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .archive import read_archives  # noqa: F401
+
 #: What a recording's files are called, and which of them it must have.
 SUFFIXES = ("gcamp", "t", "labels", "stim_neurons", "stim_volume_i", "ds_name")
 
@@ -53,34 +53,6 @@ def recordings(spark: SparkSession, folder: str) -> DataFrame:
     return by.withColumn("files", F.when(F.size(lacks) > 0, F.raise_error(F.concat(F.lit("recording lacks "), F.array_join(lacks, ", ")))).otherwise(F.col("files")))
 
 
-def read_archives(spark: SparkSession, path: str, wanted: str = ".*") -> DataFrame:
-    """archive, folder, member, content of the members whose names match, in one pass over each tar archive.
-
-    A folder's members must lie together: a folder that comes back after another is an error.
-    """
-    pattern = re.compile(wanted)
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for name, content in zip(b.column("path").to_pylist(), b.column("content")):
-                with tarfile.open(fileobj=io.BytesIO(content.as_buffer()), mode="r|*") as tar:
-                    last, past = None, set()
-                    for m in tar:
-                        if not m.isfile():
-                            continue
-                        folder, _, member = m.name.rpartition("/")
-                        if folder != last:
-                            if folder in past:
-                                raise ValueError(f"{name}: {folder} is in two parts")
-                            past.add(folder)
-                            last = folder
-                        if pattern.search(m.name):
-                            data = tar.extractfile(m).read()
-                            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([folder]), pa.array([member]), pa.array([data], pa.binary())], names=["archive", "folder", "member", "content"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(scan, "archive string, folder string, member string, content binary")
-
-
 def require_members(found: DataFrame, wanted: list[str]) -> DataFrame:
     """found, or an error that names the wanted members it lacks."""
     want = found.sparkSession.createDataFrame([(w,) for w in wanted], "member string")
