@@ -4,6 +4,8 @@ from dataclasses import replace
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from trialforge.llm import dedup
 
 from .helpers import DOCS, odd_docs
@@ -123,3 +125,39 @@ def test_long_texts(spark):
     df = spark.createDataFrame([(1, text), (2, text + " more"), (3, "x" * 5_000_000), (4, None)], "doc_id long, text string")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in dedup.near_groups(df).collect()}
     assert got == {1: (699_996, 1), 2: (699_997, 1), 3: (1, 3), 4: (0, 4)}
+
+
+def test_a_third_without_ids_and_repeated_ids(spark):
+    """Rows that share an id, or have none, are texts of their own: components by plain search, kept never null."""
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(400)]
+    rows = []
+    for i in range(240):
+        if rows and rng.random() < 0.4:
+            text = rng.choice(rows)[1].split()
+            text[rng.randrange(len(text))] = rng.choice(words)
+            text = " ".join(text)
+        else:
+            text = " ".join(rng.choice(words) for _ in range(40))
+        rows.append((rng.choice([None, 7, i]), text))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = dedup.near_groups(docs, dedup.CONTRACT).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))).collect()
+    sets = [{tuple(t.split()[i : i + 3]) for i in range(38)} for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both):
+                root[find(i)] = find(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        key = (d is not None, d or 0)
+        least[find(i)] = min(least.get(find(i), key), key)
+    want = sorted((str(d), len(sets[i]), str(least[find(i)][1] if least[find(i)][0] else None)) for i, (d, _) in enumerate(rows))
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == want and all(r.kept is not None for r in got)

@@ -89,7 +89,7 @@ def _estimated(pairs: DataFrame, sketches: DataFrame, s: Settings) -> DataFrame:
 
 def _verified(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     """The pairs that link by their full sets. No aggregation follows the joins in their stage, so that a pivot with many
-    pairs can be split; a pair may come twice where rows share a doc_id, which does no harm."""
+    pairs can be split."""
     a = sets.select(F.col("rep").alias("a"), F.col("s").alias("sa"))
     b = sets.select(F.col("rep").alias("b"), F.col("s").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb")).cast("long")
@@ -203,17 +203,18 @@ def near_groups(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     counts come to the driver.
 
     doc_id must be a whole number. Null text, or without words: linked with nothing. Null doc_id: before all others, as component too. Rows that
-    share a doc_id are one node where they lead their classes. Empty table: empty result. Other columns are left out.
+    share a doc_id are texts of their own. Empty table: empty result. Other columns are left out.
     """
     ratio = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * s.percent
     ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST_ID)).alias("id"), "text")
-    base = scratch(with_shingles(ids, s.words).select("id", F.size("s").alias("n"), F.xxhash64("s").alias("h"), F.xxhash64(F.lit(s.k), "s").alias("i"), F.slice("s", 1, s.k).alias("sketch")))
-    classes = base.filter("n > 0").groupBy("n", "h", "i").agg(F.min(F.struct("id", "sketch")).alias("m"))
-    classes = scratch(classes.select("n", "h", "i", F.col("m.id").alias("rep"), F.col("m.sketch").alias("sketch")))
+    ids = ids.withColumn("node", F.xxhash64("id", F.coalesce("text", F.lit(""))))  # rows of one id are apart, but for equal texts
+    base = scratch(with_shingles(ids, s.words).select("id", "node", F.size("s").alias("n"), F.xxhash64("s").alias("h"), F.xxhash64(F.lit(s.k), "s").alias("i"), F.slice("s", 1, s.k).alias("sketch")))
+    classes = base.filter("n > 0").groupBy("n", "h", "i").agg(F.min(F.struct("id", "node", "sketch")).alias("m"))
+    classes = scratch(classes.select("n", "h", "i", F.col("m.id").alias("id"), F.col("m.node").alias("rep"), F.col("m.sketch").alias("sketch")))
     filed = scratch(_lists(classes, s))
     lists = filed.select("rep", "n", "weight", F.explode("values").alias("value"))
     sketches = scratch(classes.join(small(filed.select("rep")), "rep", "left_semi").select("rep", "sketch"))
-    texts = ids.withColumnRenamed("id", "rep").join(small(filed.select("rep").distinct()), "rep", "left_semi")
+    texts = ids.select(F.col("node").alias("rep"), "text").join(small(filed.select("rep").distinct()), "rep", "left_semi")
     sets = scratch(with_shingles(texts, s.words).select("rep", "s").distinct())
     labels, tried = None, None
     for turn in range(s.stars + 1):
@@ -251,10 +252,12 @@ def near_groups(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
         merged = components(scratch(links.filter("a <> b")))
         known = labels.select("node", "label").union(merged.select("node", F.col("node").alias("label"))).groupBy("node").agg(F.min("label").alias("label"))
         labels = scratch(known.join(merged.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label")))
-    reach = classes.select("n", "h", "i", "rep")
+    reach = classes.select("n", "h", "i", F.col("id").alias("component"), "rep")
     if labels is not None:
-        reach = reach.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("n", "h", "i", F.coalesce("label", "rep").alias("rep"))
-    out = base.select("id", "n", "h", "i").join(reach, ["n", "h", "i"], "left").withColumn("component", F.coalesce("rep", "id"))
+        found = scratch(reach.join(labels.withColumnRenamed("node", "rep"), "rep").select("rep", "label", "component"))
+        least = found.groupBy("label").agg(F.min("component").alias("least"))
+        reach = reach.join(found.join(least, "label").select("rep", "least"), "rep", "left").withColumn("component", F.coalesce("least", "component"))
+    out = base.select("id", "n", "h", "i").join(reach.select("n", "h", "i", "component"), ["n", "h", "i"], "left").withColumn("component", F.coalesce("component", "id"))
     real = lambda c: F.when(F.col(c) != LEAST_ID, F.col(c))
     return out.select(real("id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), real("component").alias("component_id"))
 
@@ -279,7 +282,7 @@ def drop_near_copies(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
 
 def op4_minhash_dedup(spark, sf_dir: str) -> DataFrame:
     found = near_groups(table(spark, sf_dir, "documents").select("doc_id", "text"), CONTRACT)
-    return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))  # of a group that a null id leads, the rows without id
 
 
 #: Brute force over all pairs that share a shingle, and everything reachable from the least id.
