@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from trialforge.llm import lm
 
@@ -91,6 +92,17 @@ def test_odd_rows(spark):
     assert lm.score(docs.limit(0), m).count() == 0
 
 
+def test_texts_of_one_id_keep_their_scores(spark):
+    """Two texts without id whose hashes agree in their last 32 bits."""
+    texts = ["w246684 a b c", "w375963"]
+    both = spark.createDataFrame([(None, t) for t in texts] * 2, "doc_id long, text string")
+    assert both.select(F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF)).alias("h")).distinct().count() == 1
+    m = lm.train(both)
+    alone = {lm.score(both.filter(F.col("text") == t).limit(1), m).select("n_tokens", "n_known", "score").first() for t in texts}
+    got = lm.score(both, m).select("n_tokens", "n_known", "score").collect()
+    assert len(got) == 4 and {(r[0], r[1], round(r[2], 9)) for r in got} == {(r[0], r[1], round(r[2], 9)) for r in alone} and {r[0] for r in got} == {5, 2}
+
+
 def test_what_is_held_changes_no_score(spark):
     """Pairs beyond a share of the tokens count too, and those that the tasks don't hold add the same by the join."""
     filler = " ".join(f"w{i}" for i in range(300))

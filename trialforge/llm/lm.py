@@ -344,9 +344,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 own = pa.array(text)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").take(own), part.column("h").take(own), pa.array(what, pa.int64()), pa.array(key), pa.array(value)], names=["doc_id", "h", "kind", "k", "value"])
 
-    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))  # h tells texts of one doc_id apart; equal ones are one
     parts = rows.mapInArrow(work, f"doc_id {kind}, h long, kind long, k long, value double")
-    parts = parts.withColumn("h", F.col("h").bitwiseAND(F.lit(0xFFFFFFFF)).cast("long"))  # tells texts of one doc_id apart
     met = parts.join(model.entries, "k", "left")
     what, n = F.col("kind") % KINDS, F.expr(f"kind div {KINDS}")
     c, w = F.coalesce("c", F.lit(0)), n * F.coalesce("w", F.lit(0.0))
