@@ -85,6 +85,29 @@ def test_private_keys(spark):
     assert not any(line in clean[10] for line in body("g"))
 
 
+def test_prose_between_key_lines_stays(spark):
+    """Only base64 is a body: words between the two lines, a header at the end or fields alone mask nothing."""
+    head, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    key = lambda i: base64.b64encode(hashlib.sha512(b"%d" % i).digest() * 3).decode()
+    lines = lambda k: "\n".join(key(k)[i : i + 64] for i in range(0, len(key(k)), 64))
+    prose = "Put the key between these lines, as the manual says, and keep it secret. " * 15
+    texts = [
+        f"{head}\n{prose}\n{end}", f"{head} short words only here {end}", f"so ends {head}", f"{head}\nProc-Type: 4,ENCRYPTED\n\n{prose}{end}",
+        f"{head}\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00FF\n\n{lines(4)}\n{end} tail", f"{head}\n{lines(5)}\nand then words", f"{prose}{head}\n{lines(6)}\n{end}",
+    ]
+    docs = spark.createDataFrame([(i, t, None, f"s{i}", len(t)) for i, t in enumerate(texts)], DOCS)
+    spans = {r.doc_id: [s for s in r.spans if s.kind == "pem"] for r in ss.scan_secrets(docs).collect()}
+    assert all(len(spans[i]) == 1 for i in range(7)) and all(spans[i][0].value == head for i in range(4)) and all(len(spans[i][0].value) > 200 for i in range(4, 7))
+    clean = {r.doc_id: r.text for r in ss.remove_secrets(docs).collect()}
+    assert all(prose in clean[i] for i in (0, 3, 6)) and clean[2] == texts[2] and clean[1] == texts[1]
+    assert not any(key(i)[:64] in clean[i] for i in (4, 5, 6)) and "AES-128-CBC" in clean[4] and clean[5].endswith("and then words")
+
+
+def test_owners_count_once(spark):
+    found = spark.createDataFrame([("r1", "o1", "h", True), ("r1", "o1", "h", False), ("r2", "o1", "h", False), ("r3", "o2", "h", False)], "repository string, owner string, hash string, strong boolean")
+    assert [tuple(r) for r in ss.ownership(found).collect()] == [("h", 2, 3, "live")]
+
+
 def test_many_values_in_one_text(spark):
     """64,000 values in one text and a text of five million characters, found and masked in time that grows with them."""
     many = " ".join(f"{i:032x}" for i in range(64_000))

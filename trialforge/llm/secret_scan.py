@@ -12,11 +12,16 @@ from .common import between, let, of, pieces, running, scratch, table
 ASSIGN = r"""((?i)password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
-#: Added by the method: private key blocks. The body goes up to the END line or, without one, as far as base64 lines go;
-#: the match ends with it, so that its place is known. Possessive, as Java repeats such groups in a loop at any length. A header without a body stands for itself.
-PEM_END = r"[^-]*+(?:-{1,4}[^-]++)*+(?=-----END [A-Z ]{0,40}PRIVATE KEY-----)"
-PEM_LINES = r"[A-Za-z0-9+/=]{32,}+(?:[\s\\]++[A-Za-z0-9+/=]{16,}+)*+(?:[\s\\]++[A-Za-z0-9+/]{1,15}={1,2})?"
-PEM = rf"-----BEGIN [A-Z ]{{0,40}}PRIVATE KEY-----(?:\s*+(?:\\[nr]\s*+)*+({PEM_END}|{PEM_LINES}))?"
+#: Added by the method: private key blocks. A body is base64 in chunks of 16 characters or more between line ends (real or
+#: written) or spaces, after the header fields of encrypted keys, up to the END line; without an END line its first chunk
+#: has 32 or more. Nothing else is a body, prose least of all. The match ends with it, so that its place is known.
+#: Possessive, as Java repeats such groups in a loop at any length. A header without a body stands for itself.
+_GAP = r"(?:\s|\\[nr])"
+_CHUNKS = rf"(?:{_GAP}++[A-Za-z0-9+/=]{{16,}}+)*+"
+PEM_FIELDS = rf"(?:[A-Z][A-Za-z-]{{1,40}}+:[^\r\n\\]{{0,200}}+{_GAP}++)*+"
+PEM_CLOSED = rf"[A-Za-z0-9+/=]{{16,}}+{_CHUNKS}(?:{_GAP}++[A-Za-z0-9+/=]{{1,15}}+)?+(?={_GAP}*+-----END [A-Z ]{{0,40}}PRIVATE KEY-----)"
+PEM_LINES = rf"[A-Za-z0-9+/=]{{32,}}+{_CHUNKS}(?:{_GAP}++[A-Za-z0-9+/]{{1,15}}={{1,2}})?"
+PEM = rf"-----BEGIN [A-Z ]{{0,40}}PRIVATE KEY-----(?:{_GAP}*+{PEM_FIELDS}({PEM_CLOSED}|{PEM_LINES}))?"
 BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "pem")
 #: The places to mask are broadcast if they take so many bytes at most, else joined.
@@ -63,9 +68,9 @@ def ownership(found: DataFrame, min_owners: int = 3) -> DataFrame:
     summed before its shuffle: of a value that a third of all rows hold, repositories are dealt apart, then one row
     per task and owner is left.
     """
-    once = found.groupBy("hash", "owner", "strong", "repository").agg(F.lit(1).alias("n"))
-    held = once.groupBy("hash", "owner", "strong").agg(F.sum("n").alias("n"))
-    counted = held.groupBy("hash").agg(F.count("*").alias("n_owners"), F.sum("n").alias("n_repositories"), F.first("strong").alias("strong"))
+    once = found.groupBy("hash", "owner", "repository").agg(F.max("strong").alias("strong"))  # a key wrapped anew may look strong in one form alone
+    held = once.groupBy("hash", "owner").agg(F.count("*").alias("n"), F.max("strong").alias("strong"))
+    counted = held.groupBy("hash").agg(F.count("*").alias("n_owners"), F.sum("n").alias("n_repositories"), F.max("strong").alias("strong"))
     verdict = F.when(F.col("n_owners") >= min_owners, "example").when(F.col("strong"), "live").otherwise("weak")
     return counted.select("hash", "n_owners", "n_repositories", verdict.alias("verdict"))
 
