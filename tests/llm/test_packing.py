@@ -106,6 +106,26 @@ def test_islands_and_migration(spark):
     assert 300 <= got < plain - 0.7 * (plain - 300)
 
 
+def test_every_block_evolves_alike(spark):
+    """One block and several go through the same islands and epochs, and both beat best fit."""
+    seen, real = [], p._solve
+
+    def solve(blocks, s):
+        seen.append((s.islands, s.epochs, s.generations))
+        return real(blocks, s)
+
+    p._solve = solve
+    try:
+        for n, block in ((300, 6000), (300, 450)):
+            seen.clear()
+            sizes = triplets(n, 5)
+            out = p.pack(spark.createDataFrame([(i, 0, 0, int(x), 0) for i, x in enumerate(sizes)], "doc_id long, piece int, start long, length long, ids_crc32 long"), p.Settings(block=block))
+            assert seen == [p.Settings().first, (3, 4, 12)] and p.Settings().first[1] > 1
+            assert well_packed(out.collect()) < len(p.Packing(sizes).best_fit(range(len(sizes))).bins)
+    finally:
+        p._solve = real
+
+
 def test_least_bins():
     rng = np.random.default_rng(2)
     assert p.least_bins([600, 600, 600, 400]) == 3 and p.least_bins([1024]) == 1 and p.least_bins([700, 700, 700, 400, 400]) == 4

@@ -28,7 +28,8 @@ class Settings:
     """block: pieces that are packed together; islands: populations per block; epochs: times they evolve, elites
     moving to the next island between; generations: at most so many an epoch, which ends after `patience` of them
     without fewer bins; full: fill from which a bin is worth injecting, and below which a block's bins are packed once
-    more with those of `merge` other blocks. first: (islands, epochs, generations) of the blocks before that."""
+    more with those of `merge` other blocks. first: (islands, epochs, generations) of the blocks before that. An input of
+    any size goes through both, a single block too."""
 
     block: int = 6000
     islands: int = 3
@@ -38,7 +39,7 @@ class Settings:
     patience: int = 3
     full: float = 0.985
     merge: int = 12
-    first: tuple[int, int, int] = (2, 1, 1)
+    first: tuple[int, int, int] = (2, 2, 2)
     seed: int = 5
 
 
@@ -396,16 +397,13 @@ def pack(pieces: DataFrame, s: Settings = Settings()) -> DataFrame:
         return solved.select("block", F.explode(F.arrays_zip("rows", "sizes", "labels")).alias("x")).select("block", F.col("x.rows").alias("__row"), F.col("x.sizes").alias("__size"), F.col("x.labels").alias("bin"))
 
     islands, epochs, generations = s.first
-    before = replace(s, islands=islands, epochs=epochs, generations=generations) if n > 1 else s
+    before = replace(s, islands=islands, epochs=epochs, generations=generations)
     first = pass_over(rest, F.pmod(F.xxhash64("__row"), F.lit(n)), before)
-    if n > 1:
-        fill = first.groupBy("block", "bin").agg(F.sum("__size").alias("fill"))
-        first = scratch(first.join(fill, ["block", "bin"]))
-        loose = F.col("fill") < F.lit(int(s.full * CAPACITY))
-        again = pass_over(first.filter(loose).select("__row", "__size", "block"), F.floor(F.col("block") / s.merge), s)
-        placed = first.filter(~loose).select("__row", "__size", "block", "bin").unionByName(again.withColumn("block", -1 - F.col("block")))
-    else:
-        placed = first
+    fill = first.groupBy("block", "bin").agg(F.sum("__size").alias("fill"))
+    first = scratch(first.join(fill, ["block", "bin"]))
+    loose = F.col("fill") < F.lit(int(s.full * CAPACITY))
+    again = pass_over(first.filter(loose).select("__row", "__size", "block"), F.floor(F.col("block") / s.merge), s)
+    placed = first.filter(~loose).select("__row", "__size", "block", "bin").unionByName(again.withColumn("block", -1 - F.col("block")))
     alone = fixed.filter(F.col("length") >= CAPACITY).select("__row", F.col("length").cast("int").alias("__size"), F.lit(None).cast("long").alias("block"), F.lit(0).alias("bin"))
     bins = placed.groupBy("block", "bin").agg(F.sort_array(F.collect_list(F.struct(F.col("__row").alias("r"), F.col("__size").alias("s")))).alias("in_bin"))
     at = F.aggregate("in_bin", F.struct(F.lit(0).cast("long").alias("n"), F.array().cast("array<struct<r:bigint,o:bigint>>").alias("out")), lambda acc, x: F.struct((acc["n"] + x["s"]).alias("n"), F.concat(acc["out"], F.array(F.struct(x["r"].alias("r"), acc["n"].alias("o")))).alias("out")), lambda acc: acc["out"])
