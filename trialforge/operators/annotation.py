@@ -159,3 +159,27 @@ def with_conflicts(wide: DataFrame, conflicts: DataFrame, attributes: list[str])
     flags = [F.coalesce(F.bool_or(F.col("attribute") == a), F.lit(False)).alias(f"{a}_conflict") for a in attributes]
     by = conflicts.groupBy("neuron_id").agg(*flags, F.count("*").alias("n_conflicts"))
     return wide.join(by, "neuron_id", "left").fillna(False, [f"{a}_conflict" for a in attributes]).fillna(0, ["n_conflicts"])
+
+
+def edge_conflicts(edges: DataFrame, pairs: DataFrame, skip: tuple[str, ...] = ("putative_mod",)) -> DataFrame:
+    """conflict, entity (pre>post|kind), values, sources: where two bundles of one upstream dataset disagree on an edge.
+
+    edges: dataset, pre, post, kind, weight (an edge is a row; a repeated one counts by its greatest weight); pairs: a, b,
+    the datasets bundled twice. Each edge goes to its pairs by an equi join with that small table, and one grouping puts
+    both sides' weights in one row, whatever the number of datasets. A pair counts once, in either order; one of which
+    a dataset has no edges at all is left out.
+    """
+    twice = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct()
+    there = edges.select("dataset").distinct()
+    twice = twice.join(there.withColumnRenamed("dataset", "a"), "a", "left_semi").join(there.withColumnRenamed("dataset", "b"), "b", "left_semi")
+    sides = twice.select("a", "b", F.explode(F.array("a", "b")).alias("dataset"))
+    rows = edges.filter(~F.coalesce(F.col("kind").isin(*skip), F.lit(False))).join(sides, "dataset")
+    weight = lambda side: F.max(F.when(F.col("dataset") == F.col(side), F.col("weight")))
+    both = rows.groupBy("a", "b", "pre", "post", "kind").agg(weight("a").alias("wa"), weight("b").alias("wb")).filter(~F.col("wa").eqNullSafe(F.col("wb")))
+    text = lambda w: F.regexp_replace(F.col(w).cast("double").cast("string"), r"\.0$", "")
+    source = lambda w, side: F.concat(F.coalesce(text(w), F.lit("absent")), F.lit("@"), F.col(side))
+    differs = F.col("wa").isNotNull() & F.col("wb").isNotNull()
+    return both.select(
+        F.when(differs, "synapse_count_differs").otherwise("edge_in_one_bundle_only").alias("conflict"), F.concat("pre", F.lit(">"), "post", F.lit("|"), "kind").alias("entity"),
+        F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.array(text("wa"), text("wb"))))), ",").alias("values"), F.array_join(F.array_sort(F.array(source("wa", "a"), source("wb", "b"))), ",").alias("sources"),
+    )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import graph
+from ..operators import annotation, graph
 from .base import r6, read
 
 
@@ -61,6 +61,13 @@ def bundle_full_outer(spark, d):
     return x.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
 
 
+def edge_conflicts(spark, d):
+    """Edges from suppliers to parts as two bundles have them, their kind the return flag."""
+    e = read(spark, d, "lineitem").groupBy(F.col("l_linestatus").alias("dataset"), F.concat(F.lit("s"), "l_suppkey").alias("pre"), F.concat(F.lit("p"), "l_partkey").alias("post"), F.col("l_returnflag").alias("kind")).agg(F.sum("l_quantity").alias("weight"))
+    pairs = spark.createDataFrame([("F", "O"), ("O", "F"), ("F", "none")], "a string, b string")
+    return annotation.edge_conflicts(e, pairs, ("N",))
+
+
 def bundle_multiset(spark, d):
     """How many aggregated edges the two bundles share as multisets, and how many only one has."""
     e = _edges(spark, d).select("bundle", "pre", F.col("delay"), "sign")
@@ -179,6 +186,11 @@ QUERIES = {
     "gap_symmetrise": (gap_symmetrise, f"WITH {_E}, g AS (SELECT pre, post, max(weight) AS weight FROM e GROUP BY ALL) SELECT pre, post, weight, false AS added FROM g UNION ALL SELECT post, pre, weight, true FROM g x WHERE NOT EXISTS (SELECT 1 FROM g y WHERE y.pre = x.post AND y.post = x.pre)"),
     "gap_max": (gap_max, f"WITH {_G} SELECT a, b, round(g, 8) AS g FROM g"),
     "bundle_full_outer": (bundle_full_outer, f"WITH {_E}, a AS (SELECT bundle, pre, post, sum(weight) AS w FROM e GROUP BY ALL) SELECT CASE WHEN f.w IS NULL THEN 'only_o' WHEN o.w IS NULL THEN 'only_f' WHEN f.w = o.w THEN 'equal' ELSE 'different' END AS kind, count(*) AS n FROM (SELECT * FROM a WHERE bundle = 'F') f FULL JOIN (SELECT * FROM a WHERE bundle = 'O') o ON f.pre = o.pre AND f.post = o.post GROUP BY 1"),
+    "edge_conflicts": (edge_conflicts, """WITH e AS (SELECT l_linestatus AS dataset, 's' || l_suppkey || '>p' || l_partkey || '|' || l_returnflag AS entity, sum(l_quantity) AS w FROM lineitem WHERE l_returnflag <> 'N' GROUP BY ALL),
+b AS (SELECT entity, max(w) FILTER (WHERE dataset = 'F') AS f, max(w) FILTER (WHERE dataset = 'O') AS o FROM e GROUP BY entity),
+t AS (SELECT *, regexp_replace(CAST(CAST(f AS DOUBLE) AS VARCHAR), '\\.0$', '') AS tf, regexp_replace(CAST(CAST(o AS DOUBLE) AS VARCHAR), '\\.0$', '') AS tx FROM b WHERE f IS DISTINCT FROM o)
+SELECT CASE WHEN f IS NOT NULL AND o IS NOT NULL THEN 'synapse_count_differs' ELSE 'edge_in_one_bundle_only' END AS conflict, entity, concat_ws(',', least(tf, tx), CASE WHEN tf <> tx THEN greatest(tf, tx) END) AS values,
+  array_to_string(list_sort([coalesce(tf, 'absent') || '@F', coalesce(tx, 'absent') || '@O']), ',') AS sources FROM t"""),
     "bundle_multiset": (bundle_multiset, f"WITH {_E}, f AS (SELECT pre, delay, sign FROM e WHERE bundle = 'F'), o AS (SELECT pre, delay, sign FROM e WHERE bundle = 'O') SELECT 'both' AS part, count(*) AS n FROM (SELECT * FROM f INTERSECT ALL SELECT * FROM o) UNION ALL SELECT 'only_f', count(*) FROM (SELECT * FROM f EXCEPT ALL SELECT * FROM o) UNION ALL SELECT 'only_o', count(*) FROM (SELECT * FROM o EXCEPT ALL SELECT * FROM f)"),
     **{f"sum_in_{k}": _sums(k) for k in ("exc", "inh", "all")},
     "count_in": (count_in, f"WITH {_E}, {_H} SELECT post, count(*) FILTER (WHERE value = 2.0) AS value FROM e JOIN h ON h.node = e.pre AND h.tick = greatest(2 - e.delay, 0) GROUP BY post"),

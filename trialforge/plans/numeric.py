@@ -7,13 +7,11 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from .. import tables
-from ..body import swimmer
 from ..models import benchmark, elimination, kernels, network, noise
 from ..models.fit import Problem, fit_program, gaussian_loss
-from ..operators import splits
+from ..operators import resample, splits
 from ..rules import compile_rule
 from ..search import controls, plan, select
-from ..search import enumerate as en
 from ..sim.arrays import simulate
 from ..streaming import online
 from .base import read, with_series
@@ -99,10 +97,6 @@ def program_fit(spark, d):
     return _each(spark, ["1", "2", "3"], work, "seed int, tau double, gain double, converged boolean")
 
 
-def rule_enumeration(spark, d):
-    return en.enumerate_programs(spark, BUDGET).select("index", "outcome", "hash", "l_struct", "l_params")
-
-
 def noise_fit(spark, d):
     """AR(1) noise of each recording's dF/F, fitted in a task per recording."""
     rows = _dff(spark, d).filter("offset >= 0").select("recording_id", "trial_id", "offset", "dff", "dff_valid")
@@ -119,14 +113,9 @@ def noise_fit(spark, d):
 def animal_bootstrap(spark, d):
     """Per segment, the paired difference of spending in two statuses with its interval."""
     o = read(spark, d, "orders").groupBy("o_custkey").agg(F.sum(F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice"))).alias("a"), F.sum(F.when(F.col("o_orderstatus") == "O", F.col("o_totalprice"))).alias("b")).dropna()
-    c = read(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment")
-
-    def work(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("o_custkey")
-        r = noise.paired_bootstrap(dict(zip(map(str, p["o_custkey"]), p["a"])), dict(zip(map(str, p["o_custkey"]), p["b"])), 7, 500)
-        return pd.DataFrame([(p["c_mktsegment"].iloc[0], r["n"], round(r["mean"], 4), round(r["lo"], 4), round(r["hi"], 4))], columns=["segment", "n", "mean", "lo", "hi"])
-
-    return o.join(c, "o_custkey").groupBy("c_mktsegment").applyInPandas(work, "segment string, n long, mean double, lo double, hi double")
+    c = read(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("segment"))
+    x = o.join(c, "o_custkey").withColumn("d", F.col("a") - F.col("b"))
+    return resample.intervals(x, ["segment"], "o_custkey", "d", 500, 7).select("segment", "n", *[F.round(k, 4).alias(k) for k in ("mean", "lo", "hi")])
 
 
 def _moments(spark, d):
@@ -174,27 +163,6 @@ def kernel_folds(spark, d):
     return benchmark.evaluate(traces, m, folds, ["pair"], 2, 1, ("null", "independent", "shared"), (0.01, 1.0, 100.0))
 
 
-def false_sharing(spark, d):
-    """How often a shared kernel beats own ones on data of a shared and of an independent truth."""
-
-    def work(k):
-        shared, seed = k.startswith("shared"), int(k.rpartition("-")[2])
-        data = network.synthetic(seed, shared, animals=6)
-        basis = np.stack([network.impulse(np.arange(60) * 0.5, 0.5, x) for x in (1.5, 4.0, 9.0)], axis=1)
-        rows = {}
-        for a, r, u, y, m in zip(data["target"], data["responder"], data["input"], data["y"], data["mask"]):
-            x = np.stack([np.convolve(u[10:], b)[:60] for b in basis.T], axis=1)[m]
-            s = np.column_stack([x, np.ones(len(x)), y[m]])
-            rows.setdefault((a, r), []).append((s.T @ s, len(x)))
-        half = lambda i: kernels.stack(pd.DataFrame([{"pair": p, "stat": sum(v[0] for v in vs[i::2]).ravel(), "n": sum(v[1] for v in vs[i::2])} for p, vs in rows.items()]), ["pair"], 3, 1)
-        train, test = half(0), half(1)
-        err = {f: kernels.loss(test, *(lambda z: (z.c, z.b))(fit(train, 0.01))) for f, fit in (("shared", kernels.fit_shared), ("independent", kernels.fit_independent))}
-        return pd.DataFrame([("shared" if shared else "independent", seed, err["shared"] < err["independent"])], columns=["truth", "seed", "shared_wins"])
-
-    keys = [f"{t}-{i}" for t in ("shared", "independent") for i in range(3)]
-    return _each(spark, keys, work, "truth string, seed int, shared_wins boolean")
-
-
 def network_kernels(spark, d):
     """Impulse responses of a linear network over the graph."""
     g = _graph(spark, d)
@@ -225,12 +193,6 @@ def label_shuffle(spark, d):
     return controls.shuffle_labels(rows, "user_id", "event_type", 11)
 
 
-def degree_preserving(spark, d):
-    """The graph's edges after random swaps: degrees stay."""
-    g = _graph(spark, d)
-    return spark.createDataFrame(controls.degree_preserving([(e["pre"], e["post"], e["weight"]) for e in g["chemical"]], 5), "pre string, post string, weight double")
-
-
 def intervention_gain(spark, d):
     """Which neuron to stimulate to tell three parameter settings apart."""
     graph = _graph(spark, d)
@@ -243,19 +205,6 @@ def intervention_gain(spark, d):
     return _each(spark, [n["id"] for n in graph["neurons"]], work, "neuron string, gain double")
 
 
-def equivalence_cliques(spark, d):
-    """Maximal sets of nations whose customers' mean balances are all within 150 of each other."""
-    p = read(spark, d, "customer").groupBy("c_nationkey").agg(F.avg("c_acctbal").alias("m")).collect()  # a row per nation
-    near = {frozenset((a.c_nationkey, b.c_nationkey)) for a in p for b in p if a.c_nationkey < b.c_nationkey and abs(a.m - b.m) <= 150}
-    found = plan.cliques([r.c_nationkey for r in p], near)
-    return spark.createDataFrame([(i, k) for i, c in enumerate(found) for k in c], "clique long, nation long")
-
-
-def swimmer_endpoints(spark, d):
-    cases = pd.DataFrame({"case": ["slow", "fast", "back"], "frequency": [0.5, 1.0, 0.5], "wavelength": [1.0, 1.0, -1.0]})
-    return swimmer.run_many(spark, cases, 4.0)
-
-
 def _stream(spark, d):
     return spark.readStream.schema(read(spark, d, "events").schema).parquet(f"{d}/events.parquet*")
 
@@ -284,7 +233,7 @@ def stream_filter(spark, d):
 
 
 QUERIES = {f.__name__: (f, None) for f in (
-    rule_simulation, response_kernels, program_fit, rule_enumeration, noise_fit, animal_bootstrap, kernel_moments, kernel_folds, false_sharing, network_kernels, indicator_fit, label_shuffle, degree_preserving, intervention_gain, equivalence_cliques, swimmer_endpoints, stream_filter,
+    rule_simulation, response_kernels, program_fit, noise_fit, animal_bootstrap, kernel_moments, kernel_folds, network_kernels, indicator_fit, label_shuffle, intervention_gain, stream_filter,
 )}
 QUERIES["kernel_moments"] = (kernel_moments, with_series(""", x AS (SELECT 'a' || (recording_id % 12) AS animal, 'p' || (event_index % 3) AS pair, [exp(-o / 5.0::DOUBLE), exp(-o / 20.0::DOUBLE), 1.0::DOUBLE, dff] AS a FROM dff WHERE o >= 2 AND ok)
 SELECT animal, pair, i, j, round(sum(a[i + 1] * a[j + 1]), 5) AS value, count(*) AS n FROM x, range(4) r(i), range(4) c(j) GROUP BY ALL"""))
@@ -304,4 +253,13 @@ s AS (SELECT *, (g11 * x0 - g01 * x1) / (g00 * g11 - g01 * g01) AS ix0, (g00 * x
 z AS (SELECT *, sum(q - x0 * ix0 - x1 * ix1) OVER c AS a, sum(u - x0 * iy0 - x1 * iy1) OVER c AS h FROM s WINDOW c AS (PARTITION BY "outer", split, ridge)),
 b AS (SELECT *, h / (a + 1e-9 * (1 + a)) AS b FROM z)
 SELECT "outer", split, ridge, pair, round(iy0 - ix0 * b, 6) AS c0, round(iy1 - ix1 * b, 6) AS c1, round(b, 6) AS b FROM b"""))
+_TIMES = "CASE " + " ".join(f"WHEN u < {c!r} THEN {n}" for n, c in enumerate(resample.CUMULATED)) + f" ELSE {len(resample.CUMULATED)} END"
+QUERIES["animal_bootstrap"] = (animal_bootstrap, f"""WITH o AS (SELECT o_custkey, sum(o_totalprice) FILTER (WHERE o_orderstatus = 'F') - sum(o_totalprice) FILTER (WHERE o_orderstatus = 'O') AS d FROM orders GROUP BY o_custkey),
+x AS (SELECT o_custkey, c_mktsegment AS segment, d FROM o JOIN customer ON c_custkey = o_custkey WHERE d IS NOT NULL),
+u AS (SELECT segment, d, draw, CAST(('0x' || substr(md5('7:' || draw || ':' || o_custkey), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM x CROSS JOIN range(500) r(draw)),
+m AS (SELECT segment, draw, sum(d * t) / sum(t) AS mean FROM (SELECT *, {_TIMES} AS t FROM u) GROUP BY ALL)
+SELECT segment, n, round(w.mean, 4) AS mean, round(lo, 4) AS lo, round(hi, 4) AS hi FROM (SELECT segment, count(*) AS n, avg(d) AS mean FROM x GROUP BY segment) w JOIN (SELECT segment, quantile_cont(mean, 0.025) AS lo, quantile_cont(mean, 0.975) AS hi FROM m GROUP BY segment) q USING (segment)""")
+QUERIES["label_shuffle"] = (label_shuffle, """WITH p AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id, event_type) AS r FROM events),
+k AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY sha256('11:' || user_id || ':' || event_id || ':' || event_type), event_id) AS r FROM events)
+SELECT user_id, event_id, event_type FROM p JOIN k USING (user_id, r)""")
 QUERIES["stream_windows"] = (stream_windows, "SELECT strftime(time_bucket(INTERVAL '1 hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
