@@ -7,11 +7,14 @@ import re
 import zlib
 from collections import defaultdict
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from trialforge.llm import repair
-from trialforge.llm.queries import queries
+from trialforge.llm.queries import oracle_sql, queries
+
+from tests.test_queries import canon
 
 GOOD = re.compile(r"(s?(ua)+)?\Z")
 
@@ -131,3 +134,16 @@ def _letters(codes):
         p.add(c)
     p.begin()
     return [x for _ in range(len(codes) + 1) for x in p.step()]
+
+
+def test_sql_agrees(spark, sf, tmp_path):
+    """The SQL on the given table and on repeated turns, null turns and texts, and empty roles."""
+    rng, rows = random.Random(9), []
+    for conv in range(120):
+        for _ in range(rng.randint(0, 6)):
+            rows.append((conv, rng.choice([None, 0, 1, 2, 5, 9]), rng.choice(["system", "user", "assistant", None, "tool", ""]), rng.choice(["Yes.", "No", "", None, "Why?", "more words. "])))
+    frame(spark, rows).write.parquet(f"{tmp_path}/conversations.parquet")
+    for where, files in ((sf, f"{sf}/conversations.parquet"), (str(tmp_path), f"{tmp_path}/conversations.parquet/*.parquet")):
+        con = duckdb.connect()
+        con.execute(f"create view conversations as select * from read_parquet('{files}')")
+        assert canon(queries()["op13_conversation_repair"](spark, where).toPandas()) == canon(con.execute(oracle_sql()["op13_conversation_repair"]).df())

@@ -28,4 +28,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_round_trip": chat.ORACLE, "op4_minhash_dedup": dedup.ORACLE, "op5_systematic_mix": mixing.ORACLE, "op9_secret_ownership": secret_scan.ORACLE, "op11_suffix_dedup": repeats.ORACLE}
+    return {"op3_chat_round_trip": chat.ORACLE, "op4_minhash_dedup": dedup.ORACLE, "op5_systematic_mix": mixing.ORACLE, "op9_secret_ownership": secret_scan.ORACLE, "op11_suffix_dedup": repeats.ORACLE, "op13_conversation_repair": repair.ORACLE}

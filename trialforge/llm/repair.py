@@ -258,3 +258,55 @@ def op13_conversation_repair(spark, sf_dir: str) -> DataFrame:
     out = out.join(repaired(rows).withColumnRenamed("conv_id", "c"), F.col("conv_id").eqNullSafe(F.col("c")), "left").drop("c")
     none = {**dict.fromkeys(("gaps", "blank", "duplicate", "truncated", "illegal", "cost"), 0), "audit": "", "repaired_sha256": hashlib.sha256().hexdigest()}
     return out.select("conv_id", *[F.coalesce(c, F.lit(v)).alias(c) for c, v in none.items()])
+
+
+def _sql() -> str:
+    """The query in DuckDB SQL: the CRC-32 by its table, and a recursion over rows with the least (cost, letters) of each state.
+
+    Two ways into one state at one row with equal costs never have letters of which one begins the other (the longer one
+    would have more insertions), so the least letters of a state stay the least whatever follows.
+    """
+    add = lambda x, cost, letter: f"{{'c': {x}.c + {cost}, 'a': {x}.a || '{letter}'}}"
+    least = lambda *xs: f"list_sort([{', '.join(xs)}])[1]"
+    given = lambda when, x: f"CASE WHEN {when} THEN {x} ELSE {{'c': {FAR}::BIGINT, 'a': ''}} END"
+    states = "n s u a".split()
+
+    def inserted(source: str) -> str:
+        once = f"SELECT * REPLACE ({least('u', *[add(q, INSERT, 'I') for q in 'nsa'])} AS u, {least('a', add('u', INSERT, 'I'))} AS a) FROM ({source})"
+        return f"SELECT * REPLACE ({least('u', *[add(q, INSERT, 'I') for q in 'nsa'])} AS u, {least('a', add('u', INSERT, 'I'))} AS a) FROM ({once})"
+
+    more = f"CASE WHEN fault = 'truncated' THEN {TRUNCATED} ELSE 0 END"
+    free = "coalesce(fault, '') NOT IN ('blank', 'duplicate')"
+    keep = lambda q, x: given(f"{free} AND role LIKE '{x}%'", add(q, f"{KEEP} + {more}", "K"))
+    rerole = lambda q: given(free, add(q, f"{REROLE} + {more}", "R"))
+    gone = lambda q: add(q, DELETE, "D")
+    step = {"n": gone("n"), "s": least(gone("s"), keep("n", "s")), "u": least(gone("u"), *[f(q) for q in "nsa" for f in (lambda q: keep(q, "u"), rerole)]), "a": least(gone("a"), keep("u", "a"), rerole("u"))}
+    far = f"{{'c': {FAR}::BIGINT, 'a': ''}}"
+    return f"""
+WITH RECURSIVE tab AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_concat([i], range(8)), lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) AS v FROM range(256) r(i))),
+src AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(ord(x) AS BIGINT)) AS b FROM conversations),
+kinds AS (SELECT conv_id, turn, role, text, xor(list_reduce(list_concat([4294967295], b), lambda x, y: xor(x >> 8, t[(xor(x, y) & 255) + 1])), 4294967295) % {KINDS} AS kind FROM src CROSS JOIN tab),
+rows_ AS (SELECT conv_id, turn, CASE WHEN kind = {REROLED} THEN 'user' ELSE role END AS role, CASE WHEN kind = {EMPTIED} THEN '' WHEN kind = {UNENDED} THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+  unnest(CASE WHEN kind = {REPEATED} THEN [0, 1] ELSE [0] END) AS copy FROM kinds WHERE kind <> {DROPPED}),
+f AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i,
+  CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 THEN 'duplicate'
+    WHEN right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault FROM rows_),
+counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate, count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+  count(*) FILTER (WHERE before IS NOT NULL AND left(before, 1) || left(role, 1) NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS m FROM (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM f) GROUP BY conv_id),
+walk AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS i, {{'c': 0::BIGINT, 'a': ''}} AS n, {far} AS s, {far} AS u, {far} AS a FROM counts
+  UNION ALL
+  SELECT conv_id, i + 1, {', '.join(f'{step[q]} AS {q}' for q in states)} FROM (SELECT p.*, role, fault FROM ({inserted('SELECT conv_id, i, n, s, u, a FROM walk')}) p JOIN f ON f.conv_id = p.conv_id AND f.i = p.i + 1)
+),
+ends AS (SELECT conv_id, {least('n', 'a')} AS best FROM ({inserted('SELECT w.conv_id, w.n, w.s, w.u, w.a FROM walk w JOIN counts c ON c.conv_id = w.conv_id AND c.m = w.i')})),
+letters AS (SELECT conv_id, j, best.a[j] AS x FROM (SELECT conv_id, best, unnest(range(1, len(best.a) + 1)) AS j FROM ends)),
+placed AS (SELECT conv_id, j, x, count(*) FILTER (WHERE x <> 'I') OVER w AS i, count(*) FILTER (WHERE x <> 'D') OVER w AS k FROM letters WINDOW w AS (PARTITION BY conv_id ORDER BY j)),
+made AS (SELECT p.conv_id, j, k, x, role, CASE WHEN x = 'I' THEN '' ELSE text END AS text FROM placed p LEFT JOIN f ON f.conv_id = p.conv_id AND f.i = p.i AND p.x <> 'I' WHERE x <> 'D'),
+lead_ AS (SELECT *, max(CASE WHEN k = 1 AND x = 'K' AND role LIKE 's%' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id) AS first FROM made),
+fixed AS (SELECT conv_id, sha256(string_agg(CASE WHEN x = 'K' THEN role WHEN (k - first) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY j)) AS h FROM lead_ GROUP BY conv_id)
+SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.c, 0) AS cost, coalesce(best.a, '') AS audit, coalesce(h, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) e LEFT JOIN counts USING (conv_id) LEFT JOIN ends USING (conv_id) LEFT JOIN fixed USING (conv_id)
+"""
+
+
+ORACLE = _sql()
