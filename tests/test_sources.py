@@ -104,6 +104,17 @@ def test_archive_beyond_two_gib(spark, tmp_path):
         archive_source.read_archives(spark, str(path), "raw").select("bytes").collect()
 
 
+def test_metrics_come_with_the_write(spark, tmp_path):
+    """Counts are those of the written table; odd names; an empty table; once only."""
+    rows = spark.createDataFrame([(i, None if i % 3 else i, i % 4 == 0 if i % 5 else None) for i in range(60)], "id int, `a.b ``c` int, ok boolean").repartition(3)
+    seen = integrity.write_observed(rows, f"{tmp_path}/a")
+    assert [(r["column"], r["rows"], r["nulls"], r["true"]) for r in seen] == [("id", 60, 0, None), ("a.b `c", 60, 40, None), ("ok", 60, 12, 12)]
+    assert [r["rows"] for r in integrity.write_observed(rows.limit(0), f"{tmp_path}/b")] == [0, 0, 0]
+    with pytest.raises(Exception, match="(?i)exists"):
+        integrity.write_observed(rows, f"{tmp_path}/a")
+    assert integrity.observed_manifest(spark, {"a": seen}).filter("`table` = 'a' and rows = 60").count() == 3
+
+
 class Evil:
     def __reduce__(self):
         return os.system, ("true",)

@@ -64,19 +64,20 @@ def sources(a) -> int:
 
 
 def import_(a) -> int:
-    """Recordings into normalised tables, each written once; exit 1 if a check disagrees and --strict is given."""
+    """Recordings into normalised tables, each written once, and a manifest of their rows, nulls and flags as seen while
+    writing; exit 1 if a check disagrees and --strict is given."""
     from .importers.recordings import import_recordings
-    from .sources.integrity import write_once
+    from .sources.integrity import observed_manifest, write_observed, write_once
 
-    spark, bad = _spark(), 0
+    spark, bad, seen = _spark(), 0, {}
     for name, df in import_recordings(spark, a.texts, a.archive).items():
-        write_once(df, f"{a.out}/{name}")
-        written = spark.read.parquet(f"{a.out}/{name}")
-        print(name, written.count())
+        seen[name] = write_observed(df, f"{a.out}/{name}")
+        print(name, seen[name][0]["rows"])
         if name == "checks":
-            failed = [c for c in written.columns[1:] if written.filter(f"not {c}").head(1)]
+            failed = [r["column"] for r in seen[name] if r["true"] is not None and r["true"] + r["nulls"] < r["rows"]]
             print("disagree:", ", ".join(failed) or "none")
             bad = len(failed)
+    write_once(observed_manifest(spark, seen), f"{a.out}/manifest")
     return int(a.strict and bad > 0)
 
 

@@ -8,8 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import tables
 from ..importers import recordings as rec
-from .base import r6, series
+from ..sources import integrity
+from .base import r6, read, series
 
 _ID = lambda: F.format_string("randi2023:pumpprobe_20200101_%06d", F.col("recording_id"))
 
@@ -102,6 +104,14 @@ t3 AS (SELECT t2.*, rid || ':stim' || lpad(CAST(place2 AS VARCHAR), 3, '0') AS t
 t4 AS (SELECT *, CASE WHEN c >= 0 THEN rl WHEN c = -3 THEN ml END AS tl, CASE c WHEN -1 THEN 'not_located' WHEN -2 THEN 'failed_targeting' WHEN -3 THEN 'identified_untracked' ELSE 'roi' END AS code FROM t3),
 t AS (SELECT *, lead(f) OVER w AS nxt, lag(f) OVER w AS prv, lag(tid) OVER w AS ptid, lag(tl) OVER w AS ptl FROM t4 WINDOW w AS (PARTITION BY rid ORDER BY f, place2))"""
 
+def written_manifest(spark, d):
+    """Rows, nulls and flags of two tables, as seen by the write that made them."""
+    e = read(spark, d, "events").withColumns({"late": F.when(F.col("value") > 1, F.col("value") > 5), "signup": F.when(F.col("event_type") == "signup", F.col("ts"))}).select("event_id", "late", "signup")
+    o = read(spark, d, "orders").select("o_orderkey", (F.col("o_orderstatus") == "F").alias("final"))
+    seen = {name: integrity.write_observed(x, tables.new_path(spark)) for name, x in (("events", e), ("orders", o))}
+    return integrity.observed_manifest(spark, seen)
+
+
 QUERIES = {
     "trace_sources": (trace_sources, f"WITH {_S} SELECT i AS roi_index, CASE WHEN i = 2 THEN 'matchless' ELSE 'matched' END AS trace_source, count(DISTINCT u) AS n FROM s, range(3) r(i) GROUP BY ALL"),
     "observations": (observations, f"""WITH {_S} SELECT rid AS recording_id, i AS roi_index, frame, frame * 0.5::DOUBLE AS time_s, CASE WHEN e % 7 = 0 THEN -1 ELSE round(v * (i + 1) + CASE WHEN i = 2 THEN 0.5 ELSE 0 END::DOUBLE, 6) END AS gcamp,
@@ -115,4 +125,10 @@ SELECT DISTINCT tid AS trial_id, n.i AS roi_index, coalesce(tl, '-') AS target,
 JOIN s ON s.rid = t.rid AND s.frame >= f AND s.frame < least(f + 60, coalesce(nxt, nf)) AND s.e % 7 <> 0 WHERE c >= 0"""),
     "own_responses": (own_responses, f"""WITH {_S}, {_N}, {_T}, a AS (SELECT tid, t.f, s.frame, s.e % 7 <> 0 AS ok FROM t JOIN s ON s.rid = t.rid AND s.frame >= coalesce(prv, 0) AND s.frame < coalesce(nxt, nf) WHERE c >= 0)
 SELECT tid AS trial_id, count(*) AS n, count(*) FILTER (WHERE ok) AS n_valid, min((frame - f) * 0.5::DOUBLE) AS first_s, round(coalesce(avg(CASE WHEN ok THEN 1.0 ELSE 0.0 END::DOUBLE) FILTER (WHERE frame >= f), -1), 6) AS fraction FROM a GROUP BY tid"""),
+    "written_manifest": (written_manifest, """WITH e AS (SELECT event_id, CASE WHEN value > 1 THEN value > 5 END AS late, CASE WHEN event_type = 'signup' THEN ts END AS signup FROM events), o AS (SELECT o_orderkey, o_orderstatus = 'F' AS final FROM orders)
+SELECT 'events' AS "table", 'event_id' AS "column", count(*) AS rows, count(*) FILTER (WHERE event_id IS NULL) AS nulls, CAST(NULL AS BIGINT) AS "true" FROM e
+UNION ALL SELECT 'events', 'late', count(*), count(*) FILTER (WHERE late IS NULL), count(*) FILTER (WHERE late) FROM e
+UNION ALL SELECT 'events', 'signup', count(*), count(*) FILTER (WHERE signup IS NULL), NULL FROM e
+UNION ALL SELECT 'orders', 'o_orderkey', count(*), count(*) FILTER (WHERE o_orderkey IS NULL), NULL FROM o
+UNION ALL SELECT 'orders', 'final', count(*), count(*) FILTER (WHERE final IS NULL), count(*) FILTER (WHERE final) FROM o"""),
 }

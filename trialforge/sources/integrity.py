@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pathlib import Path
 from urllib.parse import unquote, urlparse
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -22,6 +22,27 @@ def write_once(df: DataFrame, path: str, **options) -> None:
     df.write.mode("errorifexists").option("compression", "zstd").options(**options).parquet(path)
 
 
+def write_observed(df: DataFrame, path: str, **options) -> list[dict]:
+    """write_once, and what was seen while writing: for each column its table's rows, the nulls, and how often a flag is
+    true (null for other columns). The metrics come with the one write, which counts a row once however often its task is
+    run, and nothing is read again."""
+    seen, columns = Observation(), df.columns
+    flags = [c for c, kind in df.dtypes if kind == "boolean"]
+    of = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    metrics = [F.count(F.lit(1)).alias("rows"), *[F.count_if(of(c).isNull()).alias(f"n{i}") for i, c in enumerate(columns)], *[F.count_if(of(c)).alias(f"f{i}") for i, c in enumerate(flags)]]
+    write_once(df.observe(seen, *metrics), path, **options)
+    got = seen.get
+    return [{"column": c, "rows": got["rows"], "nulls": got[f"n{i}"], "true": got[f"f{flags.index(c)}"] if c in flags else None} for i, c in enumerate(columns)]
+
+
+OBSERVED = "table string, column string, rows long, nulls long, true long"
+
+
+def observed_manifest(spark: SparkSession, tables: dict[str, list[dict]]) -> DataFrame:
+    """OBSERVED: what write_observed saw, of each table by name, a row per column."""
+    return spark.createDataFrame([(name, r["column"], r["rows"], r["nulls"], r["true"]) for name, rows in tables.items() for r in rows], OBSERVED)
+
+
 def manifest(spark: SparkSession, folder: str) -> DataFrame:
     """path, bytes, sha256 of all files below folder, hashed where they are read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
