@@ -5,9 +5,10 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from bisect import insort
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
-from itertools import combinations
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -158,22 +159,32 @@ def token_pieces(docs: DataFrame, tokenizer: tuple[str, str] | None = None, with
 
 
 class Packing:
-    """Bins of items, with each bin's free room and the bins of each free room at hand for best fit."""
+    """Bins of items, with each bin's free room and the bins of each free room at hand for best fit.
 
-    def __init__(self, sizes: list[int], bins: list[list[int]] = ()):
-        self.sizes, self.bins, self.room = sizes, [], []
+    Packings share bins, so a bin is replaced and never changed in place. room: that of each bin, where it is known.
+    """
+
+    def __init__(self, sizes: list[int], bins: list[list[int]] = (), room: list[int] | None = None):
+        self.sizes, self.bins = sizes, list(bins)
+        self.room = [CAPACITY - sum(sizes[i] for i in b) for b in bins] if room is None else list(room)
         self.by_room: dict[int, set[int]] = {}
         self.mask = 0  # bit r: some bin has r left
-        for b in bins:
-            self.open(list(b))
-
-    def open(self, items: list[int]) -> None:
-        self.bins.append(items)
-        self.room.append(CAPACITY - sum(self.sizes[i] for i in items))
-        self._file(len(self.bins) - 1)
+        for k, r in enumerate(self.room):
+            if r:
+                self._file(k, r)
+
+    def _set(self, k: int, items: list[int], room: int) -> None:
+        """Bin k, or the next one, gets these items."""
+        if k == len(self.bins):
+            self.bins.append(items)
+            self.room.append(room)
+        else:
+            self._unfile(k)
+            self.bins[k], self.room[k] = items, room
+        if room:
+            self._file(k, room)
 
-    def _file(self, k: int) -> None:
-        r = self.room[k]
+    def _file(self, k: int, r: int) -> None:
         self.by_room.setdefault(r, set()).add(k)
         self.mask |= 1 << r
 
@@ -185,62 +196,77 @@ class Packing:
 
     def best_fit(self, items: list[int]) -> "Packing":
         """Put each item, largest first, where the least room stays; open a bin where none has room."""
-        for i in sorted(items, key=lambda i: (-self.sizes[i], i)):
+        for i in sorted(sorted(items), key=self.sizes.__getitem__, reverse=True):
             s = self.sizes[i]
             left = self.mask >> s
             if not left:
-                self.open([i])
+                self._set(len(self.bins), [i], CAPACITY - s)
                 continue
             r = s + (left & -left).bit_length() - 1
             k = next(iter(self.by_room[r]))
-            self._unfile(k)
-            self.bins[k].append(i)
-            self.room[k] = r - s
-            self._file(k)
+            self._set(k, [*self.bins[k], i], r - s)
         return self
 
     def exchange(self, free: list[int], rng: np.random.Generator, most: int = 400) -> list[int]:
         """The bins of most room give up to two items for one or two of the free ones that leave less room, the least
         there is; what is free then is returned. It is never more size than before, in smaller items."""
-        free = sorted(free, key=self.sizes.__getitem__)
-        emptiest, offers = np.argsort(-np.array(self.room), kind="stable")[:most], None
-        for k in rng.permutation(emptiest[np.array(self.room)[emptiest] > 0]):
+        size, room = self.sizes.__getitem__, np.array(self.room)
+        free = sorted(free, key=size)
+        emptiest, offers = np.argsort(-room, kind="stable")[:most], None
+        for k in rng.permutation(emptiest[room[emptiest] > 0]).tolist():
             if not free:
                 break
-            items, room = self.bins[k], self.room[k]
+            items, left = self.bins[k], self.room[k]
             few = items if len(items) <= 6 else [items[x] for x in rng.permutation(len(items))[:6]]
-            outs = [(), *[(i,) for i in few], *combinations(few, 2)]
-            weights = np.array([sum(self.sizes[i] for i in o) for o in outs])
+            outs, weights = _couples([size(i) for i in few])
             if offers is None:
                 offers = self._offers(free)
             ins, totals = offers
-            best = np.searchsorted(totals, weights + room, "right") - 1
-            gains = np.where(best >= 0, totals[best] - weights, 0)
+            best = np.searchsorted(totals, weights + np.int16(left), "right") - 1
+            gains = totals[best] - weights
             x = int(gains.argmax())
             if gains[x] <= 0:
                 continue
-            taken = {j for j in ins[best[x]] if j >= 0}
-            self._unfile(k)
-            self.bins[k] = [i for i in items if i not in outs[x]] + [free[j] for j in taken]
-            self.room[k] = room - int(gains[x])
-            self._file(k)
-            free = sorted([i for j, i in enumerate(free) if j not in taken] + list(outs[x]), key=self.sizes.__getitem__)
+            given = [few[j] for j in outs[:, x].tolist() if j >= 0]
+            taken = sorted((j for j in ins[:, best[x]].tolist() if j >= 0), reverse=True)
+            self._set(k, [i for i in items if i not in given] + [free[j] for j in taken], left - int(gains[x]))
+            for j in taken:
+                del free[j]
+            for i in given:
+                insort(free, i, key=size)
             offers = None
         return free
 
     def _offers(self, free: list[int], most: int = 64) -> tuple[np.ndarray, np.ndarray]:
-        """Places in free, one or two (else -1), and their sums, ascending; of a long list, evenly spaced ones."""
-        at = np.arange(len(free)) if len(free) <= most else np.linspace(0, len(free) - 1, most).astype(int)
-        values = np.array([self.sizes[free[j]] for j in at])
-        a, b = np.triu_indices(len(at), 1)
-        ins = np.concatenate([np.stack([at, np.full(len(at), -1)], 1), np.stack([at[a], at[b]], 1)])
-        totals = np.concatenate([values, values[a] + values[b]])
+        """Pairs of places in free (-1: none) and their sums, ascending; of a long list, evenly spaced places."""
+        n = len(free)
+        at = np.arange(n) if n <= most else np.arange(most) * (n - 1) // (most - 1)
+        pairs, totals = _couples([self.sizes[free[j]] for j in at.tolist()])
         order = np.argsort(totals, kind="stable")
-        return ins[order], totals[order]
+        return np.append(at, -1)[pairs[:, order]], totals[order]
 
     def fitness(self) -> tuple[int, float]:
         """Fewer bins first, then fuller ones: the sum of squared fills."""
-        return -len(self.bins), sum((CAPACITY - r) ** 2 for r in self.room) / CAPACITY**2
+        return -len(self.bins), float(((CAPACITY - np.array(self.room)) ** 2).sum()) / CAPACITY**2
+
+
+@lru_cache(maxsize=128)
+def _places(n: int) -> np.ndarray:
+    """Up to two of n places, -1 where there is none: none, each one, each two, as columns."""
+    a, b = np.triu_indices(n, 1)
+    one, none = np.arange(n), np.full(n, -1)
+    return np.stack([np.concatenate([[-1], one, a]), np.concatenate([[-1], none, b])])
+
+
+def _couples(sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The columns of _places and their sums, in 16 bits: twice the capacity fits, and such are sorted in linear time."""
+    pairs, values = _places(len(sizes)), np.array([*sizes, 0], np.int16)
+    return pairs, values[pairs[0]] + values[pairs[1]]
+
+
+def _of(sizes: list[int], bins: list[tuple[list[int], int]]) -> Packing:
+    """A packing of bins and their room."""
+    return Packing(sizes, [b for b, _ in bins], [r for _, r in bins])
 
 
 def _settled(p: Packing, displaced: list[int], rng: np.random.Generator) -> Packing:
@@ -251,17 +277,18 @@ def _settled(p: Packing, displaced: list[int], rng: np.random.Generator) -> Pack
 def crossover(one: Packing, other: Packing, rng: np.random.Generator, full: float) -> Packing:
     """Some well-filled bins of other go whole into one; bins of one that hold the same items are dissolved, and the
     items that thereby lost their place are fitted in again."""
-    good = [b for b, r in zip(other.bins, other.room) if CAPACITY - r >= full * CAPACITY] or other.bins
+    every = list(zip(other.bins, other.room))
+    good = [(b, r) for b, r in every if CAPACITY - r >= full * CAPACITY] or every
     share = rng.uniform(0.2, 0.7)
-    injected = [b for b, x in zip(good, rng.random(len(good))) if x < share]
-    taken = {i for b in injected for i in b}
+    injected = [b for b, x in zip(good, rng.random(len(good)).tolist()) if x < share]
+    taken = {i for b, _ in injected for i in b}
     kept, displaced = [], []
-    for b in one.bins:
+    for b, r in zip(one.bins, one.room):
         if taken.isdisjoint(b):
-            kept.append(b)
+            kept.append((b, r))
         else:
             displaced += [i for i in b if i not in taken]
-    return _settled(Packing(one.sizes, kept + injected), displaced, rng)
+    return _settled(_of(one.sizes, kept + injected), displaced, rng)
 
 
 def mutate(p: Packing, rng: np.random.Generator) -> Packing:
@@ -269,8 +296,8 @@ def mutate(p: Packing, rng: np.random.Generator) -> Packing:
     n = min(len(p.bins), int(rng.integers(3, 12)))
     empty = np.argsort(-np.array(p.room), kind="stable")[:n]
     loose = {*empty.tolist(), *rng.choice(len(p.bins), min(len(p.bins), 28, max(1, len(p.bins) // 20)), replace=False).tolist()}
-    kept = [b for k, b in enumerate(p.bins) if k not in loose]
-    return _settled(Packing(p.sizes, kept), [i for k in loose for i in p.bins[k]], rng)
+    kept = [x for k, x in enumerate(zip(p.bins, p.room)) if k not in loose]
+    return _settled(_of(p.sizes, kept), [i for k in loose for i in p.bins[k]], rng)
 
 
 def _noisy(sizes: list[int], rng: np.random.Generator) -> Packing:
