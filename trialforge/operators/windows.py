@@ -11,6 +11,8 @@ from .scan import WHOLE, scan
 PRE, POST, MASKED, LEAST_BASE, LEAST_F0 = 10, 60, (-1, 0, 1), 4, 1e-6
 #: Offsets of the response and the share of them that must be valid.
 RESPONSE, LEAST_SHARE = (2, 30), 0.5
+#: Frames that are dealt together: some windows long, so that few windows touch two.
+BLOCK = 256
 
 
 def schedule(stimuli: DataFrame, key: str = "recording_id", frame: str = "stim_frame", tie: str = "event_index") -> DataFrame:
@@ -41,6 +43,27 @@ def between(trials: DataFrame, samples: DataFrame, first: str, past: str, key: s
     return frames.join(samples, [key, "frame"])
 
 
+def in_blocks(samples: DataFrame, block: int = BLOCK) -> DataFrame:
+    """samples with the number of their block of so many frames; null without a frame."""
+    return samples.withColumn("block", F.floor(F.col("frame") / block).cast("int"))
+
+
+def window_blocks(trials: DataFrame, pre: int = PRE, post: int = POST, block: int = BLOCK) -> DataFrame:
+    """trials, once for each block of frames that their windows touch."""
+    first, last = F.greatest(F.col("stim_frame") - pre, F.lit(0)), F.col("stim_frame") + post - 1
+    at = lambda frame: F.floor(frame / block).cast("int")
+    return trials.filter(last >= 0).withColumn("block", F.explode(F.sequence(at(first), at(last))))
+
+
+def align_blocks(trials: DataFrame, samples: DataFrame, key: str = "recording_id", pre: int = PRE, post: int = POST) -> DataFrame:
+    """As align, of window_blocks() and in_blocks(): an equi join on (recording, block), in which a sample meets only the
+    windows that touch its block. Tables laid out by these two columns are merged where they lie."""
+    offset = F.col("frame") - F.col("stim_frame")
+    met = trials.hint("merge").join(samples, [key, "block"]).withColumn("offset", offset).drop("block")
+    inside = F.col("offset").between(-pre, post - 1)
+    return met.filter(inside & (F.col("next_stim_frame").isNull() | (F.col("frame") < F.col("next_stim_frame")) | (F.col("offset") < 0)))
+
+
 def masked(offset: Column) -> Column:
     return offset.isin(*MASKED)
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import tables
 from ..operators import scan, scoring, windows
+from ..sources import layout
 from .base import r6, read, samples, series, trials, with_series
 
 TRACE = ["recording_id", "trial_id", "event_index"]
@@ -42,8 +43,20 @@ def trial_schedule(spark, d):
     return trials(spark, d).select("trial_id", "stim_index", "stim_frame", "next_stim_frame", "previous_trial_id", (F.col("stim_frame") - F.col("previous_stim_frame")).alias("since_previous"), "same_frame")
 
 
+def _extent(rows):
+    return rows.groupBy("trial_id").agg(F.count("*").alias("n"), F.count_if("valid").alias("n_valid"), F.min("offset").alias("first_offset"), F.max("offset").alias("last_offset"))
+
+
 def event_windows(spark, d):
-    return _aligned(spark, d).groupBy("trial_id").agg(F.count("*").alias("n"), F.count_if("valid").alias("n_valid"), F.min("offset").alias("first_offset"), F.max("offset").alias("last_offset"))
+    return _extent(_aligned(spark, d))
+
+
+def laid_out_windows(spark, d):
+    """event_windows over tables that are laid out for it first."""
+    s = tables.scratch(series(spark, d))
+    stimuli = s.filter("event_type = 'error'").select("recording_id", F.col("frame").alias("stim_frame"), "event_index")
+    laid = layout.lay_out_windows(windows.schedule(stimuli), s.select("recording_id", "frame", "value", "valid"), tables.new_path(spark))
+    return _extent(windows.align_blocks(*laid))
 
 
 def window_baseline_dff(spark, d):
@@ -283,9 +296,12 @@ def strata(spark, d):
     return n.agg(F.count_if(c == 1).alias("one"), F.count_if(c == 2).alias("two"), F.count_if(c.between(3, 4)).alias("three_four"), F.count_if(c.between(5, 9)).alias("five_nine"), F.count_if(c >= 10).alias("ten_up"))
 
 
+EXTENT = with_series("SELECT trial_id, count(*) AS n, count(*) FILTER (WHERE valid) AS n_valid, min(o) AS first_offset, max(o) AS last_offset FROM win GROUP BY trial_id")
+
 QUERIES = {
     "trial_schedule": (trial_schedule, with_series("SELECT trial_id, stim_index, stim_frame, next_stim_frame, previous_trial_id, stim_frame - previous_stim_frame AS since_previous, same_frame FROM trials")),
-    "event_windows": (event_windows, with_series("SELECT trial_id, count(*) AS n, count(*) FILTER (WHERE valid) AS n_valid, min(o) AS first_offset, max(o) AS last_offset FROM win GROUP BY trial_id")),
+    "event_windows": (event_windows, EXTENT),
+    "laid_out_windows": (laid_out_windows, EXTENT),
     "window_baseline_dff": (window_baseline_dff, with_series("SELECT trial_id, n_base, round(f0, 6) AS f0, round(pre_sd, 6) AS pre_sd FROM base")),
     "dff_samples": (dff_samples, with_series("SELECT trial_id, o AS \"offset\", round(dff, 6) AS dff, ok AS dff_valid FROM dff")),
     "response_amplitude": (response_amplitude, with_series("SELECT trial_id, round(amplitude, 6) AS amplitude, n_response FROM amp")),
