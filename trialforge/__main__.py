@@ -1,4 +1,4 @@
-"""Commands: query, sources, import, splits, rule, simulate, search, control."""
+"""Commands: query, sources, import, audit, splits, rule, simulate, search, control."""
 
 from __future__ import annotations
 
@@ -81,6 +81,26 @@ def import_(a) -> int:
     return int(a.strict and bad > 0)
 
 
+def audit(a) -> int:
+    """Lay out an import's windows, write the audit's tables and its report; exit 1 where no target can be held out."""
+    import hashlib
+
+    from pyspark.sql import functions as F
+
+    from . import audit as au
+    from .sources import layout
+
+    spark = _spark()
+    layout.prepare(spark, a.folder, f"{a.out}/laid")
+    source = hashlib.sha256("\n".join(sorted(r[0] for r in spark.read.parquet(f"{a.folder}/manifest").select(F.to_json(F.struct("*"))).collect())).encode()).hexdigest()
+    t = au.Thresholds(seed=a.seed, draws=a.draws)
+    text = au.write(au.audit(spark, a.folder, f"{a.out}/laid", t), a.out, source, t)
+    Path(a.report).write_text(text)
+    go = spark.read.parquet(f"{a.out}/facts").filter("section = 'go'").first()["value"]
+    print("go" if go else "no-go", int(go))
+    return int(not go)
+
+
 def control(a) -> int:
     """The verdict on a rule, from a table of held-out scores per animal and one of coverage per level (CSV)."""
     import pandas as pd
@@ -155,6 +175,12 @@ def main(argv: list[str] | None = None) -> int:
         i.add_argument(name)
     i.add_argument("--strict", action="store_true")
     i.set_defaults(run=import_)
+    u = sub.add_parser("audit")
+    for name in ("folder", "out", "report"):
+        u.add_argument(name)
+    for name, default in (("draws", 2000), ("seed", 20261008)):
+        u.add_argument(f"--{name}", type=int, default=default)
+    u.set_defaults(run=audit)
     c = sub.add_parser("control")
     for name in ("scores", "coverage"):
         c.add_argument(name)

@@ -25,9 +25,9 @@ def leave_one_out(rows: DataFrame, group: str) -> DataFrame:
     return ordered(rows.select(group).distinct(), [], [F.col(group)], "fold").withColumn("fold", F.col("fold").cast("int"))
 
 
-def nested(rows: DataFrame, group: str, k: int, inner: int, seed: int) -> DataFrame:
-    """outer, role (train or test), inner fold (null for test), group."""
-    outer = kfold(rows, group, k, seed, "outer")
+def nested(rows: DataFrame, group: str, k: int, inner: int, seed: int, outer: DataFrame | None = None) -> DataFrame:
+    """outer, role (train or test), inner fold (null for test), group. outer: group and fold, where they aren't k by hash."""
+    outer = kfold(rows, group, k, seed, "outer") if outer is None else outer
     folds = outer.select(F.col("fold").alias("outer")).distinct()
     train = folds.join(outer, F.col("outer") != F.col("fold")).drop("fold")
     scope = F.concat(F.lit("inner"), F.col("outer").cast("string"))

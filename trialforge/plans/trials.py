@@ -8,7 +8,7 @@ from statistics import NormalDist
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .. import tables
+from .. import audit, tables
 from ..operators import scan, scoring, windows
 from ..sources import layout
 from .base import r6, read, samples, series, trials, with_series
@@ -86,6 +86,13 @@ def pair_coverage(spark, d):
     return out.select("target", "responder", "n_trials", "n_animals", r6("mean").alias("mean"), r6("sd").alias("sd"), r6(t).alias("t"), r6("between").alias("between_sd"))
 
 
+def pair_variance(spark, d):
+    """The audit's table of pairs: amplitude, t, and the variance within and between animals."""
+    per = _pairs(spark, d).select("amplitude", F.col("animal").alias("animal_id"), F.col("target").alias("target_neuron_id"), F.col("responder").alias("neuron_id"), (F.col("target") == F.col("responder")).alias("is_target"))
+    x = audit.pair_coverage(per)
+    return x.select("target", "responder", "n_trials", "n_animals", r6("sd_amplitude").alias("sd"), r6("t_statistic").alias("t"), r6("within_animal_variance").alias("within"), r6("between_animal_variance").alias("between"))
+
+
 def target_eligibility(spark, d):
     p = _pairs(spark, d).filter("amplitude is not null")
     auto = p.filter("target = responder").groupBy("target").agg(F.count_distinct("animal").alias("n_auto"))
@@ -309,6 +316,10 @@ QUERIES = {
     "pair_coverage": (pair_coverage, with_series(PAIRS + """, one AS (SELECT target, responder, animal, avg(amplitude) AS m, count(*) AS n, sum(amplitude) AS s, sum(amplitude * amplitude) AS q FROM pairs WHERE amplitude IS NOT NULL AND target <> responder GROUP BY ALL),
 two AS (SELECT target, responder, sum(n) AS n, count(*) AS a, sum(s) / sum(n) AS mean, CASE WHEN sum(n) > 1 THEN sqrt(greatest((sum(q) - sum(s) * sum(s) / sum(n)) / nullif(sum(n) - 1, 0), 0.0)) END AS sd, stddev_samp(m) AS b FROM one GROUP BY ALL)
 SELECT target, responder, CAST(n AS BIGINT) AS n_trials, a AS n_animals, round(mean, 6) AS mean, round(sd, 6) AS sd, round(mean / nullif(sd / sqrt(n), 0.0), 6) AS t, round(b, 6) AS between_sd FROM two""")),
+    "pair_variance": (pair_variance, with_series(PAIRS + """, one AS (SELECT target, responder, animal, count(*) AS n, avg(amplitude) AS m, var_pop(amplitude) AS v FROM pairs WHERE amplitude IS NOT NULL AND target <> responder GROUP BY ALL),
+two AS (SELECT target, responder, CAST(sum(n) AS BIGINT) AS n, count(*) AS k, sum(n * m) / sum(n) AS mean, sum(n * v) AS w, greatest(sum(n * m * m) - sum(n * m) * sum(n * m) / sum(n), 0.0) AS b, sum(n * n) AS nn FROM one GROUP BY ALL),
+three AS (SELECT *, sqrt((w + b) / nullif(n - 1, 0)) AS sd, CASE WHEN k > 1 THEN w / nullif(n - k, 0) END AS within, (n - nn / n) / nullif(k - 1, 0) AS size FROM two)
+SELECT target, responder, n AS n_trials, k AS n_animals, round(sd, 6) AS sd, round(mean / nullif(sd / sqrt(n), 0.0), 6) AS t, round(within, 6) AS within, round(CASE WHEN within IS NOT NULL THEN greatest((b / nullif(k - 1, 0) - within) / size, 0.0) END, 6) AS "between" FROM three""")),
     "target_eligibility": (target_eligibility, with_series(PAIRS + """, p AS (SELECT * FROM pairs WHERE amplitude IS NOT NULL),
 x AS (SELECT target, count(DISTINCT animal) FILTER (WHERE target = responder) AS n_auto, (SELECT count(*) FROM (SELECT responder FROM p q WHERE q.target = p.target AND q.target <> q.responder GROUP BY responder HAVING count(DISTINCT animal) >= 2)) AS n_resp FROM p GROUP BY target)
 SELECT target, n_auto, n_resp, n_auto >= 3 AND n_resp >= 2 AS eligible, concat_ws(',', CASE WHEN n_auto < 3 THEN 'autoresponse' END, CASE WHEN n_resp < 2 THEN 'responders' END) AS reasons FROM x""")),

@@ -78,10 +78,10 @@ def prepare(spark: SparkSession, folder: str, out: str, buckets: int | None = No
 
 
 def traces(spark: SparkSession, folder: str, out: str) -> DataFrame:
-    """trial_id, recording_id, roi_index, neuron_id, target_neuron_id, is_target, offset, dff, dff_valid, f0, pre_sd: each
-    region's dF/F around each stimulus, from the tables that prepare() laid out.
+    """trial_id, recording_id, roi_index, neuron_id, target_neuron_id, is_target, offset, dff, dff_valid, f0, pre_sd,
+    raw: each region's dF/F around each stimulus, from the tables that prepare() laid out.
 
-    A trace has up to 70 rows; invalid and masked samples are 0 and not valid. A region without a row in neurons has no
+    A trace has up to 70 rows; invalid and masked samples are 0 and not valid. raw is dF/F before masking, null where invalid. A region without a row in neurons has no
     neuron_id.
     """
     kept = ["trial_id", "recording_id", "stim_frame", "next_stim_frame", "target_roi_index", "target_neuron_id", "block"]
@@ -90,4 +90,5 @@ def traces(spark: SparkSession, folder: str, out: str) -> DataFrame:
     rows = windows.dff(windows.align_blocks(w, s), ["trial_id", "recording_id", "roi_index"], "gcamp", "gcamp_valid")
     who = analysis_tables(spark, folder)["neurons"].select("recording_id", "roi_index", "neuron_id")
     target = F.coalesce(F.col("roi_index") == F.col("target_roi_index"), F.lit(False)).alias("is_target")
-    return rows.join(who, ["recording_id", "roi_index"], "left").select("trial_id", "recording_id", "roi_index", "neuron_id", "target_neuron_id", target, "offset", "dff", "dff_valid", "f0", "pre_sd")
+    raw = F.when(F.col("gcamp_valid"), F.try_divide(F.col("gcamp") - F.col("f0"), F.col("f0"))).alias("raw")
+    return rows.join(who, ["recording_id", "roi_index"], "left").select("trial_id", "recording_id", "roi_index", "neuron_id", "target_neuron_id", target, "offset", "dff", "dff_valid", "f0", "pre_sd", raw)
