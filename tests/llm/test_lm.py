@@ -137,3 +137,27 @@ def test_runs_of_texts():
         assert lm.read(column, lm.Words())[0].tolist() == want
     finally:
         lm.Words.MOST = most
+
+
+def test_counts_travel_packed(spark):
+    """What is dealt between tasks takes few bytes and few rows, and comes back as it was."""
+    rng = np.random.default_rng(3)
+    for k in (np.sort(rng.integers(-(1 << 63), (1 << 63) - 1, 500)), np.array([-(1 << 63), -1, 0, (1 << 63) - 1]), np.zeros(0, np.int64)):
+        n, x = rng.integers(-5, 5, len(k)), rng.normal(size=len(k))
+        back = lm.unpack(lm.pack(k, n, x), np.int64, np.int64, np.float64)
+        assert all(a.dtype == b.dtype and a.tolist() == b.tolist() for a, b in zip(back, (k, n, x)))
+    a, b = rng.zipf(1.3, 40_000) % 20_000, rng.integers(0, 20_000, 40_000)
+    k, n = np.unique(a << 21 | b, return_counts=True)
+    assert len(lm.pack(k, np.zeros_like(k), n)) < 4 * len(k)  # 24 bytes a row, and 10 in a shuffle, before
+    docs = spark.createDataFrame([(" ".join(f"w{i * 7 % 997}" for i in range(j, j + 400)),) for j in range(50)], "text string")
+    found = {r.k: r.n for r in lm._sums(docs, lm.Singles).collect()}
+    want = Counter(w for r in docs.collect() for w in toks(r.text))
+    assert found == {lm.key_of(w): n for w, n in want.items()}
+
+
+def test_words_of_any_length_have_keys_of_their_own():
+    words = [b"a" * i for i in range(1, 140)] + [b"a" * i + b"\x00" for i in range(140)] + ["é".encode() * 33, "É".encode() * 33]
+    column = pa.array([b" ".join(words).upper().decode("utf-8"), " \t\x0b\x0c a\x1cb\u0085 "])
+    keys, before, sizes = lm.read(column, lm.Words())
+    assert sizes.tolist() == [len(words) + 1, 2] and len(set(keys.tolist())) == len(set(words)) + 2
+    assert keys.tolist() == [lm.key_of(w) for w in [*words, b"\n", "a\x1cb\u0085".encode(), b"\n"]]

@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from ..tables import mark, release, scratch, settle
+from ..tables import mark, new_path, release, scratch, settle
 from .common import table
 
 END = b"\n"  # the end token: no word can be this
@@ -35,19 +36,39 @@ class Settings:
     held_arcs: int = 1_000_000
 
 
+#: Words of at most so many bytes are hashed many at once, eight bytes a step.
+SHORT = 64
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """A turn of a 64-bit hash; no two values become one."""
+    for shift, factor in ((33, 0xFF51AFD7ED558CCD), (33, 0xC4CEB9FE1A85EC53), (33, 0)):
+        h = h ^ (h >> np.uint64(shift))
+        h = h * np.uint64(factor) if factor else h
+    return h
+
+
+def _short_keys(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Keys of the words of size bytes, 1 up to SHORT, that begin at first. At least 7 bytes follow the last one."""
+    eight = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+    h, at, step = _mixed(size.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)), np.arange(len(first)), 0
+    while len(at):
+        left = np.minimum(size[at] - step, 8)
+        block = eight[first[at] + step] & (~np.uint64(0) >> (64 - 8 * left).astype(np.uint64))
+        h[at] = _mixed(h[at] ^ block)
+        step += 8
+        at = at[size[at] > step]
+    return h.view(np.int64)
+
+
 def key_of(word: bytes) -> int:
     """64-bit signed hash of a token."""
+    if len(word) <= SHORT:
+        return int(_short_keys(np.frombuffer(word + bytes(8), np.uint8), np.zeros(1, np.int64), np.array([len(word)]))[0])
     h = xxhash.xxh3_64_intdigest(word)
     return h - (1 << 64) if h >> 63 else h
 
 
-def tokens(text: str | None) -> list[bytes]:
-    """Words in lower case, then the end. On bytes, lower() and split() know A-Z, space and U+0009 to U+000D alone."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    words.append(END)
-    return words
-
-
 def pair_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """64-bit keys of pairs of token keys: a turned by one bit, and b."""
     return (a << 1 | (a >> 63 & 1)) ^ b
@@ -71,7 +92,7 @@ def may_hold(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 class Words(dict):
-    """Word to key; as many words as fit are remembered."""
+    """Long word to key; as many words as fit are remembered."""
 
     MOST = 300_000
 
@@ -94,17 +115,65 @@ def batches(column: pa.Array, most: int = 2_000_000) -> Iterator[tuple[int, int]
         yield first, len(column)
 
 
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_LETTER = np.ones(256, bool)
+_LETTER[[32, *range(9, 14)]] = False
+
+
 def read(texts: pa.Array, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of all tokens of the texts, of the token before each (the end, before a text's first), and each text's number of tokens."""
-    lists = [tokens(t.as_py()) for t in texts]
-    sizes = np.array([len(x) for x in lists], np.int64)
-    keys = np.fromiter(map(words.__getitem__, chain.from_iterable(lists)), np.int64, int(sizes.sum()))
+    """Keys of all tokens of the texts, of the token before each (the end, before a text's first), and each text's number of tokens.
+
+    Tokens are the words, A-Z in lower case, between space and U+0009 to U+000D, then the end."""
+    raw = [t or b"" for t in texts.cast(pa.binary()).to_pylist()]
+    data = _LOWER[np.frombuffer(END.join(raw) + END + bytes(8), np.uint8)]
+    past = np.cumsum([len(t) + 1 for t in raw], dtype=np.int64)
+    letter = _LETTER[data]
+    letter[len(data) - 8 :] = False
+    edge = np.flatnonzero(np.diff(letter, prepend=False))
+    first, size = edge[::2], edge[1::2] - edge[::2]
+    text = np.searchsorted(past, first, "right")
+    sizes = np.bincount(text, minlength=len(raw)) + 1
+    own = np.empty(len(first), np.int64)
+    short = size <= SHORT
+    own[short] = _short_keys(data, first[short], size[short])
+    for i in np.flatnonzero(~short).tolist():
+        own[i] = words[data[first[i] : first[i] + size[i]].tobytes()]
+    end = key_of(END)
+    keys = np.full(int(sizes.sum()), end, np.int64)
+    keys[np.arange(len(own)) + text] = own
     before = np.empty_like(keys)
     before[1:] = keys[:-1]
-    before[np.cumsum(sizes) - sizes] = words[END]
+    before[np.cumsum(sizes) - sizes] = end
     return keys, before, sizes
 
 
+def pack(*columns: np.ndarray) -> bytes:
+    """Columns of 8 bytes a value and one length as one value for a shuffle: the first, which ascends, by its steps, each
+    byte of a number beside the same one of the others, so that high bytes take no room."""
+    first, *rest = columns
+    planes = [np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8).T.tobytes() for x in (np.diff(first, prepend=first.dtype.type(0)), *rest)]
+    return len(first).to_bytes(8, "little") + pa.compress(b"".join(planes), "zstd", asbytes=True)
+
+
+def unpack(raw: bytes, *kinds: type) -> list[np.ndarray]:
+    """The columns, of these kinds, that pack() took."""
+    n = int.from_bytes(raw[:8], "little")
+    planes = np.frombuffer(pa.decompress(raw[8:], 8 * n * len(kinds), "zstd", asbytes=True), np.uint8).reshape(len(kinds), 8, n)
+    out = [np.ascontiguousarray(p.T).view(k).ravel() for p, k in zip(planes, kinds)]
+    return [np.cumsum(out[0], dtype=kinds[0]), *out[1:]]
+
+
+def _dealt(at: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(bucket, rows) of all buckets that have rows: at, a hash or a place, modulo parts. The rows keep their order."""
+    bucket = at % parts
+    order = np.argsort(bucket.astype(np.uint16) if parts <= 1 << 16 else bucket, kind="stable")
+    ends = np.cumsum(np.bincount(bucket, minlength=parts))
+    for p, rows in enumerate(np.split(order, ends[:-1])):
+        if len(rows):
+            yield p, rows
+
+
 def find(held: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Place of each key in held, which is sorted, or -1."""
     if not len(held) or not len(keys):
@@ -177,27 +246,54 @@ def _counted(text: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return text[new], keys[new], np.diff(np.append(new, len(text)))
 
 
-def _sums(texts: DataFrame, count, names: tuple[str, ...] = ("k",)) -> DataFrame:
-    """names and n: sums over all texts of what count() yields for runs of texts, added up in the task first."""
+def _freed() -> None:
+    """Hand back what a task has allocated: its worker waits for the next task beside the executor's other memory."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
-    def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _sums(texts: DataFrame, count, least: int = 1) -> DataFrame:
+    """k, a and n: sums over all texts of what count() yields for runs of texts, of those that come to least or more.
+
+    Each task adds up first and deals what it has by key into buckets, packed; four buckets for each shuffle partition,
+    so their size does not grow with the input.
+    """
+    spark = texts.sparkSession
+    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def work(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, words = count(), Words()
-        for b in parts:
+        for b in batches_:
             for first, past in batches(b.column(0)):
                 for found in total.add(*read(b.column(0).slice(first, past - first), words)):
-                    yield from _cut(found)
+                    yield from dealt(*found)
         for found in total.rest():
-            yield from _cut(found)
+            yield from dealt(*found)
+        total = found = None
+        _freed()
+
+    def dealt(k: np.ndarray, a: np.ndarray, n: np.ndarray, by: int, kind: int) -> Iterator[pa.RecordBatch]:
+        for p, rows in _dealt(k >> by, parts):
+            for i in range(0, len(rows), PACKED):
+                own = rows[i : i + PACKED]
+                yield pa.RecordBatch.from_pydict({"bucket": [kind * parts + p], "packed": [pack(k[own], a[own], n[own])]}, pa.schema([("bucket", pa.int32()), ("packed", pa.binary())]))
 
-    def _cut(found: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
-        for a in range(0, len(found[0]), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 100_000], pa.int64()) for x in found], names=[*names, "n"])
+    def added(bucket: pa.Table) -> pa.Table:
+        k, a, n = (np.concatenate(x) for x in zip(*(unpack(x, np.int64, np.int64, np.int64) for x in bucket.column("packed").to_pylist())))
+        order = np.argsort(k, kind="stable")
+        k, a, n = k[order], a[order], n[order]
+        new = np.flatnonzero(np.diff(k, prepend=~k[:1]))
+        n = np.add.reduceat(n, new)
+        enough = n >= least
+        return pa.table({"k": k[new][enough], "a": a[new][enough], "n": n[enough]})
 
-    ship(texts.sparkSession)
-    return texts.select("text").mapInArrow(work, ", ".join(f"{c} long" for c in (*names, "n"))).groupBy(*names).agg(F.sum("n").alias("n"))
+    ship(spark)
+    return texts.select("text").mapInArrow(work, "bucket int, packed binary").groupBy("bucket").applyInArrow(added, "k long, a long, n long")
 
 
-FLUSH = 4_500_000  # tokens or pairs that a task counts at once, 36 MB a column
+FLUSH = 3_000_000  # tokens or pairs that a task counts at once, 24 MB a column
+PACKED = 100_000  # that are packed as one value at most
 
 
 class Singles:
@@ -212,7 +308,12 @@ class Singles:
         return self.rest() if self.held >= FLUSH else ()
 
     def rest(self):
-        out = [np.unique(np.concatenate(self.found), return_counts=True)] if self.found else []
+        out = []
+        if self.found:
+            k = np.concatenate(self.found)
+            self.found.clear()
+            k, n = np.unique(k, return_counts=True)
+            out.append((k, np.zeros_like(k), n, 0, 0))
         self.found, self.held = [], 0
         return out
 
@@ -238,13 +339,14 @@ class Pairs:
     def rest(self):
         out = []
         if self.near:
-            values, n = np.unique(np.concatenate(self.near), return_counts=True)
-            out.append((values, np.zeros_like(values), n))
+            values = np.concatenate(self.near)
             self.near.clear()
+            values, n = np.unique(values, return_counts=True)
+            out.append((values, np.zeros_like(values), n, 21, 0))  # dealt by the first token, so that the steps are small
             k, a = (np.concatenate(x) for x in zip(*self.far))
             self.far.clear()
             values, at, n = np.unique(k, return_index=True, return_counts=True)
-            out.append((values, a[at], n))
+            out.append((values, a[at], n, 0, 1))
         self.near, self.far, self.count = [], [], 0
         return out
 
@@ -262,6 +364,17 @@ def _near(pairs: DataFrame, shared) -> DataFrame:
     return pairs.select("k", "n").mapInArrow(work, "a long, b long, n long, ca long, cb long")
 
 
+def _with_back(pairs: DataFrame, shared) -> DataFrame:
+    """a, b, n, ca, cb and back of pairs whose first token is held: shared has the held keys and their failure weights."""
+
+    def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, back = shared.value
+        for batch in parts:
+            yield batch.append_column("back", pa.array(back[np.searchsorted(keys, batch.column("a").to_numpy())]))
+
+    return pairs.select("a", "b", "n", "ca", "cb").mapInArrow(work, "a long, b long, n long, ca long, cb long, back double")
+
+
 def _floor(rows: DataFrame, most: int, n: str = "n") -> int:
     """The least count such that at most so many rows have it or more."""
     by = rows.groupBy(n).agg(F.count("*").alias("m")).orderBy(F.desc(n)).toArrow()
@@ -277,7 +390,7 @@ def train(docs: DataFrame, s: Settings = Settings()) -> Model:
     bit maps of one size. Null texts: empty. No documents: every token is unknown.
     """
     spark, before = docs.sparkSession, mark()
-    counts = scratch(_sums(docs, Singles))
+    counts = scratch(_sums(docs, Singles).select("k", "n"))
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     unit = float(n + 0.5 * (v + 1))
     held = _floor(counts, min(s.held, (1 << 21) - 1))
@@ -287,7 +400,7 @@ def train(docs: DataFrame, s: Settings = Settings()) -> Model:
     some = counts.filter(F.col("n") >= s.least)  # no pair is more frequent than its tokens
     shared = spark.sparkContext.broadcast((keys, state_counts, bit_map(some)))
     counted = mark()
-    pairs = scratch(_sums(docs, lambda: Pairs(shared.value[0], shared.value[2]), ("k", "a")).filter(F.col("n") >= s.least))
+    pairs = scratch(_sums(docs, lambda: Pairs(shared.value[0], shared.value[2]), s.least))
     turned = F.expr("shiftleft(a, 1) | shiftrightunsigned(a, 63)")
     far = pairs.filter("a <> 0").select("a", turned.bitwiseXOR(F.col("k")).alias("b"), "n")
     far = far.join(some.select(F.col("k").alias("b"), F.col("n").alias("cb")), "b").join(some.select(F.col("k").alias("a"), F.col("n").alias("ca")), "a")
@@ -307,7 +420,10 @@ def train(docs: DataFrame, s: Settings = Settings()) -> Model:
     if len(keys):
         back[np.searchsorted(keys, weights["a"].to_numpy())] = weights["back"].to_numpy()
     delta = p - F.col("back") - F.log10((F.col("cb") + 0.5) / F.lit(unit))
-    far = pairs.filter(~near).join(backs.select("a", "back"), "a").select(k, F.lit(None).cast("long").alias("c"), delta.alias("w"))
+    rest, from_held = pairs.filter(~near), F.col("ca") >= held
+    known = _with_back(rest.filter(from_held), spark.sparkContext.broadcast((keys, back)))  # no join for these
+    rare = rest.filter(~from_held).join(backs.filter(~from_held).select("a", "back"), "a").select(*known.columns)
+    far = known.union(rare).select(k, F.lit(None).cast("long").alias("c"), delta.alias("w"))
     own = counts.join(backs.select(F.col("a").alias("k"), "back"), "k", "left").select("k", F.col("n").alias("c"), F.coalesce("back", F.lit(0.0)).alias("w"))
     entries = settle(own.union(far), before)  # the counts have done their work
     far = entries.filter("c is null")
@@ -315,47 +431,97 @@ def train(docs: DataFrame, s: Settings = Settings()) -> Model:
     return Model(keys, np.log10((state_counts + 0.5) / unit), back, arcs["k"].to_numpy()[by_key], arcs["w"].to_numpy()[by_key], bits, entries, n, v, s)
 
 
-KINDS = 5  # of rows that a document has in the join: its score, base and number of tokens, other tokens, other pairs
+TEXTS = 100_000  # in a chunk at most
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score and score (log10), one row per row of docs, in one traversal per text.
 
-    The automaton is broadcast (see train for its bound). What other tokens and arcs add is looked up by a join of
-    (document, key) with the model's entries, summed per document. Null text: only the end. Null doc_id stays null.
+    The automaton is broadcast (see train for its bound). A task works texts in chunks: it writes what is held, and what
+    other tokens and arcs add is asked of the model's entries by (key, place of the text in its chunk), dealt by key into
+    buckets; each bucket answers a chunk with a sum for each text. Null text: only the end. Null doc_id stays null.
     Repeated rows each get theirs. Empty table: empty result. Other columns are left out.
     """
-    ship(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model.automaton())
+    spark = docs.sparkSession
+    ship(spark)
+    shared = spark.sparkContext.broadcast(model.automaton())
     unit = model.n + 0.5 * (model.v + 1)
     kind = dict(docs.dtypes)["doc_id"]
+    parts = -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // 3)  # few, so that a text's sums are few
 
-    def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine, words = shared.value, Words()
-        for b in parts:
+    def work(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine, words, part, chunk = shared.value, Words(), TaskContext.get().partitionId(), 0
+        held, place, size, ids = [], 0, 0, None
+        for b in rows:
+            ids = b.schema.field("doc_id").type
             for first, past in batches(b.column("text")):
-                part = b.slice(first, past - first)
-                keys, before, sizes = read(part.column("text"), words)
-                *sums, rest = machine.run(keys, before, sizes)
-                h, every = part.column("h").to_numpy(zero_copy_only=False), np.arange(len(part))
-                cols = [(every, h + j, np.full(len(part), j), x.astype(np.float64)) for j, x in enumerate(sums)]  # heads
-                cols += [(text, key, KINDS * n + j, np.zeros(len(text))) for j, (text, key, n) in enumerate(rest, 3)]
-                text, key, what, value = (np.concatenate(x) for x in zip(*cols))
-                own = pa.array(text)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(own), part.column("h").take(own), pa.array(what, pa.int64()), pa.array(key), pa.array(value)], names=["doc_id", "h", "kind", "k", "value"])
-
-    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))  # h tells texts of one doc_id apart; equal ones are one
-    parts = rows.mapInArrow(work, f"doc_id {kind}, h long, kind long, k long, value double")
-    met = parts.join(model.entries, "k", "left")
-    what, n = F.col("kind") % KINDS, F.expr(f"kind div {KINDS}")
-    c, w = F.coalesce("c", F.lit(0)), n * F.coalesce("w", F.lit(0.0))
-    more = n * F.log10((c + 0.5) / F.lit(float(unit)))
-    at = lambda *cases: F.coalesce(*[F.when(what == k, x) for k, x in cases], F.lit(0.0))
-    given = F.col("value").cast("long")
-    met = met.select("doc_id", "h", (what == 0).cast("int").alias("head"), F.when(what == 2, given).when(what == 3, n).otherwise(0).alias("n"), at((1, F.col("value")), (3, more)).alias("base"), at((0, F.col("value")), (3, more + w), (4, w)).alias("score"), F.when(what == 2, given).when((what == 3) & (c > 0), n).otherwise(0).alias("known"))
-    out = met.groupBy("doc_id", "h").agg(F.sum("head").cast("int").alias("m"), *[F.sum(x).alias(x) for x in ("n", "base", "score", "known")])
-    each = out.withColumn("__", F.explode(F.array_repeat(F.lit(0), F.col("m"))))  # equal rows were summed together
-    return each.select("doc_id", F.expr("n div m").alias("n_tokens"), F.expr("known div m").alias("n_known"), (F.col("base") / F.col("m")).alias("base_score"), (F.col("score") / F.col("m")).alias("score"))
+                own = b.slice(first, past - first)
+                keys, before, sizes = read(own.column("text"), words)
+                total, base, known, rest = machine.run(keys, before, sizes)
+                places = np.arange(place, place + len(own))
+                yield _rows(len(own), chunk=np.full(len(own), part << 32 | chunk), doc_id=own.column("doc_id"), place=places, n=sizes, known=known, base=base, score=total)
+                held += [(text + place, key, 2 * n + j) for j, (text, key, n) in enumerate(rest)]
+                place, size = place + len(own), size + sum(len(x[0]) for x in rest)
+                if size >= FLUSH // 4 or place >= TEXTS:
+                    yield from asked(held, part << 32 | chunk, ids)
+                    held, place, size, chunk = [], 0, 0, chunk + 1
+        if held:
+            yield from asked(held, part << 32 | chunk, ids)
+        del held
+        _freed()
+
+    def _rows(m: int, **columns) -> pa.RecordBatch:
+        ids = columns["doc_id"].type
+        schema = pa.schema([("chunk", pa.int64()), ("doc_id", ids), ("place", pa.int64()), ("n", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("bucket", pa.int32()), ("packed", pa.binary())])
+        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns and f.name != "doc_id" else columns.get(f.name, pa.nulls(m, f.type)) for f in schema], schema=schema)
+
+    def asked(held: list[tuple[np.ndarray, ...]], chunk: int, ids: pa.DataType) -> Iterator[pa.RecordBatch]:
+        text, key, what = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(key, kind="stable")
+        text, key, what = text[order], key[order], what[order]
+        for p, own in _dealt(key, parts):
+            for i in range(0, len(own), PACKED):
+                x = own[i : i + PACKED]
+                yield _rows(1, chunk=[chunk], doc_id=pa.nulls(1, ids), bucket=[p], packed=[pack(key[x], text[x], what[x])])
+
+    def answered(asks: pa.Table, entries: pa.Table) -> pa.Table:
+        k, c, w = (entries.column(x).combine_chunks() for x in ("k", "c", "w"))
+        order = np.argsort(k.to_numpy())
+        k = k.to_numpy()[order]
+        c, w = np.append(c.fill_null(0).to_numpy()[order], 0), np.append(w.to_numpy()[order], 0.0)
+        single = np.log10((c + 0.5) / unit)
+        out = []
+        for raw in asks.column("packed").to_pylist():
+            key, text, what = unpack(raw, np.int64, np.int64, np.int64)
+            at, n, token = find(k, key), what >> 1, what & 1 == 0
+            more = np.where(token, n * single[at], 0.0)
+            texts, back = np.unique(text, return_inverse=True)
+            sums = [np.bincount(back, x, len(texts)) for x in (more + n * w[at], more)]
+            known = np.bincount(back, np.where(token & (c[at] > 0), n, 0), len(texts)).astype(np.int64)
+            some = (sums[0] != 0) | (sums[1] != 0) | (known > 0)
+            out.append(pack(texts[some], *[x[some] for x in sums], known[some]))
+        _freed()
+        return pa.table({"chunk": asks.column("chunk"), "packed": pa.array(out, pa.binary())})
+
+    def added(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        place = texts.column("place").to_numpy()
+        score, base, known = (texts.column(x).to_numpy().copy() for x in ("score", "base", "known"))
+        at = np.empty(int(place.max(initial=-1)) + 1, np.int64)
+        at[place] = np.arange(len(place))
+        for raw in answers.column("packed").to_pylist():
+            text, *more = unpack(raw, np.int64, np.float64, np.float64, np.int64)
+            for x, y in zip((score, base, known), more):
+                x[at[text]] += y  # a text is there once
+        return pa.table({"doc_id": texts.column("doc_id"), "n_tokens": texts.column("n"), "n_known": known, "base_score": base, "score": score})
+
+    rows = docs.select("doc_id", "text").mapInArrow(work, f"chunk long, doc_id {kind}, place long, n long, known long, base double, score double, bucket int, packed binary")
+    rows.write.option("compression", "none").parquet(path := new_path(spark))  # a text keeps its place; the rest is packed
+    rows = spark.read.schema(rows.schema).parquet(path)
+    entries = model.entries.select(F.expr(f"cast(pmod(k, {parts}) as int)").alias("bucket"), "k", "c", "w")
+    asks = rows.filter("packed is not null").select("bucket", "chunk", "packed")
+    answers = asks.groupBy("bucket").cogroup(entries.groupBy("bucket")).applyInArrow(answered, "chunk long, packed binary")
+    texts = rows.filter("packed is null").select("chunk", "doc_id", "place", "n", "known", "base", "score")
+    return texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(added, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
 
 
 def held_out(doc_id: Column) -> Column:
