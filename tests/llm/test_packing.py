@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import defaultdict
 
@@ -161,3 +162,14 @@ def test_blocks_and_odd_rows(spark):
     assert p.pack(p.token_pieces(docs.limit(0))).count() == 0
     with pytest.raises(ValueError):
         p.Packing([5000]).best_fit([0])
+
+
+def test_texts_without_runs_of_white_space_take_the_plain_engine():
+    """The pattern without its look ahead gives the library's ids there; runs, also in other scripts, go the old way."""
+    enc = p.encoder(*p.default_tokenizer())
+    assert enc.plain is not enc.fast
+    rng, letters = random.Random(4), [*" \n\taBé1½! 　\x1c\x85你_🙂\r", "'s"]
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 14))) for _ in range(3000)]
+    by = {t: enc.engine(t) for t in [*texts, "a b\nc ", " a", "a  b", "a 　b", "end \n"]}
+    assert by["a b\nc "] is by[" a"] is enc.plain and by["a  b"] is by["a 　b"] is by["end \n"] is enc.fast
+    assert all(enc.ids(t)[:-1].tolist() == enc.library(t) for t in by)
