@@ -132,7 +132,7 @@ def reason_keys(spark, d):
 
 
 def muscle_alias(spark, d):
-    label = F.concat(F.when(F.col("s_suppkey") % 5 == 0, "BWN-").otherwise("BWM-"), F.when(F.col("s_suppkey") % 2 == 0, "D").otherwise("V"), F.lit("L"), F.lpad(F.col("s_suppkey").cast("string"), 2, "0"))
+    label = F.concat(F.when(F.col("s_suppkey") % 5 == 0, "BWN-").otherwise("BWM-"), F.when(F.col("s_suppkey") % 2 == 0, "D").otherwise("V"), F.lit("L"), F.format_string("%02d", "s_suppkey"))  # a longer number stays whole
     return read(spark, d, "supplier").select("s_suppkey", text.muscle_name(label).alias("name"))
 
 
