@@ -3,6 +3,7 @@
 import duckdb
 import pandas as pd
 
+from trialforge.operators import windows
 from trialforge.plans import catalogue
 
 from .test_queries import canon
@@ -24,3 +25,33 @@ def both(spark, folder, name, **tables):
 def test_muscle_numbers_of_three_digits(spark, tmp_path):
     got, want = both(spark, tmp_path, "muscle_alias", supplier=pd.DataFrame({"s_suppkey": [1, 7, 10, 42, 99, 100, 101, 998, 12345]}))
     assert got == want
+
+
+#: Samples around a stimulus, the eleventh. Peaks of 1.0368125, and of zero or half of it where a sum's last bit decides.
+WINDOWS = (
+    [24.86, 34.5, 16.46, 14.34, 7.94, 5.35, 139.29, 45.39, 31.87, 33.03, 45.54, 37.54, 72.42],
+    [37.61, 19.89, 3.53, 88.63, 21.77, 62.33, 20.24, 100.97, 9.2, 23.09, 43.89, 130.93, 35.56, 39.61, 45.08],
+    [36.32, 21.16, 10.52, 62.42, 83.73, 29.99, 6.7, 42.16, 14.89, 98.26, 82.62, 54.93, 43.43, 7.67, 52.65, 4.82],
+)
+
+
+def test_peaks_at_a_rounding_half(spark, tmp_path):
+    rows = [(u, k, v) for u, values in enumerate(WINDOWS) for k, v in enumerate(values)]
+    events = pd.DataFrame([(n, pd.Timestamp(2024, 1, 1, 0, 0, k), u, "error" if k == 10 else "view", v) for n, (u, k, v) in enumerate(rows)], columns=["event_id", "ts", "user_id", "event_type", "value"]).astype({"ts": "datetime64[us]"})
+    got, want = both(spark, tmp_path, "peak_halfdecay", events=events)
+    assert got == want and len(got[1]) == 3
+
+
+def test_baselines_are_summed_in_order_of_offset(spark):
+    rows = [(f"t{i}", k - 10, v, v > 5) for i, values in enumerate(WINDOWS) for k, v in enumerate(values)]
+    want = {}
+    for i, values in enumerate(WINDOWS):
+        good = [v for v in values[:9] if v > 5]
+        total = 0.0
+        for v in good:
+            total += v
+        want[f"t{i}"] = total / len(good)
+    for order in (rows, rows[::-1], sorted(rows, key=lambda r: r[2])):
+        df = spark.createDataFrame(order, "trial_id string, offset int, value double, valid boolean").coalesce(1)
+        got = windows.with_baseline(df, ["trial_id"]).select("trial_id", "f0").distinct().collect()
+        assert {r.trial_id: r.f0 for r in got} == want and len(got) == 3
