@@ -55,3 +55,12 @@ def test_baselines_are_summed_in_order_of_offset(spark):
         df = spark.createDataFrame(order, "trial_id string, offset int, value double, valid boolean").coalesce(1)
         got = windows.with_baseline(df, ["trial_id"]).select("trial_id", "f0").distinct().collect()
         assert {r.trial_id: r.f0 for r in got} == want and len(got) == 3
+
+
+def test_edges_of_one_row_id_keep_the_first_labels(spark, tmp_path):
+    """Labels c0, c40 and c80 are one neuron, c1 and c41 another; orders 1 and 2 have lines of one number several times."""
+    lines = [(1, 40, 1, 3), (1, 0, 41, 3), (1, 80, 1, 3), (2, 80, 41, 1), (2, 0, 1, 1), (2, 40, 41, 1), (None, 0, 1, 2), (None, 40, 41, 2), (9, 0, 41, 3)]
+    lines += [(100 + i, 9, 9, 1) for i in range(500)]  # of labels that no part has: more lines than labels, as in the tables
+    lineitem = pd.DataFrame(lines, columns=["l_orderkey", "l_suppkey", "l_partkey", "l_linenumber"]).astype("Int64").assign(l_quantity=2.0, l_returnflag="R")
+    got, want = both(spark, tmp_path, "typed_edges", lineitem=lineitem, part=pd.DataFrame({"p_partkey": [0, 1, 40, 41, 80]}))
+    assert got == want and {("c40", "c1"), ("c80", "c41")} <= {(r[want[0].index("raw_pre")], r[want[0].index("raw_post")]) for r in want[1]}

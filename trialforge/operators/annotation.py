@@ -120,9 +120,9 @@ def type_edges(raw: DataFrame, ends: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Edges and drops from raw edges (row, layer, pre, post, weight, sign_raw) and what each label is: ends (label,
     what: neuron, muscle or drop; id; reason).
 
-    Edges: source, target, kind, target_kind, weight, n_rows, signs, raw_pre and raw_post of the first row, added (a
-    junction's missing reverse). Modulatory edges run between neurons, neuromuscular ones from neuron to muscle.
-    Drops: reason, n. Sort edges by kind_order, source and target for the published order.
+    Edges: source, target, kind, target_kind, weight, n_rows, signs, raw_pre and raw_post of the first row (row may be a
+    struct, for an order that leaves no ties), added (a junction's missing reverse). Modulatory edges run between neurons,
+    neuromuscular ones from neuron to muscle. Drops: reason, n. Sort edges by kind_order, source and target for the published order.
     """
     at = lambda c, p: ends.select(F.col("label").alias(c), F.col("what").alias(f"{p}_what"), F.col("id").alias(f"{p}_id"), F.col("reason").alias(f"{p}_reason"))
     x = raw.join(at("pre", "s"), "pre", "left").join(at("post", "t"), "post", "left")

@@ -16,8 +16,9 @@ _OTHER = "SELECT CASE c_custkey % 5 WHEN 0 THEN 'GLAL' WHEN 1 THEN 'glBr' WHEN 2
 _TX = """SELECT 'n' || (n_chars % 150) AS neuron_id, CASE doc_id % 4 WHEN 0 THEN 'atlas' WHEN 1 THEN 'list' ELSE lang END AS source,
  CASE CAST(floor(doc_id / 7) AS INT) % 5 WHEN 0 THEN 'dominant' WHEN 1 THEN 'alternative' WHEN 2 THEN 'monoamine_source' WHEN 3 THEN 'reported' ELSE 'other' END AS role,
  CASE CAST(floor(doc_id / 3) AS INT) % 7 WHEN 0 THEN 'ACh' WHEN 1 THEN 'Glu' WHEN 2 THEN 'GABA' WHEN 3 THEN 'ACh' WHEN 4 THEN 'dopamine' WHEN 5 THEN 'serotonin' ELSE 'betaine' END AS value FROM documents"""
-_RAW = """SELECT l_orderkey * 8 + l_linenumber AS row_id, CASE l_linenumber % 3 WHEN 0 THEN 'chem' WHEN 1 THEN 'gap' ELSE 'mod' END AS layer, 'c' || (l_suppkey % 90) AS pre, 'c' || (l_partkey % 110) AS post,
- l_quantity AS weight, CASE WHEN l_returnflag = 'R' THEN '-' WHEN l_returnflag = 'A' THEN '+' END AS sign_raw FROM lineitem"""
+_EDGES = """SELECT l_orderkey * 8 + l_linenumber AS row_id, CASE l_linenumber % 3 WHEN 0 THEN 'chem' WHEN 1 THEN 'gap' ELSE 'mod' END AS layer, 'c' || (l_suppkey % 90) AS pre, 'c' || (l_partkey % 110) AS post,
+ l_quantity AS weight, CASE WHEN l_returnflag = 'R' THEN '-' WHEN l_returnflag = 'A' THEN '+' END AS sign_raw"""
+_RAW = f"{_EDGES} FROM lineitem"
 _ENDS = "SELECT 'c' || k AS label, CASE WHEN k % 10 < 6 THEN 'neuron' WHEN k % 10 < 8 THEN 'muscle' ELSE 'drop' END AS what, CASE WHEN k % 10 < 6 THEN 'n' || (k % 40) WHEN k % 10 < 8 THEN 'm' || k END AS id, CASE WHEN k % 10 = 8 THEN 'ambiguous_label' WHEN k % 10 = 9 THEN 'non_neuron_cell' ELSE '' END AS reason FROM (SELECT DISTINCT p_partkey % 100 AS k FROM part) p"
 
 
@@ -70,7 +71,10 @@ UNION ALL SELECT neuron_id, CASE WHEN len(am) > 0 AND len(bm) > 0 AND NOT list_h
 
 
 def _typed(spark, d):
-    raw = _sql(spark, d, _RAW, "lineitem").withColumnRenamed("row_id", "row")
+    """Rows of one row_id are in the order of the table's files."""
+    read(spark, d, "lineitem").select("*", "_metadata.file_path", "_metadata.row_index").createOrReplaceTempView("lineitem")
+    raw = spark.sql(f"{_EDGES}, file_path, row_index FROM lineitem")
+    raw = raw.withColumn("row", F.when(F.col("row_id").isNotNull(), F.struct("row_id", "file_path", "row_index")))
     return annotation.type_edges(raw, _sql(spark, d, _ENDS, "part"))
 
 
